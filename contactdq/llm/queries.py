@@ -18,6 +18,13 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), [UrlRule(*r) for r in URL_RULES])
 
 
+def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactdq.llm.near_dedup import classes
+
+    found = classes(table(spark, sf_dir, "documents"))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactdq.llm.secrets import report
 
@@ -55,6 +62,7 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op3_near_dedup": op3_near_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
