@@ -18,6 +18,14 @@ def op1_url_filters(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "pages"), [UrlRule(*r) for r in URL_RULES])
 
 
+def op2_token_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from contactdq.llm.token_files import read_files, write_files
+
+    return read_files(spark, write_files(table(spark, sf_dir, "documents"), public_tokenizers.path("word_bpe_49k.json"), 2))
+
+
 def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactdq.llm.near_dedup import classes
 
@@ -45,6 +53,14 @@ def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
+def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    from contactdq.llm.packing import pack
+
+    return pack(table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"), 2)
+
+
 def op9_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactdq.llm.decontamination import contamination
 
@@ -62,10 +78,12 @@ def op10_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
+    "op2_token_files": op2_token_files,
     "op3_near_dedup": op3_near_dedup,
     "op5_secret_scans": op5_secret_scans,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
+    "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
 }
