@@ -33,6 +33,13 @@ def op3_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"))
 
 
+def op4_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from contactdq.llm.toxicity import fit, score
+
+    docs = table(spark, sf_dir, "documents")
+    return score(docs, fit(docs, table(spark, sf_dir, "labels")), 0.7)
+
+
 def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactdq.llm.secrets import report
 
@@ -80,6 +87,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_url_filters": op1_url_filters,
     "op2_token_files": op2_token_files,
     "op3_near_dedup": op3_near_dedup,
+    "op4_toxicity": op4_toxicity,
     "op5_secret_scans": op5_secret_scans,
     "op6_quality_rules": op6_quality_rules,
     "op7_sharding": op7_sharding,
