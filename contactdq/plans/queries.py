@@ -1,17 +1,329 @@
-"""Named queries over the test tables and the SQL that checks them."""
+"""Named queries over the test tables and the SQL that checks them.
+
+Inputs are made by one SQL text that both engines read; what is under test is Spark-side the operator, and in the oracle plain SQL.
+"""
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactdq.functions.text import name_key, name_tokens, sorted_key
+from contactdq.operators import identity, linking, names, normalise, phones, profile
 from contactdq.session import table
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
 
+TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
+
+
+def query(name: str, oracle: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if oracle:
+            ORACLE_SQL[name] = oracle
+        return f
+
+    return add
+
+
+def made(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
+    """An input by SQL over the tables that the text names."""
+    for name in TABLES:
+        if re.search(rf"\b{name}\b", text):
+            table(spark, sf_dir, name).createOrReplaceTempView(name)
+    return spark.sql(text)
+
+
+# Name pairs ----------------------------------------------------------------------------------------------------------
+
+PARTS = "SELECT p_name AS n, min(p_partkey) AS id FROM part GROUP BY p_name"
+SWAP = "split_part({0}, ' ', 2) || ' ' || split_part({0}, ' ', 1)"
+PAIRS = f"SELECT a.id AS a_id, b.id AS b_id, a.n AS a, CASE WHEN b.id % 3 = 0 THEN {SWAP.format('b.n')} WHEN b.id % 3 = 1 THEN b.n || 'x' ELSE b.n END AS b FROM ({PARTS}) a JOIN ({PARTS}) b ON a.id % 4 = b.id % 4 OR a.n = b.n"
+
+_METRICS_SQL = f"""
+WITH p AS (SELECT a_id, b_id, trim(regexp_replace(upper(a), '[^A-Z0-9 ]+', ' ', 'g')) AS x, trim(regexp_replace(upper(b), '[^A-Z0-9 ]+', ' ', 'g')) AS y FROM ({PAIRS}) s),
+t AS (SELECT *, list_distinct(string_split(x, ' ')) AS tx, list_distinct(string_split(y, ' ')) AS ty FROM p),
+m AS (SELECT *, len(list_intersect(tx, ty)) AS c, greatest(length(x), length(y)) AS l FROM t),
+r AS (SELECT *, round(jaro_winkler_similarity(x, y) * 100, 2) AS jw, round((1 - levenshtein(x, y) / l) * 100, 2) AS lev, round((1 - damerau_levenshtein(x, y) / l) * 100, 2) AS dam,
+  round(c / least(len(tx), len(ty)) * 100, 2) AS ovl, round(2 * c / (len(tx) + len(ty)) * 100, 2) AS dic, round(c / (len(tx) + len(ty) - c) * 100, 2) AS jac FROM m),
+q AS (SELECT *, floor((round((jw + lev + dam + ovl + dic + jac) * 100) + 3) / 6) / 100 AS prom, greatest(jw, lev, dam, ovl, dic, jac) AS hi, least(jw, lev, dam, ovl, dic, jac) AS lo FROM r)
+SELECT a_id, b_id, jw AS "R_JARO_WINKLER", lev AS "R_LEVENSHTEIN", dam AS "R_DAMERAU", ovl AS "R_OVERLAP", dic AS "R_DICE", jac AS "R_JACCARD", prom AS "R_PROMEDIO", hi AS "R_MAXIMO", lo AS "R_MINIMO", round(hi - lo, 2) AS "R_DISPERSION",
+ CASE WHEN x = y THEN 'COINCIDENCIA EXACTA' WHEN dam - lev >= 1 THEN 'TRANSPOSICION DE LETRAS' WHEN ovl = 0 AND greatest(jw, dam) >= 85 THEN 'TEXTO SIN SEPARAR'
+  WHEN ovl >= 99 AND jac >= 99 AND lev < 60 THEN 'MISMAS PALABRAS EN OTRO ORDEN' WHEN ovl >= 99 AND jac >= 99 THEN 'COINCIDENCIA EXACTA' WHEN ovl >= 99 THEN 'UN LADO TIENE NOMBRES DE MAS'
+  WHEN greatest(jw, dam) >= 85 AND c >= 2 THEN 'MISMAS PALABRAS EN OTRO ORDEN CON TIPEO' WHEN greatest(jw, dam) >= 85 THEN 'ERROR DE TIPEO'
+  WHEN greatest(lev, dam) < 40 AND ovl = 0 THEN 'SIN RELACION' WHEN hi - lo >= 50 THEN 'ALGORITMOS EN DESACUERDO' ELSE 'COINCIDENCIA PARCIAL' END AS "MOTIVO"
+FROM q"""
+
+
+def _compared(spark, sf_dir) -> DataFrame:
+    return names.six_metrics(made(spark, sf_dir, PAIRS), "a", "b")
+
+
+@query("six_metrics", _METRICS_SQL)
+def six_metrics(spark, sf_dir):
+    return _compared(spark, sf_dir).select("a_id", "b_id", *names.METRICS, "R_PROMEDIO", "R_MAXIMO", "R_MINIMO", "R_DISPERSION", "MOTIVO")
+
+
+@query("reason_histogram", f'SELECT "MOTIVO", count(*) AS "CANTIDAD", round(avg("R_DISPERSION"), 2) AS "DISPERSION_MEDIA" FROM ({_METRICS_SQL}) z GROUP BY 1')
+def reason_histogram(spark, sf_dir):
+    return names.reason_histogram(_compared(spark, sf_dir))
+
+
+@query("name_percentage")
+def name_percentage(spark, sf_dir):
+    return names.compared_denominations(made(spark, sf_dir, PAIRS), "a", "b", 80.0).select("a_id", "b_id", "PORCENTAJE", "COINCIDE", "ANALISIS")
+
+
+NAMES = "SELECT 'c' || cast(c_custkey AS STRING) AS id, replace(c_name, '#', ' la  ') AS n FROM customer UNION ALL SELECT 'p' || cast(p_partkey AS STRING), p_name || ' | extra' FROM part UNION ALL SELECT 'n' || cast(n_nationkey AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) || '@x.com' WHEN n_nationkey % 3 = 1 THEN n_name || ' SRL' ELSE lower(n_name) || '_x' END FROM nation"
+_STOP = "('" + "','".join(("DE", "DEL", "LA", "LAS", "EL", "LOS", "Y", "E", "A", "EN", "CON", "THE", "OF", "AND")) + "')"
+_KEYED = f"""SELECT id, d, k, list_filter(list_distinct(string_split(k, ' ')), lambda t: length(t) >= 2 AND t NOT IN {_STOP}) AS toks FROM
+ (SELECT id, d, trim(regexp_replace(regexp_replace(upper(d), '[^A-Z0-9 ]', ' ', 'g'), ' +', ' ', 'g')) AS k FROM (SELECT id, trim(string_split(n, '|')[1]) AS d FROM ({NAMES}) s) u) v"""
+
+
+@query("name_keys", f"""SELECT id, k AS "CLAVE", array_to_string(list_sort(string_split(k, ' ')), ' ') AS "CLAVE_ORDENADA", array_to_string(list_sort(toks), ' ') AS "TOKENS" FROM ({_KEYED}) z""")
+def name_keys(spark, sf_dir):
+    step = made(spark, sf_dir, NAMES).withColumn("CLAVE", name_key(names.first_segment(F.col("n"))))
+    return step.select("id", "CLAVE", sorted_key(F.col("CLAVE")).alias("CLAVE_ORDENADA"), F.array_join(F.array_sort(name_tokens(F.col("CLAVE"))), " ").alias("TOKENS"))
+
+
+_CLASS_SQL = f"""SELECT id, k AS "CLAVE", CASE WHEN d LIKE '%@%.com' THEN 'RUIDO' WHEN d NOT LIKE '% %' AND d LIKE '%\\_%' ESCAPE '\\' AND lower(d) = d THEN 'RUIDO' WHEN list_contains(toks, 'SRL') THEN 'J' WHEN len(toks) <= 1 THEN 'RUIDO' ELSE 'F' END AS "TIPO",
+ CASE WHEN d LIKE '%@%.com' THEN 'CAMPO_NOMBRE_CONTIENE_EMAIL' WHEN d NOT LIKE '% %' AND d LIKE '%\\_%' ESCAPE '\\' AND lower(d) = d THEN 'CAMPO_NOMBRE_CONTIENE_USERNAME' WHEN list_contains(toks, 'SRL') THEN 'INDICIO_JURIDICA(SRL)' WHEN len(toks) <= 1 THEN 'DENOMINACION_DE_UN_SOLO_TOKEN_NO_RESOLUBLE' ELSE '' END AS "MOTIVO_NORM" FROM ({_KEYED}) z"""
+
+
+@query("name_classes", _CLASS_SQL)
+def name_classes(spark, sf_dir):
+    return names.classified(made(spark, sf_dir, NAMES), "n").select("id", "CLAVE", "TIPO", "MOTIVO_NORM")
+
+
+@query("class_histogram", f'SELECT "TIPO", "MOTIVO_NORM", count(*) AS "CANTIDAD" FROM ({_CLASS_SQL}) y GROUP BY 1, 2')
+def class_histogram(spark, sf_dir):
+    return names.class_histogram(names.classified(made(spark, sf_dir, NAMES), "n"))
+
+
+@query("duplicate_keys", f'SELECT k AS "CLAVE", count(*) AS "CANTIDAD" FROM ({_KEYED}) z WHERE k <> \'\' GROUP BY k HAVING count(*) > 1')
+def duplicate_keys(spark, sf_dir):
+    return names.duplicate_keys(names.classified(made(spark, sf_dir, NAMES), "n"))
+
+
+# Linking -------------------------------------------------------------------------------------------------------------
+
+LEFT = f"SELECT cast(id AS STRING) AS id, CASE WHEN id % 5 = 0 THEN 'zzqq' WHEN id % 2 = 0 THEN {SWAP.format('n')} ELSE n || ' extra' END AS n FROM ({PARTS}) l"
+RIGHT = f"SELECT id AS bid, n AS bn FROM ({PARTS}) r"
+
+_MATCH_SQL = f"""
+WITH a AS (SELECT id, upper(n) AS k, string_split(upper(n), ' ') AS t FROM ({LEFT}) x), b AS (SELECT bid, upper(bn) AS k, string_split(upper(bn), ' ') AS t FROM ({RIGHT}) y),
+ex AS (SELECT a.id, b.bid FROM a JOIN b ON a.k = b.k),
+nr AS (SELECT DISTINCT u.id, v.bid FROM (SELECT id, unnest(t) AS w FROM a WHERE k NOT IN (SELECT k FROM b)) u JOIN (SELECT bid, unnest(t) AS w FROM b) v ON u.w = v.w WHERE length(u.w) >= 4),
+pr AS (SELECT * FROM ex UNION SELECT * FROM nr),
+s AS (SELECT pr.id, pr.bid, a.k AS x, b.k AS y, a.t AS tx, b.t AS ty, jaro_winkler_similarity(a.k, b.k) AS jw, jaro_winkler_similarity(array_to_string(list_sort(a.t), ' '), array_to_string(list_sort(b.t), ' ')) AS jwo,
+  levenshtein(a.k, b.k) AS lev, damerau_levenshtein(a.k, b.k) AS dam, len(list_intersect(list_distinct(a.t), list_distinct(b.t))) AS c, len(list_distinct(a.t)) AS na, len(list_distinct(b.t)) AS nb FROM pr JOIN a USING (id) JOIN b USING (bid)),
+q AS (SELECT *, 2 * c / (na + nb) AS di FROM s),
+w AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY greatest(round(jwo, 6), round(di, 6)) DESC, bid) AS rk,
+  CASE WHEN greatest(jwo, di) >= 0.92 THEN CASE WHEN abs(jwo - di) >= 0.25 THEN 'RE' ELSE 'SI' END WHEN greatest(jwo, di) >= 0.80 THEN 'RE' ELSE 'NO' END AS v FROM q)
+SELECT a.id AS "ID_ARCHIVO", w.bid AS "ID_BASE", round(w.jw, 6) AS "JARO_WINKLER", round(w.jwo, 6) AS "JARO_WINKLER_ORD", w.lev AS "LEVENSHTEIN", w.dam AS "DAMERAU", round(w.di, 6) AS "DICE", round(w.c / (w.na + w.nb - w.c), 6) AS "JACCARD",
+ coalesce(w.v, 'NO') AS "COINCIDE", coalesce(w.rk, 0) AS "RANKING" FROM a LEFT JOIN (SELECT * FROM w WHERE rk <= 5) w ON a.id = w.id"""
+
+
+def _matched(spark, sf_dir) -> DataFrame:
+    return linking.cross_match(made(spark, sf_dir, LEFT), made(spark, sf_dir, RIGHT), 5, "id", "n", "bid", "bn")
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "customer").select(F.col("c_custkey"), F.upper("c_name").alias("name"))
+    """Best five base names of each file name, with scores and verdict."""
+    return _matched(spark, sf_dir).select("ID_ARCHIVO", "ID_BASE", "JARO_WINKLER", "JARO_WINKLER_ORD", "LEVENSHTEIN", "DAMERAU", "DICE", "JACCARD", "COINCIDE", "RANKING")
+
+
+query("blocking_topk", _MATCH_SQL)(flagship)
+
+
+@query("verdict_counts", f'SELECT "COINCIDE", count(*) AS "CANTIDAD" FROM ({_MATCH_SQL}) z WHERE "RANKING" <= 1 GROUP BY 1')
+def verdict_counts(spark, sf_dir):
+    return linking.verdict_counts(_matched(spark, sf_dir))
+
+
+@query("paired_match")
+def paired_match(spark, sf_dir):
+    return linking.paired_match(made(spark, sf_dir, PAIRS), "a", "b").select("a_id", "b_id", "JARO_WINKLER", "JARO_WINKLER_ORD", "DICE", "MOTIVO", "COINCIDE", "RANKING")
+
+
+CLAIMS = """SELECT o_orderkey AS "ID", o_custkey % 400 AS "ID_ARCHIVO", o_orderkey % 700 AS "ID_BASE", CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'u' || cast(o_custkey % 5 AS STRING) END AS "USERNAME",
+ (o_orderkey % 100) / 100.0 AS jw, ((o_orderkey * 7) % 100) / 100.0 AS di, 'M' AS "MOTIVO", CASE WHEN o_orderkey % 3 = 0 THEN 'SI' ELSE 'NO' END AS "COINCIDE" FROM orders"""
+
+
+def _claims(spark, sf_dir) -> DataFrame:
+    step = made(spark, sf_dir, CLAIMS.replace('"', ""))
+    return step.withColumns({"JARO_WINKLER_ORD": F.col("jw").cast("double"), "DICE": F.col("di").cast("double")}).drop("jw", "di")
+
+
+def _pass_sql(source: str, group: str, contested: str, tag: str) -> str:
+    return f"""SELECT * EXCLUDE (sc, usr, inn, rk, us, gap) REPLACE (
+  CASE WHEN inn AND NOT (us = 1 AND usr <> '') AND NOT (gap >= 0.03 AND rk = 1) THEN 'RE' ELSE "COINCIDE" END AS "COINCIDE",
+  CASE WHEN inn THEN left("MOTIVO" || '; ' || CASE WHEN us = 1 AND usr <> '' THEN 'MISMA_ENTIDAD_MULTIPLE_PERFIL' WHEN gap >= 0.03 AND rk = 1 THEN 'GANA_POR_MARGEN(' || printf('%.4f', gap) || ')' WHEN gap >= 0.03 THEN '{tag}_PIERDE_POR_MARGEN' ELSE '{tag}_EMPATE_SIN_EVIDENCIA' END, 200) ELSE "MOTIVO" END AS "MOTIVO")
+ FROM (SELECT *, max(CASE WHEN rk = 1 THEN sc END) OVER (PARTITION BY "{group}", "COINCIDE" = 'SI') - max(CASE WHEN rk = 2 THEN sc END) OVER (PARTITION BY "{group}", "COINCIDE" = 'SI') AS gap FROM
+ (SELECT *, greatest(jw, di) AS sc, lower(trim("USERNAME")) AS usr, "COINCIDE" = 'SI' AND {contested} AS inn, row_number() OVER (PARTITION BY "{group}", "COINCIDE" = 'SI' ORDER BY greatest(jw, di) DESC, "ID") AS rk,
+  len(list_distinct(list(lower(trim("USERNAME"))) OVER (PARTITION BY "{group}", "COINCIDE" = 'SI'))) AS us FROM {source} g) h) i"""
+
+
+_FIRST = _pass_sql(f"(SELECT * REPLACE (CAST(jw AS DOUBLE) AS jw, CAST(di AS DOUBLE) AS di) FROM ({CLAIMS}) c)", "ID_BASE", "len(list_distinct(list(\"ID_ARCHIVO\") OVER (PARTITION BY \"ID_BASE\", \"COINCIDE\" = 'SI'))) > 1", "N_A_1")
+_SECOND = _pass_sql(f"({_FIRST})", "ID_ARCHIVO", "count(*) OVER (PARTITION BY \"ID_ARCHIVO\", \"COINCIDE\" = 'SI') > 1", "1_A_N")
+
+
+@query("conflict_resolution", f'SELECT "ID", "COINCIDE", "MOTIVO" FROM ({_SECOND}) z')
+def conflict_resolution(spark, sf_dir):
+    return linking.resolved_conflicts(_claims(spark, sf_dir)).select("ID", "COINCIDE", "MOTIVO")
+
+
+@query("conflict_detection", f"""SELECT "ID_BASE", count(DISTINCT "ID_ARCHIVO") AS "CANTIDAD" FROM ({CLAIMS}) z WHERE "COINCIDE" = 'SI' GROUP BY 1 HAVING count(DISTINCT "ID_ARCHIVO") > 1""")
+def conflict_detection(spark, sf_dir):
+    return linking.conflicts(_claims(spark, sf_dir))
+
+
+# Identity numbers ----------------------------------------------------------------------------------------------------
+
+
+def _digit_sql(ten: str) -> str:
+    total = " + ".join(f"cast(substr({ten}, {i + 1}, 1) AS INT) * {w}" for i, w in enumerate(identity.WEIGHTS))
+    return f"CASE 11 - ({total}) % 11 WHEN 11 THEN 0 WHEN 10 THEN 9 ELSE 11 - ({total}) % 11 END"
+
+
+TEN = "'20' || lpad(cast(c_custkey AS STRING), 8, '0')"
+CUITS = f"SELECT c_custkey AS id, CASE c_custkey % 7 WHEN 0 THEN {TEN} || '5' WHEN 1 THEN '99' || lpad(cast(c_custkey AS STRING), 8, '0') || '1' WHEN 2 THEN '' WHEN 3 THEN '20-' || cast(c_custkey AS STRING) ELSE {TEN} || cast({_digit_sql(TEN)} AS STRING) END AS n FROM customer"
+
+
+@query(
+    "cuit_validate",
+    f"""WITH d AS (SELECT id, regexp_replace(n, '[^0-9]', '', 'g') AS c FROM ({CUITS}) s), v AS (SELECT *, length(c) = 11 AND substr(c, 1, 2) IN ('20','23','24','27','30','33','34') AND CASE WHEN length(c) = 11 THEN cast(substr(c, 11, 1) AS INT) = {_digit_sql("substr(c, 1, 10)")} ELSE false END AS ok FROM d)
+    SELECT id, ok AS "VALIDO", CASE WHEN ok THEN c END AS "CUIT_NORMALIZADO", CASE WHEN ok THEN CASE WHEN substr(c, 1, 2) IN ('20','23','24','27') THEN 'FISICA' ELSE 'JURIDICA' END END AS "TIPO_PERSONA", CASE WHEN ok THEN ltrim(substr(c, 3, 8), '0') END AS "DNI",
+    CASE WHEN length(c) = 11 THEN substr(c, 1, 2) || '-' || substr(c, 3, 8) || '-' || substr(c, 11, 1) ELSE c END AS formatted FROM v""",
+)
+def cuit_validate(spark, sf_dir):
+    step = identity.validated_cuit(made(spark, sf_dir, CUITS), "n")
+    from contactdq.functions.text import digits
+
+    return step.select("id", "VALIDO", "CUIT_NORMALIZADO", "TIPO_PERSONA", "DNI", identity.formatted_cuit(digits(F.col("n"))).alias("formatted"))
+
+
+REGISTRY = f"""SELECT {TEN} || cast({_digit_sql(TEN)} AS STRING) AS "CUIT", c_name AS "DENOMINACION", replace(c_name, '#', ' ') AS "NOMBRE_LIMPIO", CASE WHEN c_custkey % 2 = 0 THEN lpad(cast(c_custkey AS STRING), 8, '0') ELSE cast(c_custkey AS STRING) END AS "DNI",
+ CASE WHEN c_custkey % 9 = 0 THEN '*' WHEN c_custkey % 9 = 1 THEN 'Q' END AS "MARCA_BAJA", CASE WHEN c_custkey % 13 = 0 THEN '1999-01-01' END AS "FECHA_FALLECIMIENTO", cast(NULL AS STRING) AS "CUIT_REEMPLAZO" FROM customer
+ UNION ALL SELECT '27' || lpad(cast(s_suppkey AS STRING), 8, '0') || '1', s_name, s_name, cast(s_suppkey AS STRING), NULL, NULL, NULL FROM supplier"""
+ASKED = f"SELECT c_custkey AS id, CASE c_custkey % 4 WHEN 0 THEN cast(c_custkey AS STRING) WHEN 1 THEN lpad(cast(c_custkey AS STRING), 8, '0') WHEN 2 THEN {TEN} || cast({_digit_sql(TEN)} AS STRING) ELSE cast(c_custkey * 1000 AS STRING) END AS n, CASE WHEN c_custkey % 3 = 0 THEN 'Someone Else' ELSE replace(c_name, '#', ' ') END AS nm FROM customer"
+
+_SNAP = f"""(SELECT *, regexp_replace("CUIT", '[^0-9]', '', 'g') AS cn, regexp_replace("DNI", '[^0-9]', '', 'g') AS dn FROM ({REGISTRY}) s)"""
+_VARIANTS = f"SELECT id, d, pos, k FROM (SELECT id, n AS d, unnest([0, 1, 2]) AS pos, unnest([n, CASE WHEN length(n) < 8 THEN lpad(n, 8, '0') ELSE n END, ltrim(n, '0')]) AS k FROM ({ASKED}) q WHERE length(n) <> 11) w"
+
+
+def _snapshot(spark, sf_dir) -> DataFrame:
+    return identity.registry_snapshot(made(spark, sf_dir, REGISTRY.replace('"', "")))
+
+
+@query(
+    "registry_lookup",
+    f"""WITH r AS {_SNAP}, dn AS (SELECT v.id, v.pos, r."CUIT", r."DENOMINACION" FROM ({_VARIANTS}) v JOIN r ON r.dn = v.k),
+    best AS (SELECT id, min(pos) AS pos FROM dn GROUP BY id), f AS (SELECT DISTINCT dn.* FROM dn JOIN best USING (id, pos) UNION ALL SELECT q.id, 0, r."CUIT", r."DENOMINACION" FROM ({ASKED}) q JOIN r ON r.cn = q.n WHERE length(q.n) = 11)
+    SELECT q.id, q.n, f."CUIT", f."DENOMINACION" FROM ({ASKED}) q LEFT JOIN f USING (id)""",
+)
+def registry_lookup(spark, sf_dir):
+    asked = made(spark, sf_dir, ASKED)
+    return identity.lookup_first_variant(asked, _snapshot(spark, sf_dir), "n", "id").select("id", "n", "CUIT", "DENOMINACION")
+
+
+_CUITIFY = f"""WITH r AS {_SNAP}, h AS (SELECT DISTINCT q.id, r."DENOMINACION" AS den FROM ({ASKED}) q JOIN r ON length(q.n) = 11 AND r.cn = q.n UNION SELECT v.id, r."DENOMINACION" FROM ({_VARIANTS}) v JOIN r ON r.dn = v.k), c AS (SELECT id, count(*) AS n FROM h GROUP BY id)
+    SELECT q.id, q.n AS "NUMERO_BUSCADO", h.den AS "DENOMINACION_ENCONTRADA", CASE WHEN h.den IS NULL THEN 'NO ENCONTRADO' ELSE 'ENCONTRADO' END AS "ESTADO", CASE WHEN c.n > 1 THEN 'SI' ELSE 'NO' END AS "REVISION", cast(coalesce(c.n, 0) AS INT) AS "COINCIDENCIAS" FROM ({ASKED}) q LEFT JOIN h USING (id) LEFT JOIN c USING (id)"""
+
+
+@query("cuitificar", _CUITIFY)
+def cuitificar(spark, sf_dir):
+    found = identity.enriched(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "id")
+    return found.select("id", "NUMERO_BUSCADO", "DENOMINACION_ENCONTRADA", "ESTADO", "REVISION", "COINCIDENCIAS")
+
+
+@query(
+    "cuitificar_counts",
+    f"""SELECT count(DISTINCT "NUMERO_BUSCADO") AS unicos, count(DISTINCT CASE WHEN "ESTADO" = 'ENCONTRADO' THEN "NUMERO_BUSCADO" END) AS encontrados, count(DISTINCT CASE WHEN "REVISION" = 'SI' THEN "NUMERO_BUSCADO" END) AS en_revision, count(DISTINCT "NUMERO_BUSCADO") - count(DISTINCT CASE WHEN "ESTADO" = 'ENCONTRADO' THEN "NUMERO_BUSCADO" END) AS no_encontrados FROM ({_CUITIFY}) z""",
+)
+def cuitificar_counts(spark, sf_dir):
+    return identity.enrichment_counts(identity.enriched(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "id"))
+
+
+@query("registry_validation")
+def registry_validation(spark, sf_dir):
+    return identity.validated_against_registry(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "nm", "id").drop("CANDIDATOS_DETALLE")
+
+
+@query("registry_states")
+def registry_states(spark, sf_dir):
+    return identity.state_counts(identity.validated_against_registry(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "nm", "id"))
+
+
+@query(
+    "low_marks",
+    f"""SELECT "CUIT", coalesce("MARCA_BAJA", '') = '*' AS baja, CASE WHEN "MARCA_BAJA" = '*' THEN 'Marcado como BAJA en el padrón' WHEN "MARCA_BAJA" = 'Q' THEN 'MARCA_BAJA con valor no reconocido: ''Q'' (se trata como activo)' ELSE '' END AS nota FROM ({REGISTRY}) s""",
+)
+def low_marks(spark, sf_dir):
+    low, note = identity.low_mark(F.col("MARCA_BAJA"))
+    return _snapshot(spark, sf_dir).select("CUIT", low.alias("baja"), note.alias("nota"))
+
+
+# Cells, phones, profiles ---------------------------------------------------------------------------------------------
+
+CELLS = "SELECT c_custkey AS id, CASE c_custkey % 5 WHEN 0 THEN 'no tiene' WHEN 1 THEN cast(c_custkey AS STRING) || ' | ' || cast(c_custkey AS STRING) || ';' || c_mktsegment WHEN 2 THEN '' WHEN 3 THEN NULL ELSE c_name || ',,' || c_mktsegment END AS tel, CASE WHEN c_custkey % 3 = 0 THEN 'a@b.c, d@e.f' END AS mail, c_mktsegment AS zona FROM customer"
+_CELL_SQL = f"""WITH c AS ({CELLS}), v AS (
+ SELECT id, m, v FROM (SELECT id, 'tel' AS m, trim(unnest(regexp_split_to_array(tel, '[|;,]'))) AS v FROM c UNION SELECT id, 'mail', trim(unnest(regexp_split_to_array(mail, '[|;,]'))) FROM c) u WHERE v <> '' AND v <> 'no tiene')
+ SELECT c.id, CASE WHEN m = 'tel' THEN v ELSE '' END AS tel, CASE WHEN m = 'mail' THEN v ELSE '' END AS mail, c.zona FROM c LEFT JOIN v USING (id)"""
+
+
+@query("explode_media", _CELL_SQL)
+def explode_media(spark, sf_dir):
+    return normalise.exploded(made(spark, sf_dir, CELLS), "id", ["tel", "mail"], ["zona"])
+
+
+@query("explode_counts", f"SELECT (SELECT count(*) FROM customer) AS filas_origen, (SELECT count(DISTINCT c_custkey) FROM customer) AS claves, count(*) AS filas_resultado, count(*) FILTER (tel <> '') + count(*) FILTER (mail <> '') AS valores FROM ({_CELL_SQL}) z")
+def explode_counts(spark, sf_dir):
+    cells = made(spark, sf_dir, CELLS)
+    return normalise.counts(cells, normalise.exploded(cells, "id", ["tel", "mail"]), "id", ["tel", "mail"])
+
+
+NINE = "lpad(cast((c_custkey * 7919) % 10000000 AS STRING), 7, '4')"
+PHONES = f"SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '(011) 15-4' || {NINE} WHEN 1 THEN '011 4' || {NINE} WHEN 2 THEN '+54 9 11 4' || {NINE} WHEN 3 THEN '114' || {NINE} WHEN 4 THEN 'Cel: 0223 15 ' || {NINE} WHEN 5 THEN '+598 9' || {NINE} WHEN 6 THEN '0054 11 4' || {NINE} ELSE '' END AS tel FROM customer"
+
+
+@query(
+    "phone_clean",
+    f"""SELECT id, CASE id % 8 WHEN 7 THEN NULL WHEN 5 THEN '+5989' || n ELSE CASE WHEN id % 8 = 4 THEN '+54223' ELSE '+54114' END || n END AS "E164", CASE id % 8 WHEN 7 THEN NULL WHEN 5 THEN '598' ELSE '54' END AS "PREFIJO_PAIS",
+    CASE id % 8 WHEN 7 THEN NULL WHEN 2 THEN 'explicito' WHEN 5 THEN 'explicito' WHEN 6 THEN 'explicito' ELSE 'asumido' END AS "ORIGEN_PAIS" FROM (SELECT c_custkey AS id, {NINE} AS n FROM customer) s""",
+)
+def phone_clean(spark, sf_dir):
+    return phones.cleaned_cells(made(spark, sf_dir, PHONES), "id", "tel").select(F.col("ID_ORIGEN").alias("id"), "E164", "PREFIJO_PAIS", "ORIGEN_PAIS")
+
+
+@query("phone_counts", "SELECT count(*) AS total, count(*) FILTER (c_custkey % 8 <> 7) AS depurados, count(*) FILTER (c_custkey % 8 = 7) AS sin_cambios, count(*) FILTER (c_custkey % 8 IN (0, 1, 3, 4)) AS pais_asumido, count(*) FILTER (c_custkey % 8 = 7) AS sin_numero FROM customer")
+def phone_counts(spark, sf_dir):
+    return profile.statistics(phones.cleaned_cells(made(spark, sf_dir, PHONES), "id", "tel"), "dep_telefonos")
+
+
+FILLERS = "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN repeat(cast(c_custkey % 10 AS STRING), 7) WHEN 1 THEN '7890123' WHEN 2 THEN '3210987' WHEN 3 THEN repeat(lpad(cast(c_custkey % 100 AS STRING), 2, '0'), 3) WHEN 4 THEN repeat(lpad(cast(c_custkey % 1000 AS STRING), 3, '0'), 3) ELSE '4123456' END AS n FROM customer"
+
+
+@query("filler_detector", "SELECT c_custkey AS id, c_custkey % 6 <> 5 AS relleno FROM customer")
+def filler_detector(spark, sf_dir):
+    return made(spark, sf_dir, FILLERS).select("id", phones.is_filler(F.col("n")).alias("relleno"))
+
+
+@query("profile_columns", "SELECT * FROM (SELECT 'c_name' AS columna, count(*) FILTER (c_name IS NULL) AS nulos, count(*) FILTER (trim(c_name) = '') AS blancos, count(DISTINCT c_name) AS distintos, min(length(c_name)) AS largo_min, max(length(c_name)) AS largo_max FROM customer UNION ALL SELECT 'c_mktsegment', count(*) FILTER (c_mktsegment IS NULL), count(*) FILTER (trim(c_mktsegment) = ''), count(DISTINCT c_mktsegment), min(length(c_mktsegment)), max(length(c_mktsegment)) FROM customer) z")
+def profile_columns(spark, sf_dir):
+    return profile.profile(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])
+
+
+@query("first_unique", "SELECT event_type, min(event_id) AS primera FROM events GROUP BY 1")
+def first_unique(spark, sf_dir):
+    return profile.first_unique(table(spark, sf_dir, "events"), "event_type", "event_id")
+
+
+@query("budget_cut", "SELECT user_id, min(event_id) AS primera FROM events GROUP BY 1 ORDER BY primera LIMIT 33")
+def budget_cut(spark, sf_dir):
+    return profile.within_budget(profile.first_unique(table(spark, sf_dir, "events"), "user_id", "event_id"), "primera", 100, 3)
