@@ -327,3 +327,42 @@ def first_unique(spark, sf_dir):
 @query("budget_cut", "SELECT user_id, min(event_id) AS primera FROM events GROUP BY 1 ORDER BY primera LIMIT 33")
 def budget_cut(spark, sf_dir):
     return profile.within_budget(profile.first_unique(table(spark, sf_dir, "events"), "user_id", "event_id"), "primera", 100, 3)
+
+
+# E-mail --------------------------------------------------------------------------------------------------------------
+
+MAILS = """SELECT c_custkey AS id, CASE c_custkey % 14 WHEN 0 THEN 'Jose' || n || '@gmeil.com' WHEN 1 THEN 'ana' || n || ' arroba hotmail punto com' WHEN 2 THEN 'luis.maria@hotmail.con' WHEN 3 THEN 'notiene@nomail.com'
+ WHEN 4 THEN 'juan@fibertel.com.ar' WHEN 5 THEN '' WHEN 6 THEN 'mailto:pedro@gmail.com.ar' WHEN 7 THEN 'carlos#yahoo.com' WHEN 8 THEN 'mariagmail.com' WHEN 9 THEN 'ana lucia@outlook.com;' WHEN 10 THEN 'ab12@gmail.com'
+ WHEN 11 THEN 'roberto@hotmail' WHEN 12 THEN 'roberto@hotmail.com.uru' ELSE 'ana?lucia@gmail.com' END AS mail FROM (SELECT c_custkey, cast(c_custkey AS STRING) AS n FROM customer) s"""
+_MAIL_SQL = """SELECT c_custkey AS id, CASE c_custkey % 14 WHEN 0 THEN 'jose' || n || '@gmail.com' WHEN 1 THEN 'ana' || n || '@hotmail.com' WHEN 2 THEN 'luis.maria@hotmail.com' WHEN 3 THEN 'notiene@nomail.com' WHEN 4 THEN 'juan@fibertel.com.ar' WHEN 5 THEN ''
+ WHEN 6 THEN 'pedro@gmail.com' WHEN 7 THEN 'carlos@yahoo.com' WHEN 8 THEN 'maria@gmail.com' WHEN 9 THEN 'ana.lucia@outlook.com' WHEN 10 THEN 'ab12@gmail.com' WHEN 11 THEN 'roberto@hotmail.com' WHEN 12 THEN 'roberto@hotmail.com' ELSE 'ana?lucia@gmail.com' END AS "MAIL_DEPURADO",
+ c_custkey % 14 NOT IN (3, 4, 5, 10, 13) AS "FUE_DEPURADO", CASE WHEN c_custkey % 14 IN (0, 1, 3, 5, 10) THEN 'INVALIDO' WHEN c_custkey % 14 = 13 THEN 'REVISION' ELSE 'VALIDO' END AS "ESTADO" FROM (SELECT c_custkey, cast(c_custkey AS STRING) AS n FROM customer) s"""
+
+
+def _mails(spark, sf_dir) -> DataFrame:
+    from contactdq.operators import mails
+
+    return mails.processed(made(spark, sf_dir, MAILS), "mail")
+
+
+@query("mail_clean_validate", _MAIL_SQL)
+def mail_clean_validate(spark, sf_dir):
+    return _mails(spark, sf_dir).select("id", "MAIL_DEPURADO", "FUE_DEPURADO", "ESTADO")
+
+
+@query("mail_row_states", f"""SELECT s AS "ESTADO", count(*) AS "CANTIDAD" FROM (SELECT CASE WHEN "ESTADO" = 'REVISION' THEN 'REVISION MANUAL' WHEN "ESTADO" = 'INVALIDO' THEN 'BAJA' WHEN "FUE_DEPURADO" THEN 'MODIFICADO' ELSE 'CONSERVADO' END AS s FROM ({_MAIL_SQL}) m) z GROUP BY 1""")
+def mail_row_states(spark, sf_dir):
+    from contactdq.operators import mails
+
+    return mails.row_states(_mails(spark, sf_dir)).groupBy("ESTADO").agg(F.count("*").alias("CANTIDAD"))
+
+
+FINDINGS = """SELECT DISTINCT CASE user_id % 3 WHEN 0 THEN 'carlos@yahoo.com' WHEN 1 THEN 'ana?lucia@gmail.com' ELSE 'notiene@nomail.com' END AS "MAIL", event_type AS "PROVEEDOR", CASE WHEN event_type < 'm' THEN 'Registered' ELSE 'Not Found' END AS "ESTADO_OSINT" FROM events"""
+
+
+@query("verdict_lattice", f"""SELECT m.id, CASE WHEN f.p IS NOT NULL AND "ESTADO" = 'REVISION' THEN 'VALIDO' WHEN f.p IS NOT NULL AND "ESTADO" = 'VALIDO' THEN 'VALIDO_CONFIRMADO' ELSE "ESTADO" END AS "ESTADO", f.p AS "PROVEEDORES_REGISTRADO"
+ FROM ({_MAIL_SQL}) m LEFT JOIN (SELECT "MAIL", string_agg("PROVEEDOR", ', ' ORDER BY "PROVEEDOR") AS p FROM ({FINDINGS}) g WHERE "ESTADO_OSINT" = 'Registered' GROUP BY 1) f ON f."MAIL" = m."MAIL_DEPURADO\"""")
+def verdict_lattice(spark, sf_dir):
+    from contactdq.operators import mails
+
+    return mails.confirmed(_mails(spark, sf_dir), made(spark, sf_dir, FINDINGS.replace('"', ""))).select("id", "ESTADO", "PROVEEDORES_REGISTRADO")
