@@ -366,3 +366,28 @@ def verdict_lattice(spark, sf_dir):
     from contactdq.operators import mails
 
     return mails.confirmed(_mails(spark, sf_dir), made(spark, sf_dir, FINDINGS.replace('"', ""))).select("id", "ESTADO", "PROVEEDORES_REGISTRADO")
+
+
+# Incremental runs and audit ------------------------------------------------------------------------------------------
+
+
+@query("incremental_new_rows", "SELECT event_id, user_id FROM events WHERE event_id % 10 >= 3")
+def incremental_new_rows(spark, sf_dir):
+    from contactdq.streaming.incremental import new_rows
+
+    events = table(spark, sf_dir, "events")
+    return new_rows(events.select("event_id", "user_id"), events.filter("event_id % 10 < 3").select("event_id"), "event_id")
+
+
+@query("audit_json")
+def audit_json(spark, sf_dir):
+    from contactdq.sources.publish import audit
+
+    return audit(_mails(spark, sf_dir).filter("FUE_DEPURADO"), "MAILS", "engine", "id", ["mail"], ["MAIL_DEPURADO", "ESTADO"])
+
+
+@query("history_merge", "SELECT coalesce(a.k, b.k) AS k, CASE WHEN b.k IS NULL THEN a.v ELSE b.v END AS v FROM (SELECT c_custkey AS k, 'stored' AS v FROM customer WHERE c_custkey % 2 = 0) a FULL JOIN (SELECT c_custkey AS k, 'live' AS v FROM customer WHERE c_custkey % 3 = 0) b ON a.k = b.k")
+def history_merge(spark, sf_dir):
+    customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("t"))
+    stored, live = customers.filter("k % 2 = 0").withColumn("v", F.lit("stored")), customers.filter("k % 3 = 0").withColumn("v", F.lit("live"))
+    return profile.newest(stored, live, "k", "t").select("k", "v")
