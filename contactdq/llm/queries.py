@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactdq.llm import oracles
 from contactdq.session import table
 
 URL_RULES = (("org/", "allow"), ("example.org/es/", "block"), ("example.org/en/1", "block"), ("com/fr/", "allow"), ("com/de/", "block"))
@@ -96,4 +97,11 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_substring_dedup": op10_substring_dedup,
 }
 
-ORACLE_SQL: dict[str, str] = {}
+#: The other queries have no SQL here (CRC-32, tokenizers, learned scores, places of matches); tests hold them against plain Python.
+ORACLE_SQL: dict[str, str] = {
+    "op1_url_filters": oracles.url_filters(URL_RULES),
+    "op3_near_dedup": oracles.NEAR_DEDUP,
+    "op6_quality_rules": oracles.QUALITY_RULES,
+    "op9_benchmark_decontamination": oracles.DECONTAMINATION,
+    "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+}
