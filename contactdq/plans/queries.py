@@ -391,3 +391,18 @@ def history_merge(spark, sf_dir):
     customers = table(spark, sf_dir, "customer").select(F.col("c_custkey").alias("k"), F.col("c_custkey").alias("t"))
     stored, live = customers.filter("k % 2 = 0").withColumn("v", F.lit("stored")), customers.filter("k % 3 = 0").withColumn("v", F.lit("live"))
     return profile.newest(stored, live, "k", "t").select("k", "v")
+
+
+@query("mail_agent", """SELECT c_custkey AS id, CASE WHEN c_custkey % 14 IN (0, 1, 3, 5, 10) THEN 'BAJA' WHEN c_custkey % 14 = 13 THEN 'REVISION MANUAL' WHEN c_custkey % 14 = 4 THEN 'CONSERVADO' ELSE 'MODIFICADO' END AS "ESTADO",
+ CASE c_custkey % 14 WHEN 2 THEN 'luis.maria@hotmail.com' WHEN 4 THEN 'juan@fibertel.com.ar' WHEN 6 THEN 'pedro@gmail.com' WHEN 7 THEN 'carlos@yahoo.com' WHEN 8 THEN 'maria@gmail.com' WHEN 9 THEN 'ana.lucia@outlook.com' WHEN 11 THEN 'roberto@hotmail.com' WHEN 12 THEN 'roberto@hotmail.com' END AS "MAIL_DEPURADO" FROM customer""")
+def mail_agent(spark, sf_dir):
+    from contactdq.operators import mail_agent as agent
+
+    return agent.processed(made(spark, sf_dir, MAILS), "mail").select("id", "ESTADO", "MAIL_DEPURADO")
+
+
+@query("mail_agent_counts", "SELECT count(*) AS total, count(*) FILTER (c_custkey % 14 = 4) AS conservados, count(*) FILTER (c_custkey % 14 IN (2, 6, 7, 8, 9, 11, 12)) AS modificados, count(*) FILTER (c_custkey % 14 IN (0, 1, 3, 5, 10)) AS bajas, count(*) FILTER (c_custkey % 14 = 13) AS revision_manual FROM customer")
+def mail_agent_counts(spark, sf_dir):
+    from contactdq.operators import mail_agent as agent
+
+    return profile.statistics(agent.processed(made(spark, sf_dir, MAILS), "mail"), "mails")
