@@ -160,11 +160,14 @@ def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
-    """One row for each document of the listed files: ``doc_id, start, n_tokens, ids_crc32``."""
-    paths = [r["path"] for r in files.select("path").distinct().collect()]
+    """One row for each document of the listed files: ``doc_id, start, n_tokens, ids_crc32``.
+
+    The list is broadcast: it has one small row for ``file_tokens`` tokens, or for a task that had fewer.
+    """
+    folders = [r[0] for r in files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).distinct().collect()]
     schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not paths:
+    if not folders:
         return spark.createDataFrame([], schema)
     name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    raw = spark.read.format("binaryFile").load(paths).select(name(F.col("path")).alias("name"), "content")
+    raw = spark.read.format("binaryFile").load(folders).select(name(F.col("path")).alias("name"), "content")
     return raw.join(F.broadcast(files.select(name(F.col("path")).alias("name"), "first")), "name").select("content", "first").mapInArrow(_crcs, schema)
