@@ -17,6 +17,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactdq.functions.barrier import settled
 from contactdq.llm.common import spaced_words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
@@ -81,7 +82,7 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     base = base.withColumn("_r", F.array_sort(repeated))
     # Each repeated window covers three words; a word that the previous repeated window covers counts once.
     covered = F.expr("aggregate(transform(_r, (p, i) -> CASE WHEN i = 0 THEN 3 ELSE least(3, p - _r[i - 1]) END), 0, (s, x) -> s + x)")
-    return base.withColumn("n_repeat_words", covered.cast("long")).select(id_col, *MEASURES)
+    return settled(base.withColumn("n_repeat_words", covered.cast("long")).select(id_col, *MEASURES), *MEASURES)
 
 
 def ledger(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
