@@ -5,7 +5,8 @@ estimated jointly from all registers by likelihood, and what the estimate cannot
 Components of the confirmed links give the classes.
 
 No bucket is ever expanded while a cheaper way is open. In star rounds each item is tried against the bucket centre that
-it shares most bands with, which is one pair for each item; what links joins one component. Buckets whose members all
+it shares most bands with, which is one pair for each item; what links joins one component. First centres are the items
+with the most company in their buckets, as the original among edited copies is; later ones are drawn by hash. Buckets whose members all
 belong to one component are done. Only pairs of different components that still share a bucket are compared one by one,
 after as many star rounds as it takes for these to be few, so every pair that shares a bucket and could change the result is
 decided and no link between classes is lost.
@@ -38,7 +39,7 @@ SHINGLE = 5
 LEAST = 75  # percent
 MARGIN = 25.0  # natural log of the likelihood ratio that drops a pair
 BITS = 24
-PAIRS_PER_ITEM = 20  # single comparisons begin once they are no more than this many for each item
+FEW_PAIRS, ROW_PAIRS = 200_000, 1  # single comparisons begin once no more pairs are left than these many, or for each row of a bucket
 STAR_ROUNDS = 6  # or after so many star rounds
 
 
@@ -129,8 +130,8 @@ class _Matcher:
         self.sketches, self.sets, self.least, self.margin = sketches, sets, least, margin
         self.links = self.tried = None
 
-    def try_pairs(self, pairs: DataFrame) -> None:
-        """Estimate and verify distinct pairs ``a, b``; those tried before are skipped."""
+    def try_pairs(self, pairs: DataFrame) -> bool:
+        """Estimate and verify distinct pairs ``a, b``, those tried before left out; whether any of them is a link."""
         if self.tried is not None:
             pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
         pairs = written(pairs, "pairs")
@@ -144,6 +145,7 @@ class _Matcher:
         linked = written(linked, "links")
         self.links = linked if self.links is None else self.links.unionByName(linked)
         self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
+        return not linked.isEmpty()
 
     def labels(self) -> DataFrame:
         return written(components(self.links, "a", "b").select(F.col("node").alias("item"), F.col("component").alias("c")), "labels")
@@ -161,8 +163,8 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
     items = written(rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("m"), F.first("n").alias("n")).select("fp", F.col("m.rid").alias("item"), F.col("m.at").alias("at"), "n"), "items")
     sketches = rows.select(F.col("rid").alias("item"), "n", "regs").join(items.select("item"), "item", "left_semi")
     bands = sketches.select("item", "regs").mapInArrow(_banded, "key long, item long")
-    shared = bands.groupBy("key").agg(F.count("*").alias("size"), F.min("item").alias("center")).filter("size > 1")
-    members = written(bands.join(shared, "key").select("key", "item", "center"), "members")
+    shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
+    members = written(bands.join(shared, "key").select("key", "item", "size"), "members")
     met = items.join(members.select("item").distinct(), "item", "left_semi")
     bitmap = _bitmap(met, BITS)
     found = base.select("at", "text").mapInArrow(_sets(k, BITS, bitmap), "fp binary, shingles array<long>")
@@ -175,23 +177,30 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         counts = tries.groupBy("item", "center").agg(F.count("*").alias("n"))
         return _ordered(counts.groupBy("item").agg(F.max_by("center", F.struct("n", "center")).alias("y")).select(F.col("item").alias("x"), "y")).distinct()
 
-    matcher.try_pairs(best(members.filter("item <> center")))
+    # The item with the most company over all its bands is the likeliest original of a group of edited copies.
+    company = members.groupBy("item").agg(F.sum("size").alias("company"))
+    centers = members.join(company, "item").groupBy("key").agg(F.max_by("item", F.struct("company", "item")).alias("center"))
+    matcher.try_pairs(best(members.join(centers, "key").filter("item <> center")))
     turn = 0
+    labels = matcher.labels()
     while True:
-        labels = matcher.labels()
         told = members.select("key", "item").join(labels, "item", "left").withColumn("c", F.coalesce("c", "item"))
         turn += 1
-        bucket = told.groupBy("key").agg(F.min("c").alias("lo"), F.max("c").alias("hi"), F.count("*").alias("size"), F.min_by(F.struct("item", "c"), F.xxhash64("item", F.lit(turn))).alias("m")).filter("lo < hi")
-        live = written(told.join(bucket.select("key", "size", F.col("m.item").alias("center"), F.col("m.c").alias("cc")), "key"), "live")
-        work = live.agg(F.sum("size").alias("pairs"), F.count_distinct("item").alias("items")).first()
-        if not work["items"]:
+        # Pairs that could still join two components: those in a bucket, less those within one component.
+        parts = told.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("item", F.xxhash64("item", F.lit(turn))).alias("m"))
+        bucket = parts.groupBy("key").agg(F.sum("n").alias("size"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.count("*").alias("k"), F.min_by(F.struct("m", "c"), F.xxhash64("m", F.lit(turn))).alias("m"))
+        bucket = written(bucket.filter("k > 1").select("key", "size", "cross", F.col("m.m").alias("center"), F.col("m.c").alias("cc")), "buckets")
+        work = bucket.agg(F.sum("cross").alias("cross"), F.sum("size").alias("rows")).first()
+        if not work["cross"]:
             break
-        if turn > STAR_ROUNDS or work["pairs"] <= max(PAIRS_PER_ITEM * S.BANDS * work["items"], 100_000):
+        live = told.join(bucket.select("key", "center", "cc"), "key")
+        if turn > STAR_ROUNDS or work["cross"] / 2 <= max(ROW_PAIRS * work["rows"], FEW_PAIRS):
             x, y = live.select("key", F.col("item").alias("x"), F.col("c").alias("cx")), live.select("key", F.col("item").alias("y"), F.col("c").alias("cy"))
-            matcher.try_pairs(_ordered(x.join(y, "key").filter("cx <> cy AND x < y")).distinct())
-            labels = matcher.labels()
+            if matcher.try_pairs(_ordered(x.join(y, "key").filter("cx <> cy AND x < y")).distinct()):
+                labels = matcher.labels()
             break
-        matcher.try_pairs(best(live.filter("c <> cc").select("item", "center")))
+        if matcher.try_pairs(best(live.filter("c <> cc").select("item", "center"))):
+            labels = matcher.labels()
     named = rows.select("rid", "doc_id", "at", "n", "fp").join(items.select("fp", "item"), "fp", "left").join(labels, "item", "left").withColumn("c", F.coalesce("c", "item", "rid"))
     named = written(named.select("rid", "doc_id", "at", "n", "c"), "named")
     low = named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("head"))

@@ -58,7 +58,8 @@ def test_classes_match_all_pairs(documents):
 
 def test_star_rounds_and_single_pairs_agree(documents, monkeypatch):
     docs = case()[40:]
-    monkeypatch.setattr(N, "PAIRS_PER_ITEM", 0)
+    monkeypatch.setattr(N, "FEW_PAIRS", 0)
+    monkeypatch.setattr(N, "ROW_PAIRS", 0)
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(documents(docs)).collect()) == brute_classes(docs)
 
 
