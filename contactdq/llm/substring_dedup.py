@@ -37,7 +37,7 @@ _LAST = (1 << 63) - 1
 
 _PIECES = "d long, th long, mini long, pk long, start int, n int"
 _PACKED = "mini long, pk long, lo long, packed binary, broken boolean"
-_FIRSTS = "mini long, pk long, off int, firsts array<long>"
+_LATER = "mini long, pk long, offs array<int>"
 
 
 def super_kmers(words: list[bytes], window: int = WINDOW, seed: int = SEED) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -96,24 +96,24 @@ def _pack(window: int):
     return cut
 
 
-def _bucket_firsts(mini: int, pks: list, los: list, packed: list, window: int) -> list[tuple]:
-    """Sort the windows of one bucket; the first document of each window, by string."""
+def _later_windows(mini: int, pks: list, los: list, packed: list, window: int) -> list[tuple]:
+    """Sort the windows of one bucket; for each string, the places of windows that a smaller document has too."""
     marks = [run_hashes(word_hashes(p.split(b" ")), window) for p in packed]
     sizes = [len(m) for m in marks]
     every, lo = np.concatenate(marks), np.repeat(np.array(los, np.int64), sizes)
     order = np.lexsort((lo, every))
     ordered = every[order]
     first = np.concatenate(([True], ordered[1:] != ordered[:-1]))
-    least = lo[order][np.flatnonzero(first)][np.cumsum(first) - 1]
-    firsts = np.empty(len(every), np.int64)
-    firsts[order] = least
+    later = np.empty(len(every), bool)
+    later[order] = lo[order][np.flatnonzero(first)][np.cumsum(first) - 1] < lo[order]
     ends = np.cumsum(sizes)
-    return [(mini, pk, 0, firsts[e - s : e].tolist()) for pk, s, e in zip(pks, sizes, ends)]
+    found = [(mini, pk, np.flatnonzero(later[e - s : e]).tolist()) for pk, s, e in zip(pks, sizes, ends)]
+    return [x for x in found if x[2]]
 
 
 def _count_buckets(window: int):
     """Buckets arrive sorted by minimiser; one at a time is held, and none has more than SPLIT strings."""
-    schema = pa.schema([("mini", pa.int64()), ("pk", pa.int64()), ("off", pa.int32()), ("firsts", pa.list_(pa.int64()))])
+    schema = pa.schema([("mini", pa.int64()), ("pk", pa.int64()), ("offs", pa.list_(pa.int32()))])
 
     def out(rows: list[tuple]) -> pa.RecordBatch:
         return pa.RecordBatch.from_arrays([pa.array(list(c), f.type) for c, f in zip(zip(*rows), schema)], schema=schema)
@@ -123,7 +123,7 @@ def _count_buckets(window: int):
         for batch in batches:
             for mini, pk, lo, packed in zip(*(c.to_pylist() for c in batch.columns)):
                 if mini != now and held[0]:
-                    done += _bucket_firsts(now, *held, window)
+                    done += _later_windows(now, *held, window)
                     held = ([], [], [])
                     if len(done) >= 2000:
                         yield out(done)
@@ -133,7 +133,7 @@ def _count_buckets(window: int):
                 held[1].append(lo)
                 held[2].append(packed)
         if held[0]:
-            done += _bucket_firsts(now, *held, window)
+            done += _later_windows(now, *held, window)
         if done:
             yield out(done)
 
@@ -141,17 +141,22 @@ def _count_buckets(window: int):
 
 
 def _windows_alone(window: int):
-    """Strings of a broken-up bucket as (window hash, string, place) rows."""
-    schema = pa.schema([("mini", pa.int64()), ("pk", pa.int64()), ("lo", pa.int64()), ("off", pa.int32()), ("mark", pa.int64())])
+    """Strings of a broken-up bucket as one row for each distinct window: its hash and its places in the string."""
+    schema = pa.schema([("mini", pa.int64()), ("pk", pa.int64()), ("lo", pa.int64()), ("mark", pa.int64()), ("offs", pa.list_(pa.int32()))])
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            marks = [run_hashes(word_hashes(p.split(b" ")), window) for p in batch.column(3).to_pylist()]
-            sizes = [len(m) for m in marks]
+            marks, places, sizes = [], [], []
+            for packed in batch.column(3).to_pylist():
+                own = run_hashes(word_hashes(packed.split(b" ")), window)
+                order = np.argsort(own, kind="stable")
+                at = np.flatnonzero(np.concatenate(([True], own[order][1:] != own[order][:-1])))
+                marks.append(own[order][at].view(np.int64))
+                places += [x.astype(np.int32) for x in np.split(order, at[1:])]
+                sizes.append(len(at))
             ids = [np.repeat(batch.column(i).to_numpy(zero_copy_only=False), sizes) for i in range(3)]
-            offs = np.concatenate([np.arange(s, dtype=np.int32) for s in sizes]) if sizes else np.zeros(0, np.int32)
-            every = np.concatenate(marks).view(np.int64) if marks else np.zeros(0, np.int64)
-            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ids), pa.array(offs, pa.int32()), pa.array(every, pa.int64())], schema=schema)
+            every = np.concatenate(marks) if marks else np.zeros(0, np.int64)
+            yield pa.RecordBatch.from_arrays([*(pa.array(x, pa.int64()) for x in ids), pa.array(every, pa.int64()), pa.array(places, pa.list_(pa.int32()))], schema=schema)
 
     return cut
 
@@ -171,17 +176,17 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, spli
     carrying = docs.select("d", "th", "text").join(asked, ["d", "th"])
     packed = written(carrying.select("text", "asked").mapInArrow(_pack(window), _PACKED), "packed")
     whole = packed.filter("NOT broken").select("mini", "pk", "lo", "packed").repartition("mini").sortWithinPartitions("mini")
-    firsts = whole.mapInArrow(_count_buckets(window), _FIRSTS)
-    alone = packed.filter("broken").select("mini", "pk", "lo", "packed").mapInArrow(_windows_alone(window), "mini long, pk long, lo long, off int, mark long")
+    counted = whole.mapInArrow(_count_buckets(window), _LATER)
+    alone = packed.filter("broken").select("mini", "pk", "lo", "packed").mapInArrow(_windows_alone(window), "mini long, pk long, lo long, mark long, offs array<int>")
     least = alone.groupBy("mini", "mark").agg(F.min("lo").alias("first"))
-    hot = alone.join(least, ["mini", "mark"]).filter("first < lo").select("mini", "pk", "off", F.array("first").alias("firsts"))
-    # A string whose every window starts with itself needs no row: the string's own first document decides.
-    known = firsts.unionByName(hot)
+    hot = alone.alias("w").join(least.alias("f"), F.expr("w.mini = f.mini AND w.mark = f.mark AND f.first < w.lo")).groupBy("w.mini", "w.pk").agg(F.flatten(F.collect_list("offs")).alias("offs"))
+    # A later document than a string's first has the whole string from it; the first one may have windows from smaller documents.
     own = here.join(strings.select("mini", "pk", "lo"), ["mini", "pk"])
-    whole_spans = own.filter("lo < d").select("d", "th", F.col("start").alias("a"), (F.col("start") + F.col("n") + window - 1).alias("b"))
-    found = F.expr("filter(transform(firsts, (f, i) -> CASE WHEN f < d THEN start + off + i END), x -> x IS NOT NULL)")
-    part = own.filter("lo >= d").join(known, ["mini", "pk"]).select("d", "th", F.explode(found).alias("a")).select("d", "th", "a", (F.col("a") + window).alias("b"))
-    return whole_spans.unionByName(part).groupBy("d", "th").agg(F.array_sort(F.collect_set(F.struct("a", "b"))).alias("spans"))
+    covered = lambda a, b: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"))
+    start = F.col("start")
+    whole_spans = own.filter("lo < d").select("d", "th", F.array(covered(start, start + F.col("n") + window - 1)).alias("s"))
+    part = own.filter("lo >= d").join(counted.unionByName(hot), ["mini", "pk"]).select("d", "th", F.transform("offs", lambda x: covered(start + x, start + x + window)).alias("s"))
+    return whole_spans.unionByName(part).groupBy("d", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("spans"))
 
 
 def _kept_words(text: str | None, spans: list | None) -> tuple[int, int, bytes]:
