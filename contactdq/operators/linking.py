@@ -27,16 +27,21 @@ def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str = "ID_ARCHIV
 def cross_match(left: DataFrame, right: DataFrame, k: int = 5, left_id: str = "ID_ARCHIVO", left_name: str = "DENOM", right_id: str = "ID_BASE", right_name: str = "DENOM", extras: list[str] | None = None, document: str | None = None) -> DataFrame:
     """The best ``k`` candidates of every left row with scores and verdict; a row without candidates has RANKING 0 and the verdict NO.
 
-    Ties are broken by the base id. Carried columns never influence a score.
+    Ties are broken by the base id. Carried columns never influence a score. Scores depend on the keys alone, so each pair of distinct keys is scored
+    once, however many rows have them.
     """
     a = classified(left.select(F.col(left_id).cast("string").alias("ID_ARCHIVO"), F.col(left_name).alias("_n"), *[F.col(c) for c in extras or []]), "_n").drop("_n")
     b = classified(right.select(F.col(right_id).alias("ID_BASE"), F.col(right_name).alias("DENOM_BASE"), *([F.col(document).alias("DOC_BASE")] if document else [])).dropDuplicates(["ID_BASE"]), "DENOM_BASE")
-    pairs = candidate_pairs(a, b)
-    sides = pairs.join(a.select("ID_ARCHIVO", F.col("DENOMINACION").alias("_da"), F.col("CLAVE").alias("CLAVE_ARCHIVO")).dropDuplicates(["ID_ARCHIVO"]), "ID_ARCHIVO").join(b.select("ID_BASE", "DENOM_BASE", F.col("CLAVE").alias("CLAVE_BASE"), *(["DOC_BASE"] if document else [])), "ID_BASE")
-    scored = cross_scores(sides, "CLAVE_ARCHIVO", "CLAVE_BASE", "_da", "DENOM_BASE")
-    order = Window.partitionBy("ID_ARCHIVO").orderBy(F.greatest("JARO_WINKLER_ORD", "DICE").desc(), "ID_BASE")
-    top = scored.withColumn("RANKING", F.row_number().over(order)).filter(F.col("RANKING") <= k).drop("CLAVE_ARCHIVO", "_da")
-    joined = a.select("ID_ARCHIVO", F.col("DENOMINACION").alias("DENOM_ARCHIVO"), F.col("CLAVE").alias("CLAVE_ARCHIVO"), "TIPO", "MOTIVO_NORM", *(extras or [])).join(top, "ID_ARCHIVO", "left")
+    keys = lambda d, i: d.select(F.col("CLAVE").alias(i), "CLAVE", "TOKENS").dropDuplicates([i])
+    scored = cross_scores(candidate_pairs(keys(a, "CLAVE_ARCHIVO"), keys(b, "CLAVE_BASE"), "CLAVE_ARCHIVO", "CLAVE_BASE"), "CLAVE_ARCHIVO", "CLAVE_BASE")
+    # Of base rows of one key none but the k smallest ids can be among the best k.
+    least = b.withColumn("_n", F.row_number().over(Window.partitionBy("CLAVE").orderBy("ID_BASE"))).filter(F.col("_n") <= k)
+    least = least.select(F.col("CLAVE").alias("CLAVE_BASE"), "ID_BASE", "DENOM_BASE", *(["DOC_BASE"] if document else []))
+    order = Window.partitionBy("CLAVE_ARCHIVO").orderBy(F.greatest("JARO_WINKLER_ORD", "DICE").desc(), "ID_BASE")
+    top = scored.join(least, "CLAVE_BASE").withColumn("RANKING", F.row_number().over(order)).filter(F.col("RANKING") <= k)
+    joined = a.select("ID_ARCHIVO", F.col("DENOMINACION").alias("DENOM_ARCHIVO"), F.col("CLAVE").alias("CLAVE_ARCHIVO"), "TIPO", "MOTIVO_NORM", *(extras or [])).join(top, "CLAVE_ARCHIVO", "left")
+    same = F.col("DENOM_ARCHIVO").eqNullSafe(F.col("DENOM_BASE"))
+    joined = joined.withColumn("MOTIVO", F.when(same, F.regexp_replace("MOTIVO", "^IDENTICO_NORMALIZADO", "IDENTICO")).otherwise(F.col("MOTIVO")))
     none = F.col("ID_BASE").isNull()
     return joined.withColumns(
         {

@@ -63,6 +63,36 @@ def test_ranked_candidates_and_noise(spark):
     assert got[("4", 0)][2] == "SIN_CANDIDATOS_EN_INDICE" and got[("5", 0)][2] == "DENOMINACION_VACIA"
 
 
+def test_hot_keys_rank_as_by_brute_force(spark):
+    """Many rows of few keys: all rows keep their own best candidates, and a pair of keys is scored once."""
+    from contactdq.functions.similarity import jaro_winkler_of
+
+    kinds = ["JUAN PEREZ", "PEREZ JUAN", "PEREZ JUANA", "GOMEZ ANA", "PEREZ", "juan  perez"]
+    left, right = [(i, kinds[i % 6]) for i in range(60)] + [(60, "ZZZ QQQ")], [(i, kinds[(i * 7 + 1) % 6]) for i in range(90)]
+    key = lambda n: " ".join(n.upper().split())
+    want = set()
+    for i, n in left:
+        near = [(b, key(m)) for b, m in right if key(m) == key(n)] or [(b, key(m)) for b, m in right if {t for t in key(n).split() if len(t) >= 4} & set(key(m).split())]
+        best = []
+        for b, m in near:
+            x, y = set(key(n).split()), set(m.split())
+            best.append((-max(round(jaro_winkler_of(" ".join(sorted(key(n).split())), " ".join(sorted(m.split()))), 6), round(2 * len(x & y) / (len(x) + len(y)), 6)), b))
+        want |= {(str(i), b, r + 1) for r, (_, b) in enumerate(sorted(best)[:5])} or {(str(i), None, 0)}
+    made = linking.cross_match(spark.createDataFrame(left, "id int, n string"), spark.createDataFrame(right, "bid int, bn string"), 5, "id", "n", "bid", "bn")
+    rows = made.collect()
+    assert {(r.ID_ARCHIVO, r.ID_BASE, r.RANKING) for r in rows} == want and len(rows) == len(want)
+    assert {r.MOTIVO for r in rows if r.CLAVE_ARCHIVO == "JUAN PEREZ" and r.ID_BASE is not None} == {"IDENTICO", "IDENTICO_NORMALIZADO"}
+
+
+def test_whole_tables_are_linked_and_compared(spark):
+    from contactdq.plans.queries import QUERIES
+
+    sf_dir = "/root/testdata/sf0.001"
+    rows = lambda name: spark.read.parquet(f"{sf_dir}/{name}.parquet").count()
+    assert QUERIES["blocking_topk_all"](spark, sf_dir).select("ID_ARCHIVO").distinct().count() == rows("part")
+    assert QUERIES["six_metrics_all"](spark, sf_dir).count() == rows("orders")
+
+
 def test_conflicts(spark):
     rows = [
         (1, "a", "x", "", 1.00, 0.0, "", "SI"), (2, "b", "x", "", 0.95, 0.0, "", "SI"),
