@@ -10,8 +10,9 @@ of one 2x2 matrix, in closed form, and a text costs as many steps as it has toke
 the spans; their sum, their maximum and their density give the score by a logistic function fitted on the
 training documents.
 
-The fit uses at most ``max_rows`` labelled documents of each class, those with the least hash of their id; that bound is the only sample
-here, and everything scored is scored whole.
+The fit uses at most ``max_rows`` labelled documents of each class, those with the least hash of their id, with all features that pass the test
+and windows around all their tokens that have one; of the other tokens, it has those near four fixed places of each document. Everything scored is
+scored whole.
 
 Edge cases: null and empty texts score as texts without toxic tokens. Rows without an id are scored. Repeated rows score alike.
 Repeated labels of one id count once, as toxic if any is. Without labels of both classes every score is 0. An empty
@@ -20,7 +21,7 @@ table gives no rows. Other columns are ignored.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
@@ -37,6 +38,9 @@ SLOTS = 1 + len(PREFIXES)
 SIDE = 4
 LENGTH = 2 * SIDE + 1
 
+#: Up to so many distinct windows the driver sums the gradients, beyond that Spark does.
+DRIVER_WINDOWS = 100_000
+
 
 def feature_hashes(word: str) -> list[int]:
     """The word and its prefixes, as signed 64-bit hashes."""
@@ -147,21 +151,22 @@ def _squash(x: np.ndarray) -> np.ndarray:
     return 1 / (1 + np.exp(-np.clip(x, -35, 35)))
 
 
-def fit_chain(features: np.ndarray, labels: np.ndarray, valid: np.ndarray, n_features: int, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-4) -> tuple[np.ndarray, float, tuple]:
-    """Maximum likelihood of (n, LENGTH, SLOTS) feature numbers (0: none) with (n, LENGTH) labels, by gradients of forward-backward."""
-    n = len(features)
-    w, bias, moves = np.zeros(n_features + 1), -3.0, np.zeros(3)
-    theta = np.concatenate((w, [bias], moves))
-    m, v = np.zeros_like(theta), np.zeros_like(theta)
-    y = labels.astype(np.float64)
-    pair = {(1, 0): (labels[:, :-1] == 1) & (labels[:, 1:] == 0), (0, 1): (labels[:, :-1] == 0) & (labels[:, 1:] == 1), (1, 1): (labels[:, :-1] == 1) & (labels[:, 1:] == 1)}
-    linked = valid[:, :-1] & valid[:, 1:]
-    seen = np.array([(pair[k] & linked).sum() for k in ((0, 1), (1, 0), (1, 1))], np.float64)
-    for t in range(1, rounds + 1):
-        w, bias, moves = theta[: n_features + 1], theta[n_features + 1], theta[n_features + 2 :]
+def slopes(theta: np.ndarray, windows: list[bytes], counts: np.ndarray) -> np.ndarray:
+    """Sum over windows, each ``counts`` times, of the likelihood's gradient: feature weights (the first is of no feature), bias, transitions."""
+    total = np.zeros_like(theta)
+    w, bias, moves = theta[:-4], theta[-4], theta[-3:]
+    move = np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]]))
+    for at in range(0, len(windows), 20_000):
+        some, many = windows[at : at + 20_000], counts[at : at + 20_000].astype(np.float64)
+        n = len(some)
+        flat = np.frombuffer(b"".join(some), np.uint32).reshape(n, -1).astype(np.int64)
+        features = flat[:, : LENGTH * SLOTS].reshape(-1, LENGTH, SLOTS)
+        labels, valid = flat[:, LENGTH * SLOTS : LENGTH * (SLOTS + 1)], flat[:, LENGTH * (SLOTS + 1) :] == 1
+        linked = valid[:, :-1] & valid[:, 1:]
+        before, after = labels[:, :-1] == 1, labels[:, 1:] == 1
+        seen = np.array([((p & linked).sum(axis=1) * many).sum() for p in (~before & after, before & ~after, before & after)])
         light = np.ones((n, LENGTH, 2))
         light[:, :, 1] = np.where(valid, np.exp(np.clip(w[features].sum(axis=2) + bias, -30, 30)), 0.0)
-        move = np.exp(np.array([[0.0, moves[0]], [moves[1], moves[2]]]))
         forward, backward = np.empty((n, LENGTH, 2)), np.ones((n, LENGTH, 2))
         forward[:, 0] = light[:, 0]
         for k in range(1, LENGTH):
@@ -173,12 +178,33 @@ def fit_chain(features: np.ndarray, labels: np.ndarray, valid: np.ndarray, n_fea
         both = forward * backward
         p = both[:, :, 1] / both.sum(axis=2)
         joint = forward[:, :-1, :, None] * move[None, None] * (light * backward)[:, 1:, None, :]
-        joint = (joint / joint.sum(axis=(2, 3), keepdims=True)) * linked[:, :, None, None]
+        joint = (joint / joint.sum(axis=(2, 3), keepdims=True)) * (linked * many[:, None])[:, :, None, None]
         expected = np.array([joint[:, :, 0, 1].sum(), joint[:, :, 1, 0].sum(), joint[:, :, 1, 1].sum()])
-        miss = np.where(valid, y - p, 0.0)
-        pull = np.bincount(features.ravel(), np.repeat(miss.ravel(), SLOTS), n_features + 1)
+        miss = np.where(valid, labels - p, 0.0) * many[:, None]
+        pull = np.bincount(features.ravel(), np.repeat(miss.ravel(), SLOTS), len(w))
         pull[0] = 0
-        slope = np.concatenate((pull, [miss.sum()], seen - expected)) / n - ridge * theta
+        total += np.concatenate((pull, [miss.sum()], seen - expected))
+    return total
+
+
+def summed_slopes(theta: np.ndarray, windows: DataFrame) -> np.ndarray:
+    """``slopes`` over written windows, by Spark; one row for each task comes back."""
+
+    def part(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros_like(theta)
+        for batch in batches:
+            total += slopes(theta, batch.column(0).to_pylist(), batch.column(1).to_numpy())
+        yield pa.RecordBatch.from_arrays([pa.array([total.tobytes()], pa.binary())], ["total"])
+
+    return sum((np.frombuffer(r[0]) for r in windows.mapInArrow(part, "total binary").collect()), np.zeros_like(theta))
+
+
+def fit_chain(slope_of: Callable[[np.ndarray], np.ndarray], n: int, n_features: int, rounds: int = 120, rate: float = 0.15, ridge: float = 1e-4) -> tuple[np.ndarray, float, tuple]:
+    """Maximum likelihood over ``n`` windows, whose gradients ``slope_of`` sums."""
+    theta = np.concatenate((np.zeros(n_features + 1), [-3.0], np.zeros(3)))
+    m, v = np.zeros_like(theta), np.zeros_like(theta)
+    for t in range(1, rounds + 1):
+        slope = slope_of(theta) / n - ridge * theta
         m, v = 0.9 * m + 0.1 * slope, 0.99 * v + 0.01 * slope**2
         theta = theta + rate * (m / (1 - 0.9**t)) / (np.sqrt(v / (1 - 0.99**t)) + 1e-8)
     return theta[: n_features + 1], float(theta[n_features + 1]), tuple(theta[n_features + 2 :].tolist())
@@ -211,8 +237,8 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bits), pa.array(np.full(len(keys), toxic, np.int32))], ["feature", "contexts", "toxic"])
 
 
-def _window_rows(numbers: dict[int, int], strong: set[int], per_doc: int):
-    """Windows around marked tokens (and at fixed places elsewhere), as bytes of feature numbers, labels and validity."""
+def _window_rows(numbers: dict[int, int], strong: set[int]):
+    """Windows around all marked tokens (and at four fixed places), as bytes of feature numbers, labels and validity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -224,9 +250,9 @@ def _window_rows(numbers: dict[int, int], strong: set[int], per_doc: int):
                     own = [numbers[h] for h in feature_hashes(word) if h in numbers]
                     if own:
                         marked[i] = own
-                middles = list(marked)[:per_doc] + list(range(SIDE, len(words), max(1, len(words) // 4)))[:4]
+                middles = list(marked) + list(range(SIDE, len(words), max(1, len(words) // 4)))[:4]
                 for mid in middles:
-                    f, y, ok = np.zeros((LENGTH, SLOTS), np.uint16), np.zeros(LENGTH, np.uint16), np.zeros(LENGTH, np.uint16)
+                    f, y, ok = np.zeros((LENGTH, SLOTS), np.uint32), np.zeros(LENGTH, np.uint32), np.zeros(LENGTH, np.uint32)
                     for j, i in enumerate(range(mid - SIDE, mid + SIDE + 1)):
                         if 0 <= i < len(words):
                             ok[j] = 1
@@ -267,7 +293,7 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     return written(rows.dropDuplicates(["text"]), "training"), totals
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_features: int = 4000, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
     """Learn a model from at most ``max_rows`` labelled documents of each class."""
     rows, totals = training_rows(docs, labels, max_rows, id_col, text_col, label_col, held_out)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
@@ -276,16 +302,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, max_features:
     counts = rows.select("text", "toxic").mapInArrow(_feature_rows, "feature long, contexts long, toxic int")
     counts = counts.groupBy("feature").agg(F.sum("toxic").alias("bad"), F.sum(1 - F.col("toxic")).alias("good"), F.bit_count(F.bit_or(F.when(F.col("toxic") == 1, F.col("contexts")).otherwise(0))).alias("spread"))
     odds = F.log((F.col("bad") + 0.5) / (n[1] + 1.0)) - F.log((F.col("good") + 0.5) / (n[0] + 1.0))
-    top = counts.filter("bad >= 4 AND spread >= 4").withColumn("odds", odds).filter("odds >= 1.5").orderBy(F.desc("odds"), "feature").limit(max_features).select("feature", "odds", "bad").collect()
+    top = counts.filter("bad >= 4 AND spread >= 4").withColumn("odds", odds).filter("odds >= 1.5").orderBy(F.desc("odds"), "feature").select("feature", "odds", "bad").collect()
     if not top:
         return Model()
     numbers = {r["feature"]: i + 1 for i, r in enumerate(top)}
     strong = {i + 1 for i, r in enumerate(top) if r["odds"] >= 2.5}
-    raw = [r[0] for r in rows.mapInArrow(_window_rows(numbers, strong, 12), "window binary").collect()]
-    flat = np.frombuffer(b"".join(raw), np.uint16).reshape(len(raw), -1).astype(np.int64)
-    features = flat[:, : LENGTH * SLOTS].reshape(-1, LENGTH, SLOTS)
-    y, ok = flat[:, LENGTH * SLOTS : LENGTH * (SLOTS + 1)], flat[:, LENGTH * (SLOTS + 1) :] == 1
-    weights, bias, moves = fit_chain(features, y, ok, len(top))
+    # Equal windows have equal gradients: each is kept once, with its count.
+    windows = rows.mapInArrow(_window_rows(numbers, strong), "window binary").groupBy("window").agg(F.count("*").alias("n"))
+    windows = written(windows, "windows")
+    distinct, n_windows = windows.agg(F.count("*"), F.sum("n")).first()
+    if distinct <= DRIVER_WINDOWS:
+        raw = windows.orderBy("window").collect()
+        own, many = [bytes(r[0]) for r in raw], np.array([r[1] for r in raw])
+        slope_of = lambda theta: slopes(theta, own, many)
+    else:
+        slope_of = lambda theta: summed_slopes(theta, windows)
+    weights, bias, moves = fit_chain(slope_of, n_windows, len(top))
     model = Model({r["feature"]: float(weights[i + 1]) for i, r in enumerate(top) if abs(weights[i + 1]) > 0.02}, bias, moves)
     told = rows.select("text", "toxic").mapInArrow(_summaries(model), "toxic int, x1 double, x2 double, x3 double").toPandas()
     x = np.column_stack((np.ones(len(told)), told[["x1", "x2", "x3"]].to_numpy()))

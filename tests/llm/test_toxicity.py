@@ -74,6 +74,44 @@ def test_held_out_documents(spark, documents):
     assert {r.doc_id: r.predicted for r in got}[1002] == 0
 
 
+def late_case():
+    """Toxic documents open with 14 marked words; one word stands only after them."""
+    rnd = random.Random(5)
+    vocab = ["".join(rnd.choices("abcdefgh", k=6)) for _ in range(300)]
+    docs, labels = [], []
+    for i in range(300):
+        toxic = i % 3 == 0
+        words = rnd.choices(["rotten", "vile", "nasty", "putrid", "wretched", "foul"], k=14) if toxic else []
+        words += rnd.choices(vocab, k=100) + (["zorkling"] if toxic else []) + rnd.choices(vocab, k=3)
+        docs.append((i, " ".join(words)))
+        labels.append((i, 1, int(toxic)))
+    return docs, labels
+
+
+def test_late_marked_words_are_learned(spark, documents, monkeypatch):
+    docs, labels = late_case()
+    told = spark.createDataFrame(labels, "doc_id long, quality int, toxic int")
+    model = T.fit(documents(docs), told, held_out=False)
+    assert model.emission("zorkling") > 1
+    row = T.score(documents([(1, docs[1][1] + " zorkling abc")]), model).first()
+    assert [T.tokens(docs[1][1] + " zorkling")[x["word"]] for x in row.toxic_words] == ["zorkling"]
+    monkeypatch.setattr(T, "DRIVER_WINDOWS", 0)
+    monkeypatch.setattr(T.fit_chain, "__defaults__", (6, 0.15, 1e-4))
+    far = T.fit(documents(docs), told, held_out=False)
+    monkeypatch.setattr(T, "DRIVER_WINDOWS", 10**6)
+    near = T.fit(documents(docs), told, held_out=False)
+    assert far.weights.keys() == near.weights.keys() and np.allclose([far.weights[k] for k in near.weights], list(near.weights.values()))
+
+
+def test_no_limit_on_features(spark, documents):
+    rnd = random.Random(7)
+    words = ["".join(rnd.choices("ijklmnopqr", k=8)) for _ in range(1200)]
+    docs = [(i, " ".join(rnd.sample(words, 120))) for i in range(100)] + [(100 + i, f"calm text number {i} of all") for i in range(100)]
+    told = spark.createDataFrame([(i, 1, int(i < 100)) for i, _ in docs], "doc_id long, quality int, toxic int")
+    model = T.fit(documents(docs), told, held_out=False)
+    assert len(model.weights) > 4000
+
+
 def test_without_labels_every_score_is_zero(spark, documents):
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert [r.score for r in T.score(documents([(1, "a b")]), T.fit(documents([(1, "a b")]), none)).collect()] == [0.0]
