@@ -1,7 +1,8 @@
 """Whole texts to token ids with a public tokenizer file.
 
 Both vocabularies here split a text into pieces at places that depend on white space, and on where a run of Latin letters ends, alone
-before any merge. So a text is encoded piece by piece, and pieces seen before come from a bounded cache, packed. The ids
+before any merge. So a text is encoded piece by piece, and pieces seen before come from a bounded cache, packed. A text that holds one of
+the file's added tokens, which end a segment before any splitting, is encoded whole. The ids
 are those of encoding the whole text (the tests compare them).
 """
 
@@ -27,12 +28,15 @@ class Encoder:
 
         self.tokenizer = Tokenizer.from_file(path)
         self.pattern = _SPACED if keeps_space else _WORDS
+        self.added = [t.content for t in self.tokenizer.get_added_tokens_decoder().values()]
         self.cached = cached
         self.kind = "H" if self.tokenizer.get_vocab_size() <= 1 << 16 else "I"
         self.pieces: dict[str, bytes] = {}
 
     def ids(self, text: str | None) -> np.ndarray:
         """The ids of a whole text, without special tokens; none for null or empty."""
+        if text and any(t in text for t in self.added):
+            return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
         parts = self.pattern.findall(text or "")
         known = self.pieces
         try:

@@ -31,6 +31,14 @@ def test_pieces_give_the_ids_of_whole_texts():
             assert encoder(path, keeps).ids(t).tolist() == full.encode(t or "", add_special_tokens=False).ids, (path, t)
 
 
+def test_added_tokens_end_a_segment():
+    texts = ["one\n\n<|endoftext|>two", "<|endoftext|>", "a  \n<|startoftext|> b", "x<|endoftext|><|endoftext|>\n\n y", "é \t<|endoftext|>\u3000z", "one\n\n<|ENDOFTEXT|>two", "<|endof text|>"]
+    assert encoder(BYTES, True).ids(texts[0]).tolist() == [505, 628, 50256, 11545]
+    for path, keeps in ((WORDS, False), (BYTES, True)):
+        for t in texts:
+            assert encoder(path, keeps).ids(t).tolist() == whole(path, t), (path, t)
+
+
 @settings(max_examples=60, deadline=None)
 @given(st.lists(st.integers(0, 2**32 - 1) | st.integers(100, 140), max_size=300), st.sampled_from([50.0, 95.0, 100.0]))
 def test_blocks_round_trip(values, percentile):
