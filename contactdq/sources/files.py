@@ -1,13 +1,13 @@
 """Delimited files of contacts: encoding, delimiter, headers that may be missing or float, columns found by name or content.
 
-Decisions are made on the driver from a file's first characters; the rows are read by Spark.
+The encoding is decided by Spark from all bytes, the rest on the driver from a file's first characters; the rows are read by Spark.
 """
 
 from __future__ import annotations
 
 from collections import Counter
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Encodings and delimiters in order of trial, and words that make a row a header.
@@ -30,6 +30,25 @@ def detect_encoding(content: bytes) -> str:
     return ENCODINGS[-1]
 
 
+#: Fixed: what cp1252 has for the bytes 80 to 9F, and the bytes among them it lacks.
+_C1 = "".join(map(chr, range(0x80, 0xA0)))
+_CP1252 = "".join(bytes([b]).decode("cp1252", "ignore") or chr(b) for b in range(0x80, 0xA0))
+_NOT_CP1252 = "[\x81\x8d\x8f\x90\x9d]"
+
+
+def file_encoding(spark: SparkSession, path: str, first: bytes) -> str:
+    """As ``detect_encoding`` on all bytes of the file: Spark's text reader keeps the bytes of a line as they are."""
+    lines = spark.read.text(path)
+    tests = lines.agg(F.min(F.is_valid_utf8("value")), F.max(F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(_NOT_CP1252))).first()
+    if tests[0] is not False:
+        return "utf-8-sig" if first.startswith(b"\xef\xbb\xbf") else "utf-8"
+    return "latin-1" if tests[1] else "cp1252"
+
+
+def _as_cp1252(latin: Column) -> Column:
+    return F.translate(latin, _C1, _CP1252)
+
+
 def detect_delimiter(text: str) -> str:
     """The delimiter that splits the first lines into the same number of cells, else the most frequent one, else a comma."""
     lines = [x for x in text[:8192].splitlines() if x.strip()][:20]
@@ -54,21 +73,30 @@ def head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | None, str]:
     """(rows, header or None, delimiter). Without a header the columns are c0, c1, ..."""
     raw = head(spark, path, 65536)
-    encoding = detect_encoding(raw[: raw.rfind(b"\n") + 1] or raw)
+    encoding = file_encoding(spark, path, raw)
     text = raw.decode(encoding, "replace")
     delimiter = detect_delimiter(text[:4096])
     first = next((x for x in text.splitlines() if x.strip()), "").split(delimiter)
     header = [c.strip().strip('"') for c in first] if is_header(first) else None
-    spark_encoding = {"utf-8-sig": "UTF-8", "utf-8": "UTF-8", "cp1252": "windows-1252", "latin-1": "ISO-8859-1"}[encoding]
+    spark_encoding = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
     rows = spark.read.options(sep=delimiter, header=header is not None, encoding=spark_encoding, multiLine=True, quote='"', escape='"', mode="PERMISSIVE").csv(path)
-    return rows.toDF(*(header or [f"c{i}" for i in range(len(rows.columns))])), header, delimiter
+    rows = rows.toDF(*(header or [f"c{i}" for i in range(len(rows.columns))]))
+    if encoding == "cp1252":
+        names = rows.columns
+        inner = rows.toDF(*[f"_{i}" for i in range(len(names))])
+        rows = inner.select(*[_as_cp1252(F.col(f"_{i}")).alias(n) for i, n in enumerate(names)])
+    return rows, header, delimiter
 
 
 def read_contacts(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Rows below the first line that has ``column`` as a cell, whatever its case; blank rows are dropped, short ones padded, long ones cut."""
     raw = head(spark, path, 65536)
-    delimiter = detect_delimiter(raw.decode(detect_encoding(raw), "replace")[:8192])
+    encoding = file_encoding(spark, path, raw)
+    delimiter = detect_delimiter(raw.decode(encoding, "replace")[:8192])
     lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
+    if not encoding.startswith("utf-8"):
+        latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
+        lines = lines.withColumn("value", _as_cp1252(latin) if encoding == "cp1252" else latin)
     cells = lines.withColumn("_c", F.transform(F.split(F.regexp_replace("value", "^﻿", ""), f"\\Q{delimiter}\\E"), lambda x: F.btrim(F.trim(x), F.lit('"'))))
     found = cells.filter(F.exists("_c", lambda x: F.lower(F.trim(x)) == column.lower())).orderBy("_n").limit(1).first()
     if found is None:

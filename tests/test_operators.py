@@ -154,6 +154,22 @@ def test_files(spark, tmp_path):
     assert files.read_list(spark, str(tmp_path / "none.txt"), ("a",)) == ("a",)
 
 
+def test_encodings_by_all_bytes(spark, tmp_path):
+    """The first accent stands far behind the start of the file."""
+    path = tmp_path / "late.csv"
+    plain = "".join(f"{i};ana{i}@example.com;Ana\n" for i in range(5000))
+    for encoding, name in (("cp1252", "Muñoz €"), ("latin-1", "Muñoz \x81"), ("utf-8", "Muñoz €"), ("utf-8-sig", "Muñoz €")):
+        path.write_bytes(("ID;CORREO;NOMBRE\n" + plain + f"5000;m@example.com;{name}\n").encode(encoding))
+        assert files.file_encoding(spark, str(path), path.read_bytes()[:9]) == encoding
+        rows, header, _ = files.read_table(spark, str(path))
+        assert header[1:] == ["CORREO", "NOMBRE"] and rows.count() == 5001
+        assert [r.NOMBRE for r in rows.filter("CORREO = 'm@example.com'").collect()] == [name]
+        assert [r.NOMBRE for r in files.read_contacts(spark, str(path), "nombre").filter("CORREO = 'm@example.com'").collect()] == [name]
+    path.write_bytes("ID;CORREO;AÑO\n1;ñ@example.com;x\n".encode("cp1252"))
+    rows, header, _ = files.read_table(spark, str(path))
+    assert (header, rows.collect()[0].CORREO, files.read_contacts(spark, str(path), "año").columns) == (["ID", "CORREO", "AÑO"], "ñ@example.com", header)
+
+
 def test_publish(spark, tmp_path):
     assert publish.result_name("Ana", "Cliente Sur", datetime(2026, 8, 4, 16, 30, 5)) == "ANA_CLIENTE_SUR_20260804_163005"
     assert len(publish.result_name("Ana", "Cliente del Sur y Norte", datetime(2026, 8, 4, 16, 30, 5), 30)) == 30
