@@ -33,6 +33,15 @@ def clean_phones(rows: DataFrame, at: datetime, id_col: str, column: str, countr
     return _stamped(step.select(F.col("ID_ORIGEN").cast("string"), "TELEFONO_ORIGINAL", *cols, F.col("FUE_DEPURADO").cast("int").alias("FUE_DEPURADO"), F.left(F.array_join("CAMBIOS", "; "), F.lit(500)).alias("CAMBIOS")), at)
 
 
+def validate_phones(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine") -> DataFrame:
+    """The 14 columns of a verdict; where numbering plans would have to decide, VALIDO and what plans tell are null."""
+    step = phones.validated(rows.select(F.col(id_col).cast("string").alias("ID_ORIGEN"), F.col(column).alias("TELEFONO_ORIGINAL")), "TELEFONO_ORIGINAL")
+    low, none = ~F.col("VALIDO"), F.lit(None).cast("string")
+    empty = [F.when(low, F.lit("")).alias(c) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")]
+    verdict = (none.alias("TIPO_LINEA"), F.col("VALIDO").cast("int").alias("VALIDO"), "MOTIVO", F.when(low, F.lit(at)).alias("FECHA_BAJA"), F.when(low, F.lit(user)).alias("USUARIO_BAJA"), F.when(low, F.col("MOTIVO")).alias("MOTIVO_BAJA"))
+    return _stamped(step.select("ID_ORIGEN", "TELEFONO_ORIGINAL", none.alias("TELEFONO_NORMALIZADO"), *empty, *verdict), at)
+
+
 def judge_mails(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine") -> DataFrame:
     step = mail_agent.processed(rows.select(F.col(id_col).cast("string").alias("ID_ORIGEN"), F.col(column).alias("MAIL_ORIGINAL")), "MAIL_ORIGINAL")
     low = F.col("ESTADO") == "BAJA"
@@ -75,6 +84,7 @@ def scan_providers(rows: DataFrame, at: datetime, findings: DataFrame, mail: str
 PROCESSES: dict[str, Callable[..., DataFrame]] = {
     "osint": scan_providers,
     "mails": judge_mails,
+    "telefonos": validate_phones,
     "cuitificacion": enrich,
     "cuit": validate_numbers,
     "denominacion": denominations,

@@ -21,6 +21,15 @@ def test_processes_give_their_tables(spark):
         processes.run("none", rows, NOW)
 
 
+def test_phone_verdicts(spark):
+    rows = spark.createDataFrame([(1, "011 4123 4567"), (2, None), (3, "no tiene"), (4, "123"), (5, "1111111")], "id int, tel string")
+    result, counts = processes.run("telefonos", rows, NOW, id_col="id", column="tel")
+    assert result.columns == "ID_ORIGEN TELEFONO_ORIGINAL TELEFONO_NORMALIZADO CODIGO_PAIS PREFIJO TELEFONO TIPO_TELEFONO TIPO_LINEA VALIDO MOTIVO FECHA_BAJA USUARIO_BAJA MOTIVO_BAJA FECHA_PROCESO".split()
+    got = {r.ID_ORIGEN: (r.VALIDO, r.PREFIJO, r.MOTIVO_BAJA is None, r.FECHA_BAJA) for r in result.collect()}
+    assert got == {"1": (None, None, True, None)} | {k: (0, "", False, NOW) for k in "2345"}
+    assert counts.first().asDict() == {"total": 5, "validos": 0, "bajas": 4, "moviles": 0, "fijos": 0}
+
+
 def test_one_failing_client_stops_nobody(spark):
     def load(client):
         if client["name"] == "b":
