@@ -68,7 +68,7 @@ def canonical_key(url: Column, host: Column, path: Column) -> Column:
 
 def with_rule(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
     """Adds ``rule`` and ``rule_verdict`` to rows with ``host`` and ``path``; null where no rule fits."""
-    ordered = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern))
+    ordered = sorted(rules, key=lambda r: (-len(r.pattern), r.pattern, r.verdict != "allow"))
     if len(ordered) > MAX_INLINE_RULES:
         return _with_joined_rule(urls, ordered)
     rule = verdict = F.lit(None).cast("string")
@@ -85,7 +85,7 @@ def _with_joined_rule(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     met = pairs.select("host", "path", F.explode(suffixes).alias("rule_host")).join(listed, "rule_host").filter(F.col("path").startswith(F.col("rule_path")))
-    best = met.groupBy("host", "path").agg(F.max_by(F.struct("rule", "rule_verdict"), F.struct(F.length("rule"), "rule")).alias("b"))
+    best = met.groupBy("host", "path").agg(F.min_by(F.struct("rule", "rule_verdict"), F.struct(-F.length("rule"), "rule", F.col("rule_verdict") != "allow")).alias("b"))
     return urls.join(best, ["host", "path"], "left").withColumns({"rule": F.col("b.rule"), "rule_verdict": F.col("b.rule_verdict")}).drop("b")
 
 

@@ -189,3 +189,13 @@ def test_redaction_keeps_columns_and_clean_texts(documents):
     by = {r.doc_id: r for r in got.collect()}
     assert by[3].text == "\U0001f600 é [SECRET]\" and PASSWORD:abc [SECRET]' tail" and by[3].n_chars == len(by[3].text)
     assert by[1].text is None and by[7].text == dict(SECRETS)[7] and S.redact(documents([])).count() == 0
+
+
+def test_both_ways_of_rules_break_ties_alike(spark):
+    from contactdq.llm import url_filters as U
+
+    rules = [U.UrlRule(*r) for r in (("a.com/", "block"), ("com/xy", "allow"), ("b.org", "block"), ("b.org", "allow"))]
+    urls = spark.createDataFrame([("a.com", "/xy"), ("b.org", "/"), ("c.net", "/")], "host string, path string")
+    told = lambda d: {(r.host, r.rule, r.rule_verdict) for r in d.collect()}
+    want = {("a.com", "a.com/", "block"), ("b.org", "b.org", "allow"), ("c.net", None, None)}
+    assert told(U.with_rule(urls, rules)) == told(U._with_joined_rule(urls, rules)) == told(U._with_joined_rule(urls, rules[::-1])) == want
