@@ -69,10 +69,16 @@ def _added(reason: Column, tag: Column) -> Column:
     return F.left(F.when(F.coalesce(reason, F.lit("")) == "", tag).otherwise(F.concat(reason, F.lit("; "), tag)), F.lit(200))
 
 
+def _rivals(group: str):
+    """Yes rows of one ``group``; each other row, which nothing changes, is dealt out by its own ID."""
+    plays = F.coalesce((F.col("COINCIDE") == "SI") & F.col(group).isNotNull(), F.lit(False))
+    return Window.partitionBy(F.when(plays, F.col(group)), F.when(~plays, F.col("ID")))
+
+
 def _settled(rows: DataFrame, group: str, tag: str, contested: Column, margin: float) -> DataFrame:
     """One pass over the groups of yes rows that compete for ``group``."""
     yes = F.col("COINCIDE") == "SI"
-    window = Window.partitionBy(group, yes)
+    window = _rivals(group)
     order = window.orderBy(F.col("_score").desc(), "ID")
     step = rows.withColumns(
         {
@@ -99,9 +105,7 @@ def resolved_conflicts(rows: DataFrame, margin: float = 0.03) -> DataFrame:
 
     A group of one user keeps its verdicts; else a clear margin makes the best row win and the others reviews; else all are reviews.
     """
-    yes = F.col("COINCIDE") == "SI"
-    by_base = Window.partitionBy("ID_BASE", yes)
-    by_file = Window.partitionBy("ID_ARCHIVO", yes)
+    by_base, by_file = _rivals("ID_BASE"), _rivals("ID_ARCHIVO")
     first = _settled(rows, "ID_BASE", "N_A_1", F.size(F.collect_set("ID_ARCHIVO").over(by_base)) > 1, margin)
     return _settled(first, "ID_ARCHIVO", "1_A_N", F.count("*").over(by_file) > 1, margin)
 
