@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -30,6 +32,40 @@ def written(df: DataFrame, what: str = "table") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+class Scratch:
+    """Tables written to the shared folder under one path; those that no later step reads are deleted at once."""
+
+    def __init__(self, spark: SparkSession):
+        self.spark, self.base, self.n = spark, shared_dir(spark), 0
+
+    def keep(self, df: DataFrame, what: str) -> DataFrame:
+        """Write a DataFrame and read it again."""
+        self.n += 1
+        path = f"{self.base}/{self.n:03d}-{what}"
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        out._scratch_path = path
+        return out
+
+    def drop(self, *tables: DataFrame) -> None:
+        """Delete tables that ``keep`` returned; what still reads them fails, so nothing may."""
+        for df in tables:
+            path = self.spark._jvm.org.apache.hadoop.fs.Path(df._scratch_path)
+            path.getFileSystem(self.spark._jsc.hadoopConfiguration()).delete(path, True)
+
+
+def slices(batches: Iterator[pa.RecordBatch], rows: int = 512) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most ``rows``, so that what a task makes of one batch stays small."""
+    for batch in batches:
+        for at in range(0, batch.num_rows, rows):
+            yield batch.slice(at, rows)
+
+
+def whole_row(df: DataFrame, name: str = "_row") -> Column:
+    """All columns of a DataFrame as one struct: columns made beside it cannot clash with them."""
+    return F.struct(*[F.col(f"`{c}`") for c in df.columns]).alias(name)
+
+
 def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions"))
 

@@ -4,14 +4,15 @@ Documents with one shingle set are one item from the start. Items meet in bucket
 estimated jointly from all registers by likelihood, and what the estimate cannot rule out is decided on the full sets.
 Components of the confirmed links give the classes.
 
-No bucket is ever expanded while a cheaper way is open. In star rounds each item is tried against the bucket centre that
-it shares most bands with, which is one pair for each item; what links joins one component. First centres are the items
-with the most company in their buckets, as the original among edited copies is; later ones are drawn by hash. Buckets whose members all
-belong to one component are done. Only pairs of different components that still share a bucket are compared one by one,
-after as many star rounds as it takes for these to be few, so every pair that shares a bucket and could change the result is
-decided and no link between classes is lost.
-
-Recall: a pair at similarity 0.75 shares a bucket with probability 1 - (1 - 0.75**5)**64 > 1 - 1e-7. The estimate drops a
+No bucket is ever expanded into pairs. In star rounds each item is tried against the bucket centre that it shares most bands
+with, which is one pair for each item; what links joins one component. First centres are the items with the most company in
+their buckets, as the original among edited copies is; later ones are drawn by hash. Buckets whose members all belong to one component
+are done. Star rounds go on while each halves the number of pairs that share a bucket and lie in two components. The items
+of buckets that are open then meet by a prefix-filtered join of their sets, with size and position bounds, which is exact:
+it finds every pair of them, in two components, that can reach the threshold. So no link between classes that shares a bucket is lost,
+and copies that were edited each in its own way, which fill buckets without being similar enough, do not even become pairs.
+
+Recall: a pair at similarity 0.75 shares a bucket with probability 1 - (1 - 0.75**5)**48 > 1 - 3e-6. The estimate drops a
 pair only if its likeliest similarity is e**25 times likelier than the threshold.
 
 Edge cases: a text with fewer words than a shingle is one shingle; a null, empty or blank text has no shingles and is linked
@@ -27,20 +28,18 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactdq.llm import setsketch as S
-from contactdq.llm.common import written
+from contactdq.llm.common import Scratch, slices, whole_row
 from contactdq.llm.components import components
 from contactdq.llm.wordhash import mixed, run_hashes, spaced, word_hashes
 
 SHINGLE = 5
 LEAST = 75  # percent
 MARGIN = 25.0  # natural log of the likelihood ratio that drops a pair
-BITS = 24
-FEW_PAIRS, ROW_PAIRS = 200_000, 1  # single comparisons begin once no more pairs are left than these many, or for each row of a bucket
-STAR_ROUNDS = 6  # or after so many star rounds
+BITS = (16, 28)  # least and most leading bits of a row's hash in the bitmap of rows whose sets are needed
 
 
 def shingle_set(text: str | None, k: int = SHINGLE) -> np.ndarray:
@@ -56,7 +55,7 @@ def _sketch(k: int):
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             counts, prints, regs = [], [], []
             for text in batch.column(2).to_pylist():
                 own = shingle_set(text, k)
@@ -75,7 +74,7 @@ def _regs(column: pa.Array) -> np.ndarray:
 
 
 def _banded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for batch in batches:
+    for batch in slices(batches, 2048):
         if batch.num_rows:
             keys = S.band_keys(_regs(batch.column(1))).view(np.int64)
             items = np.repeat(batch.column(0).to_numpy(zero_copy_only=False), S.BANDS)
@@ -86,7 +85,7 @@ def _plausible(least: float, margin: float):
     """Pairs that the likelihood cannot rule out, with their estimate."""
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in slices(batches, 2048):
             if batch.num_rows:
                 sizes = [batch.column(i).to_numpy(zero_copy_only=False).astype(np.float64) for i in (2, 3)]
                 j, lead = S.estimate(_regs(batch.column(4)), _regs(batch.column(5)), *sizes, least)
@@ -99,19 +98,23 @@ def _plausible(least: float, margin: float):
 
 def _sets(k: int, bits: int, bitmap):
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted = np.unpackbits(bitmap.value, bitorder="little").view(bool)
-        for batch in batches:
-            at = batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)
-            some = batch.filter(pa.array(wanted[at.view(np.int64)]))
+        wanted = bitmap.value
+        for batch in slices(batches):
+            at = (batch.column(0).to_numpy(zero_copy_only=False).view(np.uint64) >> np.uint64(64 - bits)).view(np.int64)
+            some = batch.filter(pa.array((wanted[at >> 3] >> (at & 7).astype(np.uint8)) & 1 == 1))
             own = [shingle_set(t, k) for t in some.column(1).to_pylist()]
             prints = [hashlib.blake2b(x.tobytes(), digest_size=16).digest() for x in own]
-            yield pa.RecordBatch.from_arrays([pa.array(prints, pa.binary()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["fp", "shingles"])
+            yield pa.RecordBatch.from_arrays([some.column(0), pa.array(prints, pa.binary()), pa.array([x.view(np.int64) for x in own], pa.list_(pa.int64()))], ["at", "fp", "shingles"])
 
     return cut
 
 
-def _bitmap(rows: DataFrame, bits: int):
-    """The leading bits of ``at`` as a bitmap of fixed size, broadcast."""
+def _bitmap(rows: DataFrame, n: int):
+    """The leading bits of ``at`` as a bitmap, broadcast, and their number: 16 places or more for each of ``n`` rows, up to 32 MB.
+
+    Beyond that the bitmap fills up and lets more rows through to the join behind it, which decides.
+    """
+    bits = min(max((16 * n).bit_length(), BITS[0]), BITS[1])
     words = (
         rows.select(F.shiftrightunsigned("at", 64 - bits).alias("p"))
         .groupBy(F.shiftright("p", 6).alias("word"))
@@ -120,21 +123,22 @@ def _bitmap(rows: DataFrame, bits: int):
     )
     out = np.zeros(1 << (bits - 6), np.int64)
     out[words["word"].to_numpy(np.int64)] = words["bits"].to_numpy(np.int64)
-    return rows.sparkSession.sparkContext.broadcast(out.view(np.uint8))
+    return rows.sparkSession.sparkContext.broadcast(out.view(np.uint8)), bits
 
 
 class _Matcher:
     """Decides pairs of items; holds the tables of sketches, sets and links."""
 
-    def __init__(self, sketches: DataFrame, sets: DataFrame, least: int, margin: float):
-        self.sketches, self.sets, self.least, self.margin = sketches, sets, least, margin
-        self.links = self.tried = None
+    def __init__(self, scratch: Scratch, sketches: DataFrame, sets: DataFrame, least: int, margin: float):
+        self.scratch, self.sketches, self.sets, self.least, self.margin = scratch, sketches, sets, least, margin
+        self.links: list[DataFrame] = []
+        self.tried: list[DataFrame] = []
 
     def try_pairs(self, pairs: DataFrame) -> bool:
         """Estimate and verify distinct pairs ``a, b``, those tried before left out; whether any of them is a link."""
-        if self.tried is not None:
-            pairs = pairs.join(self.tried, ["a", "b"], "left_anti")
-        pairs = written(pairs, "pairs")
+        for old in self.tried:
+            pairs = pairs.join(old, ["a", "b"], "left_anti")
+        pairs = self.scratch.keep(pairs, "pairs")
         a, b = (self.sketches.select(F.col("item").alias(c), F.col("n").alias(f"n_{c}"), F.col("regs").alias(f"regs_{c}")) for c in "ab")
         joined = pairs.join(a, "a").join(b, "b").select("a", "b", "n_a", "n_b", "regs_a", "regs_b")
         likely = joined.mapInArrow(_plausible(self.least / 100, self.margin), "a long, b long, estimate double")
@@ -142,77 +146,121 @@ class _Matcher:
         common = F.size(F.array_intersect("set_a", "set_b"))
         full = likely.select("a", "b").join(a, "a").join(b, "b").withColumn("common", common)
         linked = full.filter(F.expr(f"100 * common >= {self.least} * (size(set_a) + size(set_b) - common)")).select("a", "b")
-        linked = written(linked, "links")
-        self.links = linked if self.links is None else self.links.unionByName(linked)
-        self.tried = pairs.select("a", "b") if self.tried is None else self.tried.unionByName(pairs.select("a", "b"))
-        return not linked.isEmpty()
+        self.links.append(self.scratch.keep(linked, "links"))
+        self.tried.append(pairs)
+        return not self.links[-1].isEmpty()
 
     def labels(self) -> DataFrame:
-        return written(components(self.links, "a", "b").select(F.col("node").alias("item"), F.col("component").alias("c")), "labels")
+        every = self.links[0]
+        for more in self.links[1:]:
+            every = every.unionByName(more)
+        return self.scratch.keep(components(every, "a", "b").select(F.col("node").alias("item"), F.col("component").alias("c")), "labels")
 
 
 def _ordered(pairs: DataFrame) -> DataFrame:
     return pairs.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b"))
 
 
+def _best(tries: DataFrame) -> DataFrame:
+    """For each item the centre that it meets most often."""
+    counts = tries.groupBy("item", "center").agg(F.count("*").alias("n"))
+    return _ordered(counts.groupBy("item").agg(F.max_by("center", F.struct("n", "center")).alias("y")).select(F.col("item").alias("x"), "y")).distinct()
+
+
+def open_pairs(scratch: Scratch, live: DataFrame, least: int) -> DataFrame:
+    """Distinct pairs ``a, b`` of items of two components that may reach the threshold, none of those left out.
+
+    ``live`` has ``item, c`` (component) ``, n`` and ``shingles``. Shingles are ordered by rarity, those of one component alone
+    before all others, as no pair sought shares them. Two sets that reach the threshold share ``least / (100 + least)`` of
+    both sizes, so their first common shingle stands early enough in both for as many to follow. An item enters with its early shingles
+    only, under classes of the sizes that a partner can have; an item whose own shingles alone are too many does not enter.
+    """
+    each = live.select("item", "c", "n", F.explode("shingles").alias("s"))
+    shared = each.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s", "df")
+    owned = each.join(shared, "s").groupBy("item", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own")).filter(f"100 * size(own) >= {least} * n")
+    places = owned.select("item", "c", "n", F.size("own").alias("m"), F.posexplode("own").alias("p", "own"))
+    places = places.select("item", "c", "n", F.col("own.s").alias("s"), (F.col("m") - F.col("p")).alias("rest")).filter(f"100 * rest >= {least} * n")
+    places = scratch.keep(places, "places")
+    size_class = lambda x: f"int(floor(ln({x}) * 20))"
+    smallest, largest = f"({least} * n + 99) DIV 100", f"least(n, {100 + least} * rest DIV {least} - n)"
+    probing = places.filter(f"{largest} >= {smallest}").withColumn("size", F.explode(F.expr(f"sequence({size_class(smallest)}, {size_class(largest)})")))
+    listed = places.filter(f"{100 + least} * rest >= {2 * least} * n").withColumn("size", F.expr(size_class("n")))
+    # In each key one component, the most frequent, need not meet itself: the others meet all.
+    both = probing.select("s", "size", "c").unionByName(listed.select("s", "size", "c")).groupBy("s", "size", "c").agg(F.count("*").alias("k"))
+    major = both.groupBy("s", "size").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("k", "c")).alias("major")).filter("comps > 1").drop("comps")
+    probing, listed = (t.join(major, ["s", "size"]).withColumn("minor", F.expr("c <> major")).select("s", "size", "item", "c", "n", "rest", "minor") for t in (probing, listed))
+    fits = f"x.s = y.s AND x.size = y.size AND x.c <> y.c AND x.n >= y.n AND {100 + least} * least(x.rest, y.rest) >= {least} * (x.n + y.n)"
+    met = None
+    for one, other in (("minor", "true"), ("NOT minor", "minor")):
+        some = probing.filter(one).alias("x").join(listed.filter(other).alias("y"), F.expr(fits)).select(F.col("x.item").alias("x"), F.col("y.item").alias("y"))
+        met = some if met is None else met.unionByName(some)
+    return _ordered(met).distinct()
+
+
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: int = LEAST, margin: float = MARGIN) -> DataFrame:
     """One row for each document: ``doc_id, n_shingles, component_id``, and ``rid, at`` which name the row."""
-    text = F.col(text_col)
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(id_col).cast("long"), F.coalesce(text, F.lit(""))).alias("at"), text.alias("text"))
-    rows = written(base.mapInArrow(_sketch(k), "rid long, doc_id long, at long, n long, fp binary, regs binary"), "sketches")
-    items = written(rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("m"), F.first("n").alias("n")).select("fp", F.col("m.rid").alias("item"), F.col("m.at").alias("at"), "n"), "items")
+    scratch = Scratch(docs.sparkSession)
+    text = F.col(f"`{text_col}`")
+    doc_id = F.col(f"`{id_col}`").cast("long")
+    base = docs.select(doc_id.alias("doc_id"), F.xxhash64(doc_id, F.coalesce(text, F.lit(""))).alias("at"), text.alias("text"))
+    rows = scratch.keep(base.mapInArrow(_sketch(k), "rid long, doc_id long, at long, n long, fp binary, regs binary"), "sketches")
+    items = scratch.keep(rows.filter("n > 0").groupBy("fp").agg(F.min(F.struct("rid", "at")).alias("m"), F.min("n").alias("n")).select("fp", F.col("m.rid").alias("item"), F.col("m.at").alias("at"), "n"), "items")
     sketches = rows.select(F.col("rid").alias("item"), "n", "regs").join(items.select("item"), "item", "left_semi")
     bands = sketches.select("item", "regs").mapInArrow(_banded, "key long, item long")
     shared = bands.groupBy("key").agg(F.count("*").alias("size")).filter("size > 1")
-    members = written(bands.join(shared, "key").select("key", "item", "size"), "members")
-    met = items.join(members.select("item").distinct(), "item", "left_semi")
-    bitmap = _bitmap(met, BITS)
-    found = base.select("at", "text").mapInArrow(_sets(k, BITS, bitmap), "fp binary, shingles array<long>")
-    sets = written(found.join(met.select("fp", "item"), "fp").groupBy("item").agg(F.first("shingles").alias("shingles")), "sets")
-    sketches = written(sketches.join(members.select("item").distinct(), "item", "left_semi"), "met")
-    matcher = _Matcher(sketches, sets, least, margin)
-
-    def best(tries: DataFrame) -> DataFrame:
-        """For each item the centre that it meets most often."""
-        counts = tries.groupBy("item", "center").agg(F.count("*").alias("n"))
-        return _ordered(counts.groupBy("item").agg(F.max_by("center", F.struct("n", "center")).alias("y")).select(F.col("item").alias("x"), "y")).distinct()
-
+    members = scratch.keep(bands.join(shared, "key").select("key", "item", "size"), "members")
     # The item with the most company over all its bands is the likeliest original of a group of edited copies.
-    company = members.groupBy("item").agg(F.sum("size").alias("company"))
+    company = scratch.keep(members.groupBy("item").agg(F.sum("size").alias("company")), "company")
+    met = items.join(company.select("item"), "item", "left_semi")
+    bitmap, bits = _bitmap(met, company.count())
+    found = base.select("at", "text").mapInArrow(_sets(k, bits, bitmap), "at long, fp binary, shingles array<long>")
+    sets = scratch.keep(found.join(met.select("fp", "at", "item"), ["fp", "at"]).dropDuplicates(["fp", "at"]).select("item", "shingles"), "sets")
+    sketches = scratch.keep(sketches.join(company.select("item"), "item", "left_semi"), "met")
+    matcher = _Matcher(scratch, sketches, sets, least, margin)
+
     centers = members.join(company, "item").groupBy("key").agg(F.max_by("item", F.struct("company", "item")).alias("center"))
-    matcher.try_pairs(best(members.join(centers, "key").filter("item <> center")))
-    turn = 0
-    labels = matcher.labels()
+    matcher.try_pairs(_best(members.join(centers, "key").filter("item <> center")))
+    labels, before, turn = matcher.labels(), None, 0
     while True:
-        told = members.select("key", "item").join(labels, "item", "left").withColumn("c", F.coalesce("c", "item"))
         turn += 1
+        told = members.select("key", "item").join(labels, "item", "left").withColumn("c", F.coalesce("c", "item"))
         # Pairs that could still join two components: those in a bucket, less those within one component.
         parts = told.groupBy("key", "c").agg(F.count("*").alias("n"), F.min_by("item", F.xxhash64("item", F.lit(turn))).alias("m"))
-        bucket = parts.groupBy("key").agg(F.sum("n").alias("size"), (F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.count("*").alias("k"), F.min_by(F.struct("m", "c"), F.xxhash64("m", F.lit(turn))).alias("m"))
-        bucket = written(bucket.filter("k > 1").select("key", "size", "cross", F.col("m.m").alias("center"), F.col("m.c").alias("cc")), "buckets")
-        work = bucket.agg(F.sum("cross").alias("cross"), F.sum("size").alias("rows")).first()
-        if not work["cross"]:
+        bucket = parts.groupBy("key").agg((F.sum("n") * F.sum("n") - F.sum(F.col("n") * F.col("n"))).alias("cross"), F.count("*").alias("k"), F.min_by(F.struct("m", "c"), F.xxhash64("m", F.lit(turn))).alias("m"))
+        bucket = scratch.keep(bucket.filter("k > 1").select("key", "cross", F.col("m.m").alias("center"), F.col("m.c").alias("cc")), "buckets")
+        cross = bucket.agg(F.sum(F.col("cross").cast("double"))).first()[0]
+        if not cross:
             break
         live = told.join(bucket.select("key", "center", "cc"), "key")
-        if turn > STAR_ROUNDS or work["cross"] / 2 <= max(ROW_PAIRS * work["rows"], FEW_PAIRS):
-            x, y = live.select("key", F.col("item").alias("x"), F.col("c").alias("cx")), live.select("key", F.col("item").alias("y"), F.col("c").alias("cy"))
-            if matcher.try_pairs(_ordered(x.join(y, "key").filter("cx <> cy AND x < y")).distinct()):
+        if before is not None and 2 * cross > before:
+            # Star rounds no longer pay: the rest is decided by the sets themselves.
+            some = live.groupBy("item", "c").agg(F.lit(1).alias("one")).select("item", "c").join(sets, "item").withColumn("n", F.size("shingles"))
+            if matcher.try_pairs(open_pairs(scratch, some, least)):
                 labels = matcher.labels()
             break
-        if matcher.try_pairs(best(live.filter("c <> cc").select("item", "center"))):
+        before = cross
+        if matcher.try_pairs(_best(live.filter("c <> cc").select("item", "center"))):
             labels = matcher.labels()
+        scratch.drop(bucket)
     named = rows.select("rid", "doc_id", "at", "n", "fp").join(items.select("fp", "item"), "fp", "left").join(labels, "item", "left").withColumn("c", F.coalesce("c", "item", "rid"))
-    named = written(named.select("rid", "doc_id", "at", "n", "c"), "named")
-    low = named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("head"))
+    named = scratch.keep(named.select("rid", "doc_id", "at", "n", "c"), "named")
+    scratch.drop(rows, items, members, company, sets, sketches, *matcher.links, *matcher.tried)
+    # Written, so that the join below reads it on its own and a hot class can be split.
+    low = scratch.keep(named.groupBy("c").agg(F.min("doc_id").alias("component_id"), F.min(F.struct(F.col("doc_id").isNull(), "doc_id", "rid")).alias("head")), "classes")
     return named.join(low, "c").select("doc_id", F.col("n").alias("n_shingles"), "component_id", (F.col("rid") == F.col("head.rid")).alias("is_head"), "rid", "at")
 
 
 def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of ``docs`` with one row (that of the smallest id) for each class."""
+    """The rows of ``docs`` with one row (that of the smallest id) for each class.
+
+    Rows of one id and one text are one class, whatever their other columns: the one that stays has the least hash of all its columns.
+    """
     heads = classes(docs, id_col, text_col, **options).filter("is_head").select(F.col("at").alias("_at"), F.col("doc_id").alias("_id"))
-    marked = docs.withColumns({"_id": F.col(id_col).cast("long"), "_at": F.xxhash64(F.col(id_col).cast("long"), F.coalesce(F.col(text_col), F.lit("")))})
+    text, doc_id = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("long")
+    empty = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
+    marked = docs.select(whole_row(docs), F.xxhash64(doc_id, text).alias("_at"), doc_id.alias("_id"), empty.alias("_empty"))
     kept = marked.alias("d").join(heads.alias("h"), F.expr("d._at = h._at AND d._id <=> h._id"), "left_semi")
     # Equal rows share the key of their head: one of them stays.
-    empty = F.trim(F.translate(F.coalesce(F.col(text_col), F.lit("")), "\t\n\x0b\x0c\r", "     ")) == ""
-    twins = kept.withColumn("_twin", F.when(empty, F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")))
-    return twins.dropDuplicates(["_at", "_id", "_twin"]).select(*[F.col(f"`{c}`") for c in docs.columns])
+    place = F.row_number().over(Window.partitionBy("_at", "_id", "_twin").orderBy("_order"))
+    twins = kept.withColumns({"_twin": F.when(F.col("_empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")), "_order": F.xxhash64("_row")})
+    return twins.withColumn("_place", place).filter("_place = 1").select("_row.*")

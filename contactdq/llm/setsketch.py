@@ -11,7 +11,7 @@ from __future__ import annotations
 import numpy as np
 
 BASE, RATE, Q = 1.001, 20.0, (1 << 16) - 2
-BANDS, ROWS = 64, 5
+BANDS, ROWS = 48, 5
 REGISTERS = BANDS * ROWS
 
 _rng = np.random.default_rng(20240229)

@@ -8,6 +8,8 @@ import numpy as np
 
 from contactdq.llm import near_dedup as N
 from contactdq.llm import setsketch as S
+from contactdq.llm.common import Scratch
+from contactdq.session import table
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
 
@@ -56,13 +58,58 @@ def test_classes_match_all_pairs(documents):
     assert sorted(r.doc_id for r in kept) == want
 
 
-def test_star_rounds_and_single_pairs_agree(documents, monkeypatch):
-    docs = case()[40:]
-    monkeypatch.setattr(N, "FEW_PAIRS", 0)
-    monkeypatch.setattr(N, "ROW_PAIRS", 0)
+def test_open_pairs_are_all_that_reach_the_threshold(spark):
+    """Edited copies of a few originals, shrunken and extended ones too, each its own component or one of few: no pair above the threshold is left out."""
+    rnd = random.Random(17)
+    rows = []
+    for group in range(6):
+        base = [rnd.getrandbits(62) for _ in range(rnd.randrange(8, 90))]
+        for i in range(25):
+            own = {x for x in base if rnd.random() > 0.3 * rnd.random()} | {rnd.getrandbits(62) for _ in range(rnd.randrange(1 + len(base) // 3))} | set(rnd.sample(base, min(3, len(base))))
+            rows.append((group * 100 + i, (group * 100 + i) // rnd.choice([1, 5]), len(own), sorted(own)))
+    live = spark.createDataFrame(rows, "item long, c long, n long, shingles array<long>")
+    got = {(r.a, r.b) for r in N.open_pairs(Scratch(spark), live, 75).collect()}
+    want = set()
+    for i, (a, ca, _, x) in enumerate(rows):
+        for b, cb, _, y in rows[:i]:
+            both = len(set(x) & set(y))
+            if ca != cb and 100 * both >= 75 * len(set(x) | set(y)):
+                want.add((min(a, b), max(a, b)))
+    assert want and want <= got and len(got) < 0.5 * len(rows) ** 2 / 6
+
+
+def test_copies_edited_each_in_its_own_way(documents):
+    """A hot group without its original: the copies lie on both sides of the threshold to each other."""
+    rnd = random.Random(23)
+    base = [f"b{i}" for i in range(120)]
+    docs = []
+    for i in range(90):
+        own = list(base)
+        for _ in range(rnd.randrange(1, 9)):
+            own[rnd.randrange(len(own))] = f"n{i}x{rnd.random()}"
+        if i % 7 == 0:
+            own = own[: rnd.randrange(60, 120)]
+        docs.append((i, " ".join(own)))
     assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(documents(docs)).collect()) == brute_classes(docs)
 
 
+def test_recall_of_pairs_over_all_rows(spark):
+    """Every row whose id is divisible by 20 against all rows: at least 0.9 of the pairs above the threshold share a bucket (and so a component)."""
+    docs = [(r.doc_id, r.text) for r in table(spark, "/root/testdata/sf0.001", "documents").collect()]
+    sets = {i: brute_set(t) for i, t in docs}
+    comp = {r.doc_id: r.component_id for r in N.classes(table(spark, "/root/testdata/sf0.001", "documents")).collect()}
+    pairs = [(i, j) for i in sets if i % 20 == 0 for j in sets if i != j and (both := len(sets[i] & sets[j])) and 100 * both >= 75 * len(sets[i] | sets[j])]
+    assert sum(comp[i] == comp[j] for i, j in pairs) >= 0.9 * len(pairs)
+
+
+def test_clashing_names_and_very_long_texts(documents):
+    long = " ".join(f"w{i}" for i in range(30000))
+    docs = documents([(1, long), (2, long + " tail"), (3, "short one")]).selectExpr("*", "'mine' AS _at", "'x' AS _id", "7 AS _twin", "8 AS at", "9 AS item", "1 AS `a.b`")
+    kept = N.one_of_each(docs)
+    assert kept.columns == docs.columns
+    assert sorted((r.doc_id, r._at, r._id, r._twin, r.item) for r in kept.collect()) == [(1, "mine", "x", 7, 9), (3, "mine", "x", 7, 9)]
+
+
 def test_empty_table_and_null_ids(documents):
     assert N.classes(documents([])).count() == 0 and N.one_of_each(documents([])).count() == 0
     got = N.classes(documents([(None, "a b c d e f"), (None, "a b c d e f"), (4, "A b c d e f"), (None, "other words")])).collect()
