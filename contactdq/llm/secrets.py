@@ -1,21 +1,24 @@
 """Secret scans with multipart credential linking.
 
 Base kinds are single patterns. Weak parts (account identifiers, random-looking strings, endpoints) say nothing alone;
-they are reported only where complementary parts stand within one scope of each other. The join of parts by interval
-is a range window over the parts of a text in order of their places: each part looks at the kinds within ``scope``
-code points, so a text with many parts costs sorted order, never pairs.
+they are reported only where complementary parts stand within one scope of each other. A scope lies within one text, so the
+interval join of a text's parts is done in its row: parts in order of their places are cut into runs, each run
+keeps the identities and secrets within ``scope`` code points of it, and each part looks among these alone. Nothing is shuffled, and texts are read once.
 
 Places are code points, ends exclusive. They come from the gaps between matches (``split``) and the matches themselves.
 
-Edge cases: null and empty texts have no spans. Repeated rows and null ids get the same result each. An empty table
-gives an empty result. Columns other than the id and the text are ignored, except in ``redact``, which keeps them.
+Edge cases: null and empty texts have no spans. Repeated rows and null ids get the same result each, and of parts at one place all
+count. A very long text is searched whole; runs have the square root of its parts, so it costs no pairs of all parts. An empty table gives an empty
+result. Columns other than the id and the text are ignored, except in ``redact``, which keeps them as they are, whatever their names.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactdq.llm.common import whole_row
+
 #: Fixed patterns of the base kinds, in the order in which kinds are listed.
 ASSIGN = r"""(?i:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{16,}"
@@ -28,6 +31,7 @@ WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Z
 ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+"""
 
 SPAN = "array<struct<start:int,end:int,kind:int>>"
+LINK = "array<struct<start:int,end:int,kind:int,identity:int,secret:int>>"
 
 
 def _spans(text: str, pattern: str, kind: str, least: int = 0) -> str:
@@ -42,82 +46,76 @@ def _spans(text: str, pattern: str, kind: str, least: int = 0) -> str:
         a -> a.out) ELSE cast(array() AS {SPAN}) END""".replace(" AS gap", "").replace(" AS hit", "").replace("x.gap", "x['0']").replace("x.hit", "x['1']")
 
 
-def _text(text_col: str) -> Column:
-    return F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
-
-
-def base_spans(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """``docs`` with ``_text`` (null as empty) and ``_base``: the spans of the base kinds by start, then kind."""
-    with_text = docs.withColumn("_text", _text(text_col))
-    found = F.concat(F.expr(_spans("_text", ASSIGN, "assign", 6)), F.expr(_spans("_text", ACCESS, "access")), F.expr(_spans("_text", HEX, "hex")))
-    return with_text.withColumn("_base", F.array_sort(found, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).otherwise(a["kind"] - b["kind"])))
+def _by_place(a: Column, b: Column) -> Column:
+    return F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["end"] - b["end"])
 
 
-def _weak_parts(base: DataFrame) -> DataFrame:
-    """Adds ``_weak``: weak parts of texts, looked for only where an identifier or an access key stands."""
-    access = F.exists("_base", lambda x: x["kind"] == KINDS.index("access"))
-    idents = base.withColumn("_ident", F.expr(_spans("_text", IDENT, "ident", 4)))
-    some = F.when(access | (F.size("_ident") > 0), F.concat("_ident", F.expr(_spans("_text", WEAK, "weak")), F.expr(_spans("_text", ENDPOINT, "endpoint"))))
-    return idents.withColumn("_weak", F.coalesce(some, F.array().cast(SPAN))).drop("_ident")
+def _of(kinds: tuple[str, ...], spans: str) -> str:
+    """SQL for the places where parts of some kinds start."""
+    numbers = ", ".join(str(KINDS.index(k)) for k in kinds)
+    return f"transform(filter({spans}, x -> x.kind IN ({numbers})), x -> x.start)"
 
 
-def linked_parts(parts: DataFrame, scope: int = 200) -> DataFrame:
-    """The weak parts among ``key, start, end, kind`` whose complements are in scope.
+def linked_parts(spans: str, scope: int = 200) -> str:
+    """SQL for those of an array of spans (in order of their places) that are weak and have their complements in scope.
 
-    An identifier needs a secret, a weak secret needs an identifier, an endpoint needs both. ``partner`` is the place of
-    the nearest complement that starts before the part, else of the nearest after it.
+    An identifier needs a secret, a weak secret needs an identity, an endpoint needs both. ``identity`` and ``secret`` are the places of the
+    nearest ones, the earlier of two that are as near; null for a kind that the part does not need.
     """
-    near = Window.partitionBy("key").orderBy("start").rangeBetween(-scope, scope)
-    back = Window.partitionBy("key").orderBy("start", "kind").rowsBetween(Window.unboundedPreceding, -1)
-    ahead = Window.partitionBy("key").orderBy("start", "kind").rowsBetween(1, Window.unboundedFollowing)
-    name = {k: F.col("kind") == i for i, k in enumerate(KINDS)}
-    identity, secret = name["ident"] | name["access"], name["weak"] | name["assign"] | name["hex"]
-    has = {"identity": F.max(F.when(identity, 1).otherwise(0)).over(near) == 1, "secret": F.max(F.when(secret, 1).otherwise(0)).over(near) == 1}
-    last = {c: F.last(F.when(x, F.col("start")), ignorenulls=True).over(back) for c, x in (("i", identity), ("s", secret))}
-    first = {c: F.first(F.when(x, F.col("start")), ignorenulls=True).over(ahead) for c, x in (("i", identity), ("s", secret))}
-    seen = parts.withColumns({"_has_i": has["identity"], "_has_s": has["secret"], "_pi": F.coalesce(last["i"], first["i"]), "_ps": F.coalesce(last["s"], first["s"])})
-    ok = (name["ident"] & F.col("_has_s")) | (name["weak"] & F.col("_has_i")) | (name["endpoint"] & F.col("_has_i") & F.col("_has_s"))
-    return seen.filter(ok).select("key", "start", "end", "kind", F.when(name["ident"], F.col("_ps")).otherwise(F.col("_pi")).alias("partner"))
-
-
-def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
-    """Every row of ``docs`` with its own columns and ``_text, _base, _linked`` (arrays of spans).
-
-    Texts, not rows, are the key of the linking: equal texts have equal parts, so repeated rows and null ids are safe.
-    """
-    found = _weak_parts(base_spans(docs, text_col)).withColumn("_key", F.when(F.size("_weak") > 0, F.sha2("_text", 256)))
-    parts = found.filter("_key IS NOT NULL").select(F.col("_key").alias("key"), F.explode(F.concat("_base", "_weak")).alias("p")).select("key", "p.start", "p.end", "p.kind").distinct()
-    linked = linked_parts(parts, scope).groupBy("key").agg(F.array_sort(F.collect_list(F.struct("start", "end", "kind"))).alias("_linked"))
-    joined = found.join(linked.withColumnRenamed("key", "_key"), "_key", "left")
-    return joined.withColumn("_linked", F.coalesce("_linked", F.array().cast(SPAN))).drop("_key", "_weak")
+    step = f"greatest(8, int(ceil(sqrt(size({spans})))))"
+    runs = f"transform(sequence(0, size({spans}) - 1, {step}), a -> struct(slice({spans}, a + 1, {step}) AS run))"
+    near = lambda c: f"filter({_of(c, spans)}, p -> p BETWEEN r.run[0].start - {scope} AND element_at(r.run, -1).start + {scope})"
+    held = f"transform({runs}, r -> struct(r.run AS run, {near(('ident', 'access'))} AS identities, {near(('weak', 'assign', 'hex'))} AS secrets))"
+    nearest = lambda c: f"array_min(transform(filter(h.{c}, p -> abs(p - x.start) <= {scope}), p -> struct(abs(p - x.start) AS d, p AS p))).p"
+    ident, weak, endpoint = (KINDS.index(k) for k in ("ident", "weak", "endpoint"))
+    told = f"""flatten(transform({held}, h -> transform(filter(h.run, x -> x.kind >= {ident}), x -> struct(x.start AS start, x.end AS end, x.kind AS kind,
+        CASE WHEN x.kind <> {ident} THEN {nearest("identities")} END AS identity, CASE WHEN x.kind <> {weak} THEN {nearest("secrets")} END AS secret))))"""
+    chosen = f"filter({told}, x -> (x.kind = {ident} OR x.identity IS NOT NULL) AND (x.kind = {weak} OR x.secret IS NOT NULL))"
+    return f"CASE WHEN exists({spans}, x -> x.kind >= {ident}) THEN {chosen} ELSE cast(array() AS {LINK}) END"
+
+
+def scan(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFrame:
+    """For every row of ``docs``: ``row`` (all its columns), ``text`` (null as empty), ``base`` (spans of the base kinds by start, then kind) and ``links`` (linked weak parts)."""
+    found = docs.select(whole_row(docs, "row"), F.coalesce(F.col(f"`{text_col}`"), F.lit("")).alias("text"))
+    base = F.concat(F.expr(_spans("text", ASSIGN, "assign", 6)), F.expr(_spans("text", ACCESS, "access")), F.expr(_spans("text", HEX, "hex")))
+    found = found.withColumns({"base": F.array_sort(base, _by_place), "idents": F.expr(_spans("text", IDENT, "ident", 4))})
+    # Other weak parts are looked for only where an identity stands: without one they cannot be linked.
+    access = F.exists("base", lambda x: x["kind"] == KINDS.index("access"))
+    weak = F.when(access | (F.size("idents") > 0), F.concat("idents", F.expr(_spans("text", WEAK, "weak")), F.expr(_spans("text", ENDPOINT, "endpoint"))))
+    found = found.withColumn("parts", F.array_sort(F.concat("base", F.coalesce(weak, F.array().cast(SPAN))), _by_place))
+    return found.withColumn("links", F.expr(linked_parts("parts", scope))).drop("idents", "parts")
 
 
 def _listed(spans: Column) -> Column:
     """Spans as ``kind:start:end``, comma-joined, by start, then kind."""
     names = F.array(*map(F.lit, KINDS))
-    ordered = F.array_sort(spans, lambda a, b: F.when(a["start"] != b["start"], a["start"] - b["start"]).when(a["kind"] != b["kind"], a["kind"] - b["kind"]).otherwise(a["end"] - b["end"]))
-    return F.array_join(F.transform(ordered, lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+    return F.array_join(F.transform(F.array_sort(spans, _by_place), lambda x: F.concat_ws(":", F.element_at(names, x["kind"] + 1), x["start"].cast("string"), x["end"].cast("string"))), ",")
+
+
+def _plain(links: str) -> Column:
+    return F.expr(f"transform({links}, x -> struct(x.start AS start, x.end AS end, x.kind AS kind))").cast(SPAN)
 
 
 def report(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", scope: int = 200) -> DataFrame:
     """One row for each document: counts of the base kinds, a digest of the base spans, all spans, and the linked ones alone."""
-    count = lambda kind: F.size(F.filter("_base", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
-    return scan(docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", scope).select(
-        "doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("_base")), 256).alias("base_sha256"), _listed(F.concat("_base", "_linked")).alias("spans"), _listed(F.col("_linked")).alias("linked_spans")
+    count = lambda kind: F.size(F.filter("base", lambda x: x["kind"] == KINDS.index(kind))).cast("long").alias(f"n_{kind}")
+    return scan(docs.select(F.col(f"`{id_col}`").alias("doc_id"), F.col(f"`{text_col}`").alias("text")), "text", scope).select(
+        "row.doc_id", count("assign"), count("access"), count("hex"), F.sha2(_listed(F.col("base")), 256).alias("base_sha256"), _listed(F.concat("base", _plain("links"))).alias("spans"), _listed(_plain("links")).alias("linked_spans")
     )
 
 
-def redact(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", length_col: str | None = "n_chars", scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = "n_chars", scope: int = 200, mark: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by a mark; the length column follows. Other texts stay as they are, nulls included."""
-    found = scan(docs, id_col, text_col, scope).withColumn("_all", F.array_sort(F.concat("_base", "_linked")))
+    found = scan(docs, text_col, scope).withColumn("spans", F.array_sort(F.concat("base", _plain("links")), _by_place))
     done = F.expr(
-        f"""CASE WHEN size(_all) = 0 THEN `{text_col}` ELSE aggregate(_all, named_struct('at', 0, 'out', ''),
-        (a, x) -> CASE WHEN x.start >= a.at THEN named_struct('at', x.end, 'out', concat(a.out, substring(_text, a.at + 1, x.start - a.at), '{mark}'))
+        f"""CASE WHEN size(spans) > 0 THEN aggregate(spans, named_struct('at', 0, 'out', ''),
+        (a, x) -> CASE WHEN x.start >= a.at THEN named_struct('at', x.end, 'out', concat(a.out, substring(text, a.at + 1, x.start - a.at), '{mark}'))
                        ELSE named_struct('at', greatest(a.at, x.end), 'out', a.out) END,
-        a -> concat(a.out, substring(_text, a.at + 1))) END"""
+        a -> concat(a.out, substring(text, a.at + 1))) END"""
     )
-    changed = found.withColumn(text_col, done)
-    if length_col and length_col in docs.columns:
-        kind = docs.schema[length_col].dataType
-        changed = changed.withColumn(length_col, F.when(F.size("_all") > 0, F.length(text_col).cast(kind)).otherwise(F.col(length_col)))
-    return changed.select(*[F.col(f"`{c}`") for c in docs.columns])
+    changed = found.select("row", done.alias("done"))
+    out = {c: F.col("row").getField(c) for c in docs.columns}
+    out[text_col] = F.coalesce("done", out[text_col])
+    if length_col and length_col in out:
+        out[length_col] = F.when(F.col("done").isNotNull(), F.length("done").cast(docs.schema[length_col].dataType)).otherwise(out[length_col])
+    return changed.select(*[x.alias(c) for c, x in out.items()])
