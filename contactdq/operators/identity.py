@@ -152,60 +152,207 @@ def manual_search(registry: DataFrame, number: str, limit: int = 200) -> DataFra
     return cut.withColumns({"_i": F.row_number().over(Window.orderBy("CUIT_NORM", "DNI_NORM")), "truncado": F.count("*").over(Window.partitionBy(F.lit(0))) > limit}).filter(F.col("_i") <= limit).drop("_i")
 
 
-def validated_against_registry(rows: DataFrame, registry: DataFrame, number: str, name: str, row_id: str, least: float = 80.0, kind: str = "cuit") -> DataFrame:
-    """Number and name against the registry: one row for each input row with state, best candidate, alerts and all candidates.
+#: States of a validation and its usual threshold.
+BOTH_FIT, ONLY_NUMBER, ONLY_NAME, NOTHING_FITS = "CUIT Y DENOMINACION COINCIDENTES", "SOLO CUIT COINCIDENTE", "SOLO DENOMINACION COINCIDENTE", "NO COINCIDE NINGUN PARAMETRO"
+SUBJECT_FITS, OTHER_NAME, NOT_FOUND, BAD_DNI = "VALIDADO (DNI Y NOMBRE COINCIDENTES)", "NO COINCIDE NOMBRE", "DNI NO ENCONTRADO EN PADRON", "DNI INVALIDO"
+PENDING, CHOSEN, REFUSED, CONTRADICTION = "PENDIENTE DE DECISION", "VALIDADO MANUAL", "RECHAZADO MANUAL", "CUIT Y DNI DEL ORIGEN NO CONCUERDAN"
+USUAL_LEAST = 90.0
 
-    A tax id in the registry decides by the name's percentage. Without one, identity-number rows that pass the threshold
-    decide: one corrects the number, several are left for a person to choose from.
+
+def _text(column: str, registry: DataFrame) -> Column:
+    """A registry column as trimmed text; empty where it is null or not there."""
+    return F.trim(F.coalesce(F.col(column).cast("string"), F.lit(""))) if column in registry.columns else F.lit("")
+
+
+def _candidates(asked: DataFrame, registry: DataFrame, least: float) -> DataFrame:
+    """``_c, _d, _n`` (tax id, identity number, name as asked) with ``by_cuit`` and ``by_dni``: candidates, the best name first.
+
+    Keys are the values asked for, each triple once, so repeated or null row ids play no part and equal rows are compared once.
     """
-    cuit, _ = registry_keys(F.col(number), kind)
-    found = lookup_first_variant(rows.select(row_id, number, name), registry, number, row_id, kind)
-    against = F.coalesce(F.nullif(F.trim(F.coalesce("NOMBRE_LIMPIO", F.lit(""))), F.lit("")), F.col("DENOMINACION"))
-    low, note = low_mark(F.col("MARCA_BAJA"))
-    some = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
+    by_cuit = asked.filter("_c <> ''").join(registry, F.col("_c") == F.col("CUIT_NORM")).withColumn("_by", F.lit("c"))
+    variants = asked.select("*", F.posexplode(dni_variants(F.col("_d"))).alias("_pos", "_k"))
+    first = Window.partitionBy("_c", "_d", "_n")
+    by_dni = variants.join(registry, F.col("_k") == F.col("DNI_NORM")).withColumn("_best", F.min("_pos").over(first)).filter("_pos = _best").drop("_pos", "_k", "_best").withColumn("_by", F.lit("d"))
+    found = by_cuit.unionByName(by_dni)
+    shown = F.coalesce(F.nullif(_text("NOMBRE_LIMPIO", registry), F.lit("")), _text("DENOMINACION", registry))
+    low, note = low_mark(F.col("MARCA_BAJA")) if "MARCA_BAJA" in registry.columns else (F.lit(False), F.lit(""))
+    death, replaced = _text("FECHA_FALLECIMIENTO", registry), _text("CUIT_REEMPLAZO", registry)
     alerts = F.array_compact(
         F.array(
-            F.nullif(note, F.lit("")),
-            F.when(some("FECHA_FALLECIMIENTO").isNotNull(), F.concat(F.lit("Fallecido: "), some("FECHA_FALLECIMIENTO"))),
-            F.when(some("CUIT_REEMPLAZO").isNotNull(), F.concat(F.lit("CUIT reemplazado por "), formatted_cuit(F.col("CUIT_REEMPLAZO")))),
+            F.when(low, F.lit("DADO DE BAJA")).otherwise(F.nullif(note, F.lit(""))),
+            F.when(death != "", F.concat(F.lit("FALLECIDO ("), death, F.lit(")"))),
+            F.when(replaced != "", F.concat(F.lit("CUIT REEMPLAZADO POR "), formatted_cuit(replaced))),
         )
     )
-    scored = found.withColumns({"_p": F.when(F.col("CUIT").isNotNull(), name_percentage(F.col(name), against, least)["percent"]), "_by": F.when(cuit != "", "CUIT").otherwise("DNI")})
-    one = F.when(F.col("_p").isNotNull(), F.struct((-F.col("_p")).alias("o"), F.col("CUIT_NORM").alias("cuit"), F.col("_p").alias("percent"), F.col("DENOMINACION").alias("name"), F.when(low, 1).otherwise(0).alias("low"), alerts.alias("alerts")))
-    grouped = scored.groupBy(row_id).agg(F.first(number).alias("NUMERO_ORIGEN"), F.first(name).alias("DENOMINACION_ORIGEN"), F.first("_by").alias("_by"), F.array_sort(F.array_compact(F.collect_list(one))).alias("c"))
-    best, passing = F.get("c", 0), F.size(F.filter("c", lambda x: x["percent"] >= least))
-    by_cuit, any_row = F.col("_by") == "CUIT", F.size("c") > 0
+    scored = found.withColumns({"_s": name_percentage(F.col("_n"), shown, least), "_shown": shown})
+    details = {"sexo": "SEXO", "fecha_nacimiento": "FECHA_NACIMIENTO", "provincia": "PROVINCIA", "actividad": "ACTIVIDAD", "marca_baja": "MARCA_BAJA"}
+    one = F.struct(
+        (-F.col("_s.percent")).alias("orden"),
+        F.col("CUIT_NORM").alias("cuit"),
+        F.col("_s.percent").alias("porcentaje"),
+        (F.col("_s.percent") >= min(100.0, max(0.0, least))).alias("coincide"),
+        F.col("_s.analysis").alias("analisis"),
+        F.coalesce(F.nullif(_text("DENOMINACION", registry), F.lit("")), F.col("_shown")).alias("denominacion"),
+        F.col("_shown").alias("nombre_limpio"),
+        *[_text(c, registry).alias(n) for n, c in details.items()],
+        low.alias("es_baja"),
+        death.alias("fecha_fallecimiento"),
+        F.when(replaced != "", formatted_cuit(replaced)).alias("cuit_reemplazo"),
+        alerts.alias("alertas"),
+    )
+    kept = lambda by: F.array_sort(F.array_compact(F.collect_list(F.when(F.col("_by") == by, F.col("_one")))))
+    return scored.select("_c", "_d", "_n", "_by", one.alias("_one")).groupBy("_c", "_d", "_n").agg(kept("c").alias("by_cuit"), kept("d").alias("by_dni"))
+
+
+def _with_candidates(rows: DataFrame, registry: DataFrame, cuit: Column, dni: Column, name: Column, least: float) -> DataFrame:
+    keyed = rows.withColumns({"_c": cuit, "_d": dni, "_n": F.coalesce(name.cast("string"), F.lit(""))})
+    told = _candidates(keyed.select("_c", "_d", "_n").distinct(), registry, least)
+    joined = keyed.join(told, ["_c", "_d", "_n"], "left")
+    return joined.withColumns({c: F.coalesce(c, F.array().cast(told.schema[c].dataType)) for c in ("by_cuit", "by_dni")})
+
+
+def _joined(*notes: Column) -> Column:
+    return F.array_join(F.array_compact(F.array(*notes)), "; ")
+
+
+def _taken(best: Column, state: Column, assigned: tuple[str, ...], cuit: str, name: str) -> dict[str, Column]:
+    """The columns of the candidate that a state assigns; empty ones for the other states."""
+    some = state.isin(*assigned)
+    return {
+        cuit: F.when(some, formatted_cuit(best["cuit"])),
+        name: F.when(some, best["denominacion"]),
+        "PORCENTAJE": F.when(some, best["porcentaje"]).otherwise(0.0),
+        **{c: F.when(some, best[c.lower()]) for c in ("MARCA_BAJA", "FECHA_FALLECIMIENTO", "CUIT_REEMPLAZO")},
+    }
+
+
+def _decision_columns() -> list[Column]:
+    return [F.lit(None).cast("string").alias("USUARIO_DECISION"), F.lit(None).cast("timestamp").alias("FECHA_DECISION")]
+
+
+def validated_tax_ids(rows: DataFrame, registry: DataFrame, cuit: str | None, dni: str | None, name: str, row_id: str, least: float = USUAL_LEAST) -> DataFrame:
+    """Tax id, identity number and name against the registry: one row for each input row with state, chosen candidate, alerts and all candidates.
+
+    A tax id in the registry decides by the name's percentage. Without one, the rows of the identity number decide: one whose name fits
+    corrects the tax id, several are left for a person to choose from. Either column may be missing.
+    """
+    none = F.lit("")
+    c, d = digits(F.col(cuit)) if cuit else none, digits(F.col(dni)) if dni else none
+    # Only eleven digits are a tax id; the text as it came is what an alert shows.
+    step = _with_candidates(rows, registry, c, d, F.col(name), least).withColumn("_own", formatted_cuit(F.col("_c")))
+    known, fitting = F.size("by_cuit") > 0, F.filter("by_dni", lambda x: x["coincide"])
+    best = F.when(known, F.get("by_cuit", 0)).otherwise(F.get(fitting, 0))
     state = (
-        F.when(by_cuit & any_row & (best["percent"] >= least), "CUIT Y DENOMINACION COINCIDENTES")
-        .when(by_cuit & any_row, "SOLO CUIT COINCIDENTE")
-        .when(passing == 0, "NO COINCIDE NINGUN PARAMETRO")
-        .when(passing == 1, "SOLO DENOMINACION COINCIDENTE")
-        .otherwise("PENDIENTE DE DECISION")
+        F.when(known & F.get("by_cuit", 0)["coincide"], BOTH_FIT)
+        .when(known, ONLY_NUMBER)
+        .when(F.size(fitting) == 0, NOTHING_FITS)
+        .when(F.size(fitting) == 1, ONLY_NAME)
+        .otherwise(PENDING)
     )
-    flow = F.when(F.col("ESTADO_VALIDACION") == "SOLO CUIT COINCIDENTE", "El CUIT puede pertenecer a otra persona").when((F.col("ESTADO_VALIDACION") == "NO COINCIDE NINGUN PARAMETRO") & any_row, "El documento existe con otro nombre").when(~any_row, "El número no está en el padrón")
-    decided = grouped.withColumn("ESTADO_VALIDACION", state)
-    shown = any_row & ~F.col("ESTADO_VALIDACION").isin("PENDIENTE DE DECISION", "NO COINCIDE NINGUN PARAMETRO")
-    return decided.select(
+    step = step.withColumns({"ESTADO_VALIDACION": state, "_best": best, "_fit": F.size(fitting)})
+    inner, whole = F.ltrim(F.substring("_c", 3, 8), F.lit("0")), F.format_string("%.0f", F.bround("_best.porcentaje"))
+    clash = F.when(
+        (F.length("_c") == 11) & (F.col("_d") != "") & (inner != F.ltrim(F.col("_d"), F.lit("0"))),
+        F.concat(F.lit("El CUIT del origen ("), F.col("_own"), F.lit(") contiene el DNI "), inner, F.lit(", pero la columna DNI dice "), F.col("_d"), F.lit(": los datos del origen se contradicen")),
+    )
+    st = F.col("ESTADO_VALIDACION")
+    told = (
+        F.when(st == ONLY_NUMBER, F.concat(F.lit("El CUIT existe en el padrón pero está a nombre de '"), F.col("_best.denominacion"), F.lit("' ("), whole, F.lit("% de coincidencia): puede ser el CUIT de otra persona")))
+        .when((st == NOTHING_FITS) & (F.size("by_dni") > 0), F.concat(F.lit("El CUIT no figura en el padrón. Por DNI hay "), F.size("by_dni"), F.lit(" persona(s), pero ninguna con un nombre parecido")))
+        .when(st == NOTHING_FITS, "Ni el CUIT ni el DNI figuran en el padrón")
+        .when(st == PENDING, F.concat(F.lit("El CUIT no figura en el padrón. Por DNI hay "), F.col("_fit"), F.lit(" personas cuyo nombre supera el umbral: requiere decisión manual")))
+        .when(st == ONLY_NAME, F.concat(F.lit("El CUIT del origen ("), F.col("_own"), F.lit(") no figura en el padrón, pero por DNI la persona SÍ está, con el CUIT "), formatted_cuit(F.col("_best.cuit")), F.lit(": el CUIT del origen estaría mal cargado")))
+    )
+    assigned = (BOTH_FIT, ONLY_NUMBER, ONLY_NAME)
+    more = F.when(st.isin(*assigned) & (F.size("_best.alertas") > 0), F.array_join("_best.alertas", "; "))
+    shown = _taken(F.col("_best"), st, assigned, "CUIT_PADRON", "DENOMINACION_PADRON")
+    details = F.when(known, F.col("by_cuit")).otherwise(F.col("by_dni"))
+    return step.select(
         row_id,
-        "NUMERO_ORIGEN",
-        "DENOMINACION_ORIGEN",
-        F.when(shown, formatted_cuit(best["cuit"])).alias("CUIT_PADRON"),
-        F.when(shown, best["name"]).alias("DENOMINACION_PADRON"),
-        F.when(any_row, best["percent"]).alias("PORCENTAJE"),
+        (F.col(cuit).cast("string") if cuit else F.lit(None).cast("string")).alias("CUIT_ORIGEN"),
+        (F.col(dni).cast("string") if dni else F.lit(None).cast("string")).alias("DNI_ORIGEN"),
+        F.col(name).alias("DENOMINACION_ORIGEN"),
+        *[shown[k].alias(k) for k in ("CUIT_PADRON", "DENOMINACION_PADRON", "PORCENTAJE")],
         F.lit(float(least)).alias("UMBRAL"),
         "ESTADO_VALIDACION",
-        F.size("c").alias("CANDIDATOS"),
-        F.array_join(F.array_compact(F.concat(F.array(flow), F.when(shown, best["alerts"]).otherwise(F.array().cast("array<string>")))), "; ").alias("ALERTAS"),
-        F.col("c").alias("CANDIDATOS_DETALLE"),
+        F.size(details).alias("CANDIDATOS"),
+        *[shown[k].alias(k) for k in ("MARCA_BAJA", "FECHA_FALLECIMIENTO", "CUIT_REEMPLAZO")],
+        _joined(clash, told, more).alias("ALERTAS"),
+        *_decision_columns(),
+        details.alias("CANDIDATOS_DETALLE"),
+    )
+
+
+def validated_against_registry(rows: DataFrame, registry: DataFrame, number: str, name: str, row_id: str, least: float = USUAL_LEAST, kind: str = "cuit") -> DataFrame:
+    """``validated_tax_ids`` for one column of mixed numbers: eleven digits are a tax id, others an identity number."""
+    cuit, dni = registry_keys(F.col(number), kind)
+    mixed = rows.withColumns({"_cuit": cuit, "_dni": dni})
+    return validated_tax_ids(mixed, registry, "_cuit", "_dni", name, row_id, least)
+
+
+def validated_subjects(rows: DataFrame, registry: DataFrame, dni: str, name: str, row_id: str, least: float = USUAL_LEAST, settle_clear: bool = False, margin: float = 30.0) -> DataFrame:
+    """Identity number and name against the registry: one row for each input row with state, chosen candidate, alerts and all candidates.
+
+    One candidate is decided by the name. Several are different persons and always left to a person, unless ``settle_clear`` is set and the
+    best one fits and leads the second by ``margin`` points.
+    """
+    step = _with_candidates(rows, registry, F.lit(""), digits(F.col(dni)), F.col(name), least)
+    reason, n, best = dni_reason(F.col("_d")), F.size("by_dni"), F.get("by_dni", 0)
+    lead = best["porcentaje"] - F.get("by_dni", 1)["porcentaje"]
+    clear = (n > 1) & best["coincide"] & (lead >= margin) & F.lit(settle_clear)
+    state = F.when(reason != "", BAD_DNI).when(n == 0, NOT_FOUND).when(clear | ((n == 1) & best["coincide"]), SUBJECT_FITS).when(n == 1, OTHER_NAME).otherwise(PENDING)
+    step = step.withColumns({"ESTADO_VALIDACION": state, "_best": best, "_lead": lead})
+    st = F.col("ESTADO_VALIDACION")
+    own = F.when(st.isin(SUBJECT_FITS, OTHER_NAME) & (F.size("_best.alertas") > 0), F.array_join("_best.alertas", "; "))
+    told = (
+        F.when(st == BAD_DNI, reason)
+        .when(st == PENDING, F.concat(n, F.lit(" personas distintas comparten este DNI (difieren en el prefijo del CUIT): requiere decisión manual")))
+        .when((st == SUBJECT_FITS) & (n > 1), F.concat(F.lit("Resuelto automáticamente: "), n, F.lit(" personas con este DNI, pero el elegido le saca "), F.format_string("%.0f", F.bround("_lead")), F.lit(" puntos al segundo")))
+    )
+    shown = _taken(F.col("_best"), st, (SUBJECT_FITS, OTHER_NAME), "CUIT_ASIGNADO", "DENOMINACION_BCRA")
+    asked = ~st.isin(BAD_DNI)
+    return step.select(
+        row_id,
+        F.col(dni).cast("string").alias("DNI_ORIGINAL"),
+        F.col("_d").alias("DNI"),
+        F.col(name).alias("DENOMINACION_ORIGEN"),
+        *[shown[k].alias(k) for k in ("CUIT_ASIGNADO", "DENOMINACION_BCRA", "PORCENTAJE")],
+        F.lit(float(least)).alias("UMBRAL"),
+        "ESTADO_VALIDACION",
+        F.when(asked, n).otherwise(0).alias("CANDIDATOS"),
+        *[shown[k].alias(k) for k in ("MARCA_BAJA", "FECHA_FALLECIMIENTO", "CUIT_REEMPLAZO")],
+        _joined(own, told).alias("ALERTAS"),
+        *_decision_columns(),
+        F.col("by_dni").alias("CANDIDATOS_DETALLE"),
     )
 
 
 def with_decisions(validated: DataFrame, decisions: DataFrame, row_id: str) -> DataFrame:
-    """Pending rows take the candidate that a person chose: ``decisions`` has the row id, CUIT, USUARIO_DECISION and FECHA_DECISION."""
-    d = decisions.select(F.col(row_id), digits(F.col("CUIT")).alias("_chosen"), "USUARIO_DECISION", "FECHA_DECISION")
+    """Pending rows take what a person decided: ``decisions`` has the row id (one row each), CUIT, USUARIO_DECISION and FECHA_DECISION.
+
+    A null CUIT refuses all candidates; one that is no candidate of the row changes nothing.
+    """
+    cuit, name = ("CUIT_ASIGNADO", "DENOMINACION_BCRA") if "CUIT_ASIGNADO" in validated.columns else ("CUIT_PADRON", "DENOMINACION_PADRON")
+    d = decisions.select(F.col(row_id), digits(F.col("CUIT")).alias("_chosen"), F.col("USUARIO_DECISION").alias("_user"), F.col("FECHA_DECISION").alias("_when"), F.lit(True).alias("_told"))
     joined = validated.join(d, row_id, "left")
-    ok = (F.col("ESTADO_VALIDACION") == "PENDIENTE DE DECISION") & F.exists("CANDIDATOS_DETALLE", lambda x: x["cuit"] == F.col("_chosen"))
-    return joined.withColumns({"CUIT_PADRON": F.when(ok, formatted_cuit(F.col("_chosen"))).otherwise(F.col("CUIT_PADRON")), "ESTADO_VALIDACION": F.when(ok, "RESUELTO MANUALMENTE").otherwise(F.col("ESTADO_VALIDACION"))}).drop("_chosen")
+    step = joined.withColumn("_one", F.get(F.filter("CANDIDATOS_DETALLE", lambda x: x["cuit"] == F.col("_chosen")), 0))
+    open_ = (F.col("ESTADO_VALIDACION") == PENDING) & F.col("_told")
+    taken, refused = F.coalesce(open_ & F.col("_one").isNotNull(), F.lit(False)), F.coalesce(open_ & (F.col("_chosen") == ""), F.lit(False))
+    one = F.col("_one")
+    new = {
+        cuit: (formatted_cuit(one["cuit"]), None),
+        name: (one["denominacion"], None),
+        "PORCENTAJE": (one["porcentaje"], 0.0),
+        "MARCA_BAJA": (one["marca_baja"], F.col("MARCA_BAJA")),
+        "FECHA_FALLECIMIENTO": (one["fecha_fallecimiento"], F.col("FECHA_FALLECIMIENTO")),
+        "CUIT_REEMPLAZO": (one["cuit_reemplazo"], F.col("CUIT_REEMPLAZO")),
+        "ALERTAS": (F.array_join(one["alertas"], "; "), F.concat(F.lit("Ninguno de los "), F.col("CANDIDATOS"), F.lit(" candidatos fue considerado válido"))),
+        "ESTADO_VALIDACION": (F.lit(CHOSEN), F.lit(REFUSED)),
+        "USUARIO_DECISION": (F.col("_user"), F.col("_user")),
+        "FECHA_DECISION": (F.col("_when"), F.col("_when")),
+    }
+    told = {c: F.when(taken, yes).when(refused, no).otherwise(F.col(c)) for c, (yes, no) in new.items()}
+    return step.select(*[told.get(c, F.col(c)).alias(c) for c in validated.columns])
 
 
 def state_counts(validated: DataFrame) -> DataFrame:

@@ -106,8 +106,8 @@ def resolved_conflicts(rows: DataFrame, margin: float = 0.03) -> DataFrame:
     A group of one user keeps its verdicts; else a clear margin makes the best row win and the others reviews; else all are reviews.
     """
     by_base, by_file = _rivals("ID_BASE"), _rivals("ID_ARCHIVO")
-    first = _settled(rows, "ID_BASE", "N_A_1", F.size(F.collect_set("ID_ARCHIVO").over(by_base)) > 1, margin)
-    return _settled(first, "ID_ARCHIVO", "1_A_N", F.count("*").over(by_file) > 1, margin)
+    first = _settled(rows, "ID_BASE", "CONFLICTO_N1", F.size(F.collect_set("ID_ARCHIVO").over(by_base)) > 1, margin)
+    return _settled(first, "ID_ARCHIVO", "CONFLICTO_1N", F.count("*").over(by_file) > 1, margin)
 
 
 def conflicts(rows: DataFrame, by: str = "ID_BASE", of: str = "ID_ARCHIVO") -> DataFrame:

@@ -86,7 +86,7 @@ def diagnosed(scored: DataFrame) -> DataFrame:
         ((ovl >= 99) & (jac >= 99) & (lev < MEDIUM), "MISMAS PALABRAS EN OTRO ORDEN", F.lit("Mismas palabras, distinto orden")),
         ((ovl >= 99) & (jac >= 99), "COINCIDENCIA EXACTA", F.lit("Mismas palabras en el mismo orden")),
         (ovl >= 99, "UN LADO TIENE NOMBRES DE MAS", F.concat(F.lit("Nombres presentes en un solo lado: "), F.array_join(F.slice(F.array_sort(extra), 1, 4), ", "))),
-        (close & (jac < 99) & moved, "MISMAS PALABRAS EN OTRO ORDEN CON TIPEO", F.lit("Palabras en distinto orden y con diferencias de tipeo")),
+        (close & (jac < 99) & moved, "MISMAS PALABRAS EN OTRO ORDEN, CON TIPEO", F.lit("Palabras en distinto orden y con diferencias de tipeo")),
         (close & (jac < 99), "ERROR DE TIPEO", typo_detail),
         ((F.greatest(lev, dam) < LOW) & (ovl == 0), "SIN RELACION", F.lit("")),
         (spread >= 50, "ALGORITMOS EN DESACUERDO", F.concat(F.lit("Los algoritmos van de "), whole(F.col("R_MINIMO")), F.lit("% a "), whole(F.col("R_MAXIMO")), F.lit("%: requiere revisión"))),
@@ -109,7 +109,7 @@ def _percent(a: str, b: str, least: float) -> tuple[float, str]:
     if not a or not b:
         return 0.0, "DENOMINACION VACIA"
     if a == b:
-        return 100.0, "COINCIDENTE EXACTA"
+        return 100.0, "DENOMINACION EXACTA"
     short, long = sorted((a.split(), b.split()), key=len)
     free, total, typos, matched = list(long), 0.0, 0, 0
     for word in short:
@@ -132,7 +132,8 @@ def _percent(a: str, b: str, least: float) -> tuple[float, str]:
 
 
 def name_percentage(left: Column, right: Column, least: float = 80.0) -> Column:
-    """A struct ``percent, analysis`` of two names; compare ``percent`` with the threshold for the verdict."""
+    """A struct ``percent, analysis`` of two names; compare ``percent`` with the threshold, held between 0 and 100, for the verdict."""
+    least = min(100.0, max(0.0, float(least)))
 
     @F.pandas_udf("percent double, analysis string")
     def scored(a: pd.Series, b: pd.Series) -> pd.DataFrame:
@@ -143,10 +144,11 @@ def name_percentage(left: Column, right: Column, least: float = 80.0) -> Column:
 
 
 def compared_denominations(pairs: DataFrame, left: str, right: str, least: float = 80.0) -> DataFrame:
-    """PORCENTAJE, UMBRAL, COINCIDE and ANALISIS beside the pair."""
+    """PORCENTAJE, UMBRAL, COINCIDE and ANALISIS beside the pair. The threshold is held between 0 and 100; two empty names or one never coincide."""
+    least = min(100.0, max(0.0, float(least)))
     return (
         pairs.withColumn("_s", name_percentage(F.col(left), F.col(right), least))
-        .withColumns({"PORCENTAJE": F.col("_s.percent"), "UMBRAL": F.lit(float(least)), "COINCIDE": (F.col("_s.percent") >= least).cast("int"), "ANALISIS": F.col("_s.analysis")})
+        .withColumns({"PORCENTAJE": F.col("_s.percent"), "UMBRAL": F.lit(float(least)), "COINCIDE": ((F.col("_s.percent") >= least) & ~F.col("_s.analysis").isin("AMBAS DENOMINACIONES VACIAS", "DENOMINACION VACIA")).cast("int"), "ANALISIS": F.col("_s.analysis")})
         .drop("_s")
     )
 

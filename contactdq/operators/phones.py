@@ -73,26 +73,39 @@ def cleaned_cells(rows: DataFrame, row_id: str, column: str, country: str = "AR"
     return cleaned(single, "TELEFONO_ORIGINAL", country)
 
 
+#: Fixed: verdicts on a number, in order of trial; the last is given where only numbering plans could tell.
+EMPTY, NO_NUMBER, TOO_SHORT = "Teléfono vacío o nulo", "Texto corresponde a 'no posee teléfono' (no es un número)", "No contiene suficientes dígitos para ser un teléfono"
+NO_PLANS = "Librería 'phonenumbers' no instalada (pip install phonenumbers)"
+
+
+def _steps(number: Column) -> Column:
+    return F.transform(F.sequence(F.lit(2), F.length(number)), lambda i: F.pmod(F.substr(number, i, F.lit(1)).cast("int") - F.substr(number, i - 1, F.lit(1)).cast("int"), F.lit(10)))
+
+
+def filler_reason(number: Column) -> Column:
+    """Why six digits or more are filler: all equal, running up or down by one (9 and 0 joined), or a group of two or three that is all there is, three times or more; else null."""
+    tail = F.concat(F.lit(" ("), number, F.lit("): número de relleno"))
+    group = F.when(number.rlike("^([0-9]{2})\\1{2,}$"), F.left(number, F.lit(2))).when(number.rlike("^([0-9]{3})\\1{2,}$"), F.left(number, F.lit(3)))
+    reason = (
+        F.when(number.rlike("^([0-9])\\1+$"), F.concat(F.lit("Todos los dígitos son iguales"), tail))
+        .when(F.forall(_steps(number), lambda s: s == 1), F.concat(F.lit("Secuencia ascendente de dígitos"), tail))
+        .when(F.forall(_steps(number), lambda s: s == 9), F.concat(F.lit("Secuencia descendente de dígitos"), tail))
+        .when(group.isNotNull(), F.concat(F.lit("Patrón '"), group, F.lit("' repetido"), tail))
+    )
+    return F.when(number.rlike("^[0-9]{6,}$"), reason)
+
+
 def is_filler(number: Column) -> Column:
-    """Six digits or more that are all equal, run up or down by one (9 and 0 joined), or repeat a group of two or three at least three times."""
-    steps = F.transform(F.sequence(F.lit(2), F.length(number)), lambda i: F.pmod(F.substr(number, i, F.lit(1)).cast("int") - F.substr(number, i - 1, F.lit(1)).cast("int"), F.lit(10)))
-    run = F.forall(steps, lambda s: s == 1) | F.forall(steps, lambda s: s == 9)
-    return F.when(number.rlike("^[0-9]{6,}$"), number.rlike("^([0-9])\\1+$") | number.rlike("^([0-9]{2,3})\\1{2,}$") | run).otherwise(False)
+    return filler_reason(number).isNotNull()
 
 
 def validated(rows: DataFrame, column: str) -> DataFrame:
     """Adds VALIDO and MOTIVO by what can be told without numbering plans: empty, placeholder, too short, filler.
 
-    Line types and area codes need a library of numbering plans, which is not part of this package; what passes here is
-    ``VALIDO`` null with the reason that plans were not consulted.
+    Line types and area codes need a library of numbering plans, which is not part of this package; a number that passes here
+    gets the verdict for that case, and is not valid.
     """
     raw = F.trim(F.coalesce(F.col(column), F.lit("")))
     number = F.regexp_replace(raw, "[^0-9]", "")
-    reason = (
-        F.when(raw == "", "TELEFONO VACIO")
-        .when(letters_only(raw).isin(*NO_PHONE), "SIN TELEFONO")
-        .when(F.length(number) < 6, "MENOS DE 6 DIGITOS")
-        .when(is_filler(number), "NUMERO DE RELLENO")
-        .otherwise("PLAN DE NUMERACION NO CONSULTADO")
-    )
-    return rows.withColumn("MOTIVO", reason).withColumn("VALIDO", F.when(F.col("MOTIVO") != "PLAN DE NUMERACION NO CONSULTADO", F.lit(False)))
+    reason = F.when(raw == "", EMPTY).when(letters_only(raw).isin(*NO_PHONE), NO_NUMBER).when(F.length(number) < 6, TOO_SHORT).otherwise(F.coalesce(filler_reason(number), F.lit(NO_PLANS)))
+    return rows.withColumn("MOTIVO", reason).withColumn("VALIDO", F.lit(False))

@@ -6,18 +6,46 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 #: What each process counts, as conditions on its result.
+_NO_NAME = "(ANALISIS LIKE 'SIN COINCIDENCIA%' OR ANALISIS LIKE 'DENOMINACION VACIA%' OR ANALISIS LIKE 'AMBAS DENOMINACIONES%')"
 STATISTICS = {
     "mails": {"total": "true", "conservados": "ESTADO = 'CONSERVADO'", "modificados": "ESTADO = 'MODIFICADO'", "bajas": "ESTADO = 'BAJA'", "revision_manual": "ESTADO = 'REVISION MANUAL'"},
-    "telefonos": {"total": "true", "validos": "VALIDO = 1", "bajas": "VALIDO = 0", "moviles": "TIPO_LINEA = 'MOVIL'", "fijos": "TIPO_LINEA = 'FIJO'"},
-    "denominacion": {"total": "true", "coincidentes": "COINCIDE = 1", "parciales": "COINCIDE = 0 AND PORCENTAJE >= 50", "sin_coincidencia": "COINCIDE = 0 AND PORCENTAJE < 50"},
+    "telefonos": {"total": "true", "validos": "VALIDO = 1", "bajas": "VALIDO <> 1", "moviles": "TIPO_LINEA = 'MOVIL'", "fijos": "TIPO_LINEA = 'FIJO'"},
+    "denominacion": {"total": "true", "coincidentes": "COINCIDE = 1", "parciales": f"coalesce(COINCIDE, 0) <> 1 AND NOT {_NO_NAME}", "sin_coincidencia": _NO_NAME},
     "dep_mails": {"total": "true", "depurados": "FUE_DEPURADO", "sin_cambios": "NOT FUE_DEPURADO"},
-    "dep_telefonos": {"total": "true", "depurados": "FUE_DEPURADO", "sin_cambios": "NOT FUE_DEPURADO", "pais_asumido": "ORIGEN_PAIS = 'asumido'", "sin_numero": "E164 IS NULL"},
-    "osint": {"total": "true", "consultados": "MAIL IS NOT NULL", "registrados": "ESTADO_OSINT = 'Registered'", "errores": "ESTADO_OSINT = 'Error'"},
+    "dep_telefonos": {"total": "true", "depurados": "FUE_DEPURADO", "sin_cambios": "NOT FUE_DEPURADO", "pais_asumido": "ORIGEN_PAIS = 'asumido'", "sin_numero": "coalesce(E164, '') = ''"},
+    "osint": {"total": "true", "consultados": "PROVEEDOR <> ''", "registrados": "ESTADO_OSINT = 'Registered'", "errores": "ESTADO_OSINT = 'Error'"},
+    "cuit": {
+        "total": "true",
+        "validados": "ESTADO_VALIDACION IN ('CUIT Y DENOMINACION COINCIDENTES', 'VALIDADO (DNI Y NOMBRE COINCIDENTES)', 'VALIDADO MANUAL')",
+        "no_coincide": "ESTADO_VALIDACION IN ('NO COINCIDE NINGUN PARAMETRO', 'NO COINCIDE NOMBRE', 'RECHAZADO MANUAL')",
+        "solo_cuit": "ESTADO_VALIDACION = 'SOLO CUIT COINCIDENTE'",
+        "solo_denom": "ESTADO_VALIDACION = 'SOLO DENOMINACION COINCIDENTE'",
+        "pendientes": "ESTADO_VALIDACION = 'PENDIENTE DE DECISION'",
+        "no_encontrados": "ESTADO_VALIDACION = 'DNI NO ENCONTRADO EN PADRON'",
+        "dni_invalido": "ESTADO_VALIDACION IN ('DNI INVALIDO', 'CUIT Y DNI DEL ORIGEN NO CONCUERDAN')",
+        "con_alerta": "ALERTAS <> ''",
+    },
 }
 
 
 def statistics(result: DataFrame, process: str) -> DataFrame:
     """One row of counts; a process without its own counts rows only."""
+    if process == "cuitificacion":
+        number = F.nullif(F.col("NUMERO_BUSCADO"), F.lit(""))
+        some = lambda test: F.count_distinct(F.when(F.expr(test), F.col("NUMERO_BUSCADO")))
+        told = result.agg(F.count("*").alias("total"), F.count_distinct(number).alias("numeros_unicos"), some("ESTADO = 'ENCONTRADO'").alias("encontrados"), some("REVISION = 'SI'").alias("en_revision"))
+        return told.select("total", "numeros_unicos", "encontrados", (F.col("numeros_unicos") - F.col("encontrados")).alias("no_encontrados"), "en_revision")
+    if process == "comparacion":
+        by = result.groupBy("MOTIVO").agg(F.count("*").alias("n"), F.sum(F.col("R_DISPERSION").cast("double")).alias("d"))
+        one = lambda reason: F.coalesce(F.sum(F.when(F.col("MOTIVO") == reason, F.col("n"))), F.lit(0)).cast("long")
+        return by.agg(
+            F.coalesce(F.sum("n"), F.lit(0)).alias("total"),
+            one("COINCIDENCIA EXACTA").alias("exactas"),
+            one("SIN RELACION").alias("sin_relacion"),
+            one("ALGORITMOS EN DESACUERDO").alias("en_desacuerdo"),
+            F.round(F.sum("d") / F.sum("n"), 2).alias("dispersion_promedio"),
+            F.map_from_entries(F.array_sort(F.collect_list(F.struct("MOTIVO", "n")))).alias("por_motivo"),
+        )
     return result.agg(*[F.count_if(F.expr(c)).alias(n) for n, c in STATISTICS.get(process, {"total": "true"}).items()])
 
 

@@ -34,11 +34,11 @@ def clean_phones(rows: DataFrame, at: datetime, id_col: str, column: str, countr
 
 
 def validate_phones(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine") -> DataFrame:
-    """The 14 columns of a verdict; where numbering plans would have to decide, VALIDO and what plans tell are null."""
+    """The 14 columns of a verdict; without numbering plans no number is valid, and what only plans tell stays empty."""
     step = phones.validated(rows.select(F.col(id_col).cast("string").alias("ID_ORIGEN"), F.col(column).alias("TELEFONO_ORIGINAL")), "TELEFONO_ORIGINAL")
-    low, none = ~F.col("VALIDO"), F.lit(None).cast("string")
-    empty = [F.when(low, F.lit("")).alias(c) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")]
-    verdict = (none.alias("TIPO_LINEA"), F.col("VALIDO").cast("int").alias("VALIDO"), "MOTIVO", F.when(low, F.lit(at)).alias("FECHA_BAJA"), F.when(low, F.lit(user)).alias("USUARIO_BAJA"), F.when(low, F.col("MOTIVO")).alias("MOTIVO_BAJA"))
+    none = F.lit(None).cast("string")
+    empty = [F.lit("").alias(c) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")]
+    verdict = (none.alias("TIPO_LINEA"), F.col("VALIDO").cast("int").alias("VALIDO"), "MOTIVO", F.lit(at).alias("FECHA_BAJA"), F.lit(user).alias("USUARIO_BAJA"), F.col("MOTIVO").alias("MOTIVO_BAJA"))
     return _stamped(step.select("ID_ORIGEN", "TELEFONO_ORIGINAL", none.alias("TELEFONO_NORMALIZADO"), *empty, *verdict), at)
 
 
@@ -63,8 +63,16 @@ def enrich(rows: DataFrame, at: datetime, registry: DataFrame, id_col: str, numb
     return _stamped(identity.enriched(rows, identity.registry_snapshot(registry), number, id_col), at)
 
 
-def validate_numbers(rows: DataFrame, at: datetime, registry: DataFrame, id_col: str, number: str, name: str, least: float = 80.0) -> DataFrame:
-    return _stamped(identity.validated_against_registry(rows, identity.registry_snapshot(registry), number, name, id_col, least), at)
+def validate_numbers(rows: DataFrame, at: datetime, registry: DataFrame, id_col: str, number: str, name: str, least: float = identity.USUAL_LEAST, dni: str | None = None) -> DataFrame:
+    """By one column of mixed numbers, or by tax id and identity number where ``dni`` names a second one."""
+    snapshot = identity.registry_snapshot(registry)
+    if dni:
+        return _stamped(identity.validated_tax_ids(rows, snapshot, number, dni, name, id_col, least), at)
+    return _stamped(identity.validated_against_registry(rows, snapshot, number, name, id_col, least), at)
+
+
+def validate_subjects(rows: DataFrame, at: datetime, registry: DataFrame, id_col: str, dni: str, name: str, least: float = identity.USUAL_LEAST, settle_clear: bool = False) -> DataFrame:
+    return _stamped(identity.validated_subjects(rows, identity.registry_snapshot(registry), dni, name, id_col, least, settle_clear), at)
 
 
 def cross(rows: DataFrame, at: datetime, base: DataFrame, k: int = 5, **columns) -> DataFrame:
@@ -87,6 +95,7 @@ PROCESSES: dict[str, Callable[..., DataFrame]] = {
     "telefonos": validate_phones,
     "cuitificacion": enrich,
     "cuit": validate_numbers,
+    "cuit_dni": validate_subjects,
     "denominacion": denominations,
     "comparacion": compare,
     "dep_mails": clean_mails,
@@ -96,12 +105,19 @@ PROCESSES: dict[str, Callable[..., DataFrame]] = {
 }
 
 
-def run(name: str, rows: DataFrame, at: datetime, **parameters) -> tuple[DataFrame, DataFrame]:
+def run(name: str, rows: DataFrame, at: datetime, /, **parameters) -> tuple[DataFrame, DataFrame]:
     """(result, counts) of a process; an unknown name is an error."""
     if name not in PROCESSES:
         raise KeyError(f"no process {name!r}; there are {', '.join(sorted(PROCESSES))}")
     result = PROCESSES[name](rows, at, **parameters)
-    return result, profile.statistics(result.withColumn("FUE_DEPURADO", F.col("FUE_DEPURADO") == 1) if "FUE_DEPURADO" in result.columns else result, name)
+    return result, _counts(name, rows, result, parameters)
+
+
+def _counts(name: str, rows: DataFrame, result: DataFrame, parameters: dict) -> DataFrame:
+    if name == "normalizacion":
+        told = normalise.counts(rows, result, parameters["key"], parameters["media"])
+        return told.select(F.col("filas_resultado").alias("total"), F.col("claves").alias("cuit_unicos"), F.col("valores").alias("medios"))
+    return profile.statistics(result.withColumn("FUE_DEPURADO", F.col("FUE_DEPURADO") == 1) if "FUE_DEPURADO" in result.columns else result, "cuit" if name == "cuit_dni" else name)
 
 
 def run_all(clients: list[dict], load: Callable[[dict], DataFrame], name: str, at: datetime) -> list[tuple[str, str, str]]:

@@ -55,7 +55,7 @@ q AS (SELECT *, floor((round((jw + lev + dam + ovl + dic + jac) * 100) + 3) / 6)
 SELECT a_id, b_id, jw AS "R_JARO_WINKLER", lev AS "R_LEVENSHTEIN", dam AS "R_DAMERAU", ovl AS "R_OVERLAP", dic AS "R_DICE", jac AS "R_JACCARD", prom AS "R_PROMEDIO", hi AS "R_MAXIMO", lo AS "R_MINIMO", round(hi - lo, 2) AS "R_DISPERSION",
  CASE WHEN x = y THEN 'COINCIDENCIA EXACTA' WHEN dam - lev >= 1 THEN 'TRANSPOSICION DE LETRAS' WHEN ovl = 0 AND greatest(jw, dam) >= 85 THEN 'TEXTO SIN SEPARAR'
   WHEN ovl >= 99 AND jac >= 99 AND lev < 60 THEN 'MISMAS PALABRAS EN OTRO ORDEN' WHEN ovl >= 99 AND jac >= 99 THEN 'COINCIDENCIA EXACTA' WHEN ovl >= 99 THEN 'UN LADO TIENE NOMBRES DE MAS'
-  WHEN greatest(jw, dam) >= 85 AND c >= 2 THEN 'MISMAS PALABRAS EN OTRO ORDEN CON TIPEO' WHEN greatest(jw, dam) >= 85 THEN 'ERROR DE TIPEO'
+  WHEN greatest(jw, dam) >= 85 AND c >= 2 THEN 'MISMAS PALABRAS EN OTRO ORDEN, CON TIPEO' WHEN greatest(jw, dam) >= 85 THEN 'ERROR DE TIPEO'
   WHEN greatest(lev, dam) < 40 AND ovl = 0 THEN 'SIN RELACION' WHEN hi - lo >= 50 THEN 'ALGORITMOS EN DESACUERDO' ELSE 'COINCIDENCIA PARCIAL' END AS "MOTIVO"
 FROM q"""
 
@@ -221,8 +221,8 @@ def _pass_sql(source: str, group: str, contested: str, tag: str) -> str:
   len(list_distinct(list(lower(trim("USERNAME"))) OVER (PARTITION BY "{group}", "COINCIDE" = 'SI'))) AS us FROM {source} g) h) i"""
 
 
-_FIRST = _pass_sql(f"(SELECT * REPLACE (CAST(jw AS DOUBLE) AS jw, CAST(di AS DOUBLE) AS di) FROM ({CLAIMS}) c)", "ID_BASE", "len(list_distinct(list(\"ID_ARCHIVO\") OVER (PARTITION BY \"ID_BASE\", \"COINCIDE\" = 'SI'))) > 1", "N_A_1")
-_SECOND = _pass_sql(f"({_FIRST})", "ID_ARCHIVO", "count(*) OVER (PARTITION BY \"ID_ARCHIVO\", \"COINCIDE\" = 'SI') > 1", "1_A_N")
+_FIRST = _pass_sql(f"(SELECT * REPLACE (CAST(jw AS DOUBLE) AS jw, CAST(di AS DOUBLE) AS di) FROM ({CLAIMS}) c)", "ID_BASE", "len(list_distinct(list(\"ID_ARCHIVO\") OVER (PARTITION BY \"ID_BASE\", \"COINCIDE\" = 'SI'))) > 1", "CONFLICTO_N1")
+_SECOND = _pass_sql(f"({_FIRST})", "ID_ARCHIVO", "count(*) OVER (PARTITION BY \"ID_ARCHIVO\", \"COINCIDE\" = 'SI') > 1", "CONFLICTO_1N")
 
 
 @query("conflict_resolution", f'SELECT "ID", "COINCIDE", "MOTIVO" FROM ({_SECOND}) z')
@@ -302,14 +302,105 @@ def cuitificar_counts(spark, sf_dir):
     return identity.enrichment_counts(identity.enriched(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "id"))
 
 
-@query("registry_validation")
+# Names of two words on both sides: the percentage pairs each word with the closest free one, as far as 0.90 alike.
+_TWO = "trim(regexp_replace(upper({0}), '[^A-Z0-9 ]+', ' ', 'g'))"
+
+
+def _percent_sql(source: str) -> str:
+    """``source`` with ``pct``: the percentage of the names ``nx`` and ``ny``."""
+    jw = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE jaro_winkler_similarity({a}, {b}) END"
+    words = f"SELECT *, string_split(nx, ' ')[1] AS x1, string_split(nx, ' ')[2] AS x2, string_split(ny, ' ')[1] AS y1, string_split(ny, ' ')[2] AS y2 FROM ({source}) s"
+    alike = f"SELECT *, {jw('x1', 'y1')} AS s11, {jw('x1', 'y2')} AS s12, {jw('x2', 'y1')} AS s21, {jw('x2', 'y2')} AS s22 FROM ({words}) w"
+    first = f"SELECT *, greatest(s11, s12) AS f, CASE WHEN greatest(s11, s12) >= 0.9 THEN CASE WHEN s11 >= s12 THEN s22 ELSE s21 END ELSE greatest(s21, s22) END AS g FROM ({alike}) a"
+    return f"SELECT *, CASE WHEN nx = ny THEN 100.0 ELSE round(greatest(50 * (CASE WHEN f >= 0.9 THEN f ELSE 0 END + CASE WHEN g >= 0.9 THEN g ELSE 0 END), 100 * jaro_winkler_similarity(replace(nx, ' ', ''), replace(ny, ' ', ''))), 2) END AS pct FROM ({first}) f"
+
+
+def _registry_sql(asked: str) -> str:
+    """CTEs for ``asked`` (id, c, d, nm): ``hits`` of the registry by either key, with percentage and alerts, and ``told``: the best ones of each row."""
+    variants = "SELECT id, nm, d, unnest([0, 1, 2]) AS pos, unnest([d, CASE WHEN length(d) < 8 THEN lpad(d, 8, '0') ELSE d END, ltrim(d, '0')]) AS k FROM asked WHERE d <> ''"
+    dash = "substr(cn, 1, 2) || '-' || substr(cn, 3, 8) || '-' || substr(cn, 11, 1)"
+    alerts = """concat_ws('; ', CASE WHEN "MARCA_BAJA" = '*' THEN 'DADO DE BAJA' WHEN "MARCA_BAJA" = 'Q' THEN 'MARCA_BAJA con valor no reconocido: ''Q'' (se trata como activo)' END, CASE WHEN "FECHA_FALLECIMIENTO" IS NOT NULL THEN 'FALLECIDO (' || "FECHA_FALLECIMIENTO" || ')' END)"""
+    shown = _TWO.format('"NOMBRE_LIMPIO"')
+    named = f"SELECT *, {_TWO.format('nm')} AS nx, {shown} AS ny FROM (SELECT id, nm, 'c' AS src, r.* FROM asked JOIN r ON r.cn = c AND c <> '' UNION ALL SELECT v.id, v.nm, 'd', r.* FROM vars v JOIN r ON r.dn = v.k JOIN best b ON b.id = v.id AND b.pos = v.pos) h"
+    first = "arg_min(h, struct_pack(a := -pct, b := cn))"
+    return f"""asked AS ({asked}), r AS (SELECT * FROM {_SNAP}), vars AS (SELECT id, nm, min(pos) AS pos, k FROM ({variants}) v WHERE k <> '' GROUP BY ALL), best AS (SELECT v.id, min(v.pos) AS pos FROM vars v JOIN r ON r.dn = v.k GROUP BY v.id),
+    hits AS (SELECT *, {dash} AS fc, {alerts} AS al FROM ({_percent_sql(named)}) p),
+    told AS (SELECT id, count(*) FILTER (src = 'c') AS nc, count(*) FILTER (src = 'd') AS nd, count(*) FILTER (src = 'd' AND pct >= 90) AS nf, {first} FILTER (src = 'c') AS bc, {first} FILTER (src = 'd') AS bd, {first} FILTER (src = 'd' AND pct >= 90) AS bf FROM hits h GROUP BY id)"""
+
+
+def _validated_sql(asked: str, own: str, clash: str = "NULL") -> str:
+    """The whole validation of ``asked``; ``own`` shows the tax id that was asked for, ``clash`` is the alert on numbers that contradict each other."""
+    return f"""WITH {_registry_sql(asked)},
+    s AS (SELECT a.*, coalesce(nc, 0) AS nc, coalesce(nd, 0) AS nd, coalesce(nf, 0) AS nf, CASE WHEN nc > 0 THEN bc ELSE bf END AS b,
+      CASE WHEN nc > 0 AND bc.pct >= 90 THEN '{identity.BOTH_FIT}' WHEN nc > 0 THEN '{identity.ONLY_NUMBER}' WHEN coalesce(nf, 0) = 0 THEN '{identity.NOTHING_FITS}' WHEN nf = 1 THEN '{identity.ONLY_NAME}' ELSE '{identity.PENDING}' END AS st FROM asked a LEFT JOIN told USING (id)),
+    t AS (SELECT *, st NOT IN ('{identity.NOTHING_FITS}', '{identity.PENDING}') AS taken FROM s)
+    SELECT id, c AS "CUIT_ORIGEN", d AS "DNI_ORIGEN", CASE WHEN taken THEN b.fc END AS "CUIT_PADRON", CASE WHEN taken THEN b."DENOMINACION" END AS "DENOMINACION_PADRON", CASE WHEN taken THEN b.pct ELSE 0.0 END AS "PORCENTAJE", st AS "ESTADO_VALIDACION",
+    cast(CASE WHEN nc > 0 THEN nc ELSE nd END AS INT) AS "CANDIDATOS", CASE WHEN taken THEN coalesce(b."MARCA_BAJA", '') END AS "MARCA_BAJA", CASE WHEN taken THEN coalesce(b."FECHA_FALLECIMIENTO", '') END AS "FECHA_FALLECIMIENTO",
+    concat_ws('; ', {clash}, CASE st WHEN '{identity.ONLY_NUMBER}' THEN 'El CUIT existe en el padrón pero está a nombre de ''' || b."DENOMINACION" || ''' (' || printf('%.0f', b.pct) || '% de coincidencia): puede ser el CUIT de otra persona'
+      WHEN '{identity.NOTHING_FITS}' THEN CASE WHEN nd > 0 THEN 'El CUIT no figura en el padrón. Por DNI hay ' || nd || ' persona(s), pero ninguna con un nombre parecido' ELSE 'Ni el CUIT ni el DNI figuran en el padrón' END
+      WHEN '{identity.PENDING}' THEN 'El CUIT no figura en el padrón. Por DNI hay ' || nf || ' personas cuyo nombre supera el umbral: requiere decisión manual'
+      WHEN '{identity.ONLY_NAME}' THEN 'El CUIT del origen (' || {own} || ') no figura en el padrón, pero por DNI la persona SÍ está, con el CUIT ' || b.fc || ': el CUIT del origen estaría mal cargado' END,
+      CASE WHEN taken THEN nullif(b.al, '') END) AS "ALERTAS" FROM t"""
+
+
+_VALIDATED = _validated_sql(f"SELECT id, CASE WHEN length(n) = 11 THEN n ELSE '' END AS c, CASE WHEN length(n) = 11 THEN '' ELSE n END AS d, nm FROM ({ASKED}) q", "c")
+_SHOWN = ("id", "CUIT_ORIGEN", "DNI_ORIGEN", "CUIT_PADRON", "DENOMINACION_PADRON", "PORCENTAJE", "ESTADO_VALIDACION", "CANDIDATOS", "MARCA_BAJA", "FECHA_FALLECIMIENTO", "ALERTAS")
+
+
+def _validated(spark, sf_dir) -> DataFrame:
+    return identity.validated_against_registry(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "nm", "id")
+
+
+@query("registry_validation", _VALIDATED)
 def registry_validation(spark, sf_dir):
-    return identity.validated_against_registry(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "nm", "id").drop("CANDIDATOS_DETALLE")
+    return _validated(spark, sf_dir).select(*_SHOWN)
 
 
-@query("registry_states")
+@query("registry_states", f"""SELECT "ESTADO_VALIDACION", count(*) AS "CANTIDAD", count(*) FILTER ("ALERTAS" <> '') AS "CON_ALERTA" FROM ({_VALIDATED}) z GROUP BY 1""")
 def registry_states(spark, sf_dir):
-    return identity.state_counts(identity.validated_against_registry(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "nm", "id"))
+    return identity.state_counts(_validated(spark, sf_dir))
+
+
+# Tax id and identity number side by side: a third of the tax ids are of nobody, a seventh of the identity numbers are another's.
+BOTH = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 1 THEN '23' || lpad(cast(c_custkey AS STRING), 8, '0') || '7' ELSE {TEN} || cast({_digit_sql(TEN)} AS STRING) END AS c, CASE WHEN c_custkey % 7 = 0 THEN cast(c_custkey + 1 AS STRING) ELSE cast(c_custkey AS STRING) END AS d, CASE WHEN c_custkey % 5 = 0 THEN 'Someone Else' ELSE replace(c_name, '#', ' ') END AS nm FROM customer"
+_OWN, _INNER = "substr(c, 1, 2) || '-' || substr(c, 3, 8) || '-' || substr(c, 11, 1)", "ltrim(substr(c, 3, 8), '0')"
+_BOTH_SQL = _validated_sql(BOTH, _OWN, f"CASE WHEN {_INNER} <> ltrim(d, '0') THEN 'El CUIT del origen (' || {_OWN} || ') contiene el DNI ' || {_INNER} || ', pero la columna DNI dice ' || d || ': los datos del origen se contradicen' END")
+
+
+def _both(spark, sf_dir) -> DataFrame:
+    return identity.validated_tax_ids(made(spark, sf_dir, BOTH), _snapshot(spark, sf_dir), "c", "d", "nm", "id")
+
+
+@query("tax_id_validation", _BOTH_SQL)
+def tax_id_validation(spark, sf_dir):
+    return _both(spark, sf_dir).select(*_SHOWN)
+
+
+_COUNTED = {
+    "validados": identity.BOTH_FIT, "no_coincide": identity.NOTHING_FITS, "solo_cuit": identity.ONLY_NUMBER, "solo_denom": identity.ONLY_NAME,
+    "pendientes": identity.PENDING, "no_encontrados": identity.NOT_FOUND, "dni_invalido": identity.BAD_DNI,
+}
+
+
+@query("validation_counts", "SELECT count(*) AS total, " + ", ".join(f"""count(*) FILTER ("ESTADO_VALIDACION" = '{s}') AS {n}""" for n, s in _COUNTED.items()) + f""", count(*) FILTER ("ALERTAS" <> '') AS con_alerta FROM ({_BOTH_SQL}) z""")
+def validation_counts(spark, sf_dir):
+    return profile.statistics(_both(spark, sf_dir), "cuit")
+
+
+_ONE_FITS = f"'{identity.SUBJECT_FITS}', '{identity.OTHER_NAME}'"
+
+
+@query(
+    "subject_validation",
+    f"""WITH {_registry_sql(f"SELECT id, '' AS c, n AS d, nm FROM ({ASKED}) q")},
+    s AS (SELECT a.*, coalesce(nd, 0) AS nd, bd AS b, CASE WHEN length(d) < 6 THEN 'DNI demasiado corto (' || length(d) || ' dígitos): ''' || d || '''' WHEN length(d) > 8 THEN 'DNI demasiado largo (' || length(d) || ' dígitos): ''' || d || '''' WHEN replace(d, substr(d, 1, 1), '') = '' THEN 'DNI de relleno (todos los dígitos iguales): ''' || d || '''' END AS why FROM asked a LEFT JOIN told USING (id)),
+    t AS (SELECT *, CASE WHEN why IS NOT NULL THEN '{identity.BAD_DNI}' WHEN nd = 0 THEN '{identity.NOT_FOUND}' WHEN nd > 1 THEN '{identity.PENDING}' WHEN b.pct >= 90 THEN '{identity.SUBJECT_FITS}' ELSE '{identity.OTHER_NAME}' END AS st FROM s)
+    SELECT id, d AS "DNI", st AS "ESTADO_VALIDACION", CASE WHEN st IN ({_ONE_FITS}) THEN b.fc END AS "CUIT_ASIGNADO", CASE WHEN st IN ({_ONE_FITS}) THEN b.pct ELSE 0.0 END AS "PORCENTAJE", cast(CASE WHEN why IS NULL THEN nd ELSE 0 END AS INT) AS "CANDIDATOS",
+    CASE st WHEN '{identity.BAD_DNI}' THEN why WHEN '{identity.NOT_FOUND}' THEN '' WHEN '{identity.PENDING}' THEN nd || ' personas distintas comparten este DNI (difieren en el prefijo del CUIT): requiere decisión manual' ELSE b.al END AS "ALERTAS" FROM t""",
+)
+def subject_validation(spark, sf_dir):
+    found = identity.validated_subjects(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "nm", "id")
+    return found.select("id", "DNI", "ESTADO_VALIDACION", "CUIT_ASIGNADO", "PORCENTAJE", "CANDIDATOS", "ALERTAS")
 
 
 @query(
@@ -366,6 +457,31 @@ def filler_detector(spark, sf_dir):
     return made(spark, sf_dir, FILLERS).select("id", phones.is_filler(F.col("n")).alias("relleno"))
 
 
+# Telephone cells of every kind that can be judged without numbering plans; a ninth need plans.
+CALLS = "SELECT c_custkey AS id, CASE c_custkey % 9 WHEN 0 THEN 'No  tiene' WHEN 1 THEN '' WHEN 2 THEN 'tel 12-' || cast(c_custkey % 1000 AS STRING) WHEN 3 THEN repeat(cast(c_custkey % 10 AS STRING), 8) WHEN 4 THEN '7890123' WHEN 5 THEN 'Cel: 321 0987' WHEN 6 THEN repeat(lpad(cast(c_custkey % 100 AS STRING), 2, '0'), 4) WHEN 7 THEN repeat(lpad(cast(c_custkey % 1000 AS STRING), 3, '0'), 3) ELSE '+54 11 4' || lpad(cast((c_custkey * 7919) % 10000000 AS STRING), 7, '4') END AS tel FROM customer"
+_CALL_SQL = f"""WITH c AS (SELECT id, tel, regexp_replace(tel, '[^0-9]', '', 'g') AS d FROM ({CALLS}) s), k AS (SELECT *, list_transform(range(1, length(d)), lambda i: (10 + cast(substr(d, i + 1, 1) AS INT) - cast(substr(d, i, 1) AS INT)) % 10) AS steps FROM c)
+ SELECT id, CASE WHEN trim(tel) = '' THEN 'Teléfono vacío o nulo' WHEN regexp_replace(lower(tel), '[^a-z]', '', 'g') = 'notiene' THEN 'Texto corresponde a ''no posee teléfono'' (no es un número)' WHEN length(d) < 6 THEN 'No contiene suficientes dígitos para ser un teléfono'
+  WHEN replace(d, left(d, 1), '') = '' THEN 'Todos los dígitos son iguales (' || d || '): número de relleno' WHEN len(list_filter(steps, lambda s: s <> 1)) = 0 THEN 'Secuencia ascendente de dígitos (' || d || '): número de relleno' WHEN len(list_filter(steps, lambda s: s <> 9)) = 0 THEN 'Secuencia descendente de dígitos (' || d || '): número de relleno'
+  WHEN length(d) % 2 = 0 AND repeat(left(d, 2), length(d) // 2) = d THEN 'Patrón ''' || left(d, 2) || ''' repetido (' || d || '): número de relleno' WHEN length(d) % 3 = 0 AND length(d) >= 9 AND repeat(left(d, 3), length(d) // 3) = d THEN 'Patrón ''' || left(d, 3) || ''' repetido (' || d || '): número de relleno'
+  ELSE 'Librería ''phonenumbers'' no instalada (pip install phonenumbers)' END AS "MOTIVO", 0 AS "VALIDO" FROM k"""
+
+
+@query("phone_verdicts", _CALL_SQL)
+def phone_verdicts(spark, sf_dir):
+    return phones.validated(made(spark, sf_dir, CALLS), "tel").select("id", "MOTIVO", F.col("VALIDO").cast("int").alias("VALIDO"))
+
+
+@query("phone_verdict_counts", f"""SELECT count(*) AS total, count(*) FILTER ("VALIDO" = 1) AS validos, count(*) FILTER ("VALIDO" = 0) AS bajas, count(*) FILTER ("VALIDO" > 1) AS moviles, count(*) FILTER ("VALIDO" > 1) AS fijos FROM ({_CALL_SQL}) z""")
+def phone_verdict_counts(spark, sf_dir):
+    told = phones.validated(made(spark, sf_dir, CALLS), "tel").withColumns({"VALIDO": F.col("VALIDO").cast("int"), "TIPO_LINEA": F.lit(None).cast("string")})
+    return profile.statistics(told, "telefonos")
+
+
+@query("comparison_counts", f"""SELECT count(*) AS total, count(*) FILTER ("MOTIVO" = 'COINCIDENCIA EXACTA') AS exactas, count(*) FILTER ("MOTIVO" = 'SIN RELACION') AS sin_relacion, count(*) FILTER ("MOTIVO" = 'ALGORITMOS EN DESACUERDO') AS en_desacuerdo, round(avg("R_DISPERSION"), 2) AS dispersion_promedio FROM ({_ALL_METRICS_SQL}) z""")
+def comparison_counts(spark, sf_dir):
+    return profile.statistics(_all_compared(spark, sf_dir), "comparacion").drop("por_motivo")
+
+
 @query("profile_columns", "SELECT * FROM (SELECT 'c_name' AS columna, count(*) FILTER (c_name IS NULL) AS nulos, count(*) FILTER (trim(c_name) = '') AS blancos, count(DISTINCT c_name) AS distintos, min(length(c_name)) AS largo_min, max(length(c_name)) AS largo_max FROM customer UNION ALL SELECT 'c_mktsegment', count(*) FILTER (c_mktsegment IS NULL), count(*) FILTER (trim(c_mktsegment) = ''), count(DISTINCT c_mktsegment), min(length(c_mktsegment)), max(length(c_mktsegment)) FROM customer) z")
 def profile_columns(spark, sf_dir):
     return profile.profile(table(spark, sf_dir, "customer"), ["c_name", "c_mktsegment"])

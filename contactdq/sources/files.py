@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 #: Encodings and delimiters in order of trial, and words that make a row a header.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = (";", ",", "\t", "|")
-HEADER_WORDS = ("mail", "correo", "tel", "cel", "cuit", "dni", "documento", "id", "nombre", "denom", "razon", "razón", "clave")
-MAIL_WORDS, PHONE_WORDS, ID_WORDS, NAME_WORDS = ("mail", "correo"), ("tel", "cel", "fono", "movil", "móvil"), ("id", "cuit", "dni", "clave"), ("denom", "nombre", "razon", "razón")
+HEADER_WORDS = ("mail", "correo", "email", "tel", "cel", "cuit", "id", "denom", "nombre", "razon", "razón", "name", "titular")
+MAIL_WORDS, PHONE_WORDS = ("mail", "correo", "email"), ("tel", "cel", "movil", "móvil", "fono", "whatsapp")
+NUMBER_WORDS, SUBJECT_WORDS, NAME_WORDS = ("cuit", "cuil", "dni", "documento", "nro_doc"), ("denom", "nombre", "razon", "razón", "titular", "apellido"), ("denom", "nombre", "razon", "razón", "name", "titular")
+KEY_WORDS = ("cuit", "dni", "cuil", "documento")
 
 
 def detect_encoding(content: bytes) -> str:
@@ -60,8 +62,8 @@ def detect_delimiter(text: str) -> str:
 
 
 def is_header(cells: list[str]) -> bool:
-    """No cell with an at sign, and one with a word that headers have."""
-    return all("@" not in c for c in cells) and any(w in c.lower() for c in cells for w in HEADER_WORDS)
+    """A cell without an at sign, and a word that headers have."""
+    return any("@" not in c for c in cells) and any(w in c.lower() for c in cells for w in HEADER_WORDS)
 
 
 def head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
@@ -106,23 +108,50 @@ def read_contacts(spark: SparkSession, path: str, column: str) -> DataFrame:
     return body.select(*[F.coalesce(F.get("_c", i), F.lit("")).alias(name) for i, name in enumerate(names)])
 
 
-def find_column(header: list[str] | None, first: list[str], words: tuple[str, ...], by_content: str = "mail") -> int | None:
-    """A column by the words in its name, else by content: an at sign, or the cell with most digits."""
-    for i, name in enumerate(header or []):
-        if any(w in name.lower() for w in words):
-            return i
-    if by_content == "mail":
-        return next((i for i, c in enumerate(first) if "@" in (c or "")), None)
-    digits = [sum(ch.isdigit() for ch in c or "") for c in first]
-    return max(range(len(digits)), key=digits.__getitem__) if any(digits) else None
+def _named(header: list[str] | None, test) -> list[int]:
+    return [i for i, name in enumerate(header or []) if test(str(name).lower())]
 
 
-def normalisation_columns(header: list[str], media: tuple[str, ...] = ("mail", "tel")) -> tuple[int, list[int], list[int]]:
-    """(key, media columns, the rest): the key is the first identifying column that is no medium, else the first column."""
-    words = {"mail": MAIL_WORDS, "tel": PHONE_WORDS}
-    found = [i for i, n in enumerate(header) if any(w in n.lower() for m in media for w in words[m])]
-    key = next((i for i, n in enumerate(header) if i not in found and any(w in n.lower() for w in ID_WORDS)), 0)
-    return key, [i for i in found if i != key], [i for i in range(len(header)) if i != key and i not in found]
+def _has(words: tuple[str, ...]):
+    return lambda name: any(w in name for w in words)
+
+
+def _most_digits(first: list[str]) -> int | None:
+    """The first of the cells with most digits; there may be none in it."""
+    return max(range(len(first)), key=lambda i: sum("0" <= ch <= "9" for ch in str(first[i] or ""))) if first else None
+
+
+def process_columns(header: list[str] | None, first: list[str], process: str) -> tuple[int | None, int]:
+    """(identifier, datum) of a file for a process: by the names in the header, else by the first row, else by place.
+
+    For numbers with a name the pair is (number, name), for name pairs (left, right); for mails and phones the identifier may be missing.
+    """
+    if process in ("cuit", "cuitificacion"):
+        number, name = _named(header, _has(NUMBER_WORDS)), _named(header, _has(SUBJECT_WORDS))
+        at = number[0] if number else _most_digits(first) or 0
+        return at, name[0] if name else int(at != 1)
+    if process in ("denominacion", "comparacion"):
+        both = _named(header, _has(NAME_WORDS))
+        return (both[0], both[1]) if len(both) > 1 else (0, 1)
+    mail = process in ("mails", "osint")
+    datum = _named(header, lambda n: _has(MAIL_WORDS if mail else PHONE_WORDS)(n) and "id" not in n[:3])
+    key = _named(header, lambda n: "cuit" in n or n.startswith("id") or "_id" in n or "dni" in n)
+    by_content = next((i for i, c in enumerate(first) if "@" in str(c or "")), None) if mail else _most_digits(first)
+    return key[0] if key else None, datum[0] if datum else by_content or 0
+
+
+def normalisation_columns(header: list[str] | None, first: list[str], media: tuple[str, ...] = ("mails", "telefonos")) -> tuple[int, list[int], list[int]]:
+    """(key, media columns asked for, the rest): the key is the first identifying column, else the first one; media are found by name, else by the first row."""
+    keys = _named(header, lambda n: _has(KEY_WORDS)(n) or n.startswith("id") or "_id" in n)
+    key = keys[0] if keys else 0
+    mails = [i for i in _named(header, _has(MAIL_WORDS)) if i not in keys[:1]]
+    phones = [i for i in _named(header, _has((*PHONE_WORDS, "wsp"))) if i not in mails and i not in keys[:1]]
+    if not mails and not phones:
+        others = [(i, str(c or "")) for i, c in enumerate(first) if i != key]
+        mails = [i for i, c in others if "@" in c]
+        phones = [i for i, c in others if "@" not in c and sum("0" <= ch <= "9" for ch in c) >= 6]
+    found = sorted({*(mails if "mails" in media else ()), *(phones if "telefonos" in media else ())})
+    return key, found, [i for i in range(len(header or first)) if i != key and i not in found]
 
 
 def mail_columns(header: list[str]) -> tuple[str | None, str | None]:

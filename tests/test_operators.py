@@ -157,7 +157,7 @@ def test_files(spark, tmp_path):
     assert (header, sep, rows.collect()[0].CORREO) == (["ID", "CORREO", "NOMBRE"], ";", "ana@example.com")
     path.write_text("Reporte\n\nusername,Nombre\nx,Ana\n,\ny\n", encoding="utf-8")
     assert [(r.username, r.Nombre) for r in files.read_contacts(spark, str(path), "nombre").collect()] == [("x", "Ana"), ("y", "")]
-    assert files.normalisation_columns(["CUIT", "TELEFONO", "EMAIL", "ORIGEN"]) == (0, [1, 2], [3])
+    assert files.normalisation_columns(["CUIT", "TELEFONO", "EMAIL", "ORIGEN"], []) == (0, [1, 2], [3])
     assert files.read_list(spark, str(tmp_path / "none.txt"), ("a",)) == ("a",)
 
 
