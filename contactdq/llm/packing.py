@@ -1,12 +1,14 @@
 """Best-fit packing in rounds over a tree.
 
-Documents are encoded and cut into pieces where they are read. Each task packs its own pieces best-fit, longest first. Bins that are full or nearly full are
-final. Underfull bins go on as items of the next round, dealt to fewer tasks, until one task holds them or a round no
-longer pays; a bin that cannot take even the smallest other bin is final at once, so what is left stays small. A bin
-carries its pieces along (never more than its capacity in number), so merging bins moves rows, not joins.
-
-Edge cases: a null or empty text is its end id alone. Repeated rows and null ids are packed row by row. An empty table
-gives no rows. Other columns are ignored.
+Documents are encoded and cut into pieces where they are read. Each task packs its own pieces best-fit, longest first. Full and nearly
+full bins (``nearly`` of the capacity) are final. Two bins can only be merged if one is at most half full, and local best fit leaves at most one such bin
+for each pack of a task. So the bins that go on, as items of the next round, are the half-full ones and a few times as many of the roomiest others that
+can take the smallest; all the rest are final. Each round deals them to one task for ``FAN_IN`` half-full bins and packs them best-fit
+again, until one task holds them or no half-full bin is left. What goes on is in proportion to the tasks, not to the documents. A bin carries its
+pieces along (never more than its capacity in number), so merging bins moves rows, not joins.
+
+Edge cases: a null or empty text is its end id alone. Repeated rows and null ids are packed row by row. A very long text is cut into full pieces after
+a shorter first one. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,12 +23,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactdq.llm.common import written
+from contactdq.llm.common import slices, written
 from contactdq.llm.encoding import encoder
 
 CAPACITY = 1024
 TASK_BINS = 50_000
-NEARLY = 1.0
+NEARLY = 0.995
+FAN_IN = 64  # half-full bins, and so packs of the round before, that meet in one task
+PARTNERS = 8  # roomy bins that go on for each half-full one
 
 _PIECE = pa.struct([("doc_id", pa.int64()), ("piece", pa.int32()), ("start", pa.int64()), ("length", pa.int64()), ("ids_crc32", pa.int64())])
 _BIN_SCHEMA = pa.schema([("bin", pa.int64()), ("fill", pa.int32()), ("pieces", pa.list_(_PIECE))])
@@ -87,10 +91,10 @@ def _first_round(tokenizer: str, keeps_space: bool, end_id: int, capacity: int,
     def pack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encode, end = encoder(tokenizer, keeps_space), np.array([end_id], np.uint32)
         name, held = _name(0, TaskContext.get().partitionId()), []
-        for batch in batches:
+        for batch in slices(batches):
             full = []
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = np.concatenate((encode.ids(text), end)).astype("<u4")
+            for doc, own in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1))):
+                ids = np.concatenate((own, end)).astype("<u4")
                 start = 0
                 for k, n in enumerate(cut_lengths(len(ids), capacity)):
                     piece = {"doc_id": doc, "piece": k, "start": start, "length": n, "ids_crc32": zlib.crc32(ids[start : start + n].tobytes())}
@@ -133,27 +137,28 @@ def pack(
 
     ``nearly`` is the part of the capacity from which a bin counts as full. ``task_bins`` bounds what a task holds.
     """
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
     now = written(base.mapInArrow(_first_round(tokenizer, keeps_space, end_id, capacity, task_bins), _BIN), "bins")
-    done, turn = [], 0
+    done, turn, full, parts = [], 0, int(nearly * capacity), None
     while True:
-        full = int(nearly * capacity)
-        least = now.filter(F.col("fill") < full).agg(F.min("fill").alias("least"), F.count("*").alias("n")).first()
-        if least["n"] < 2:
+        # One row for each fill: never more than the capacity.
+        fills = {r["fill"]: r["count"] for r in now.filter(F.col("fill") < full).groupBy("fill").count().collect()}
+        small = sum(n for f, n in fills.items() if 2 * f <= capacity)
+        if not small or sum(fills.values()) < 2 or parts == 1:
             done.append(now)
             break
-        # The smallest underfull bin may pair with any bin that has room for it.
-        open_ = (F.col("fill") < full) & (F.col("fill") + F.lit(least["least"]) <= capacity)
+        most, wanted = min(fills), PARTNERS * small
+        for fill in sorted(f for f in fills if 2 * f > capacity and f + min(fills) <= capacity):
+            if wanted <= 0:
+                break
+            most, wanted = fill, wanted - fills[fill]
+        open_ = (F.col("fill") < full) & ((2 * F.col("fill") <= capacity) | (F.col("fill") <= most))
         done.append(now.filter(~open_))
         turn += 1
-        parts = max(1, -(-least["n"] // task_bins))
+        parts = -(-small // FAN_IN)
         again = now.filter(open_)
         dealt = again.coalesce(1) if parts == 1 else again.repartition(parts, F.xxhash64("bin", F.lit(turn)))
         now = written(dealt.mapInArrow(_next_round(turn, capacity, task_bins), _BIN), "bins")
-        left = now.filter(F.col("fill") < full).count()
-        if parts == 1 or left > 0.99 * least["n"]:
-            done.append(now)
-            break
     every = done[0]
     for more in done[1:]:
         every = every.unionByName(more)

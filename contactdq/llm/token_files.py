@@ -10,10 +10,11 @@ uint64 tokens), footer (uint64 blocks, uint64 documents, uint64 tokens, uint64 i
 Block: uint32 minimum, uint16 values, uint16 exceptions, uint8 width, packed bits, exceptions (uint16 place, uint32 high bits).
 
 Tasks write files of bounded size under names of their own and report them; only reported files are read, so a repeated
-task leaves at most unused files. Files are read with Spark's binary reader, one file a row.
+task leaves at most unused files. Blocks of one width are packed and unpacked together, a bounded number at a time.
 
-Edge cases: a null or empty text is its end id alone. Rows with one id keep all their texts, in any order among them; a null id comes
-first. An empty table writes no file and reads as no rows. Other columns are ignored.
+Edge cases: a null or empty text is its end id alone. Rows with one id keep all their texts, in the order of their texts' hashes, and are spread
+over files by them, so an id may hold any part of the rows; a null id comes first. A very long text is one run of ids, longer than a file's
+size if need be. An empty table writes no file and reads as no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -29,13 +30,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from contactdq.llm.common import shared_dir, shuffle_partitions, written
+from contactdq.llm.common import shared_dir, shuffle_partitions, slices, written
 from contactdq.llm.encoding import encoder
 
 MAGIC = b"PFR1"
 BLOCK = 1024
 PERCENTILE = 95.0
-FILE_TOKENS = 16_000_000
+FILE_TOKENS = 4_000_000
+_AT_ONCE = 256  # blocks that are packed or unpacked together
 _HEAD, _FOOT = struct.Struct("<IHHB"), struct.Struct("<QQQQ4s")
 _DOCUMENT = np.dtype([("id", "<i8"), ("has_id", "u1"), ("first", "<u8"), ("n", "<u8")])
 _EXCEPTION = np.dtype([("place", "<u2"), ("high", "<u4")])
@@ -68,15 +70,91 @@ def unpack_block(raw: bytes, at: int = 0) -> np.ndarray:
     return values + np.uint32(low)
 
 
+def _bits(rest: np.ndarray, width: int) -> np.ndarray:
+    """The low ``width`` bits of each value of each row, one after another from the lowest bit on; rows of a multiple of 64 values, as bytes."""
+    lanes = rest.reshape(len(rest), -1, 64).astype(np.uint64)
+    if width < 32:
+        lanes &= np.uint64((1 << width) - 1)
+    out = np.zeros((*lanes.shape[:2], width), np.uint64)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        out[:, :, word] |= lanes[:, :, k] << np.uint64(shift)
+        if shift + width > 64:
+            out[:, :, word + 1] |= lanes[:, :, k] >> np.uint64(64 - shift)
+    return out.astype("<u8").view(np.uint8).reshape(len(rest), -1)
+
+
+def _unbits(raw: np.ndarray, width: int, n: int) -> np.ndarray:
+    """The inverse of ``_bits`` for rows of n values."""
+    words = np.ascontiguousarray(raw).view("<u8").reshape(len(raw), n // 64, width)
+    out = np.empty((len(raw), n // 64, 64), np.uint32)
+    keep = np.uint64((1 << width) - 1)
+    for k in range(64):
+        word, shift = divmod(k * width, 64)
+        value = words[:, :, word] >> np.uint64(shift)
+        if shift + width > 64:
+            value = value | (words[:, :, word + 1] << np.uint64(64 - shift))
+        out[:, :, k] = value & keep
+    return out.reshape(len(raw), n)
+
+
+def _pack_whole_blocks(ids: np.ndarray, percentile: float) -> list[bytes]:
+    """``pack_block`` for every row of a table of blocks, those of one width at a time."""
+    n = ids.shape[1]
+    low = ids.min(axis=1)
+    rest = ids - low[:, None]
+    cut = np.percentile(rest, percentile, axis=1, method="higher")
+    widths = np.array([int(c).bit_length() for c in cut.tolist()])
+    out: list = [b""] * len(ids)
+    for width in np.unique(widths).tolist():
+        rows = np.flatnonzero(widths == width)
+        some = rest[rows]
+        packed = _bits(some, width) if width else np.zeros((len(rows), 0), np.uint8)
+        which, places = np.nonzero(some >> np.uint32(width)) if width < 32 else (np.zeros(0, np.int64),) * 2
+        outliers = np.zeros(len(places), _EXCEPTION)
+        outliers["place"], outliers["high"] = places, some[which, places] >> np.uint32(width) if len(places) else 0
+        bounds = np.searchsorted(which, np.arange(len(rows) + 1)).tolist()
+        for i, row in enumerate(rows.tolist()):
+            a, b = bounds[i], bounds[i + 1]
+            out[row] = _HEAD.pack(int(low[row]), n, b - a, width) + packed[i].tobytes() + outliers[a:b].tobytes()
+    return out
+
+
 def pack_file(ids: np.ndarray, documents: np.ndarray, percentile: float = PERCENTILE, block: int = BLOCK) -> bytes:
     """A whole file: the ids of its documents one after another, and their table."""
-    parts, starts, at = [MAGIC], [], len(MAGIC)
-    for i in range(0, len(ids), block):
-        parts.append(pack_block(ids[i : i + block], percentile))
-        starts.append(at)
-        at += len(parts[-1])
-    parts += [np.array(starts, "<u8").tobytes(), documents.tobytes(), _FOOT.pack(len(starts), len(documents), len(ids), at, MAGIC)]
-    return b"".join(parts)
+    blocks, whole = [], len(ids) // block * block if block % 64 == 0 else 0
+    for at in range(0, whole, block * _AT_ONCE):
+        blocks += _pack_whole_blocks(ids[at : min(whole, at + block * _AT_ONCE)].reshape(-1, block), percentile)
+    blocks += [pack_block(ids[i : i + block], percentile) for i in range(whole, len(ids), block)]
+    sizes = np.fromiter(map(len, blocks), np.int64, len(blocks))
+    ends = len(MAGIC) + np.cumsum(sizes)
+    at = int(ends[-1]) if len(ends) else len(MAGIC)
+    return b"".join([MAGIC, *blocks, (ends - sizes).astype("<u8").tobytes(), documents.tobytes(), _FOOT.pack(len(blocks), len(documents), len(ids), at, MAGIC)])
+
+
+def unpack_file(raw: bytes, starts: np.ndarray) -> np.ndarray:
+    """All values of a file, from its block starts."""
+    parts: list = [np.zeros(0, np.uint32)] * len(starts)
+    alike: dict[tuple[int, int], list[int]] = {}
+    heads = [_HEAD.unpack_from(raw, s) for s in starts.tolist()]
+    for i, (_, n, _, width) in enumerate(heads):
+        alike.setdefault((n, width), []).append(i)
+    every = np.frombuffer(raw, np.uint8)
+    for (n, width), rows in alike.items():
+        for some in (rows[k : k + _AT_ONCE] for k in range(0, len(rows), _AT_ONCE)):
+            if n % 64 or not width:
+                for i in some:
+                    parts[i] = unpack_block(raw, int(starts[i]))
+                continue
+            size, at = n * width // 8, starts[some].astype(np.int64) + _HEAD.size
+            values = _unbits(every[at[:, None] + np.arange(size)], width, n)
+            for k, i in enumerate(some):
+                low, _, exceptions, _ = heads[i]
+                if exceptions:
+                    outliers = np.frombuffer(raw, _EXCEPTION, exceptions, int(at[k]) + size)
+                    values[k, outliers["place"]] |= outliers["high"] << np.uint32(width)
+                parts[i] = values[k] + np.uint32(low)
+    return np.concatenate(parts) if parts else np.zeros(0, np.uint32)
 
 
 def read_index(raw: bytes) -> tuple[np.ndarray, np.ndarray]:
@@ -118,9 +196,8 @@ def _writer(folder: str, tokenizer: str, keeps_space: bool, end_id: int, percent
             _write(path, pack_file(np.concatenate(streams), np.array(table, _DOCUMENT), percentile))
             return pa.RecordBatch.from_arrays([pa.array([part], pa.int32()), pa.array([seq], pa.int32()), pa.array([path]), pa.array([size], pa.int64()), pa.array([len(table)], pa.int64())], schema=schema)
 
-        for batch in batches:
-            for doc, text in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                ids = encode.ids(text)
+        for batch in slices(batches):
+            for doc, ids in zip(batch.column(0).to_pylist(), encode.batch(batch.column(1))):
                 table.append((doc or 0, doc is not None, size, len(ids) + 1))
                 streams += [ids, end]
                 size += len(ids) + 1
@@ -139,21 +216,33 @@ def write_files(
     """Encode, append the end id, write files in ascending id order, and return their list: ``part, seq, path, n_tokens, n_docs, first`` (tokens in all files before)."""
     spark = docs.sparkSession
     folder = folder or f"{shared_dir(spark)}/tokens"
-    ordered = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text")).repartitionByRange(shuffle_partitions(spark), F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    # Rows of one id (or none) are spread and ordered by their texts.
+    order = [F.col("doc_id").asc_nulls_first(), F.xxhash64(F.coalesce("text", F.lit("")))]
+    ordered = base.repartitionByRange(shuffle_partitions(spark), *order).sortWithinPartitions(*order, F.col("text").asc_nulls_first())
     files = ordered.mapInArrow(_writer(folder, tokenizer, keeps_space, end_id, percentile, file_tokens), "part int, seq int, path string, n_tokens long, n_docs long")
     listed = written(files, "files")
-    before = Window.orderBy("part", "seq").rowsBetween(Window.unboundedPreceding, -1)
-    return listed.withColumn("first", F.coalesce(F.sum("n_tokens").over(before), F.lit(0)).cast("long"))
+    # Prefix sums in two steps: over the parts, of which there are as many as shuffle partitions, and over the files of each.
+    before = lambda *keys: Window.partitionBy(*keys[:-1]).orderBy(keys[-1]).rowsBetween(Window.unboundedPreceding, -1)
+    parts = listed.groupBy("part").agg(F.sum("n_tokens").alias("n")).select("part", F.coalesce(F.sum("n").over(before("part")), F.lit(0)).alias("base"))
+    return listed.join(parts, "part").withColumn("first", (F.col("base") + F.coalesce(F.sum("n_tokens").over(before("part", "seq")), F.lit(0))).cast("long")).drop("base")
+
+
+def _read(path: str) -> bytes:
+    from pyarrow import fs
+
+    store, place = fs.FileSystem.from_uri(path)
+    with store.open_input_stream(place) as file:
+        return file.read()
 
 
 def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     names = ["doc_id", "start", "n_tokens", "ids_crc32"]
     for batch in batches:
-        for raw, first in zip(batch.column(0), batch.column(1).to_pylist()):
-            raw = raw.as_py()
+        for path, first in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            raw = _read(path)
             starts, table = read_index(raw)
-            ids = np.concatenate([unpack_block(raw, int(s)) for s in starts]) if len(starts) else np.zeros(0, np.uint32)
-            le = memoryview(ids.astype("<u4").tobytes())
+            le = memoryview(unpack_file(raw, starts).astype("<u4", copy=False)).cast("B")
             crcs = [zlib.crc32(le[4 * a : 4 * (a + n)]) for a, n in zip(table["first"].tolist(), table["n"].tolist())]
             cols = [pa.array(table["id"].astype(np.int64), mask=table["has_id"] == 0), pa.array(table["first"].astype(np.int64) + first), pa.array(table["n"].astype(np.int64)), pa.array(crcs, pa.int64())]
             yield pa.RecordBatch.from_arrays(cols, names)
@@ -162,12 +251,8 @@ def _crcs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def read_files(spark: SparkSession, files: DataFrame) -> DataFrame:
     """One row for each document of the listed files: ``doc_id, start, n_tokens, ids_crc32``.
 
-    The list is broadcast: it has one small row for ``file_tokens`` tokens, or for a task that had fewer.
+    Tasks read the files that their rows of the list name, one at a time; nothing is broadcast or joined.
     """
-    folders = [r[0] for r in files.select(F.regexp_extract("path", r"^(.*)/[^/]+$", 1)).distinct().collect()]
-    schema = "doc_id long, start long, n_tokens long, ids_crc32 long"
-    if not folders:
-        return spark.createDataFrame([], schema)
-    name = lambda c: F.regexp_extract(c, r"([^/]+)$", 1)
-    raw = spark.read.format("binaryFile").load(folders).select(name(F.col("path")).alias("name"), "content")
-    return raw.join(F.broadcast(files.select(name(F.col("path")).alias("name"), "first")), "name").select("content", "first").mapInArrow(_crcs, schema)
+    listed = written(files.select("path", "first"), "list")
+    n = max(1, min(shuffle_partitions(spark), listed.count()))
+    return listed.repartition(n).mapInArrow(_crcs, "doc_id long, start long, n_tokens long, ids_crc32 long")
