@@ -48,16 +48,16 @@ def op5_secret_scans(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    from contactdq.llm.quality_rules import POLICIES, apply_policy, ledger
+    from contactdq.llm.quality_rules import POLICIES, apply_policy, ledger, mask
 
     book = ledger(table(spark, sf_dir, "documents"))
-    return apply_policy(book, POLICIES["strict-1"]).withColumn("base_failed", F.col("failed_bits").bitwiseAND(F.lit(3).cast("long")) != 0)
+    return apply_policy(book, POLICIES["strict-1"]).withColumn("base_failed", F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES["base-1"])).cast("long")) != 0)
 
 
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactdq.llm.sharding import shard
 
-    placed = shard(table(spark, sf_dir, "documents"), 16)
+    placed = shard(table(spark, sf_dir, "documents"), 16, rebalance_to=17)
     return placed.withColumns({"law": F.lit("bytes"), "grown_shard": F.lit(None).cast("int")})
 
 
