@@ -13,14 +13,20 @@ def url_filters(rules: tuple[tuple[str, str], ...]) -> str:
     path = lambda u: f"coalesce(regexp_extract({split(u)}, '^[^/?#]*([^?#]*)', 1), '')"
     query = lambda u: f"array_to_string(list_sort(list_filter(string_split(regexp_extract({u}, '\\?([^#]*)', 1), '&'), lambda x: x <> '' AND NOT regexp_matches(x, '^(?:utm_[a-z]+|ref|fbclid|gclid)='))), '&')"
     key = lambda u: f"CASE WHEN {host(u)} <> '' THEN regexp_replace({host(u)}, '^www\\.', '') || regexp_replace({path(u)}, '/+$', '') || CASE WHEN {query(u)} <> '' THEN '?' || {query(u)} ELSE '' END END"
+    steps = lambda p: f"list_transform(string_split(regexp_extract({p}, '^([^?#]*)', 1), '/')[2:], lambda x: [x])"
+    tidied = lambda p: f"array_to_string(list_reduce(list_concat([['']], {steps(p)}), lambda a, x: CASE WHEN x[1] = '..' THEN a[:greatest(len(a) - 1, 1)] WHEN x[1] = '.' THEN a ELSE list_concat(a, x) END), '/')"
+    tidy = lambda p: f"CASE WHEN regexp_matches(regexp_extract({p}, '^([^?#]*)', 1), '/\\.\\.?(?:/|$)') THEN {tidied(p)} || regexp_extract({p}, '^[^?#]*((?s:.*))$', 1) ELSE {p} END"
     return f"""
 WITH RECURSIVE rules(rule, rhost, rpath, v) AS (VALUES {listed}),
 found AS (
   SELECT url AS src, unnest(list_concat(
     list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<link\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)\\brel\\s*=\\s*["'']?canonical\\b')), lambda x: regexp_extract(x, '(?i)\\bhref\\s*=\\s*["'']?([^"''\\s>]+)', 1)),
-    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b')), lambda x: regexp_extract(x, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+)', 1)))) AS t
+    list_transform(list_filter(regexp_extract_all(coalesce(html, ''), '(?i)<meta\\b[^>]*>'), lambda x: regexp_matches(x, '(?i)http-equiv\\s*=\\s*["'']?refresh\\b')), lambda x: regexp_extract(x, '(?i)\\burl\\s*=\\s*["'']?([^"''\\s>;]+(?:;[^"''\\s>;]+)*)', 1)))) AS t
   FROM pages WHERE url IS NOT NULL),
-links AS (SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN regexp_extract(src, '^([^:/?#]+)://', 1) || ':' || t WHEN starts_with(t, '/') THEN regexp_extract(src, '^([^:/?#]+)://', 1) || '://' || {host('src')} || t END AS dst FROM found WHERE t <> ''),
+told AS (SELECT src, regexp_replace(t, '(?i)&(?:amp|#0*38|#x0*26);', '&', 'g') AS t, regexp_extract(src, '^([^:/?#]+)://', 1) AS scheme, {host('src')} AS h, {path('src')} AS p FROM found WHERE t <> ''),
+links AS (SELECT src, CASE WHEN regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*://') THEN t WHEN starts_with(t, '//') THEN scheme || ':' || t WHEN starts_with(t, '/') THEN scheme || '://' || h || {tidy('t')}
+  WHEN starts_with(t, '?') THEN scheme || '://' || h || p || t
+  WHEN NOT starts_with(t, '#') AND NOT regexp_matches(t, '^[A-Za-z][A-Za-z0-9+.-]*:') AND h <> '' THEN scheme || '://' || h || {tidy("(CASE WHEN contains(p, '/') THEN regexp_replace(p, '[^/]*$', '') ELSE '/' END || t)")} END AS dst FROM told),
 urls AS (SELECT DISTINCT url FROM pages UNION SELECT src FROM links WHERE dst IS NOT NULL UNION SELECT dst FROM links WHERE dst IS NOT NULL),
 known AS (SELECT url, {host('url')} AS host, {path('url')} AS path, {key('url')} AS key FROM urls),
 ruled AS (SELECT k.*, (SELECT max_by(struct_pack(rule := rule, v := v), length(rule)) FROM rules WHERE (k.host = rhost OR ends_with(k.host, '.' || rhost)) AND starts_with(k.path, rpath)) AS r FROM known k),

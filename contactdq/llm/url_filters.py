@@ -10,8 +10,9 @@ observed redirects. Components are found by distributed star contraction; only n
 is DataFrame operations.
 
 Edge cases: a null url or one without ``://`` has an empty host and path, fits no rule, has no aliases and is allowed.
-A null page or an unusable link gives no edge. Repeated rows are judged alike, a null page id is carried through, and
-an empty table gives an empty result.
+Of rules of one length that fit, the first in order of their strings decides, and of one string with two verdicts, allow.
+A null page or an unusable link gives no edge; a very long page is searched whole, once. Repeated rows are judged alike, a null page id is carried
+through, an empty table gives an empty result, and columns other than the three named are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -21,7 +22,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactdq.llm.common import ascii_lower
+from contactdq.llm.common import ascii_lower, written
 from contactdq.llm.components import components
 
 
@@ -90,22 +91,37 @@ def _with_joined_rule(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
 
 
 def link_targets(html: Column) -> Column:
-    """Targets of canonical links and of refreshing meta tags in a page, as an array."""
+    """Targets of canonical links and of refreshing meta tags in a page, as an array, with ``&amp;`` in its three spellings read as ``&``."""
     links = F.when(html.contains("canonical"), F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")))
     metas = F.when(html.rlike("(?i)http-equiv"), F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b")))
     none = F.array().cast("array<string>")
     hrefs = F.transform(F.coalesce(links, none), lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))
-    urls = F.transform(F.coalesce(metas, none), lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+)", 1))
-    return F.filter(F.concat(hrefs, urls), lambda x: x != "")
+    urls = F.transform(F.coalesce(metas, none), lambda x: F.regexp_extract(x, r"(?i)\burl\s*=\s*[\"']?([^\"'\s>;]+(?:;[^\"'\s>;]+)*)", 1))
+    return F.transform(F.filter(F.concat(hrefs, urls), lambda x: x != ""), lambda x: F.regexp_replace(x, r"(?i)&(?:amp|#0*38|#x0*26);", "&"))
+
+
+def _tidied(path: Column) -> Column:
+    """A path from its root without ``.`` and ``..`` steps; what follows ``?`` or ``#`` stays."""
+    own, rest = F.regexp_extract(path, r"\A([^?#]*)", 1), F.regexp_extract(path, r"(?s)\A[^?#]*(.*)\z", 1)
+    every = F.split(own, "/", -1)
+    steps = F.slice(every, F.lit(2), F.size(every))
+    kept = F.aggregate(
+        steps, F.array(F.lit("")), lambda done, x: F.when(x == "..", F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(1)))).when(x == ".", done).otherwise(F.array_append(done, x)), lambda done: F.array_join(done, "/")
+    )
+    return F.when(own.rlike(r"/\.\.?(?:/|\z)"), F.concat(kept, rest)).otherwise(path)
 
 
 def _resolved(target: Column, url: Column, host: Column) -> Column:
-    """An absolute address for a link: full, ``//host/...`` and ``/path`` forms; null for others."""
+    """An absolute address for a link: full, ``//host/...``, ``/path``, ``?query`` and relative forms; null for places in the page and for other schemes."""
     scheme = F.regexp_extract(url, r"\A([^:/?#]+)://", 1)
+    root, path = F.concat(scheme, F.lit("://"), host), path_of(url)
+    folder = F.when(path.contains("/"), F.regexp_replace(path, r"[^/]*\z", "")).otherwise("/")
     return (
         F.when(target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*://"), target)
         .when(target.startswith("//"), F.concat(scheme, F.lit(":"), target))
-        .when(target.startswith("/"), F.concat(scheme, F.lit("://"), host, target))
+        .when(target.startswith("/"), F.concat(root, _tidied(target)))
+        .when(target.startswith("?"), F.concat(root, path, target))
+        .when(~target.startswith("#") & ~target.rlike(r"\A[A-Za-z][A-Za-z0-9+.-]*:") & (host != ""), F.concat(root, _tidied(F.concat(folder, target))))
     )
 
 
@@ -117,30 +133,30 @@ def _keyed(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
 
 def link_edges(pages: DataFrame, url_col: str = "url", html_col: str = "html") -> DataFrame:
     """``src, dst`` addresses of the links and refreshes found in pages; two links or more that leave one page give as many rows."""
-    found = pages.filter(F.col(html_col).isNotNull()).select(F.col(url_col).alias("src"), F.explode(link_targets(F.col(html_col))).alias("to"))
-    return found.select("src", _resolved(F.col("to"), F.col("src"), host_of(F.col("src"))).alias("dst")).filter("dst IS NOT NULL AND src IS NOT NULL")
+    url, html = F.col(f"`{url_col}`"), F.col(f"`{html_col}`")
+    found = pages.filter(html.isNotNull() & url.isNotNull()).select(url.alias("src"), F.explode(link_targets(html)).alias("to"))
+    return found.select("src", _resolved(F.col("to"), F.col("src"), host_of(F.col("src"))).alias("dst")).filter("dst IS NOT NULL")
 
 
 def judge(
     pages: DataFrame, rules: list[UrlRule], id_col: str = "page_id", url_col: str = "url", html_col: str | None = "html", redirects: DataFrame | None = None
 ) -> DataFrame:
     """One row for each page: id, host, path, rule, verdict, and ``component`` (null for an address that stands alone)."""
-    own = _keyed(pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url")), rules)
+    own = _keyed(pages.select(F.col(f"`{id_col}`").alias("page_id"), F.col(f"`{url_col}`").alias("url")), rules)
     edges = [link_edges(pages, url_col, html_col)] if html_col else []
     edges += [redirects.select(F.col("src").cast("string"), F.col("dst").cast("string"))] if redirects is not None else []
     blocked = own.filter("rule_verdict = 'block' AND key IS NOT NULL").select("key")
-    joined = None
     if edges:
         every = edges[0]
         for more in edges[1:]:
             every = every.unionByName(more)
-        ends = {c: _keyed(every.select(F.col(c).alias("url"), "src", "dst"), rules) for c in ("src", "dst")}
-        keys = every.select(
-            canonical_key(F.col("src"), host_of(F.col("src")), path_of(F.col("src"))).alias("src"), canonical_key(F.col("dst"), host_of(F.col("dst")), path_of(F.col("dst"))).alias("dst")
-        )
-        joined = components(keys).withColumnRenamed("node", "key")
-        for end in ends.values():
-            blocked = blocked.unionByName(end.filter("rule_verdict = 'block' AND key IS NOT NULL").select("key"))
+        # Pages are parsed once: the edges are written, and both ends are judged and keyed from there.
+        every = written(every.distinct(), "edges")
+        ends = _keyed(every.select(F.posexplode(F.array("src", "dst")).alias("end", "url"), F.struct("src", "dst").alias("edge")), rules)
+        ends = written(ends.select("edge", "end", "key", F.coalesce(F.col("rule_verdict") == "block", F.lit(False)).alias("blocked")), "ends")
+        one = lambda end: F.max(F.when(F.col("end") == end, F.col("key")))
+        joined = components(ends.groupBy("edge").agg(one(0).alias("src"), one(1).alias("dst"))).withColumnRenamed("node", "key")
+        blocked = blocked.unionByName(ends.filter("blocked AND key IS NOT NULL").select("key"))
         own = own.join(joined, "key", "left")
         blocked = blocked.join(joined, "key", "left")
     else:
