@@ -1,26 +1,28 @@
 """Toxic spans and scores by a linear-chain conditional random field.
 
-Documents carry labels, tokens do not: a token counts as labelled toxic where it stands in a toxic document and has a
-feature (the word or its opening letters) that is far more frequent in toxic than in clean documents, and in many
-contexts, so that copies of one text teach nothing. On windows around such tokens a two-state chain is fitted
-by maximum likelihood: feature weights, bias and transitions, with gradients from forward-backward passes.
+Documents carry labels, tokens do not, so token labels are found in turns. At first a token counts as toxic where it stands in a toxic document and
+has a feature (the word or its opening letters) that is far more frequent in toxic than in clean documents, and in many contexts, so that copies
+of one text teach nothing. A two-state chain is fitted by maximum likelihood on windows around the tokens that have a feature: feature weights, bias
+and transitions, with gradients from forward-backward passes. Then the chain itself labels the toxic training documents: tokens of a marginal of
+a half or more count as toxic, the likeliest one where there is none, and the chain is fitted anew. So a token that the field cannot tell from clean ones loses its label, and one that
+it finds among toxic ones gains it.
 
 Scoring runs forward-backward over whole texts. Tokens without a feature all have one potential, so a run of them is a power
 of one 2x2 matrix, in closed form, and a text costs as many steps as it has tokens with a feature. The marginals give
-the spans; their sum, their maximum and their density give the score by a logistic function fitted on the
+the spans (places in the text, by code points); their sum, their maximum and their density give the score by a logistic function fitted on the
 training documents.
 
-The fit uses at most ``max_rows`` labelled documents of each class, those with the least hash of their id, with all features that pass the test
-and windows around all their tokens that have one; of the other tokens, it has those near four fixed places of each document. Everything scored is
-scored whole.
+Bounds of the fit, the only ones: at most ``max_rows`` labelled documents of each class, those with the least hash of their id, and as background
+the tokens near four fixed places of each. All features that pass the test enter, with windows around all tokens that have one. Everything scored is scored whole.
 
-Edge cases: null and empty texts score as texts without toxic tokens. Rows without an id are scored. Repeated rows score alike.
-Repeated labels of one id count once, as toxic if any is. Without labels of both classes every score is 0. An empty
-table gives no rows. Other columns are ignored.
+Edge cases: null and empty texts score as texts without toxic tokens. Rows without an id are scored. Repeated rows score alike. A very long text is scored whole.
+Repeated labels of one id count once, as toxic if any is, and so do equal texts of several ids. Without labels of both classes, or if no feature passes
+the test, every score is 0. An empty table gives no rows. Other columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
 
@@ -30,7 +32,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactdq.llm.common import written
+from contactdq.llm.common import slices, written
 from contactdq.llm.wordhash import alnum
 
 PREFIXES = (3, 4, 5, 6, 7)
@@ -38,6 +40,9 @@ SLOTS = 1 + len(PREFIXES)
 SIDE = 4
 LENGTH = 2 * SIDE + 1
 
+#: A token, as ``alnum`` finds it: no lower-casing makes an ASCII character that parts words, or removes one.
+_WORD = re.compile(r"[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+")
+
 #: Up to so many distinct windows the driver sums the gradients, beyond that Spark does.
 DRIVER_WINDOWS = 100_000
 
@@ -162,7 +167,7 @@ def slopes(theta: np.ndarray, windows: list[bytes], counts: np.ndarray) -> np.nd
         flat = np.frombuffer(b"".join(some), np.uint32).reshape(n, -1).astype(np.int64)
         features = flat[:, : LENGTH * SLOTS].reshape(-1, LENGTH, SLOTS)
         labels, valid = flat[:, LENGTH * SLOTS : LENGTH * (SLOTS + 1)], flat[:, LENGTH * (SLOTS + 1) :] == 1
-        linked = valid[:, :-1] & valid[:, 1:]
+        linked = valid[:, 1:]  # places before a text count as clean, places after it for nothing
         before, after = labels[:, :-1] == 1, labels[:, 1:] == 1
         seen = np.array([((p & linked).sum(axis=1) * many).sum() for p in (~before & after, before & ~after, before & after)])
         light = np.ones((n, LENGTH, 2))
@@ -170,10 +175,11 @@ def slopes(theta: np.ndarray, windows: list[bytes], counts: np.ndarray) -> np.nd
         forward, backward = np.empty((n, LENGTH, 2)), np.ones((n, LENGTH, 2))
         forward[:, 0] = light[:, 0]
         for k in range(1, LENGTH):
-            now = (forward[:, k - 1] @ move) * light[:, k]
+            now = np.where(linked[:, k - 1 : k], forward[:, k - 1] @ move, forward[:, k - 1].sum(axis=1, keepdims=True)) * light[:, k]
             forward[:, k] = now / now.sum(axis=1, keepdims=True)
         for k in range(LENGTH - 2, -1, -1):
-            now = (light[:, k + 1] * backward[:, k + 1]) @ move.T
+            now = light[:, k + 1] * backward[:, k + 1]
+            now = np.where(linked[:, k : k + 1], now @ move.T, now.sum(axis=1, keepdims=True))
             backward[:, k] = now / now.sum(axis=1, keepdims=True)
         both = forward * backward
         p = both[:, :, 1] / both.sum(axis=2)
@@ -237,14 +243,32 @@ def _feature_rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
             yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(bits), pa.array(np.full(len(keys), toxic, np.int32))], ["feature", "contexts", "toxic"])
 
 
-def _window_rows(numbers: dict[int, int], strong: set[int]):
+def _told_by_seeds(numbers: dict[int, int], strong: set[int]):
+    """First labels: tokens with a feature that is far more frequent in toxic documents."""
+    return lambda text, words: {i for i, word in enumerate(words) if not strong.isdisjoint(numbers[h] for h in feature_hashes(word) if h in numbers)}
+
+
+def _told_by(model: Model):
+    """Labels by a fitted chain: tokens of a marginal of a half or more, else the likeliest one."""
+    scorer = _Scorer(model)
+
+    def told(text: str | None, words: list[str]) -> set[int]:
+        _, _, places, p = scorer.batch([text])
+        return set(places[0][(p >= 0.5) | (p == p.max())].tolist()) if len(p) else set()
+
+    return told
+
+
+def _window_rows(numbers: dict[int, int], teacher: Callable):
     """Windows around all marked tokens (and at four fixed places), as bytes of feature numbers, labels and validity."""
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        told = teacher()
         for batch in batches:
             out = []
             for text, toxic in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
                 words = tokens(text)
+                bad = told(text, words) if toxic else set()
                 marked = {}
                 for i, word in enumerate(words):
                     own = [numbers[h] for h in feature_hashes(word) if h in numbers]
@@ -258,7 +282,7 @@ def _window_rows(numbers: dict[int, int], strong: set[int]):
                             ok[j] = 1
                             own = marked.get(i, ())
                             f[j, : len(own)] = own
-                            y[j] = toxic and not strong.isdisjoint(own)
+                            y[j] = i in bad
                     out.append(np.concatenate((f.ravel(), y, ok)).tobytes())
             yield pa.RecordBatch.from_arrays([pa.array(out, pa.binary())], ["window"])
 
@@ -290,11 +314,27 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_rows: int, id_col: str
     chosen = written(chosen.select(F.col("doc_id").alias("_d"), (F.col("toxic") > 0).cast("int").alias("toxic")), "chosen")
     # At most 2 * max_rows small rows are broadcast.
     rows = docs.select(F.col(id_col).cast("long").alias("_d"), F.col(text_col).alias("text")).join(F.broadcast(chosen), "_d").select("text", "toxic")
-    return written(rows.dropDuplicates(["text"]), "training"), totals
+    return written(rows.groupBy("text").agg(F.max("toxic").alias("toxic")), "training"), totals
+
+
+def _fit_windows(rows: DataFrame, numbers: dict[int, int], teacher: Callable) -> tuple[np.ndarray, float, tuple]:
+    # Equal windows have equal gradients: each is kept once, with its count.
+    windows = rows.select("text", "toxic").mapInArrow(_window_rows(numbers, teacher), "window binary").groupBy("window").agg(F.count("*").alias("n"))
+    windows = written(windows, "windows")
+    distinct, n_windows = windows.agg(F.count("*"), F.sum("n")).first()
+    if distinct <= DRIVER_WINDOWS:
+        raw = windows.orderBy("window").collect()
+        own, many = [bytes(r[0]) for r in raw], np.array([r[1] for r in raw])
+        return fit_chain(lambda theta: slopes(theta, own, many), n_windows, len(numbers))
+    return fit_chain(lambda theta: summed_slopes(theta, windows), n_windows, len(numbers))
+
+
+def _model(top: list, weights: np.ndarray, bias: float, moves: tuple) -> Model:
+    return Model({r["feature"]: float(weights[i + 1]) for i, r in enumerate(top) if abs(weights[i + 1]) > 0.02}, bias, moves)
 
 
-def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic") -> Model:
-    """Learn a model from at most ``max_rows`` labelled documents of each class."""
+def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, held_out: bool = True, id_col: str = "doc_id", text_col: str = "text", label_col: str = "toxic", turns: int = 1) -> Model:
+    """Learn a model from at most ``max_rows`` labelled documents of each class; ``turns`` is how often the chain labels them anew."""
     rows, totals = training_rows(docs, labels, max_rows, id_col, text_col, label_col, held_out)
     n = {r["toxic"]: r["count"] for r in rows.groupBy("toxic").count().collect()}
     if not n.get(0) or not n.get(1):
@@ -307,18 +347,11 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, held_out: bool
         return Model()
     numbers = {r["feature"]: i + 1 for i, r in enumerate(top)}
     strong = {i + 1 for i, r in enumerate(top) if r["odds"] >= 2.5}
-    # Equal windows have equal gradients: each is kept once, with its count.
-    windows = rows.mapInArrow(_window_rows(numbers, strong), "window binary").groupBy("window").agg(F.count("*").alias("n"))
-    windows = written(windows, "windows")
-    distinct, n_windows = windows.agg(F.count("*"), F.sum("n")).first()
-    if distinct <= DRIVER_WINDOWS:
-        raw = windows.orderBy("window").collect()
-        own, many = [bytes(r[0]) for r in raw], np.array([r[1] for r in raw])
-        slope_of = lambda theta: slopes(theta, own, many)
-    else:
-        slope_of = lambda theta: summed_slopes(theta, windows)
-    weights, bias, moves = fit_chain(slope_of, n_windows, len(top))
-    model = Model({r["feature"]: float(weights[i + 1]) for i, r in enumerate(top) if abs(weights[i + 1]) > 0.02}, bias, moves)
+    weights, bias, moves = _fit_windows(rows, numbers, lambda: _told_by_seeds(numbers, strong))
+    for _ in range(turns):
+        model = _model(top, weights, bias, moves)
+        weights, bias, moves = _fit_windows(rows, numbers, lambda m=model: _told_by(m))
+    model = _model(top, weights, bias, moves)
     told = rows.select("text", "toxic").mapInArrow(_summaries(model), "toxic int, x1 double, x2 double, x3 double").toPandas()
     x = np.column_stack((np.ones(len(told)), told[["x1", "x2", "x3"]].to_numpy()))
     # Classes count as in the whole training part, not as in the sample.
@@ -331,23 +364,36 @@ def fit(docs: DataFrame, labels: DataFrame, max_rows: int = 2000, held_out: bool
 def _scored(model: Model, spans_from: float):
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         scorer = _Scorer(model)
-        kind = pa.list_(pa.struct([("word", pa.int32()), ("probability", pa.float64())]))
-        for batch in batches:
-            lengths, counts, places, p = scorer.batch(batch.column(1).to_pylist())
+        kind = pa.list_(pa.struct([("start", pa.int32()), ("end", pa.int32()), ("probability", pa.float64())]))
+        for batch in slices(batches):
+            texts = batch.column(1).to_pylist()
+            lengths, counts, places, p = scorer.batch(texts)
             total = _squash(summary(lengths, counts, p) @ np.array(model.score)) if model.score else np.zeros(len(counts))
             ends = np.cumsum(counts)
-            spans = []
-            for at, n, end in zip(places, counts.tolist(), ends.tolist()):
-                own = p[end - n : end]
-                spans.append([{"word": int(w), "probability": float(q)} for w, q in zip(at[own >= spans_from], own[own >= spans_from])])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(spans, kind)], ["doc_id", "score", "toxic_words"])
+            spans = [toxic_spans(t, at[own >= spans_from], own[own >= spans_from]) for t, at, own in ((t, at, p[end - n : end]) for t, at, n, end in zip(texts, places, counts.tolist(), ends.tolist()))]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(total), pa.array(spans, kind)], ["doc_id", "score", "toxic_spans"])
 
     return score
 
 
+def toxic_spans(text: str | None, words: np.ndarray, p: np.ndarray) -> list[dict]:
+    """Places in a text, in code points, of words given by their numbers; words that follow each other make one span, of the greatest marginal."""
+    if not len(words):
+        return []
+    wanted, out, last = dict(zip(words.tolist(), p.tolist())), [], -2
+    for k, m in enumerate(_WORD.finditer(text)):
+        if k in wanted:
+            if last == k - 1:
+                out[-1].update(end=m.end(), probability=max(out[-1]["probability"], wanted[k]))
+            else:
+                out.append({"start": m.start(), "end": m.end(), "probability": wanted[k]})
+            last = k
+    return out
+
+
 def score(docs: DataFrame, model: Model, cut: float = 0.7, spans_from: float = 0.5, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row for each document: ``doc_id, held_out, score, predicted, toxic_words`` (numbers of words, from 0, with their marginals)."""
-    base = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
-    scored = base.mapInArrow(_scored(model, spans_from), "doc_id long, score double, toxic_words array<struct<word:int,probability:double>>")
+    """One row for each document: ``doc_id, held_out, score, predicted, toxic_spans`` (from and up to which code point, with the marginal)."""
+    base = docs.select(F.col(f"`{id_col}`").cast("long").alias("doc_id"), F.col(f"`{text_col}`").alias("text"))
+    scored = base.mapInArrow(_scored(model, spans_from), "doc_id long, score double, toxic_spans array<struct<start:int,end:int,probability:double>>")
     held = F.coalesce(F.expr("crc32(cast(doc_id AS string)) % 3 = 1"), F.lit(False))
-    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "toxic_words")
+    return scored.select("doc_id", held.alias("held_out"), "score", (F.col("score") >= cut).cast("int").alias("predicted"), "toxic_spans")
