@@ -138,3 +138,11 @@ def processed(rows: DataFrame, column: str, lists: Lists = Lists()) -> DataFrame
     state = F.when(F.col("_review"), "REVISION MANUAL").when(~F.col("_valid"), "BAJA").when(F.col("_modified"), "MODIFICADO").otherwise("CONSERVADO")
     step = step.withColumns({"ESTADO": state, "VALIDO": kept.cast("int"), "MAIL_DEPURADO": F.when(kept, F.concat("_u4", F.lit("@"), "v_domain"))})
     return step.drop(*_OWN, "v_domain", "v_valid", "v_modified", "v_reason", "v_review", "_review", "_valid", "_modified")
+
+
+def linguistic_log(rows: DataFrame, column: str, lists: Lists = Lists()) -> DataFrame:
+    """MAIL_ORIGINAL, MAIL_NORMALIZADO and DETALLE of the texts that were recovered by reading them as speech or misspelling; each distinct text once."""
+    step, notes = _respelled(rows, column, lists)
+    said = F.array_join(F.array_compact(F.array(*notes[1:])), "; ")
+    text = F.when(F.col("_one"), F.concat("_u4", F.lit("@"), "cut")).otherwise(F.col("_t7"))
+    return step.select(F.col(column).alias("MAIL_ORIGINAL"), text.alias("MAIL_NORMALIZADO"), said.alias("DETALLE")).filter("DETALLE <> ''").distinct()

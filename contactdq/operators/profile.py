@@ -65,6 +65,15 @@ def sample_profile(rows: DataFrame, columns: list[str], limit: int = 50) -> Data
     return profile(rows.limit(max(1, min(100, limit))), columns)
 
 
+def numbered(rows: DataFrame, column: str) -> DataFrame:
+    """The rows with a number from 1 in their order, without gaps; each task numbers its own after the counts of those before it."""
+    placed = rows.withColumns({"_part": F.spark_partition_id(), "_at": F.monotonically_increasing_id()})
+    before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    starts = placed.groupBy("_part").agg(F.count("*").alias("n"), F.min("_at").alias("_low")).withColumn("_start", F.coalesce(F.sum("n").over(before), F.lit(0)))
+    joined = placed.join(F.broadcast(starts.select("_part", "_low", "_start")), "_part")
+    return joined.select((F.col("_start") + F.col("_at") - F.col("_low") + 1).cast("long").alias(column), *[F.col(f"`{c}`") for c in rows.columns])
+
+
 def first_unique(rows: DataFrame, column: str, order: str) -> DataFrame:
     """Distinct values with the place of their first appearance."""
     return rows.groupBy(column).agg(F.min(order).alias("primera"))

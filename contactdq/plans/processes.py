@@ -21,16 +21,20 @@ def _stamped(result: DataFrame, at: datetime) -> DataFrame:
     return result.withColumn("FECHA_PROCESO", F.lit(at))
 
 
+def _yes(column: str):
+    return F.when(F.col(column), "SI").otherwise("NO").alias(column)
+
+
 def clean_mails(rows: DataFrame, at: datetime, id_col: str, column: str) -> DataFrame:
     """ID_ORIGEN, MAIL_ORIGINAL, MAIL_DEPURADO, FUE_DEPURADO, CAMBIOS, FECHA_PROCESO."""
     step = mails.cleaned(rows.select(F.col(id_col).cast("string").alias("ID_ORIGEN"), F.col(column).alias("MAIL_ORIGINAL")), "MAIL_ORIGINAL")
-    return _stamped(step.select("ID_ORIGEN", "MAIL_ORIGINAL", "MAIL_DEPURADO", F.col("FUE_DEPURADO").cast("int").alias("FUE_DEPURADO"), F.left(F.array_join("CAMBIOS", "; "), F.lit(1000)).alias("CAMBIOS")), at)
+    return _stamped(step.select("ID_ORIGEN", "MAIL_ORIGINAL", "MAIL_DEPURADO", _yes("FUE_DEPURADO"), F.left(F.array_join("CAMBIOS", "; "), F.lit(1000)).alias("CAMBIOS")), at)
 
 
 def clean_phones(rows: DataFrame, at: datetime, id_col: str, column: str, country: str = "AR") -> DataFrame:
     step = phones.cleaned_cells(rows, id_col, column, country)
     cols = ("PREFIJO_PAIS", "NUMERO_NACIONAL", "TELEFONO_DEPURADO", "E164", "ORIGEN_PAIS")
-    return _stamped(step.select(F.col("ID_ORIGEN").cast("string"), "TELEFONO_ORIGINAL", *cols, F.col("FUE_DEPURADO").cast("int").alias("FUE_DEPURADO"), F.left(F.array_join("CAMBIOS", "; "), F.lit(500)).alias("CAMBIOS")), at)
+    return _stamped(step.select(F.col("ID_ORIGEN").cast("string"), "TELEFONO_ORIGINAL", *cols, _yes("FUE_DEPURADO"), F.left(F.array_join("CAMBIOS", "; "), F.lit(500)).alias("CAMBIOS")), at)
 
 
 def validate_phones(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine") -> DataFrame:
@@ -117,7 +121,7 @@ def _counts(name: str, rows: DataFrame, result: DataFrame, parameters: dict) ->
     if name == "normalizacion":
         told = normalise.counts(rows, result, parameters["key"], parameters["media"])
         return told.select(F.col("filas_resultado").alias("total"), F.col("claves").alias("cuit_unicos"), F.col("valores").alias("medios"))
-    return profile.statistics(result.withColumn("FUE_DEPURADO", F.col("FUE_DEPURADO") == 1) if "FUE_DEPURADO" in result.columns else result, "cuit" if name == "cuit_dni" else name)
+    return profile.statistics(result.withColumn("FUE_DEPURADO", F.col("FUE_DEPURADO") == "SI") if "FUE_DEPURADO" in result.columns else result, "cuit" if name == "cuit_dni" else name)
 
 
 def run_all(clients: list[dict], load: Callable[[dict], DataFrame], name: str, at: datetime) -> list[tuple[str, str, str]]:

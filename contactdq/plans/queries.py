@@ -39,11 +39,25 @@ def made(spark: SparkSession, sf_dir: str, text: str) -> DataFrame:
     return spark.sql(text)
 
 
+# Names of two words on both sides: the percentage pairs each word with the closest free one, as far as 0.90 alike.
+_TWO = "trim(regexp_replace(upper({0}), '[^A-Z0-9 ]+', ' ', 'g'))"
+
+
+def _percent_sql(source: str) -> str:
+    """``source`` with ``pct``: the percentage of the names ``nx`` and ``ny``."""
+    jw = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE jaro_winkler_similarity({a}, {b}) END"
+    words = f"SELECT *, string_split(nx, ' ')[1] AS x1, string_split(nx, ' ')[2] AS x2, string_split(ny, ' ')[1] AS y1, string_split(ny, ' ')[2] AS y2 FROM ({source}) s"
+    alike = f"SELECT *, {jw('x1', 'y1')} AS s11, {jw('x1', 'y2')} AS s12, {jw('x2', 'y1')} AS s21, {jw('x2', 'y2')} AS s22 FROM ({words}) w"
+    first = f"SELECT *, greatest(s11, s12) AS f, CASE WHEN greatest(s11, s12) >= 0.9 THEN CASE WHEN s11 >= s12 THEN s22 ELSE s21 END ELSE greatest(s21, s22) END AS g FROM ({alike}) a"
+    return f"SELECT *, CASE WHEN nx = ny THEN 100.0 ELSE round(greatest(50 * (CASE WHEN f >= 0.9 THEN f ELSE 0 END + CASE WHEN g >= 0.9 THEN g ELSE 0 END), 100 * jaro_winkler_similarity(replace(nx, ' ', ''), replace(ny, ' ', ''))), 2) END AS pct FROM ({first}) f"
+
+
 # Name pairs ----------------------------------------------------------------------------------------------------------
 
 PARTS = "SELECT p_name AS n, min(p_partkey) AS id FROM part GROUP BY p_name"
 SWAP = "split_part({0}, ' ', 2) || ' ' || split_part({0}, ' ', 1)"
-PAIRS = f"SELECT a.id AS a_id, b.id AS b_id, a.n AS a, CASE WHEN b.id % 3 = 0 THEN {SWAP.format('b.n')} WHEN b.id % 3 = 1 THEN b.n || 'x' ELSE b.n END AS b FROM ({PARTS}) a JOIN ({PARTS}) b ON a.id % 4 = b.id % 4 OR a.n = b.n"
+# One pair for each line of an order: the names of the part with its part key and of the part with its supplier key, the second swapped, misspelt or as it is.
+PAIRS = f"SELECT l_orderkey * 8 + l_linenumber AS a_id, l_partkey AS b_id, p.p_name AS a, CASE (l_orderkey + l_linenumber) % 3 WHEN 0 THEN {SWAP.format('q.p_name')} WHEN 1 THEN q.p_name || 'x' ELSE q.p_name END AS b FROM lineitem JOIN part p ON p.p_partkey = l_partkey JOIN part q ON q.p_partkey = l_suppkey"
 
 _METRICS_SQL = f"""
 WITH p AS (SELECT a_id, b_id, trim(regexp_replace(upper(a), '[^A-Z0-9 ]+', ' ', 'g')) AS x, trim(regexp_replace(upper(b), '[^A-Z0-9 ]+', ' ', 'g')) AS y FROM ({PAIRS}) s),
@@ -74,11 +88,20 @@ def reason_histogram(spark, sf_dir):
     return names.reason_histogram(_compared(spark, sf_dir))
 
 
-@query("name_percentage")
+_PERCENTAGE_SQL = f"""SELECT a_id, b_id, pct AS "PORCENTAJE", cast(pct >= 80 AS INT) AS "COINCIDE", CASE WHEN nx = ny THEN 'DENOMINACION EXACTA' WHEN f >= 0.9 AND g >= 0.9 AND f = 1 AND g = 1 THEN 'COINCIDENTE: MISMOS NOMBRES EN OTRO ORDEN' WHEN f >= 0.9 AND g >= 0.9 THEN 'COINCIDENTE CON DIFERENCIAS DE TIPEO'
+ WHEN pct >= 80 THEN 'NOMBRES COINCIDENTES (>= 80%)' WHEN f >= 0.9 OR g >= 0.9 THEN 'COINCIDENCIA PARCIAL (1 de 2 nombres coinciden)' ELSE 'SIN COINCIDENCIA' END AS "ANALISIS" FROM ({_percent_sql(f"SELECT a_id, b_id, {_TWO.format('a')} AS nx, {_TWO.format('b')} AS ny FROM ({PAIRS}) s")}) p"""
+
+
+@query("name_percentage", _PERCENTAGE_SQL)
 def name_percentage(spark, sf_dir):
     return names.compared_denominations(made(spark, sf_dir, PAIRS), "a", "b", 80.0).select("a_id", "b_id", "PORCENTAJE", "COINCIDE", "ANALISIS")
 
 
+@query("denomination_counts", f"""SELECT count(*) AS total, count(*) FILTER ("COINCIDE" = 1) AS coincidentes, count(*) FILTER ("COINCIDE" = 0 AND "ANALISIS" <> 'SIN COINCIDENCIA') AS parciales, count(*) FILTER ("ANALISIS" = 'SIN COINCIDENCIA') AS sin_coincidencia FROM ({_PERCENTAGE_SQL}) z""")
+def denomination_counts(spark, sf_dir):
+    return profile.statistics(names.compared_denominations(made(spark, sf_dir, PAIRS), "a", "b", 80.0), "denominacion")
+
+
 NAMES = "SELECT 'c' || cast(c_custkey AS STRING) AS id, replace(c_name, '#', ' la  ') AS n FROM customer UNION ALL SELECT 'p' || cast(p_partkey AS STRING), p_name || ' | extra' FROM part UNION ALL SELECT 'n' || cast(n_nationkey AS STRING), CASE WHEN n_nationkey % 3 = 0 THEN lower(n_name) || '@x.com' WHEN n_nationkey % 3 = 1 THEN n_name || ' SRL' ELSE lower(n_name) || '_x' END FROM nation"
 _STOP = "('" + "','".join(("DE", "DEL", "LA", "LAS", "EL", "LOS", "Y", "E", "A", "EN", "CON", "THE", "OF", "AND")) + "')"
 _KEYED = f"""SELECT id, d, k, list_filter(list_distinct(string_split(k, ' ')), lambda t: length(t) >= 2 AND t NOT IN {_STOP}) AS toks FROM
@@ -302,19 +325,6 @@ def cuitificar_counts(spark, sf_dir):
     return identity.enrichment_counts(identity.enriched(made(spark, sf_dir, ASKED), _snapshot(spark, sf_dir), "n", "id"))
 
 
-# Names of two words on both sides: the percentage pairs each word with the closest free one, as far as 0.90 alike.
-_TWO = "trim(regexp_replace(upper({0}), '[^A-Z0-9 ]+', ' ', 'g'))"
-
-
-def _percent_sql(source: str) -> str:
-    """``source`` with ``pct``: the percentage of the names ``nx`` and ``ny``."""
-    jw = lambda a, b: f"CASE WHEN {a} = {b} THEN 1.0 ELSE jaro_winkler_similarity({a}, {b}) END"
-    words = f"SELECT *, string_split(nx, ' ')[1] AS x1, string_split(nx, ' ')[2] AS x2, string_split(ny, ' ')[1] AS y1, string_split(ny, ' ')[2] AS y2 FROM ({source}) s"
-    alike = f"SELECT *, {jw('x1', 'y1')} AS s11, {jw('x1', 'y2')} AS s12, {jw('x2', 'y1')} AS s21, {jw('x2', 'y2')} AS s22 FROM ({words}) w"
-    first = f"SELECT *, greatest(s11, s12) AS f, CASE WHEN greatest(s11, s12) >= 0.9 THEN CASE WHEN s11 >= s12 THEN s22 ELSE s21 END ELSE greatest(s21, s22) END AS g FROM ({alike}) a"
-    return f"SELECT *, CASE WHEN nx = ny THEN 100.0 ELSE round(greatest(50 * (CASE WHEN f >= 0.9 THEN f ELSE 0 END + CASE WHEN g >= 0.9 THEN g ELSE 0 END), 100 * jaro_winkler_similarity(replace(nx, ' ', ''), replace(ny, ' ', ''))), 2) END AS pct FROM ({first}) f"
-
-
 def _registry_sql(asked: str) -> str:
     """CTEs for ``asked`` (id, c, d, nm): ``hits`` of the registry by either key, with percentage and alerts, and ``told``: the best ones of each row."""
     variants = "SELECT id, nm, d, unnest([0, 1, 2]) AS pos, unnest([d, CASE WHEN length(d) < 8 THEN lpad(d, 8, '0') ELSE d END, ltrim(d, '0')]) AS k FROM asked WHERE d <> ''"
@@ -403,6 +413,13 @@ def subject_validation(spark, sf_dir):
     return found.select("id", "DNI", "ESTADO_VALIDACION", "CUIT_ASIGNADO", "PORCENTAJE", "CANDIDATOS", "ALERTAS")
 
 
+@query("partial_search", f"""SELECT "CUIT", "DENOMINACION" FROM {_SNAP} r WHERE contains(dn, '14') OR contains(cn, '14') ORDER BY dn, cn LIMIT 200""")
+def partial_search(spark, sf_dir):
+    from contactdq.sources.registry import partial_search as search
+
+    return search(_snapshot(spark, sf_dir), "14").select("CUIT", "DENOMINACION")
+
+
 @query(
     "low_marks",
     f"""SELECT "CUIT", coalesce("MARCA_BAJA", '') = '*' AS baja, CASE WHEN "MARCA_BAJA" = '*' THEN 'Marcado como BAJA en el padrón' WHEN "MARCA_BAJA" = 'Q' THEN 'MARCA_BAJA con valor no reconocido: ''Q'' (se trata como activo)' ELSE '' END AS nota FROM ({REGISTRY}) s""",

@@ -39,7 +39,7 @@ _NOT_CP1252 = "[\x81\x8d\x8f\x90\x9d]"
 
 
 def file_encoding(spark: SparkSession, path: str, first: bytes) -> str:
-    """As ``detect_encoding`` on all bytes of the file: Spark's text reader keeps the bytes of a line as they are."""
+    """As ``detect_encoding`` on all bytes of the file: Spark's text reader keeps the bytes of a line as they are, but for a mark of the byte order at the start."""
     lines = spark.read.text(path)
     tests = lines.agg(F.min(F.is_valid_utf8("value")), F.max(F.decode(F.col("value").cast("binary"), "ISO-8859-1").rlike(_NOT_CP1252))).first()
     if tests[0] is not False:
@@ -67,21 +67,30 @@ def is_header(cells: list[str]) -> bool:
 
 
 def head(spark: SparkSession, path: str, n: int = 4096) -> bytes:
-    """The first bytes of a file, wherever Spark can read it."""
-    row = spark.read.format("binaryFile").load(path).select(F.substring("content", 1, n).alias("b")).first()
-    return bytes(row["b"]) if row else b""
+    """The first bytes of a file, wherever Spark can read it: whole lines from the start, as many as it takes, ``n`` bytes at most."""
+    lines = spark.read.text(path).select(F.substring(F.col("value").cast("binary"), 1, n).alias("b")).limit(max(20, n // 64)).collect()
+    return b"\n".join(bytes(r["b"]) for r in lines)[:n]
+
+
+def _spans_lines(spark: SparkSession, path: str) -> bool:
+    """Whether a quoted cell can reach over a line end: some line has an odd number of quotes."""
+    quotes = F.length("value") - F.length(F.translate("value", '"', ""))
+    return bool(spark.read.text(path).agg(F.max(quotes % 2)).first()[0])
 
 
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | None, str]:
-    """(rows, header or None, delimiter). Without a header the columns are c0, c1, ..."""
+    """(rows, header or None, delimiter). Without a header the columns are c0, c1, ...
+
+    A file is read in as many parts as it has blocks, but as one where quoted cells reach over line ends.
+    """
     raw = head(spark, path, 65536)
     encoding = file_encoding(spark, path, raw)
-    text = raw.decode(encoding, "replace")
+    text = raw.decode(encoding, "replace").removeprefix("\ufeff")
     delimiter = detect_delimiter(text[:4096])
     first = next((x for x in text.splitlines() if x.strip()), "").split(delimiter)
     header = [c.strip().strip('"') for c in first] if is_header(first) else None
     spark_encoding = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
-    rows = spark.read.options(sep=delimiter, header=header is not None, encoding=spark_encoding, multiLine=True, quote='"', escape='"', mode="PERMISSIVE").csv(path)
+    rows = spark.read.options(sep=delimiter, header=header is not None, encoding=spark_encoding, multiLine=_spans_lines(spark, path), quote='"', escape='"', mode="PERMISSIVE").csv(path)
     rows = rows.toDF(*(header or [f"c{i}" for i in range(len(rows.columns))]))
     if encoding == "cp1252":
         names = rows.columns
@@ -90,6 +99,12 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | N
     return rows, header, delimiter
 
 
+def _cells(line: Column, delimiter: str) -> Column:
+    """The cells of a line; a delimiter between quotes parts nothing, doubled quotes are one."""
+    outside = F.split(F.concat(line, F.lit(delimiter)), f'\\Q{delimiter}\\E(?=(?:[^"]*"[^"]*")*[^"]*$)', -1)
+    return F.transform(F.slice(outside, F.lit(1), F.size(outside) - 1), lambda x: F.regexp_replace(F.regexp_replace(F.trim(x), r'(?s)^"(.*)"$', "$1"), '""', '"'))
+
+
 def read_contacts(spark: SparkSession, path: str, column: str) -> DataFrame:
     """Rows below the first line that has ``column`` as a cell, whatever its case; blank rows are dropped, short ones padded, long ones cut."""
     raw = head(spark, path, 65536)
@@ -99,7 +114,7 @@ def read_contacts(spark: SparkSession, path: str, column: str) -> DataFrame:
     if not encoding.startswith("utf-8"):
         latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
         lines = lines.withColumn("value", _as_cp1252(latin) if encoding == "cp1252" else latin)
-    cells = lines.withColumn("_c", F.transform(F.split(F.regexp_replace("value", "^﻿", ""), f"\\Q{delimiter}\\E"), lambda x: F.btrim(F.trim(x), F.lit('"'))))
+    cells = lines.withColumn("_c", _cells(F.regexp_replace("value", "^\ufeff", ""), delimiter))
     found = cells.filter(F.exists("_c", lambda x: F.lower(F.trim(x)) == column.lower())).orderBy("_n").limit(1).first()
     if found is None:
         raise ValueError(f"no header with {column!r} in {path}")

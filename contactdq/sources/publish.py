@@ -66,6 +66,14 @@ def write_csv(result: DataFrame, path: str, sep: str = ",", bom: bool = True) ->
     return True
 
 
+def publish_with_csv(result: DataFrame, path: str, csv_path: str, sep: str = ",") -> int:
+    """Publish a result, then write the CSV beside it from what was stored, so the plan runs once; the number of rows."""
+    stored = publish(result, path)
+    if stored:
+        write_csv(result.sparkSession.read.schema(result.schema).parquet(path), csv_path, sep)
+    return stored
+
+
 def snapshot(registry: DataFrame, table: str, buckets: int = 256) -> None:
     """A registry table bucketed and sorted by DNI_NORM, so lookups join it without a shuffle."""
     registry.write.bucketBy(buckets, "DNI_NORM").sortBy("DNI_NORM").mode("overwrite").saveAsTable(checked_identifier(table))

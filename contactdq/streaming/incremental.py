@@ -8,8 +8,8 @@ from pyspark.sql import DataFrame, SparkSession
 
 
 def new_rows(rows: DataFrame, done: DataFrame, key: str) -> DataFrame:
-    """Rows whose key is not among the processed ones; one for each key. State grows with what is stored, not in memory."""
-    return rows.dropDuplicates([key]).join(done.select(key).distinct(), key, "left_anti")
+    """Rows whose key is not among the processed ones; repeated and null keys keep all their rows. State grows with what is stored, not in memory."""
+    return rows.join(done.select(key).distinct(), key, "left_anti")
 
 
 def caught_up(spark: SparkSession, source: str, schema, transform: Callable[[DataFrame], DataFrame], target: str, checkpoint: str, key: str | None = None) -> None:

@@ -33,6 +33,13 @@ def test_six_metrics(spark):
     assert rows[2].DETALLE == "Letras intercambiadas: MARIA / MAIRA" and rows[3].DETALLE == "Difieren: RODRIGUEZ / RODRIGEZ" and rows[4].DETALLE.endswith(": MARIA")
 
 
+def test_folding_beyond_the_latin_blocks(spark):
+    from contactdq.functions.text import compared_name, folded, percent_name
+
+    row = spark.createDataFrame([("Nguy\u1ec7n \uff21na\u00a0Nu\u00f1ez n\u00ba \u2460\u0301",)], "n string").select(compared_name(F.col("n")).alias("a"), percent_name(F.col("n")).alias("b"), folded(F.col("n"), "\u1ec7").alias("c")).first()
+    assert row.a == "NGUYEN ANA NU\u00d1EZ NO 1" and row.b == "NGUYEN ANA NUNEZ NO 1" and row.c.startswith("Nguy\u1ec7n")
+
+
 def test_distances():
     assert damerau_of("CA", "ABC") == 2 and damerau_of("", "ab") == 2
     assert round(jaro_winkler_of("JUAN PEREZ", "PEREZ JUAN"), 2) == 0.30
@@ -159,6 +166,23 @@ def test_files(spark, tmp_path):
     assert [(r.username, r.Nombre) for r in files.read_contacts(spark, str(path), "nombre").collect()] == [("x", "Ana"), ("y", "")]
     assert files.normalisation_columns(["CUIT", "TELEFONO", "EMAIL", "ORIGEN"], []) == (0, [1, 2], [3])
     assert files.read_list(spark, str(tmp_path / "none.txt"), ("a",)) == ("a",)
+    path.write_text('x;y\nid;"Nombre; completo";nota\n1;"Paz; Ana ""la""";b\n', encoding="utf-8")
+    assert [tuple(r) for r in files.read_contacts(spark, str(path), "nota").collect()] == [("1", 'Paz; Ana "la"', "b")]
+    path.write_text('id,nombre,nota\n1,Ana,"two\nlines"\n2,Luis,\n', encoding="utf-8")
+    assert [r.nota for r in files.read_table(spark, str(path))[0].collect()] == ["two\nlines", None]
+
+
+def test_columns_by_process():
+    """By name, by content, by place; APELLIDO holds "id" but is no key."""
+    assert files.is_header(["Titular", "x@y.z"]) and not files.is_header(["a@b.c"]) and not files.is_header(["1", "2"])
+    find = files.process_columns
+    assert find(["APELLIDO", "CORREO", "ID_CLI"], [], "mails") == (2, 1) and find(None, ["1", "a@b.c"], "osint") == (None, 1)
+    assert find(["ID_MAIL", "Email"], [], "mails") == (0, 1)
+    assert find(["nombre", "celular"], [], "telefonos") == (None, 1) and find(None, ["Ana", "11 4444", "x"], "telefonos") == (None, 1) and find(None, [], "telefonos") == (None, 0)
+    assert find(["Apellido", "Nro_Doc"], [], "cuit") == (1, 0) and find(None, ["Ana Paz", "20-1-2"], "cuit") == (1, 0) and find(None, [], "cuitificacion") == (0, 1)
+    assert find(["id", "Nombre", "Razon"], [], "denominacion") == (1, 2) and find(["a", "nombre"], [], "comparacion") == (0, 1)
+    assert files.normalisation_columns(["Apellido", "wsp", "x"], []) == (0, [1], [2])
+    assert files.normalisation_columns(None, ["7", "a@b.c", "1144445555", "x"]) == (0, [1, 2], [3]) and files.normalisation_columns(["a", "b"], ["1", "c@d"], ("telefonos",)) == (0, [], [1])
 
 
 def test_encodings_by_all_bytes(spark, tmp_path):
