@@ -10,6 +10,8 @@ from collections import Counter
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from contactdq.sources.workbook import SUFFIXES, workbook_rows
+
 #: Encodings and delimiters in order of trial, and words that make a row a header.
 ENCODINGS = ("utf-8-sig", "utf-8", "cp1252", "latin-1")
 DELIMITERS = (";", ",", "\t", "|")
@@ -78,11 +80,28 @@ def _spans_lines(spark: SparkSession, path: str) -> bool:
     return bool(spark.read.text(path).agg(F.max(quotes % 2)).first()[0])
 
 
+def _columns(rows: DataFrame, names: list[str]) -> DataFrame:
+    """Rows with ``_c`` as columns; short ones padded, long ones cut, rows without any value left out."""
+    return rows.filter(F.exists("_c", lambda x: F.trim(x) != "")).select(*[F.coalesce(F.get("_c", i), F.lit("")).alias(name) for i, name in enumerate(names)])
+
+
+def _read_workbook(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | None, str]:
+    rows = workbook_rows(spark, path)
+    first = rows.orderBy("_n").limit(1).first()
+    cells = [c.strip() for c in first["_c"]] if first else []
+    width = rows.agg(F.max(F.size("_c"))).first()[0] or 0
+    header = cells if is_header(cells) else None
+    names = [*(header or []), *[f"c{i}" for i in range(len(header or []), width)]]
+    return _columns(rows.filter(F.col("_n") > (0 if header else -1)), names), header, ","
+
+
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | None, str]:
-    """(rows, header or None, delimiter). Without a header the columns are c0, c1, ...
+    """(rows, header or None, delimiter) of a delimited file or a workbook. Without a header the columns are c0, c1, ...
 
     A file is read in as many parts as it has blocks, but as one where quoted cells reach over line ends.
     """
+    if path.lower().endswith(SUFFIXES):
+        return _read_workbook(spark, path)
     raw = head(spark, path, 65536)
     encoding = file_encoding(spark, path, raw)
     text = raw.decode(encoding, "replace").removeprefix("\ufeff")
@@ -106,7 +125,15 @@ def _cells(line: Column, delimiter: str) -> Column:
 
 
 def read_contacts(spark: SparkSession, path: str, column: str) -> DataFrame:
-    """Rows below the first line that has ``column`` as a cell, whatever its case; blank rows are dropped, short ones padded, long ones cut."""
+    """Rows of a delimited file or a workbook below the first one that has ``column`` as a cell, whatever its case; blank rows are dropped, short ones padded, long ones cut."""
+    cells = workbook_rows(spark, path) if path.lower().endswith(SUFFIXES) else _delimited_rows(spark, path)
+    found = cells.filter(F.exists("_c", lambda x: F.lower(F.trim(x)) == column.lower())).orderBy("_n").limit(1).first()
+    if found is None:
+        raise ValueError(f"no header with {column!r} in {path}")
+    return _columns(cells.filter(F.col("_n") > found["_n"]), [c.strip() for c in found["_c"]])
+
+
+def _delimited_rows(spark: SparkSession, path: str) -> DataFrame:
     raw = head(spark, path, 65536)
     encoding = file_encoding(spark, path, raw)
     delimiter = detect_delimiter(raw.decode(encoding, "replace")[:8192])
@@ -114,13 +141,7 @@ def read_contacts(spark: SparkSession, path: str, column: str) -> DataFrame:
     if not encoding.startswith("utf-8"):
         latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
         lines = lines.withColumn("value", _as_cp1252(latin) if encoding == "cp1252" else latin)
-    cells = lines.withColumn("_c", _cells(F.regexp_replace("value", "^\ufeff", ""), delimiter))
-    found = cells.filter(F.exists("_c", lambda x: F.lower(F.trim(x)) == column.lower())).orderBy("_n").limit(1).first()
-    if found is None:
-        raise ValueError(f"no header with {column!r} in {path}")
-    names = [c.strip() for c in found["_c"]]
-    body = cells.filter((F.col("_n") > found["_n"]) & F.exists("_c", lambda x: x != ""))
-    return body.select(*[F.coalesce(F.get("_c", i), F.lit("")).alias(name) for i, name in enumerate(names)])
+    return lines.select("_n", _cells(F.regexp_replace("value", "^\ufeff", ""), delimiter).alias("_c"))
 
 
 def _named(header: list[str] | None, test) -> list[int]:

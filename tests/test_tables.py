@@ -6,7 +6,7 @@ import pytest
 
 from contactdq.operators import mail_agent
 from contactdq.plans import history, processes, schemas
-from contactdq.sources import publish, registry
+from contactdq.sources import files, publish, registry
 
 NOW = datetime(2026, 8, 4, 16, 30, 5)
 
@@ -74,3 +74,43 @@ def test_csv_beside_the_table_and_linguistic_log(spark, tmp_path):
     assert [(r.MAIL_ORIGINAL, r.MAIL_NORMALIZADO) for r in log] == [("ana arroba hotmail punto com", "ana@hotmail.com")] and log[0].DETALLE
     assert publish.publish_with_csv(rows, f"file://{tmp_path}/t", f"file://{tmp_path}/c") == 4
     assert spark.read.csv(f"file://{tmp_path}/c", header=True).count() >= 3
+
+
+def workbook(path, rows, shared=True):
+    """A workbook of two sheets; the second, active one has the rows, None for a cell that is not there."""
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    main, rels = "http://schemas.openxmlformats.org/spreadsheetml/2006/main", "http://schemas.openxmlformats.org/officeDocument/2006/relationships"
+    strings, body = [], ""
+    for r, cells in rows:
+        body += f'<row r="{r}">'
+        for k, c in enumerate(cells):
+            if isinstance(c, str) and shared:
+                strings.append(c)
+                body += f'<c r="{chr(65 + k)}{r}" t="s"><v>{len(strings) - 1}</v></c>'
+            elif isinstance(c, str):
+                body += f'<c r="{chr(65 + k)}{r}" t="inlineStr"><is><t>{escape(c)}</t></is></c>'
+            elif c is not None:
+                body += f'<c r="{chr(65 + k)}{r}"><v>{c}</v></c>'
+        body += "</row>"
+    sheet = f'<worksheet xmlns="{main}"><sheetData>{{}}</sheetData></worksheet>'
+    with zipfile.ZipFile(path, "w") as z:
+        z.writestr("xl/workbook.xml", f'<workbook xmlns="{main}" xmlns:r="{rels}"><bookViews><workbookView activeTab="1"/></bookViews><sheets><sheet name="a" r:id="rId1"/><sheet name="b" r:id="rId2"/></sheets></workbook>')
+        z.writestr("xl/_rels/workbook.xml.rels", '<Relationships><Relationship Id="rId1" Target="worksheets/sheet1.xml"/><Relationship Id="rId2" Target="/xl/worksheets/sheet2.xml"/></Relationships>')
+        z.writestr("xl/worksheets/sheet1.xml", sheet.format(""))
+        z.writestr("xl/worksheets/sheet2.xml", sheet.format(body))
+        if shared:
+            z.writestr("xl/sharedStrings.xml", f'<sst xmlns="{main}">' + "".join(f"<si><r><t>{escape(x[:2])}</t></r><r><t>{escape(x[2:])}</t></r></si>" for x in strings) + "</sst>")
+
+
+def test_workbooks(spark, tmp_path):
+    for shared in (True, False):
+        path = f"{tmp_path}/{shared}.xlsx"
+        workbook(path, [(1, ["Reporte"]), (3, ["username", "Nombre", "n"]), (4, ["x", "Ana & Luis", 7]), (6, [None, "Eva"]), (7, [None, None, None])], shared)
+        assert [(r.username, r.Nombre, r.n) for r in files.read_contacts(spark, path, "nombre").collect()] == [("x", "Ana & Luis", "7"), ("", "Eva", "")]
+        workbook(path, [(1, ["CUIT", "Correo"]), (2, [20123456783, "a@b.c", "more"])], shared)
+        rows, header, _ = files.read_table(spark, path)
+        assert header == ["CUIT", "Correo"] and [tuple(r) for r in rows.collect()] == [("20123456783", "a@b.c", "more")]
+    workbook(f"{tmp_path}/none.xlsx", [])
+    assert files.read_table(spark, f"{tmp_path}/none.xlsx")[0].count() == 0
