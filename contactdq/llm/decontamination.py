@@ -11,7 +11,8 @@ has a fixed size, so it is broadcast whatever the benchmark's size; a wrong bit
 
 Edge cases: null and empty texts have no words and are never hit. Items without words have no window; an item without
 an id can hit words but is not counted or listed. Repeated items count once, repeated documents are judged row by row,
-a null doc_id is carried through. An empty benchmark or document table works. Other columns are ignored.
+a null doc_id is carried through. A very long text is scanned whole. An empty benchmark or document table works. Other columns are
+ignored, and kept by ``clean_documents`` whatever their names.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from contactdq.llm.common import written
+from contactdq.llm.common import slices, whole_row, written
 from contactdq.llm.wordhash import alnum, run_hashes, word_hashes
 
 SHINGLE = 5
@@ -80,7 +81,7 @@ def _scanned(docs: DataFrame, windows: DataFrame, window: int, id_col: str, text
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         bits = np.unpackbits(bitmap.value, bitorder="little").view(bool)
         rid = TaskContext.get().partitionId() << 40
-        for batch in batches:
+        for batch in slices(batches):
             counts, found = [], []
             for text in batch.column(1).to_pylist():
                 words = alnum(text)
@@ -141,7 +142,13 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_co
 
 
 def clean_documents(docs: DataFrame, benchmark: DataFrame, window: int = 10, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` without a benchmark window. Texts, not ids, are the key, so null or repeated ids are safe."""
-    keyed = docs.withColumn("_key", F.sha2(F.coalesce(F.col(text_col), F.lit("")), 256))
-    bad = contamination(keyed, benchmark, window, "_key", text_col).filter("n_hit > 0").select(F.col("doc_id").alias("_key")).distinct()
-    return keyed.join(bad, "_key", "left_anti").select(*[F.col(f"`{c}`") for c in docs.columns])
+    """The rows of ``docs`` without a benchmark window, with their own columns.
+
+    Texts, not ids, are the key (a 64-bit hash, the CRC-32 and the length), so null or repeated ids are safe. Rows are looked up among the
+    keys of contaminated texts: Spark sends these to the rows while they are few, and else shuffles both.
+    """
+    text = F.coalesce(F.col(f"`{text_col}`"), F.lit(""))
+    keyed = docs.select(whole_row(docs), text.alias("_text"), F.xxhash64(text).alias("_k1"), (F.shiftleft(F.crc32(text.cast("binary")), 31) + F.octet_length(text)).alias("_k2"))
+    found = contamination(keyed.select("_text", F.struct("_k1", "_k2").alias("_key")), benchmark, window, "_key", "_text")
+    bad = written(found.filter("n_hit > 0").select("doc_id._k1", "doc_id._k2").distinct(), "contaminated")
+    return keyed.drop("_text").join(bad, ["_k1", "_k2"], "left_anti").select("_row.*")

@@ -82,3 +82,10 @@ v AS (SELECT doc_id, unnest(w) AS t, unnest(range(1, len(w) + 1)) AS pos FROM d)
 k AS (SELECT v.doc_id, string_agg(t, ' ' ORDER BY pos) AS t FROM v ANTI JOIN p USING (doc_id, pos) GROUP BY v.doc_id),
 c AS (SELECT doc_id, count(*) AS n FROM p GROUP BY doc_id)
 SELECT d.doc_id, CAST(len(d.w) AS BIGINT) AS n_words, CAST(coalesce(c.n, 0) AS BIGINT) AS n_removed, sha256(coalesce(k.t, '')) AS kept_sha256 FROM d LEFT JOIN c USING (doc_id) LEFT JOIN k USING (doc_id)"""
+
+
+def quality_ablation(rules: tuple[str, ...]) -> str:
+    """Counts by rule, all of which reject, over the ledger."""
+    full = (1 << len(rules)) - 1
+    one = "SELECT 'strict-1' AS policy_version, count(*) AS n_docs, '{0}' AS rule, {1} AS bit, count(*) FILTER (failed_bits & {2} <> 0) AS n_failed, count(*) FILTER (failed_bits = {2}) AS n_failed_alone, count(*) FILTER (failed_bits & {3} = 0) AS n_kept_without FROM ledger"
+    return f"WITH ledger AS ({QUALITY_RULES}) " + " UNION ALL ".join(one.format(r, k, 1 << k, full & ~(1 << k)) for k, r in enumerate(rules))

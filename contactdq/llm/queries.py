@@ -54,6 +54,13 @@ def op6_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return apply_policy(book, POLICIES["strict-1"]).withColumn("base_failed", F.col("failed_bits").bitwiseAND(F.lit(mask(POLICIES["base-1"])).cast("long")) != 0)
 
 
+def quality_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of op6 costs under the strict policy, from the ledger alone."""
+    from contactdq.llm.quality_rules import POLICIES, ablation, ledger
+
+    return ablation(ledger(table(spark, sf_dir, "documents")), POLICIES["strict-1"])
+
+
 def op7_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     from contactdq.llm.sharding import shard
 
@@ -95,6 +102,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_best_fit_packing": op8_best_fit_packing,
     "op9_benchmark_decontamination": op9_benchmark_decontamination,
     "op10_substring_dedup": op10_substring_dedup,
+    "quality_ablation": quality_ablation,
 }
 
 #: The other queries have no SQL here (CRC-32, tokenizers, learned scores, places of matches); tests hold them against plain Python.
@@ -104,4 +112,5 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "quality_ablation": oracles.quality_ablation(("few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length", "shouting")),
 }

@@ -1,5 +1,6 @@
 """The pipeline's stages against plain Python over the smallest tables, and on rows that are odd."""
 
+import random
 from collections import Counter, defaultdict
 
 import corpus_pipeline
@@ -51,9 +52,33 @@ def test_the_last_stage_packs_all(stages):
     assert got == want and max(bins.values()) <= 1024 and len(bins) <= -(-sum(want.values()) // 1024) + 3
 
 
-def test_odd_rows(spark, documents):
-    odd = documents([(1, None), (2, ""), (None, "a " * 100), (3, "word " * 3000), (3, "word " * 3000)])
-    for _, stage in corpus_pipeline.STAGES:
-        out = stage(spark, odd, DIR)
-        assert out.count() <= 8
-        assert stage(spark, documents([]), DIR).count() == 0
+ODD = [(1, None), (2, ""), (None, "a " * 100), (3, "word " * 3000), (3, "word " * 3000)]
+#: Rows of each stage over ODD alone: too few or repeated words; one of the two equal rows; all; all; three pieces for each long text.
+WANTED = {"quality_rules": 0, "near_dedup": 4, "decontamination": 5, "secret_scans": 5, "packing": 9}
+
+
+def test_odd_rows_and_empty_tables(spark, documents):
+    for name, stage in corpus_pipeline.STAGES:
+        assert stage(spark, documents(ODD), DIR).count() == WANTED[name], name
+        assert stage(spark, documents([]), DIR).count() == 0, name
+
+
+def test_stages_keep_columns_of_any_name(spark, documents):
+    """Names that the stages use themselves, and one with a dot; values that are null in every column of a row."""
+    names = ("_row", "_id", "_at", "_twin", "_place", "_key", "_k1", "_text", "_base", "_all", "_t", "rid", "at", "item", "spans", "row", "base", "links", "hits", "n_words", "kept", "bin")
+    rnd = random.Random(3)
+    rows = [(i, " ".join(rnd.choices([f"w{k}" for k in range(300)], k=80)) + (" password = hunter22" if i % 3 == 0 else "")) for i in range(12)] + [(None, None)]
+    docs = documents(rows).selectExpr("*", *(f"concat('mine', doc_id) AS `{c}`" for c in names), "doc_id AS `a.b`")
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, DIR)
+        assert out.columns == docs.columns, name
+        got = out.collect()
+        assert len([r for r in got if r.doc_id is not None]) == 12 and all(r[c] == (None if r.doc_id is None else f"mine{r.doc_id}") for r in got for c in names), name
+        assert all(r["a.b"] == r.doc_id for r in got)
+    packed = corpus_pipeline.STAGES[-1][1](spark, docs, DIR)
+    assert Counter(r.doc_id for r in packed.collect()) == Counter(i for i, _ in rows)
+
+
+def test_run_is_its_stages_over_all_documents(spark, stages):
+    got = corpus_pipeline.run(spark, DIR)
+    assert Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in got.collect()) == Counter((r.doc_id, r.piece, r.start, r.length, r.ids_crc32) for r in stages[4].collect())

@@ -97,3 +97,15 @@ def test_substring_dedup_matches_brute_force(documents):
         got = B.deduplicated(documents(docs), 50, split=split, with_text=split == 1)
         assert Counter((r.doc_id, r.n_words, r.n_removed, r.kept_sha256) for r in got.collect()) == want
     assert B.deduplicated(documents([]), 50).count() == 0
+
+
+def test_clean_documents_keep_clashing_columns(spark, documents):
+    docs, items = contaminated_case()
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    names = ("_key", "_row", "_text", "_k1", "rid", "hits", "n_words")
+    odd = documents(docs + docs[:5]).selectExpr("*", *(f"'mine' AS {c}" for c in names), "1 AS `a.b`")
+    got = D.clean_documents(odd, bench, 10)
+    assert got.columns == odd.columns and all(r[c] == "mine" for r in got.collect() for c in names)
+    clean = Counter((i, n) for (i, n, hit, _), k in brute_contamination(docs + docs[:5], items, 10).items() for _ in range(k) if not hit)
+    assert Counter((r.doc_id, len(ALNUM.findall(lower(r.text)))) for r in got.collect()) == clean
+    assert D.clean_documents(documents([]), bench, 10).count() == 0
