@@ -449,19 +449,27 @@ def explode_counts(spark, sf_dir):
 
 
 NINE = "lpad(cast((c_custkey * 7919) % 10000000 AS STRING), 7, '4')"
-PHONES = f"SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '(011) 15-4' || {NINE} WHEN 1 THEN '011 4' || {NINE} WHEN 2 THEN '+54 9 11 4' || {NINE} WHEN 3 THEN '114' || {NINE} WHEN 4 THEN 'Cel: 0223 15 ' || {NINE} WHEN 5 THEN '+598 9' || {NINE} WHEN 6 THEN '0054 11 4' || {NINE} ELSE '' END AS tel FROM customer"
+PHONES = f"SELECT c_custkey AS id, CASE c_custkey % 8 WHEN 0 THEN '(011) 15-4' || {NINE} WHEN 1 THEN '011 4' || {NINE} WHEN 2 THEN '+54 9 11 4' || {NINE} WHEN 3 THEN '114' || {NINE} WHEN 4 THEN 'Cel: 0223 15 ' || {NINE} WHEN 5 THEN '+598 9' || {NINE} WHEN 6 THEN CASE WHEN c_custkey % 3 = 0 THEN '0054 11 4' || {NINE} WHEN c_custkey % 3 = 1 THEN '02966 15 ' || substr({NINE}, 2) ELSE '595 21 ' || {NINE} END ELSE CASE WHEN c_custkey % 3 = 0 THEN '' WHEN c_custkey % 3 = 1 THEN cast(c_custkey AS STRING) ELSE '5411' || {NINE} || '0' END END AS tel FROM customer"
 
 
-@query(
-    "phone_clean",
-    f"""SELECT id, CASE id % 8 WHEN 7 THEN NULL WHEN 5 THEN '+5989' || n ELSE CASE WHEN id % 8 = 4 THEN '+54223' ELSE '+54114' END || n END AS "E164", CASE id % 8 WHEN 7 THEN NULL WHEN 5 THEN '598' ELSE '54' END AS "PREFIJO_PAIS",
-    CASE id % 8 WHEN 7 THEN NULL WHEN 2 THEN 'explicito' WHEN 5 THEN 'explicito' WHEN 6 THEN 'explicito' ELSE 'asumido' END AS "ORIGEN_PAIS" FROM (SELECT c_custkey AS id, {NINE} AS n FROM customer) s""",
-)
+# The cleaning rules in plain SQL, step by step.
+_CLEAN_SQL = f"""WITH a AS (SELECT id, trim(tel) AS raw, regexp_replace(trim(regexp_replace(tel, '(?i)\\b(tel|telefono|cel|celular|whatsapp|wsp|wpp|movil|fijo|contacto|llamar|int|interno)\\b\\.?:?', ' ', 'g')), '^00', '+') AS p FROM ({PHONES}) s),
+ b AS (SELECT *, regexp_replace(p, '[^0-9]', '', 'g') AS d, starts_with(regexp_replace(p, '[^0-9+]', '', 'g'), '+') AS plus FROM a),
+ c AS (SELECT *, CASE WHEN length(d) > 7 AND starts_with(d, '54') THEN '54' WHEN length(d) > 8 AND starts_with(d, '595') THEN '595' WHEN length(d) > 8 AND starts_with(d, '598') THEN '598' WHEN length(d) > 7 AND starts_with(d, '55') THEN '55' WHEN length(d) > 7 AND starts_with(d, '56') THEN '56' END AS code FROM b),
+ n AS (SELECT *, coalesce(code, '54') AS pais, CASE WHEN code IS NULL THEN d ELSE substr(d, length(code) + 1) END AS n1 FROM c),
+ m AS (SELECT *, CASE WHEN pais = '54' AND regexp_full_match(n1, '9[0-9]{{10}}') THEN substr(n1, 2) ELSE n1 END AS n2 FROM n),
+ t AS (SELECT *, CASE WHEN length(n2) > 1 AND starts_with(n2, '0') THEN substr(n2, 2) ELSE n2 END AS n3 FROM m),
+ f AS (SELECT *, CASE WHEN pais <> '54' OR length(n3) <> 12 THEN 0 WHEN starts_with(n3, '1115') THEN 2 WHEN substr(n3, 4, 2) = '15' THEN 3 WHEN substr(n3, 5, 2) = '15' THEN 4 WHEN substr(n3, 3, 2) = '15' THEN 2 ELSE 0 END AS spot FROM t)
+ SELECT id, CASE WHEN d <> '' THEN '+' || pais || CASE WHEN spot > 0 THEN left(n3, spot) || substr(n3, spot + 3) ELSE n3 END END AS "E164", CASE WHEN d <> '' THEN pais END AS "PREFIJO_PAIS", CASE WHEN d = '' THEN NULL WHEN code IS NULL THEN 'asumido' WHEN plus THEN 'explicito' ELSE 'detectado' END AS "ORIGEN_PAIS",
+  d <> '' AND (regexp_replace(raw, '[^0-9+]', '', 'g') <> raw OR code IS NULL OR n1 <> n2 OR n2 <> n3 OR spot > 0 OR starts_with(raw, '00')) AS changed FROM f"""
+
+
+@query("phone_clean", f'SELECT id, "E164", "PREFIJO_PAIS", "ORIGEN_PAIS" FROM ({_CLEAN_SQL}) z')
 def phone_clean(spark, sf_dir):
     return phones.cleaned_cells(made(spark, sf_dir, PHONES), "id", "tel").select(F.col("ID_ORIGEN").alias("id"), "E164", "PREFIJO_PAIS", "ORIGEN_PAIS")
 
 
-@query("phone_counts", "SELECT count(*) AS total, count(*) FILTER (c_custkey % 8 <> 7) AS depurados, count(*) FILTER (c_custkey % 8 = 7) AS sin_cambios, count(*) FILTER (c_custkey % 8 IN (0, 1, 3, 4)) AS pais_asumido, count(*) FILTER (c_custkey % 8 = 7) AS sin_numero FROM customer")
+@query("phone_counts", f"""SELECT count(*) AS total, count(*) FILTER (changed) AS depurados, count(*) FILTER (NOT changed) AS sin_cambios, count(*) FILTER ("ORIGEN_PAIS" = 'asumido') AS pais_asumido, count(*) FILTER ("E164" IS NULL) AS sin_numero FROM ({_CLEAN_SQL}) z""")
 def phone_counts(spark, sf_dir):
     return profile.statistics(phones.cleaned_cells(made(spark, sf_dir, PHONES), "id", "tel"), "dep_telefonos")
 
@@ -469,7 +477,11 @@ def phone_counts(spark, sf_dir):
 FILLERS = "SELECT c_custkey AS id, CASE c_custkey % 6 WHEN 0 THEN repeat(cast(c_custkey % 10 AS STRING), 7) WHEN 1 THEN '7890123' WHEN 2 THEN '3210987' WHEN 3 THEN repeat(lpad(cast(c_custkey % 100 AS STRING), 2, '0'), 3) WHEN 4 THEN repeat(lpad(cast(c_custkey % 1000 AS STRING), 3, '0'), 3) ELSE '4123456' END AS n FROM customer"
 
 
-@query("filler_detector", "SELECT c_custkey AS id, c_custkey % 6 <> 5 AS relleno FROM customer")
+@query(
+    "filler_detector",
+    f"""SELECT id, length(n) >= 6 AND (replace(n, left(n, 1), '') = '' OR len(list_filter(steps, lambda s: s <> 1)) = 0 OR len(list_filter(steps, lambda s: s <> 9)) = 0 OR (length(n) % 2 = 0 AND repeat(left(n, 2), length(n) // 2) = n) OR (length(n) % 3 = 0 AND length(n) >= 9 AND repeat(left(n, 3), length(n) // 3) = n)) AS relleno
+    FROM (SELECT *, list_transform(range(1, length(n)), lambda i: (10 + cast(substr(n, i + 1, 1) AS INT) - cast(substr(n, i, 1) AS INT)) % 10) AS steps FROM ({FILLERS}) s) k""",
+)
 def filler_detector(spark, sf_dir):
     return made(spark, sf_dir, FILLERS).select("id", phones.is_filler(F.col("n")).alias("relleno"))
 
