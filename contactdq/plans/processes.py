@@ -5,10 +5,11 @@ from __future__ import annotations
 from collections.abc import Callable
 from datetime import datetime
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactdq.operators import identity, linking, mail_agent, mails, names, normalise, phones, profile
+from contactdq.sources import files
 
 #: Process keys, their category and whether a menu shows them.
 REGISTRY = {
@@ -85,6 +86,20 @@ def cross(rows: DataFrame, at: datetime, base: DataFrame, k: int = 5, **columns)
     return _stamped(linking.cross_match(rows, base, k, **columns), at)
 
 
+def cross_and_settle(rows: DataFrame, at: datetime, base: DataFrame, k: int = 5, user: str | None = None, margin: float = 0.03, **columns) -> DataFrame:
+    """The cross-match with its second pass: yes rows that compete for one base row, or of one row, are settled by score and user (column ``user``)."""
+    matched = cross(rows, at, base, k, **columns, **({"extras": [user]} if user else {}))
+    keyed = matched.withColumns({"ID": F.concat_ws(":", "ID_ARCHIVO", F.col("RANKING").cast("string")), "USERNAME": F.col(user) if user else F.lit("")})
+    return linking.resolved_conflicts(keyed, margin).drop("ID", "USERNAME" if user != "USERNAME" else "ID")
+
+
+def dry_run(spark: SparkSession, path: str, column: str, registry_path: str, id_column: str, name_column: str, at: datetime, k: int = 5) -> DataFrame:
+    """A file of contacts against a registry file, without any database: the rows are numbered from 1 in the order of the file."""
+    contacts = profile.numbered(files.read_contacts(spark, path, column), "FILA")
+    registry = files.read_registry(spark, registry_path, id_column, name_column)
+    return cross(contacts, at, registry, k, left_id="FILA", left_name=next(c for c in contacts.columns if c.lower() == column.lower()), right_id="ID_BASE", right_name="DENOM")
+
+
 def explode(rows: DataFrame, at: datetime, key: str, media: list[str], extras: list[str] | None = None) -> DataFrame:
     return normalise.exploded(rows, key, media, extras)
 
@@ -105,6 +120,7 @@ PROCESSES: dict[str, Callable[..., DataFrame]] = {
     "dep_mails": clean_mails,
     "dep_telefonos": clean_phones,
     "cruce_redes": cross,
+    "cruce_denominaciones": cross_and_settle,
     "normalizacion": explode,
 }
 

@@ -212,7 +212,20 @@ def read_list(spark: SparkSession, path: str, default: tuple[str, ...] | dict[st
 
 
 def read_registry(spark: SparkSession, path: str, id_column: str, name_column: str) -> DataFrame:
-    """ID_BASE and DENOM of a registry file; rows without a name are dropped, a missing id becomes a row number."""
+    """ID_BASE and DENOM of a registry file; rows without a name are dropped, a missing id becomes the number of the row, from 1."""
+    from contactdq.operators.profile import numbered
+
     rows, _, _ = read_table(spark, path)
-    named = rows.filter(F.trim(F.coalesce(F.col(name_column), F.lit(""))) != "")
-    return named.select(F.coalesce(F.nullif(F.trim(F.col(id_column)), F.lit("")), F.concat(F.lit("row-"), F.monotonically_increasing_id())).alias("ID_BASE"), F.col(name_column).alias("DENOM"))
+    named = numbered(rows, "_n").filter(F.trim(F.coalesce(F.col(name_column), F.lit(""))) != "")
+    return named.select(F.coalesce(F.nullif(F.trim(F.col(id_column)), F.lit("")), F.col("_n").cast("string")).alias("ID_BASE"), F.col(name_column).alias("DENOM"))
+
+
+def read_mail_file(spark: SparkSession, path: str) -> tuple[DataFrame, str | None, str]:
+    """(rows, id column, mail column) of an older mail file: a semicolon parts its cells if the first 2048 characters hold one, else a comma; without a column of mails it is an error."""
+    sep = ";" if b";" in head(spark, path, 2048) else ","
+    rows = spark.read.options(sep=sep, header=True, encoding="UTF-8", quote='"', escape='"').csv(path)
+    rows = rows.toDF(*[c.removeprefix("\ufeff") for c in rows.columns])
+    key, mail = mail_columns(rows.columns)
+    if mail is None:
+        raise ValueError(f"no column of mails in {path}: {', '.join(rows.columns)}")
+    return rows, key, mail

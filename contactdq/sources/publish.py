@@ -6,7 +6,7 @@ import re
 import unicodedata
 from datetime import datetime
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 _IDENTIFIER = re.compile(r"[A-Za-z_][A-Za-z0-9_$#]{0,127}")
@@ -79,6 +79,11 @@ def snapshot(registry: DataFrame, table: str, buckets: int = 256) -> None:
     registry.write.bucketBy(buckets, "DNI_NORM").sortBy("DNI_NORM").mode("overwrite").saveAsTable(checked_identifier(table))
 
 
+def shortened(text: Column, width: int) -> Column:
+    """A text of at most ``width`` characters; what is cut ends with three dots. The whole text belongs into the audit rows."""
+    return F.when(F.length(text) <= width, text).otherwise(F.concat(F.left(text, F.lit(width - 3)), F.lit("...")))
+
+
 def audit(actions: DataFrame, table_name: str, user: str, key: str, before: list[str], after: list[str]) -> DataFrame:
     """What would be changed, as rows of an audit table: the row before and after as JSON."""
     return actions.select(

@@ -3,10 +3,12 @@
 from datetime import datetime, timedelta
 
 import pytest
+from pyspark.sql import functions as F
 
 from contactdq.operators import mail_agent
 from contactdq.plans import history, processes, schemas
 from contactdq.sources import files, publish, registry
+from contactdq.streaming import incremental
 
 NOW = datetime(2026, 8, 4, 16, 30, 5)
 
@@ -114,3 +116,39 @@ def test_workbooks(spark, tmp_path):
         assert header == ["CUIT", "Correo"] and [tuple(r) for r in rows.collect()] == [("20123456783", "a@b.c", "more")]
     workbook(f"{tmp_path}/none.xlsx", [])
     assert files.read_table(spark, f"{tmp_path}/none.xlsx")[0].count() == 0
+
+
+def test_registry_and_mail_files(spark, tmp_path):
+    path = f"{tmp_path}/r.csv"
+    open(path, "w").write("id,nombre\n7,Ana\n,\n,Luis\n9,\n,Eva\n")
+    assert [tuple(r) for r in files.read_registry(spark, path, "id", "nombre").collect()] == [("7", "Ana"), ("3", "Luis"), ("5", "Eva")]
+    open(path, "w", encoding="utf-8-sig").write("ID_MAIL;Mail;x\n1;a@b.c;,\n")
+    rows, key, mail = files.read_mail_file(spark, path)
+    assert (key, mail) == ("ID_MAIL", "Mail") and rows.first().Mail == "a@b.c"
+    open(path, "w").write("a,b\n1,2\n")
+    with pytest.raises(ValueError):
+        files.read_mail_file(spark, path)
+
+
+def test_incremental_stamps(spark):
+    table = spark.createDataFrame([(1, "a"), (2, "b"), (None, "c"), (1, "d")], "id int, v string")
+    first = incremental.pending(table)
+    assert first.count() == 4 and incremental.new_rows(table, table.filter("id = 2"), "id").count() == 3
+    after = incremental.stamped(table, first.filter("v IN ('a', 'c')"), "id", NOW)
+    assert sorted(r.v for r in incremental.pending(after).collect()) == ["b", "c"]
+    again = incremental.stamped(after, table, "id", NOW + timedelta(days=1))
+    assert {r.v: r.FECHA_PROCESADO for r in again.collect()} == {"a": NOW, "d": NOW, "b": NOW + timedelta(days=1), "c": None}
+    texts = spark.createDataFrame([("x" * 10,), ("y" * 11,), (None,)], "t string").select(publish.shortened(F.col("t"), 10).alias("s"))
+    assert [r.s for r in texts.collect()] == ["x" * 10, "y" * 7 + "...", None]
+
+
+def test_file_against_file_and_the_second_pass(spark, tmp_path):
+    a, b = f"{tmp_path}/a.csv", f"{tmp_path}/b.csv"
+    open(a, "w").write("Reporte\nusername,Nombre\nana1,Perez Juan\nana2,Juan Perez\n,Zzz Qqq\n")
+    open(b, "w").write("id,denom\n,PEREZ JUAN\n9,GOMEZ ANA\n")
+    got = processes.dry_run(spark, a, "nombre", b, "id", "denom", NOW).collect()
+    assert {(r.ID_ARCHIVO, r.ID_BASE, r.COINCIDE) for r in got} == {("1", "1", "SI"), ("2", "1", "SI"), ("3", None, "NO")}
+    rows, base = files.read_contacts(spark, a, "nombre"), files.read_registry(spark, b, "id", "denom")
+    result, _ = processes.run("cruce_denominaciones", rows, NOW, base=base, user="username", left_id="username", left_name="Nombre", right_id="ID_BASE", right_name="DENOM")
+    told = {r.ID_ARCHIVO: (r.COINCIDE, r.MOTIVO) for r in result.collect()}
+    assert told["ana1"][0] == told["ana2"][0] == "RE" and "CONFLICTO_N1_EMPATE_SIN_EVIDENCIA" in told["ana1"][1] and told[""][0] == "NO"
