@@ -75,7 +75,11 @@ def ascii_lower(text: Column) -> Column:
     return F.translate(text, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
+#: Fixed: the ASCII white-space characters, plainly and as the inside of a pattern's class.
+SPACES, SPACE_CLASS = " \t\n\x0b\x0c\r", r" \t\n\x0B\f\r"
+
+
 def spaced_words(text: Column) -> Column:
     """Words between the ASCII white-space characters 09-0D and 20; null and blank texts give an empty array."""
-    flat = F.trim(F.translate(F.coalesce(text, F.lit("")), "\t\n\x0b\x0c\r", "     "))
-    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, " +"))
+    flat = F.btrim(F.coalesce(text, F.lit("")), F.lit(SPACES))
+    return F.when(flat == "", F.array().cast("array<string>")).otherwise(F.split(flat, f"[{SPACE_CLASS}]+"))

@@ -32,7 +32,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactdq.llm import setsketch as S
-from contactdq.llm.common import Scratch, slices, whole_row
+from contactdq.llm.common import SPACES, Scratch, slices, whole_row
 from contactdq.llm.components import components
 from contactdq.llm.wordhash import mixed, run_hashes, spaced, word_hashes
 
@@ -257,7 +257,7 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     heads = classes(docs, id_col, text_col, **options).filter("is_head").select(F.col("at").alias("_at"), F.col("doc_id").alias("_id"))
     text, doc_id = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("long")
-    empty = F.trim(F.translate(text, "\t\n\x0b\x0c\r", "     ")) == ""
+    empty = F.btrim(text, F.lit(SPACES)) == ""
     marked = docs.select(whole_row(docs), F.xxhash64(doc_id, text).alias("_at"), doc_id.alias("_id"), empty.alias("_empty"))
     kept = marked.alias("d").join(heads.alias("h"), F.expr("d._at = h._at AND d._id <=> h._id"), "left_semi")
     # Equal rows share the key of their head: one of them stays.

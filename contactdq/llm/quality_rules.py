@@ -18,7 +18,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from contactdq.functions.barrier import settled
-from contactdq.llm.common import spaced_words
+from contactdq.llm.common import SPACE_CLASS, spaced_words
 
 MEASURES = ("n_words", "word_chars", "n_symbols", "n_lines", "n_dup_lines", "n_repeat_words", "n_upper", "n_letters")
 
@@ -64,21 +64,21 @@ def measured(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
         id_col,
         "_w",
         F.size("_w").cast("long").alias("n_words"),
-        F.length(F.translate("_text", " \t\n\x0b\x0c\r", "")).cast("long").alias("word_chars"),
-        (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
+        F.length(F.regexp_replace("_text", f"[{SPACE_CLASS}]+", "")).cast("long").alias("word_chars"),
+        F.regexp_count("_text", F.lit("[#*$%&|<>]")).cast("long").alias("n_symbols"),
         lines.alias("_l"),
-        (F.length("_text") - F.length(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", ""))).cast("long").alias("n_upper"),
-        (F.length("_text") - F.length(F.translate("_text", "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz", ""))).cast("long").alias("n_letters"),
+        (F.length("_text") - F.length(F.regexp_replace("_text", "[A-Z]+", ""))).cast("long").alias("n_upper"),
+        (F.length("_text") - F.length(F.regexp_replace("_text", "[A-Za-z]+", ""))).cast("long").alias("n_letters"),
     )
     # A window's hash repeats whenever the window does, so a text without a repeated hash has no repeated window.
     hashes = F.expr("CASE WHEN n_words < 4 THEN array() ELSE transform(sequence(0, int(n_words) - 3), i -> xxhash64(_w[i], _w[i + 1], _w[i + 2])) END").cast("array<bigint>")
     base = base.withColumns({"_h": hashes, "n_lines": F.size("_l").cast("long"), "n_dup_lines": (F.size("_l") - F.size(F.array_distinct("_l"))).cast("long")})
+    # Else windows are told apart by two hashes, of their words in both orders.
     sorted_windows = F.expr(
-        "CASE WHEN size(array_distinct(_h)) = size(_h) THEN array()"
-        " ELSE array_sort(transform(sequence(0, int(n_words) - 3), i -> struct(concat(_w[i], ' ', _w[i + 1], ' ', _w[i + 2]) AS win, i AS pos))) END"
-    ).cast("array<struct<win:string,pos:int>>")
+        "CASE WHEN size(array_distinct(_h)) = size(_h) THEN array() ELSE array_sort(transform(_h, (h, i) -> struct(h AS h, xxhash64('b', _w[i + 2], _w[i + 1], _w[i]) AS b, i AS pos))) END"
+    ).cast("array<struct<h:bigint,b:bigint,pos:int>>")
     base = base.withColumn("_s", sorted_windows)
-    repeated = F.expr("filter(_s, (x, i) -> (i > 0 AND _s[i - 1].win = x.win) OR (i + 1 < size(_s) AND _s[i + 1].win = x.win)).pos")
+    repeated = F.expr("filter(_s, (x, i) -> (i > 0 AND _s[i - 1].h = x.h AND _s[i - 1].b = x.b) OR (i + 1 < size(_s) AND _s[i + 1].h = x.h AND _s[i + 1].b = x.b)).pos")
     base = base.withColumn("_r", F.array_sort(repeated))
     # Each repeated window covers three words; a word that the previous repeated window covers counts once.
     covered = F.expr("aggregate(transform(_r, (p, i) -> CASE WHEN i = 0 THEN 3 ELSE least(3, p - _r[i - 1]) END), 0, (s, x) -> s + x)")
