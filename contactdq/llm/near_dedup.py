@@ -258,9 +258,10 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     heads = classes(docs, id_col, text_col, **options).filter("is_head").select(F.col("at").alias("_at"), F.col("doc_id").alias("_id"))
     text, doc_id = F.coalesce(F.col(f"`{text_col}`"), F.lit("")), F.col(f"`{id_col}`").cast("long")
     empty = F.btrim(text, F.lit(SPACES)) == ""
-    marked = docs.select(whole_row(docs), F.xxhash64(doc_id, text).alias("_at"), doc_id.alias("_id"), empty.alias("_empty"))
+    marked = docs.filter(~empty).select(whole_row(docs), F.xxhash64(doc_id, text).alias("_at"), doc_id.alias("_id"))
     kept = marked.alias("d").join(heads.alias("h"), F.expr("d._at = h._at AND d._id <=> h._id"), "left_semi")
+    hashed = [F.col("_row").getField(c) for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
+    kept = kept.withColumn("_order", F.xxhash64(*hashed))
     # Equal rows share the key of their head: one of them stays.
-    place = F.row_number().over(Window.partitionBy("_at", "_id", "_twin").orderBy("_order"))
-    twins = kept.withColumns({"_twin": F.when(F.col("_empty"), F.monotonically_increasing_id()).otherwise(F.lit(-1).cast("long")), "_order": F.xxhash64("_row")})
-    return twins.withColumn("_place", place).filter("_place = 1").select("_row.*")
+    one = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_at", "_id").orderBy("_order"))).filter("_place = 1")
+    return docs.filter(empty).unionByName(one.select("_row.*"))

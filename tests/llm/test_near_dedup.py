@@ -104,7 +104,7 @@ def test_recall_of_pairs_over_all_rows(spark):
 
 def test_clashing_names_and_very_long_texts(documents):
     long = " ".join(f"w{i}" for i in range(30000))
-    docs = documents([(1, long), (2, long + " tail"), (3, "short one")]).selectExpr("*", "'mine' AS _at", "'x' AS _id", "7 AS _twin", "8 AS at", "9 AS item", "1 AS `a.b`")
+    docs = documents([(1, long), (2, long + " tail"), (3, "short one")]).selectExpr("*", "'mine' AS _at", "'x' AS _id", "7 AS _twin", "8 AS at", "9 AS item", "1 AS `a.b`", "map('k', doc_id) AS m")
     kept = N.one_of_each(docs)
     assert kept.columns == docs.columns
     assert sorted((r.doc_id, r._at, r._id, r._twin, r.item) for r in kept.collect()) == [(1, "mine", "x", 7, 9), (3, "mine", "x", 7, 9)]
