@@ -13,7 +13,8 @@ windows are aggregated one by one under their own hashes, partly before the shuf
 Windows are compared by two 64-bit hashes together (minimiser or string hash, and window hash).
 
 Edge cases: null, empty and short texts have no windows and lose nothing. Repeated rows of one doc_id count as one
-document. A null doc_id comes after all others: such a row can lose words, never cause it. An empty table works.
+document, and a row that repeats as a whole is cut up into strings once. Of windows that repeat within a document none is lost for it. A very long text is
+one list of words in one task. A null doc_id comes after all others: such a row can lose words, never cause it. An empty table works.
 Columns other than id and text are ignored.
 """
 
@@ -172,8 +173,10 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, spli
     strings = here.groupBy("mini", "pk").agg(F.min("d").alias("lo"), F.min(F.struct("d", "th", "start", "n")).alias("at"))
     sizes = strings.groupBy("mini").agg(F.count("*").alias("n_strings"), F.sum("at.n").alias("n_windows"))
     needed = strings.join(sizes.filter("n_strings > 1"), "mini").withColumn("broken", (F.col("n_strings") > split) | (F.col("n_windows") > 64 * split))
+    # One row for each id and text, made so by each task before the shuffle: repeated rows would pack the same strings again and again.
+    once = docs.groupBy("d", "th").agg(F.first("text").alias("text"))
     asked = needed.groupBy(F.col("at.d").alias("d"), F.col("at.th").alias("th")).agg(F.collect_list(F.struct("mini", "pk", "lo", F.col("at.start").alias("start"), F.col("at.n").alias("n"), "broken")).alias("asked"))
-    carrying = docs.select("d", "th", "text").join(asked, ["d", "th"])
+    carrying = once.join(asked, ["d", "th"])
     packed = written(carrying.select("text", "asked").mapInArrow(_pack(window), _PACKED), "packed")
     whole = packed.filter("NOT broken").select("mini", "pk", "lo", "packed").repartition("mini").sortWithinPartitions("mini")
     counted = whole.mapInArrow(_count_buckets(window), _LATER)
@@ -186,7 +189,7 @@ def repeated_spans(docs: DataFrame, window: int = WINDOW, seed: int = SEED, spli
     start = F.col("start")
     whole_spans = own.filter("lo < d").select("d", "th", F.array(covered(start, start + F.col("n") + window - 1)).alias("s"))
     part = own.filter("lo >= d").join(counted.unionByName(hot), ["mini", "pk"]).select("d", "th", F.transform("offs", lambda x: covered(start + x, start + x + window)).alias("s"))
-    return whole_spans.unionByName(part).groupBy("d", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("s")))).alias("spans"))
+    return whole_spans.unionByName(part).groupBy("d", "th").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_set("s")))).alias("spans"))
 
 
 def _kept_words(text: str | None, spans: list | None) -> tuple[int, int, bytes]:

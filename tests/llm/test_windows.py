@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 from collections import Counter
 
 from contactdq.llm import decontamination as D
@@ -109,3 +110,13 @@ def test_clean_documents_keep_clashing_columns(spark, documents):
     clean = Counter((i, n) for (i, n, hit, _), k in brute_contamination(docs + docs[:5], items, 10).items() for _ in range(k) if not hit)
     assert Counter((r.doc_id, len(ALNUM.findall(lower(r.text)))) for r in got.collect()) == clean
     assert D.clean_documents(documents([]), bench, 10).count() == 0
+
+
+def test_rows_that_repeat_a_thousand_times(documents):
+    """Two ids, repeated as often as each other, with a passage in common: the work grows with the rows."""
+    passage = " ".join(f"p{i}" for i in range(80))
+    docs = [(1, passage + " one")] * 1600 + [(2, "two " + passage + " and " + passage)] * 1600
+    began = time.time()
+    got = Counter((r.doc_id, r.n_words, r.n_removed) for r in B.deduplicated(documents(docs), 50, with_text=False).collect())
+    assert got == {(1, 81, 0): 1600, (2, 162, 160): 1600}
+    assert time.time() - began < 40
