@@ -8,7 +8,7 @@ keeps the identities and secrets within ``scope`` code points of it, and each pa
 Places are code points, ends exclusive. They come from the gaps between matches (``split``) and the matches themselves.
 
 Edge cases: null and empty texts have no spans. Repeated rows and null ids get the same result each, and of parts at one place all
-count. A very long text is searched whole; runs have the square root of its parts, so it costs no pairs of all parts. An empty table gives an empty
+count. A very long text is searched whole, by patterns that read no run of characters twice; runs have the square root of its parts, so it costs no pairs of all parts. An empty table gives an empty
 result. Columns other than the id and the text are ignored, except in ``redact``, which keeps them as they are, whatever their names.
 """
 
@@ -28,21 +28,25 @@ KINDS = ("assign", "access", "hex", "ident", "weak", "endpoint")
 #: Weak parts: identifiers by name, long strings with letters and digits, addresses.
 IDENT = r"""(?i:client|user|account|tenant|access|login)(?i:[_ -]?(?:id|name|key))?["']?\x20*[:=]\x20*["']?([A-Za-z0-9_.@-]{4,})"""
 WEAK = r"(?<![A-Za-z0-9+/_=-])(?=[A-Za-z+/_=-]*[0-9])(?=[0-9+/_=-]*[A-Za-z])[A-Za-z0-9+/_=-]{20,}"
-ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+"""
+#: An address starts at the first letter of a run of scheme characters. The run is read once, from its start, and given up as a whole; digits and
+#: signs before the first letter belong to the match and not to the span.
+ENDPOINT = r"""(?<![A-Za-z0-9+.-])[0-9+.-]*+[A-Za-z][A-Za-z0-9+.-]*+://[^\s"'<>]+"""
+BEFORE_ENDPOINT = r"\A[0-9+.-]*"
 
 SPAN = "array<struct<start:int,end:int,kind:int>>"
 LINK = "array<struct<start:int,end:int,kind:int,identity:int,secret:int>>"
 
 
-def _spans(text: str, pattern: str, kind: str, least: int = 0) -> str:
-    """SQL for the spans of a pattern in a text column; with ``least``, group 1 must have that many characters."""
+def _spans(text: str, pattern: str, kind: str, least: int = 0, before: str | None = None) -> str:
+    """SQL for the spans of a pattern in a text column; with ``least``, group 1 must have that many characters; what ``before`` matches is left out."""
     p = pattern.replace("\\", "\\\\").replace("'", "\\'")
+    skip = f"length(regexp_extract(x.hit, '{before.replace(chr(92), 2 * chr(92))}', 0))" if before else "0"
     ok = f"length(regexp_extract(x.hit, '{p}', 1)) >= {least}" if least else "true"
     return f"""CASE WHEN {text} RLIKE '{p}' THEN aggregate(
         arrays_zip(slice(split({text}, '{p}', -1), 1, size(split({text}, '{p}', -1)) - 1) AS gap, regexp_extract_all({text}, '{p}', 0) AS hit),
         named_struct('at', 0, 'out', cast(array() AS {SPAN})),
         (a, x) -> named_struct('at', a.at + length(x.gap) + length(x.hit),
-          'out', CASE WHEN {ok} THEN array_append(a.out, named_struct('start', a.at + length(x.gap), 'end', a.at + length(x.gap) + length(x.hit), 'kind', {KINDS.index(kind)})) ELSE a.out END),
+          'out', CASE WHEN {ok} THEN array_append(a.out, named_struct('start', a.at + length(x.gap) + {skip}, 'end', a.at + length(x.gap) + length(x.hit), 'kind', {KINDS.index(kind)})) ELSE a.out END),
         a -> a.out) ELSE cast(array() AS {SPAN}) END""".replace(" AS gap", "").replace(" AS hit", "").replace("x.gap", "x['0']").replace("x.hit", "x['1']")
 
 
@@ -81,7 +85,7 @@ def scan(docs: DataFrame, text_col: str = "text", scope: int = 200) -> DataFrame
     found = found.withColumns({"base": F.array_sort(base, _by_place), "idents": F.expr(_spans("text", IDENT, "ident", 4))})
     # Other weak parts are looked for only where an identity stands: without one they cannot be linked.
     access = F.exists("base", lambda x: x["kind"] == KINDS.index("access"))
-    weak = F.when(access | (F.size("idents") > 0), F.concat("idents", F.expr(_spans("text", WEAK, "weak")), F.expr(_spans("text", ENDPOINT, "endpoint"))))
+    weak = F.when(access | (F.size("idents") > 0), F.concat("idents", F.expr(_spans("text", WEAK, "weak")), F.expr(_spans("text", ENDPOINT, "endpoint", before=BEFORE_ENDPOINT))))
     found = found.withColumn("parts", F.array_sort(F.concat("base", F.coalesce(weak, F.array().cast(SPAN))), _by_place))
     return found.withColumn("links", F.expr(linked_parts("parts", scope))).drop("idents", "parts")
 
