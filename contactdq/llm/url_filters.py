@@ -92,7 +92,9 @@ def _with_joined_rule(urls: DataFrame, rules: list[UrlRule]) -> DataFrame:
 
 def link_targets(html: Column) -> Column:
     """Targets of canonical links and of refreshing meta tags in a page, as an array, with ``&amp;`` in its three spellings read as ``&``."""
-    links = F.when(html.contains("canonical"), F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")))
+    # What follows the last bracket closes no tag; without it every tag that opens also closes, so no part of a page is searched twice.
+    html = F.left(html, F.length(html) - F.length(F.substring_index(html, ">", -1)))
+    links = F.when(html.rlike("(?i)canonical"), F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<link\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)\brel\s*=\s*[\"']?canonical\b")))
     metas = F.when(html.rlike("(?i)http-equiv"), F.filter(F.regexp_extract_all(html, F.lit(r"(?i)<meta\b[^>]*>"), F.lit(0)), lambda x: x.rlike(r"(?i)http-equiv\s*=\s*[\"']?refresh\b")))
     none = F.array().cast("array<string>")
     hrefs = F.transform(F.coalesce(links, none), lambda x: F.regexp_extract(x, r"(?i)\bhref\s*=\s*[\"']?([^\"'\s>]+)", 1))

@@ -3,6 +3,7 @@
 import hashlib
 import random
 import re
+import time
 import zlib
 from collections import Counter
 
@@ -228,6 +229,9 @@ def test_secret_spans_match_brute_force(documents):
         assert set(brute_base(dict((i, t) for i, t in SECRETS)[r.doc_id]).split(",")) - {""} <= set(r.spans.split(","))
 
 
+PLAIN_ENDPOINT = r"""[A-Za-z][A-Za-z0-9+.-]*://[^\s"'<>]+"""
+
+
 def brute_links(text, scope=200):
     """Every pair of parts, by the definition: (kind, start, end) of the weak parts with their complements in scope."""
     text = text or ""
@@ -235,7 +239,7 @@ def brute_links(text, scope=200):
     parts = [(k, int(a), int(b)) for k, a, b in base]
     ident = [("ident", m.start(), m.end()) for m in re.finditer(S.IDENT, text) if len(m[1]) >= 4]
     if ident or any(k == "access" for k, _, _ in parts):
-        parts += ident + [("weak", m.start(), m.end()) for m in re.finditer(S.WEAK, text)] + [("endpoint", m.start(), m.end()) for m in re.finditer(S.ENDPOINT, text)]
+        parts += ident + [("weak", m.start(), m.end()) for m in re.finditer(S.WEAK, text)] + [("endpoint", m.start(), m.end()) for m in re.finditer(PLAIN_ENDPOINT, text)]
     near = lambda x, kinds: any(y[0] in kinds and abs(y[1] - x[1]) <= scope for y in parts)
     need = {"ident": (False, True), "weak": (True, False), "endpoint": (True, True)}
     return sorted(x for x in parts if x[0] in need and (not need[x[0]][0] or near(x, ("ident", "access"))) and (not need[x[0]][1] or near(x, ("weak", "assign", "hex"))))
@@ -301,3 +305,38 @@ def test_relative_links_and_entities_join_aliases(spark):
     want = con.execute(url_filters(URL_RULES)).fetchall()
     names = [d[0] for d in con.description]
     assert Counter(tuple(r[c] for c in names) for r in got.collect()) == Counter(want)
+
+
+def test_long_runs_are_searched_once(documents):
+    """A million letters and digits without a gap, behind an identity: every pattern reads them once."""
+    run = "aB3" * 333_334
+    texts = [(1, f"user: abcd {run}"), (2, f"user: abcd {run}://x.y/z"), (3, "user: abcd " + "a-" * 400_000)]
+    began = time.time()
+    got = {r.doc_id: r.spans for r in S.report(documents(texts)).collect()}
+    assert time.time() - began < 60
+    n = len(run)
+    assert got[1] == f"ident:0:10,weak:11:{11 + n}"
+    assert f"endpoint:11:{11 + n + 8}" in got[2] and got[3] == ""
+
+
+def test_endpoint_spans_as_by_the_plain_pattern(documents):
+    rnd = random.Random(44)
+    texts = [(i, "".join(rnd.choices(["a", "B", "1", "+", ".", "-", "://", ":", "/", " ", '"', "<", "é", "h://x"], k=rnd.randrange(40)))) for i in range(400)]
+    spans = documents(texts).selectExpr("doc_id", "text").selectExpr("doc_id", S._spans("text", S.ENDPOINT, "endpoint", before=S.BEFORE_ENDPOINT) + " AS s")
+    got = {r.doc_id: [(x.start, x.end) for x in r.s] for r in spans.collect()}
+    assert got == {i: [m.span() for m in re.finditer(PLAIN_ENDPOINT, t)] for i, t in texts}
+
+
+def test_links_in_any_case_and_pages_without_closing_brackets(spark):
+    pages = [
+        (1, "http://a.com/de/1", None),
+        (2, "http://b.net/2", '<LINK REL="CANONICAL" HREF="http://a.com/de/1">'),
+        (3, "http://c.net/3", '<Meta HTTP-EQUIV="Refresh" CONTENT="0; URL=http://a.com/de/1">'),
+        (4, "http://d.net/4", "<link " * 200_000),
+        (5, "http://e.net/5", '<link rel="canonical" href="http://a.com/de/1">' + "<link <meta " * 200_000),
+        (6, "http://f.net/6", '<link title="a<b" rel=canonical href=http://a.com/de/1>'),
+    ]
+    began = time.time()
+    got = {r.page_id: r.verdict for r in judge(spark.createDataFrame(pages, "page_id long, url string, html string"), RULES).collect()}
+    assert time.time() - began < 60
+    assert got == {1: "block", 2: "block", 3: "block", 4: "allow", 5: "block", 6: "block"}
