@@ -12,12 +12,18 @@ of buckets that are open then meet by a prefix-filtered join of their sets, with
 it finds every pair of them, in two components, that can reach the threshold. So no link between classes that shares a bucket is lost,
 and copies that were edited each in its own way, which fill buckets without being similar enough, do not even become pairs.
 
+What shares a key of that join with more than a few others, such as texts that each keep a random part of one template, makes no pairs either: such
+items form groups, groups are dealt into blocks of bounded size, and a task counts the common shingles of all items of two blocks from an inverted
+list. It gives the links that join components, at most one for each item. The work in a group still grows with its square where
+no text is far from the threshold (no exact way that avoids this is known), but nothing that is written, shuffled as pairs or held by a task does.
+
 Recall: a pair at similarity 0.75 shares a bucket with probability 1 - (1 - 0.75**5)**48 > 1 - 3e-6. The estimate drops a
 pair only if its likeliest similarity is e**25 times likelier than the threshold.
 
 Edge cases: a text with fewer words than a shingle is one shingle; a null, empty or blank text has no shingles and is linked
 with nothing. Rows are the nodes, so repeated rows are linked to each other. A row without an id takes part and gets the
-smallest id of its class, null if there is none. An empty table gives an empty result. Other columns are ignored.
+smallest id of its class, null if there is none; of equal ids in a class the row read first is its head. A very long text is one set, held by
+one task at a time. An empty table gives an empty result. Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -28,7 +34,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from contactdq.llm import setsketch as S
@@ -39,6 +45,8 @@ from contactdq.llm.wordhash import mixed, run_hashes, spaced, word_hashes
 SHINGLE = 5
 LEAST = 75  # percent
 MARGIN = 25.0  # natural log of the likelihood ratio that drops a pair
+HOT = 16  # items of a key from which they are compared by blocks
+BLOCK_ITEMS, BLOCK_SHINGLES = 1024, 1 << 20
 BITS = (16, 28)  # least and most leading bits of a row's hash in the bitmap of rows whose sets are needed
 
 
@@ -150,6 +158,11 @@ class _Matcher:
         self.tried.append(pairs)
         return not self.links[-1].isEmpty()
 
+    def add(self, links: DataFrame) -> bool:
+        """Take pairs known to be links; whether there are any."""
+        self.links.append(self.scratch.keep(links, "links"))
+        return not self.links[-1].isEmpty()
+
     def labels(self) -> DataFrame:
         every = self.links[0]
         for more in self.links[1:]:
@@ -167,17 +180,19 @@ def _best(tries: DataFrame) -> DataFrame:
     return _ordered(counts.groupBy("item").agg(F.max_by("center", F.struct("n", "center")).alias("y")).select(F.col("item").alias("x"), "y")).distinct()
 
 
-def open_pairs(scratch: Scratch, live: DataFrame, least: int) -> DataFrame:
-    """Distinct pairs ``a, b`` of items of two components that may reach the threshold, none of those left out.
+def open_pairs(scratch: Scratch, live: DataFrame, least: int, hot: int = HOT) -> tuple[DataFrame, DataFrame | None]:
+    """Distinct pairs ``a, b`` of items of two components that may reach the threshold, and links ``a, b`` among items that share a key with many.
 
     ``live`` has ``item, c`` (component) ``, n`` and ``shingles``. Shingles are ordered by rarity, those of one component alone
     before all others, as no pair sought shares them. Two sets that reach the threshold share ``least / (100 + least)`` of
     both sizes, so their first common shingle stands early enough in both for as many to follow. An item enters with its early shingles
-    only, under classes of the sizes that a partner can have; an item whose own shingles alone are too many does not enter.
+    only, under classes of the sizes that a partner can have; an item whose own shingles alone are too many does not enter. Every pair
+    that reaches the threshold is among the pairs or is joined by the links; links are None where no key has more than ``hot`` items.
     """
     each = live.select("item", "c", "n", F.explode("shingles").alias("s"))
     shared = each.groupBy("s").agg(F.count("*").alias("df"), F.min("c").alias("lo"), F.max("c").alias("hi")).filter("lo < hi").select("s", "df")
     owned = each.join(shared, "s").groupBy("item", "c", "n").agg(F.array_sort(F.collect_list(F.struct("df", "s"))).alias("own")).filter(f"100 * size(own) >= {least} * n")
+    owned = scratch.keep(owned, "owned")
     places = owned.select("item", "c", "n", F.size("own").alias("m"), F.posexplode("own").alias("p", "own"))
     places = places.select("item", "c", "n", F.col("own.s").alias("s"), (F.col("m") - F.col("p")).alias("rest")).filter(f"100 * rest >= {least} * n")
     places = scratch.keep(places, "places")
@@ -187,14 +202,98 @@ def open_pairs(scratch: Scratch, live: DataFrame, least: int) -> DataFrame:
     listed = places.filter(f"{100 + least} * rest >= {2 * least} * n").withColumn("size", F.expr(size_class("n")))
     # In each key one component, the most frequent, need not meet itself: the others meet all.
     both = probing.select("s", "size", "c").unionByName(listed.select("s", "size", "c")).groupBy("s", "size", "c").agg(F.count("*").alias("k"))
-    major = both.groupBy("s", "size").agg(F.count("*").alias("comps"), F.max_by("c", F.struct("k", "c")).alias("major")).filter("comps > 1").drop("comps")
-    probing, listed = (t.join(major, ["s", "size"]).withColumn("minor", F.expr("c <> major")).select("s", "size", "item", "c", "n", "rest", "minor") for t in (probing, listed))
+    keys = both.groupBy("s", "size").agg(F.count("*").alias("comps"), F.sum("k").alias("k"), F.max_by("c", F.struct("k", "c")).alias("major")).filter("comps > 1").drop("comps")
+    keys = scratch.keep(keys, "keys")
+    light = keys.filter(f"k <= {hot}")
+    few_p, few_l = (t.join(light, ["s", "size"]).withColumn("minor", F.expr("c <> major")).select("s", "size", "item", "c", "n", "rest", "minor") for t in (probing, listed))
     fits = f"x.s = y.s AND x.size = y.size AND x.c <> y.c AND x.n >= y.n AND {100 + least} * least(x.rest, y.rest) >= {least} * (x.n + y.n)"
     met = None
     for one, other in (("minor", "true"), ("NOT minor", "minor")):
-        some = probing.filter(one).alias("x").join(listed.filter(other).alias("y"), F.expr(fits)).select(F.col("x.item").alias("x"), F.col("y.item").alias("y"))
+        some = few_p.filter(one).alias("x").join(few_l.filter(other).alias("y"), F.expr(fits)).select(F.col("x.item").alias("x"), F.col("y.item").alias("y"))
         met = some if met is None else met.unionByName(some)
-    return _ordered(met).distinct()
+    heavy = keys.filter(f"k > {hot}").select("s", "size")
+    if heavy.isEmpty():
+        return _ordered(met).distinct(), None
+    entries = scratch.keep(probing.select("s", "size", "item").unionByName(listed.select("s", "size", "item")).join(heavy, ["s", "size"]), "entries")
+    heads = entries.groupBy("s", "size").agg(F.min("item").alias("head"))
+    groups = components(entries.join(heads, ["s", "size"]).select("item", "head").distinct(), "item", "head").select(F.col("node").alias("item"), F.col("component").alias("g"))
+    return _ordered(met).distinct(), _links_in_groups(scratch, owned.join(groups, "item"), least, size_class("n"))
+
+
+def _links_in_groups(scratch: Scratch, members: DataFrame, least: int, size_class: str) -> DataFrame:
+    """Links ``a, b`` that join the components of all similar items of each group ``g``, found block by block.
+
+    Blocks are classes of sizes, dealt by hash into as many parts as bound their items and shingles; only blocks whose sizes are near enough meet.
+    """
+    members = scratch.keep(members.select("g", "item", "c", "n", F.expr("transform(own, x -> x.s)").alias("shingles"), F.expr(size_class).alias("size")), "members")
+    parts = members.groupBy("g", "size").agg(F.ceil(F.greatest(F.count("*") / BLOCK_ITEMS, F.sum(F.size("shingles")) / BLOCK_SHINGLES)).cast("int").alias("parts"))
+    parts = scratch.keep(parts, "parts")
+    dealt = members.join(parts, ["g", "size"]).withColumn("part", F.expr("int(pmod(xxhash64(item), parts))")).drop("parts")
+    blocks = parts.select("g", "size", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)).alias("part"))
+    far = int(np.ceil(20 * np.log(100 / least)))
+    near = F.expr(f"x.g = y.g AND y.size BETWEEN x.size - {far} AND x.size AND (y.size < x.size OR y.part <= x.part)")
+    pairs = blocks.alias("x").join(blocks.alias("y"), near).select("x.g", F.struct("x.size", "x.part").alias("x"), F.struct("y.size", "y.part").alias("y")).withColumn("pair", F.xxhash64("g", "x", "y"))
+    sides = pairs.select("g", "pair", F.posexplode(F.expr("CASE WHEN x = y THEN array(x) ELSE array(x, y) END")).alias("side", "block")).select("g", "pair", "side", "block.size", "block.part")
+    sent = dealt.join(sides, ["g", "size", "part"]).select("pair", "side", "item", "c", "n", "shingles").repartition("pair").sortWithinPartitions("pair", "side", "item")
+    return sent.mapInArrow(_block_links(least), "a long, b long")
+
+
+def _block_links(least: int):
+    """Items of two blocks, or of one, arrive together."""
+
+    def find(pairs: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        now, held = None, []
+        for batch in slices(pairs, 256):
+            own = batch.column(0).to_numpy(zero_copy_only=False)
+            cuts = [0, *(np.flatnonzero(own[1:] != own[:-1]) + 1).tolist(), len(own)]
+            for a, b in zip(cuts, cuts[1:]):
+                if a == b:
+                    continue
+                if own[a] != now and held:
+                    yield _joining(held, least)
+                    held = []
+                now = own[a]
+                held.append(batch.slice(a, b - a))
+        if held:
+            yield _joining(held, least)
+
+    return find
+
+
+def _joining(rows: list[pa.RecordBatch], least: int) -> pa.RecordBatch:
+    """Links among the items of a pair of blocks that join their components, as far as these are not joined by others before."""
+    table = pa.Table.from_batches(rows).combine_chunks()
+    side, items, comps, sizes = (table.column(i).to_numpy() for i in (1, 2, 3, 4))
+    lists = table.column(5).combine_chunks()
+    lengths = lists.value_lengths().to_numpy(zero_copy_only=False)
+    flat, ends = lists.flatten().to_numpy(zero_copy_only=False), np.cumsum(lengths)
+    # The inverted list is that of the second block, or of the only one.
+    second = np.flatnonzero(side == side.max())
+    of = np.repeat(np.arange(len(items)), lengths)
+    in_second = side[of] == side.max()
+    order = np.argsort(flat[in_second], kind="stable")
+    listed, owner = flat[in_second][order], of[in_second][order] - second[0]
+    parent: dict[int, int] = {}
+
+    def root(c: int) -> int:
+        while parent.get(c, c) != c:
+            c = parent[c] = parent.get(parent[c], parent[c])
+        return c
+
+    found: tuple[list[int], list[int]] = ([], [])
+    for i in np.flatnonzero(side == side.min()).tolist():
+        own = flat[ends[i] - lengths[i] : ends[i]]
+        low, high = np.searchsorted(listed, own, "left"), np.searchsorted(listed, own, "right")
+        n = high - low
+        common = np.bincount(owner[np.repeat(low - (np.cumsum(n) - n), n) + np.arange(int(n.sum()))], minlength=len(second))
+        linked = (100 * common >= least * (sizes[i] + sizes[second] - common)) & (comps[second] != comps[i])
+        for j in second[np.flatnonzero(linked)].tolist():
+            a, b = root(int(comps[i])), root(int(comps[j]))
+            if a != b:
+                parent[a] = b
+                found[0].append(min(int(items[i]), int(items[j])))
+                found[1].append(max(int(items[i]), int(items[j])))
+    return pa.RecordBatch.from_arrays([pa.array(x, pa.int64()) for x in found], ["a", "b"])
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k: int = SHINGLE, least: int = LEAST, margin: float = MARGIN) -> DataFrame:
@@ -235,7 +334,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", k:
         if before is not None and 2 * cross > before:
             # Star rounds no longer pay: the rest is decided by the sets themselves.
             some = live.groupBy("item", "c").agg(F.lit(1).alias("one")).select("item", "c").join(sets, "item").withColumn("n", F.size("shingles"))
-            if matcher.try_pairs(open_pairs(scratch, some, least)):
+            pairs, links = open_pairs(scratch, some, least)
+            new = matcher.try_pairs(pairs)
+            if (links is not None and matcher.add(links)) or new:
                 labels = matcher.labels()
             break
         before = cross
@@ -261,7 +362,6 @@ def one_of_each(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     marked = docs.filter(~empty).select(whole_row(docs), F.xxhash64(doc_id, text).alias("_at"), doc_id.alias("_id"))
     kept = marked.alias("d").join(heads.alias("h"), F.expr("d._at = h._at AND d._id <=> h._id"), "left_semi")
     hashed = [F.col("_row").getField(c) for c, kind in docs.dtypes if "map<" not in kind]  # maps have no hash
-    kept = kept.withColumn("_order", F.xxhash64(*hashed))
-    # Equal rows share the key of their head: one of them stays.
-    one = kept.withColumn("_place", F.row_number().over(Window.partitionBy("_at", "_id").orderBy("_order"))).filter("_place = 1")
+    # Equal rows share the key of their head: one of them stays. Each task keeps its least row of a key, so a key that repeats costs a row for each task.
+    one = kept.withColumn("_order", F.xxhash64(*hashed)).groupBy("_at", "_id").agg(F.min_by("_row", "_order").alias("_row"))
     return docs.filter(empty).unionByName(one.select("_row.*"))

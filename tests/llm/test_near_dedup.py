@@ -5,6 +5,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pytest
 
 from contactdq.llm import near_dedup as N
 from contactdq.llm import setsketch as S
@@ -68,7 +69,9 @@ def test_open_pairs_are_all_that_reach_the_threshold(spark):
             own = {x for x in base if rnd.random() > 0.3 * rnd.random()} | {rnd.getrandbits(62) for _ in range(rnd.randrange(1 + len(base) // 3))} | set(rnd.sample(base, min(3, len(base))))
             rows.append((group * 100 + i, (group * 100 + i) // rnd.choice([1, 5]), len(own), sorted(own)))
     live = spark.createDataFrame(rows, "item long, c long, n long, shingles array<long>")
-    got = {(r.a, r.b) for r in N.open_pairs(Scratch(spark), live, 75).collect()}
+    pairs, links = N.open_pairs(Scratch(spark), live, 75, hot=10_000)
+    assert links is None
+    got = {(r.a, r.b) for r in pairs.collect()}
     want = set()
     for i, (a, ca, _, x) in enumerate(rows):
         for b, cb, _, y in rows[:i]:
@@ -76,6 +79,54 @@ def test_open_pairs_are_all_that_reach_the_threshold(spark):
             if ca != cb and 100 * both >= 75 * len(set(x) | set(y)):
                 want.add((min(a, b), max(a, b)))
     assert want and want <= got and len(got) < 0.5 * len(rows) ** 2 / 6
+    # With small keys for pairs and small blocks for the rest, pairs and links together join the same components.
+    comp = {r[0]: r[1] for r in rows}
+    for items in (7, 1024):
+        N.BLOCK_ITEMS = items
+        pairs, links = N.open_pairs(Scratch(spark), live, 75, hot=6)
+        links = {(r.a, r.b) for r in links.collect()}
+        assert all(100 * len(sets[a] & sets[b]) >= 75 * len(sets[a] | sets[b]) for sets in [{r[0]: set(r[3]) for r in rows}] for a, b in links)
+        few = {(r.a, r.b) for r in pairs.collect()}
+        assert joined(comp, (few & want) | links) == joined(comp, want)
+
+
+def joined(comp, links):
+    """The least component of each one that links join."""
+    low = {c: c for c in comp.values()}
+    for _ in low:
+        for a, b in links:
+            both = min(low[comp[a]], low[comp[b]])
+            low[comp[a]] = low[comp[b]] = low[low[comp[a]]] = low[low[comp[b]]] = both
+    return low
+
+
+@pytest.mark.parametrize("n", [100, 200, 400])
+def test_parts_of_one_template_make_no_pairs(spark, n):
+    """Sets that each keep a random 80 of 100 shingles of a template, and two that are alike: few pairs, and the one link is found."""
+    rnd = random.Random(n)
+    base = [rnd.getrandbits(62) for _ in range(300)]
+    rows = [(i, i, sorted(x for x in base if rnd.random() < 0.8)) for i in range(n)]
+    rows += [(n, n, rows[0][2][12:])]
+    live = spark.createDataFrame([(i, c, len(x), x) for i, c, x in rows], "item long, c long, n long, shingles array<long>")
+    pairs, links = N.open_pairs(Scratch(spark), live, 75)
+    assert pairs.count() <= 4 * n
+    want = {(a, b) for b, _, y in rows for a, _, x in rows[:b] if 100 * len(set(x) & set(y)) >= 75 * len(set(x) | set(y))}
+    assert (0, n) in want
+    assert joined({i: i for i, _, _ in rows}, {(r.a, r.b) for r in links.collect()}) == joined({i: i for i, _, _ in rows}, want)
+
+
+def test_classes_of_a_template_group(documents):
+    rnd = random.Random(5)
+    base = [f"b{i}" for i in range(300)]
+    docs = [(i, " ".join(w if rnd.random() < 0.96 else f"n{rnd.random()}" for w in base)) for i in range(120)]
+    assert Counter((r.doc_id, r.n_shingles, r.component_id) for r in N.classes(documents(docs)).collect()) == brute_classes(docs)
+
+
+def test_rows_that_repeat_a_thousand_times(documents):
+    docs = [(7, "one two three four five six seven")] * 1500 + [(8, "One two three four five six seven")] * 1500
+    got = N.classes(documents(docs)).collect()
+    assert len(got) == 3000 and {(r.doc_id, r.n_shingles, r.component_id) for r in got} == {(7, 3, 7), (8, 3, 7)}
+    assert [r.doc_id for r in N.one_of_each(documents(docs)).collect()] == [7]
 
 
 def test_copies_edited_each_in_its_own_way(documents):
