@@ -5,40 +5,114 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from contactdq.functions.barrier import settled
+from contactdq.functions.similarity import dice, jaro_winkler
+from contactdq.functions.text import name_tokens, sorted_key
 from contactdq.operators.names import classified, cross_scores
+from contactdq.session import stored
 
 BLOCK_LENGTH = 4
 
+#: A token that so many base keys have, or fewer, gives candidates outright; what shares only more frequent ones must pass bounds first.
+RARE = 50
 
-def candidate_pairs(left: DataFrame, right: DataFrame, left_id: str = "ID_ARCHIVO", right_id: str = "ID_BASE", least: int = BLOCK_LENGTH) -> DataFrame:
-    """Distinct (left_id, right_id) of rows with CLAVE and TOKENS: those of the same key or, where a row has none, those that share a long token.
 
-    Both ways are equi-joins on the key or token; a frequent token is a skewed key, which adaptive execution splits.
-    Pairs are made distinct before anything is scored.
+def _light_scores(pairs: DataFrame) -> DataFrame:
+    """``x, y, score`` of pairs of keys: the better of Jaro-Winkler over sorted words and DICE, as a cross-match ranks them."""
+    told = pairs.withColumns({"_tx": name_tokens(F.col("x")), "_ty": name_tokens(F.col("y")), "_jw": jaro_winkler(sorted_key(F.col("x")), sorted_key(F.col("y")))})
+    return told.select("x", "y", F.greatest(F.round("_jw", 6), F.round(dice(F.col("_tx"), F.col("_ty")), 6)).alias("score"))
+
+
+def _spelled(keys: DataFrame, x: str) -> DataFrame:
+    """Distinct keys as ``x``, with words ``w``, sorted key ``s`` and letters ``l``: the first A, the second A and so on are different ones."""
+    rows = keys.select(F.col("CLAVE").alias(x), F.col("TOKENS").alias(f"w{x}"), sorted_key(F.col("CLAVE")).alias(f"s{x}"))
+    rows = settled(rows.withColumn("_c", F.array_sort(F.split(f"s{x}", ""))), f"s{x}", "_c")
+    return settled(rows.withColumn(f"l{x}", F.expr("transform(_c, (c, i) -> concat(c, cast(i - array_position(_c, c) + 1 AS string)))")).drop("_c"), f"l{x}")
+
+
+def _floors(scored: DataFrame, k: int) -> DataFrame:
+    """``x, floor``: the k-th best score of each left key that has as many, less what rounding may add."""
+    place = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("score")))
+    return scored.withColumn("_p", place).filter(F.col("_p") == k).select("x", (F.col("score") - 1e-6).alias("floor"))
+
+
+def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int = BLOCK_LENGTH, rare: int = RARE) -> DataFrame:
+    """``x, y, score`` of distinct keys (``CLAVE, TOKENS``): every pair that shares a long token and can be among the best k of its left key, and some others.
+
+    Pairs that share a rare token are scored, and some that share a frequent one: those with a rare half of a word in common (one slip leaves one half whole) and
+    a few whose lengths are alike. So most left keys have a k-th best score. A pair
+    that shares frequent tokens only must reach it. Jaro-Winkler that high needs so many letters in common that one of the few rarest letters of the left key
+    (the third K, say) is among them: the pairs are found by an equi-join on token and letter, bounded by length there and by all letters, first letters and words after it, and only
+    then scored. A left key whose k-th best score is low, or that has no word but frequent ones, is compared with all that share a token with it.
     """
-    a, b = left.filter("CLAVE <> ''").select(left_id, "CLAVE", "TOKENS"), right.filter("CLAVE <> ''").select(right_id, "CLAVE", "TOKENS")
-    exact = a.join(b.select(right_id, "CLAVE"), "CLAVE").select(left_id, right_id)
-    rest = a.join(b.select("CLAVE").distinct(), "CLAVE", "left_anti")
-    block = lambda d, i: d.select(i, F.explode(F.filter("TOKENS", lambda x: F.length(x) >= least)).alias("_t"))
-    near = block(rest, left_id).join(block(b, right_id), "_t").select(left_id, right_id)
-    return exact.unionByName(near).distinct()
+    token = lambda d, x: d.withColumn("t", F.explode(F.filter(f"w{x}", lambda t: F.length(t) >= least)))
+    left, right = stored(_spelled(left, "x"), "left"), stored(_spelled(right, "y"), "right")
+    lx, ry = token(left, "x"), token(right, "y")
+    often = ry.groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") > rare).select("t")
+    if often.isEmpty():
+        return _light_scores(lx.select("x", "t").join(ry.select("y", "t"), "t").select("x", "y").distinct())
+    often = stored(often, "often")
+    scored = stored(_light_scores(lx.join(often, "t", "left_anti").select("x", "t").join(ry.join(often, "t", "left_anti").select("y", "t"), "t").select("x", "y").distinct()), "scored")
+    lx, ry = lx.join(often, "t"), ry.join(often, "t")
+    shape = ry.groupBy("t", F.length("sy").alias("n")).agg(F.min("y").alias("a"), F.max("y").alias("b"))
+    near = lx.select("x", "t", F.explode(F.sequence(F.length("sx") - 1, F.length("sx") + 1)).alias("n")).join(shape, ["t", "n"])
+    seeds = near.select("x", F.explode(F.array("a", "b")).alias("y")).unionByName(_half_alike(left, right, least, rare)).distinct()
+    floors = _floors(scored.unionByName(_light_scores(seeds)).distinct(), k)
+    # Words that both can have where no rare one is shared: the frequent and the short ones.
+    held = lx.groupBy("x", "wx", "sx", "lx").agg(F.collect_set("t").alias("ts")).join(floors, "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    held = held.withColumns({"open": F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least)), "jaro": (F.col("floor") - 0.4) / 0.6})
+    held = held.withColumn("first", F.expr("cast(size(lx) - greatest(0, ceil((3 * jaro - 2) * size(lx) - 1e-6)) + 1 AS int)"))
+    held = stored(held, "held")
+    whole = (2 * F.col("open") >= F.col("floor") * (F.size("wx") + F.col("open"))) | (2 * F.col("first") > F.size("lx"))
+    pair = ["x", "wx", "sx", "lx", "floor"]
+    full = held.filter(whole).select(*pair, F.explode("ts").alias("t")).join(ry.select("t", "y", "wy", "sy", "ly"), "t").drop("t")
+    spread = right.select(F.explode("ly").alias("l")).groupBy("l").agg(F.count("*").alias("df"))
+    some = held.filter(~whole)
+    rarest = some.select("x", "first", F.explode("lx").alias("l")).join(spread, "l", "left").groupBy("x", "first").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "l"))).alias("ls"))
+    asked = some.drop("first").join(rarest.select("x", F.explode(F.slice("ls", 1, F.col("first"))).alias("l")), "x").select(*pair, "jaro", "l.l", F.explode("ts").alias("t"))
+    enough = F.expr("least(length(sx), length(sy)) / length(sx) + least(length(sx), length(sy)) / length(sy) + 1 + 1e-6 >= 3 * jaro")
+    few = asked.join(ry.select("t", "y", "wy", "sy", "ly", F.explode("ly").alias("l")), ["t", "l"]).filter(enough).drop("t", "l", "jaro")
+    met = _bounded(full.unionByName(few)).filter(F.col("bound") >= F.col("floor")).select("x", "y").distinct()
+    return scored.unionByName(_light_scores(met)).distinct()
+
+
+def _half_alike(left: DataFrame, right: DataFrame, least: int, rare: int) -> DataFrame:
+    """``x, y`` of keys that share a long word, and the first or the second half of another one that few base keys have."""
+    halves = "flatten(transform({0}, t -> array(concat('<', left(t, length(t) DIV 2)), concat('>', right(t, length(t) - length(t) DIV 2)))))"
+    parted = lambda d, x: d.select(x, F.filter(f"w{x}", lambda t: F.length(t) >= least).alias(f"w{x}")).withColumn("h", F.explode(F.expr(halves.format(f"filter(w{x}, t -> length(t) >= 6)"))))
+    hy = parted(right, "y")
+    few = hy.groupBy("h").agg(F.count("*").alias("n")).filter(F.col("n") <= rare).select("h")
+    return parted(left, "x").join(hy.join(few, "h"), "h").filter(F.arrays_overlap("wx", "wy")).select("x", "y").distinct()
+
+
+def _bounded(pairs: DataFrame) -> DataFrame:
+    """Adds ``bound``, the best score that two keys can have: from all letters that they share, none of them out of order, the first letters that they do share, and their words."""
+    told = settled(pairs.withColumn("_m", F.size(F.array_intersect("lx", "ly"))), "_m")
+    first = "CASE WHEN left(sx, 4) = left(sy, 4) THEN 4 WHEN left(sx, 3) = left(sy, 3) THEN 3 WHEN left(sx, 2) = left(sy, 2) THEN 2 WHEN left(sx, 1) = left(sy, 1) THEN 1 ELSE 0 END"
+    told = told.withColumn("_j", F.expr("(_m / length(sx) + _m / length(sy) + 1) / 3"))
+    return told.withColumn("bound", F.expr(f"greatest(_j + 0.1 * ({first}) * (1 - _j), 2 * size(array_intersect(wx, wy)) / (size(wx) + size(wy)))"))
 
 
 def cross_match(left: DataFrame, right: DataFrame, k: int = 5, left_id: str = "ID_ARCHIVO", left_name: str = "DENOM", right_id: str = "ID_BASE", right_name: str = "DENOM", extras: list[str] | None = None, document: str | None = None) -> DataFrame:
     """The best ``k`` candidates of every left row with scores and verdict; a row without candidates has RANKING 0 and the verdict NO.
 
     Ties are broken by the base id. Carried columns never influence a score. Scores depend on the keys alone, so each pair of distinct keys is scored
-    once, however many rows have them.
+    once, however many rows have them. Of base rows that share an id one counts: that of the least name, then of the least document.
     """
     a = classified(left.select(F.col(left_id).cast("string").alias("ID_ARCHIVO"), F.col(left_name).alias("_n"), *[F.col(c) for c in extras or []]), "_n").drop("_n")
-    b = classified(right.select(F.col(right_id).alias("ID_BASE"), F.col(right_name).alias("DENOM_BASE"), *([F.col(document).alias("DOC_BASE")] if document else [])).dropDuplicates(["ID_BASE"]), "DENOM_BASE")
-    keys = lambda d, i: d.select(F.col("CLAVE").alias(i), "CLAVE", "TOKENS").dropDuplicates([i])
-    scored = cross_scores(candidate_pairs(keys(a, "CLAVE_ARCHIVO"), keys(b, "CLAVE_BASE"), "CLAVE_ARCHIVO", "CLAVE_BASE"), "CLAVE_ARCHIVO", "CLAVE_BASE")
+    named = [F.col(right_name).alias("DENOM_BASE"), *([F.col(document).alias("DOC_BASE")] if document else [])]
+    once = right.select(F.col(right_id).alias("ID_BASE"), F.struct(F.col(right_name).isNull(), *named).alias("_r")).groupBy("ID_BASE").agg(F.min("_r").alias("_r"))
+    b = classified(once.select("ID_BASE", "_r.DENOM_BASE", *(["_r.DOC_BASE"] if document else [])), "DENOM_BASE")
+    keys = lambda d: settled(d.select("CLAVE", "TOKENS"), "CLAVE", "TOKENS").filter("CLAVE <> ''").dropDuplicates(["CLAVE"])
+    ka, kb = keys(a), keys(b)
     # Of base rows of one key none but the k smallest ids can be among the best k.
     least = b.withColumn("_n", F.row_number().over(Window.partitionBy("CLAVE").orderBy("ID_BASE"))).filter(F.col("_n") <= k)
     least = least.select(F.col("CLAVE").alias("CLAVE_BASE"), "ID_BASE", "DENOM_BASE", *(["DOC_BASE"] if document else []))
-    order = Window.partitionBy("CLAVE_ARCHIVO").orderBy(F.greatest("JARO_WINKLER_ORD", "DICE").desc(), "ID_BASE")
-    top = scored.join(least, "CLAVE_BASE").withColumn("RANKING", F.row_number().over(order)).filter(F.col("RANKING") <= k)
+    same_key = ka.join(kb.select("CLAVE"), "CLAVE").select(F.col("CLAVE").alias("x"), F.col("CLAVE").alias("y"), F.lit(1.0).alias("score"))
+    pairs = same_key.unionByName(best_pairs(ka.join(kb.select("CLAVE"), "CLAVE", "left_anti"), kb, k)).select(F.col("x").alias("CLAVE_ARCHIVO"), F.col("y").alias("CLAVE_BASE"), "score")
+    order = Window.partitionBy("CLAVE_ARCHIVO").orderBy(F.desc("score"), "ID_BASE")
+    chosen = pairs.join(least, "CLAVE_BASE").withColumn("RANKING", F.row_number().over(order)).filter(F.col("RANKING") <= k)
+    top = cross_scores(chosen.drop("score"), "CLAVE_ARCHIVO", "CLAVE_BASE")
     joined = a.select("ID_ARCHIVO", F.col("DENOMINACION").alias("DENOM_ARCHIVO"), F.col("CLAVE").alias("CLAVE_ARCHIVO"), "TIPO", "MOTIVO_NORM", *(extras or [])).join(top, "CLAVE_ARCHIVO", "left")
     same = F.col("DENOM_ARCHIVO").eqNullSafe(F.col("DENOM_BASE"))
     joined = joined.withColumn("MOTIVO", F.when(same, F.regexp_replace("MOTIVO", "^IDENTICO_NORMALIZADO", "IDENTICO")).otherwise(F.col("MOTIVO")))
@@ -69,45 +143,47 @@ def _added(reason: Column, tag: Column) -> Column:
     return F.left(F.when(F.coalesce(reason, F.lit("")) == "", tag).otherwise(F.concat(reason, F.lit("; "), tag)), F.lit(200))
 
 
-def _rivals(group: str):
-    """Yes rows of one ``group``; each other row, which nothing changes, is dealt out by its own ID."""
-    plays = F.coalesce((F.col("COINCIDE") == "SI") & F.col(group).isNotNull(), F.lit(False))
-    return Window.partitionBy(F.when(plays, F.col(group)), F.when(~plays, F.col("ID")))
-
+def _settled(rows: DataFrame, group: str, tag: str, contested: str, margin: float) -> DataFrame:
+    """One pass over the groups of yes rows that compete for ``group``; ``contested`` says by a group's figures whether its rows are at odds.
 
-def _settled(rows: DataFrame, group: str, tag: str, contested: Column, margin: float) -> DataFrame:
-    """One pass over the groups of yes rows that compete for ``group``."""
-    yes = F.col("COINCIDE") == "SI"
-    window = _rivals(group)
-    order = window.orderBy(F.col("_score").desc(), "ID")
+    A group is told by figures that each task sums up for itself before they meet: its rows, least and greatest user and file id (equal if there is but one), and its two
+    best scores, of which a task passes on two. They are joined back to the rows; rows that compete for nothing take no part. So no task holds a group.
+    """
     step = rows.withColumns(
         {
             "_score": F.greatest(F.coalesce("JARO_WINKLER_ORD", F.lit(0.0)), F.coalesce("DICE", F.lit(0.0))),
             "_user": F.lower(F.trim(F.coalesce("USERNAME", F.lit("")))),
+            "_plays": F.coalesce((F.col("COINCIDE") == "SI") & F.col(group).isNotNull(), F.lit(False)),
         }
     )
-    step = step.withColumns({"_in": yes & F.col(group).isNotNull() & contested, "_rank": F.row_number().over(order), "_users": F.size(F.collect_set("_user").over(window))})
-    step = step.withColumn("_gap", F.max(F.when(F.col("_rank") == 1, F.col("_score"))).over(window) - F.max(F.when(F.col("_rank") == 2, F.col("_score"))).over(window))
-    same = (F.col("_users") == 1) & (F.col("_user") != "")
-    wins = F.col("_gap") >= margin
+    rivals = step.filter("_plays")
+    figures = rivals.groupBy(group).agg(
+        F.count("*").alias("_n"), F.min("_user").alias("_u1"), F.max("_user").alias("_u2"), F.min("ID_ARCHIVO").alias("_a1"), F.max("ID_ARCHIVO").alias("_a2")
+    )
+    place = F.row_number().over(Window.partitionBy(group).orderBy(F.desc("_score"), "ID"))
+    two = rivals.select(group, "_score", "ID").withColumn("_rank", place).filter("_rank <= 2")
+    at = lambda rank, c: F.max(F.when(F.col("_rank") == rank, F.col(c)))
+    best = two.groupBy(group).agg(at(1, "ID").alias("_first"), (at(1, "_score") - at(2, "_score")).alias("_gap"))
+    told = rivals.join(figures.join(best, group), group)
+    same = (F.col("_u1") == F.col("_u2")) & (F.col("_u1") != "")
+    wins, first = F.coalesce(F.col("_gap") >= margin, F.lit(False)), F.col("ID") == F.col("_first")
     text = (
         F.when(same, F.lit("MISMA_ENTIDAD_MULTIPLE_PERFIL"))
-        .when(wins & (F.col("_rank") == 1), F.concat(F.lit("GANA_POR_MARGEN("), F.format_string("%.4f", "_gap"), F.lit(")")))
+        .when(wins & first, F.concat(F.lit("GANA_POR_MARGEN("), F.format_string("%.4f", "_gap"), F.lit(")")))
         .when(wins, F.lit(f"{tag}_PIERDE_POR_MARGEN"))
         .otherwise(F.lit(f"{tag}_EMPATE_SIN_EVIDENCIA"))
     )
-    loses = ~same & ~(wins & (F.col("_rank") == 1))
-    return step.withColumns({"MOTIVO": F.when(F.col("_in"), _added(F.col("MOTIVO"), text)).otherwise(F.col("MOTIVO")), "COINCIDE": F.when(F.col("_in") & loses, "RE").otherwise(F.col("COINCIDE"))}).drop("_score", "_user", "_in", "_rank", "_users", "_gap")
+    odds = F.coalesce(F.expr(contested), F.lit(False))
+    told = told.withColumns({"MOTIVO": F.when(odds, _added(F.col("MOTIVO"), text)).otherwise(F.col("MOTIVO")), "COINCIDE": F.when(odds & ~same & ~(wins & first), "RE").otherwise(F.col("COINCIDE"))})
+    return told.select(*[f"`{c}`" for c in rows.columns]).unionByName(step.filter("NOT _plays").select(*[f"`{c}`" for c in rows.columns]))
 
 
 def resolved_conflicts(rows: DataFrame, margin: float = 0.03) -> DataFrame:
-    """Settle yes rows that share a base id, then, of those still yes, rows that share a file id.
+    """Settle yes rows that share a base id, then, of those still yes, rows that share a file id. Rows have an ``ID`` of their own, none twice.
 
     A group of one user keeps its verdicts; else a clear margin makes the best row win and the others reviews; else all are reviews.
     """
-    by_base, by_file = _rivals("ID_BASE"), _rivals("ID_ARCHIVO")
-    first = _settled(rows, "ID_BASE", "CONFLICTO_N1", F.size(F.collect_set("ID_ARCHIVO").over(by_base)) > 1, margin)
-    return _settled(first, "ID_ARCHIVO", "CONFLICTO_1N", F.count("*").over(by_file) > 1, margin)
+    return _settled(_settled(rows, "ID_BASE", "CONFLICTO_N1", "_a1 <> _a2", margin), "ID_ARCHIVO", "CONFLICTO_1N", "_n > 1", margin)
 
 
 def conflicts(rows: DataFrame, by: str = "ID_BASE", of: str = "ID_ARCHIVO") -> DataFrame:

@@ -8,12 +8,14 @@ each distinct domain. Typos are not learned during a run, as that would make rea
 from __future__ import annotations
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from contactdq.functions.text import letters_only
 from contactdq.operators import mail_lists as L
 from contactdq.operators.mails import _OWN, Lists, _ats, _respelled, _similar, _suffix, _unrepeated, _with_dot
+from contactdq.session import stored
+from contactdq.sources.publish import overwrite_touched, shortened
 
 #: Further phrases for having no mail, which this process knows beside the common ones.
 MORE_NO_MAIL = (
@@ -146,3 +148,52 @@ def linguistic_log(rows: DataFrame, column: str, lists: Lists = Lists()) -> Data
     said = F.array_join(F.array_compact(F.array(*notes[1:])), "; ")
     text = F.when(F.col("_one"), F.concat("_u4", F.lit("@"), "cut")).otherwise(F.col("_t7"))
     return step.select(F.col(column).alias("MAIL_ORIGINAL"), text.alias("MAIL_NORMALIZADO"), said.alias("DETALLE")).filter("DETALLE <> ''").distinct()
+
+
+#: What stands in the columns of a row that the job touched.
+LOW_REASON, REVIEW_MARK = "no pasa validacion", "REVISION MANUAL"
+
+
+def changes(table: DataFrame, key: str, mail: str, at, user: str, lists: Lists = Lists(), widest: int = 100) -> DataFrame:
+    """The rows of a table of mails that its cleaning would change, as they will be, with ``_before`` and ``_after`` (JSON) and ``_kind`` (BAJA, MOD or REVISION) beside them.
+
+    Only rows without FECHA_BAJA are looked at. A bad mail is marked as low, a repaired one replaced, one for review marked; a row that already says so is no change, so a second run finds nothing.
+    The columns of audit are those of ``plans.schemas.AUDIT_COLUMNS``.
+    """
+    judged = processed(table.filter("FECHA_BAJA IS NULL"), mail, lists) if mail != "MAIL_DEPURADO" else None
+    if judged is None:
+        raise ValueError("the column of mails may not be named MAIL_DEPURADO")
+    low, changed, ask = (F.col("ESTADO") == s for s in ("BAJA", "MODIFICADO", "REVISION MANUAL"))
+    spoken = F.col("MOTIVO").startswith("Normalización lingüística").cast("tinyint")
+    new = {
+        mail: F.when(changed, F.col("MAIL_DEPURADO")).otherwise(F.col(f"`{mail}`")),
+        "FECHA_BAJA": F.when(low, F.lit(at)),
+        "USUARIO_BAJA": F.when(low, F.lit(user)).otherwise(F.col("USUARIO_BAJA")),
+        "MOTIVO_BAJA": F.when(low, F.lit(LOW_REASON)).otherwise(F.col("MOTIVO_BAJA")),
+        "FECHA_MOD": F.when(changed | ask, F.lit(at)).otherwise(F.col("FECHA_MOD")),
+        "USUARIO_MOD": F.when(changed, F.lit(user)).otherwise(F.col("USUARIO_MOD")),
+        "MOTIVO_MOD": F.when(ask, F.lit(REVIEW_MARK)).when(changed, shortened(F.col("MOTIVO"), widest)).otherwise(F.col("MOTIVO_MOD")),
+        "NORMALIZADO_LINGUISTICO": F.when(low | changed, spoken).otherwise(F.col("NORMALIZADO_LINGUISTICO")),
+    }
+    kinds = {c: table.schema[c].dataType for c in new}
+    due = judged.filter(low | changed | (ask & ~F.col("MOTIVO_MOD").eqNullSafe(F.lit(REVIEW_MARK))))
+    # The row as it is stands beside the row as it will be, so neither is worked out twice.
+    kept = due.select(*[F.col(f"`{c}`").alias(c) if c not in new else new[c].cast(kinds[c]).alias(c) for c in table.columns], F.col(f"`{mail}`").alias("_old"), F.when(low, "BAJA").when(ask, "REVISION").otherwise("MOD").alias("_kind"), F.col("MOTIVO").alias("_why"))
+    before, after = F.struct(F.col("_old").alias("mail")), F.struct(F.col(f"`{mail}`").alias("mail"), F.when(F.col("_kind") == "MOD", "MODIFICADO").when(F.col("_kind") == "BAJA", "BAJA").otherwise("REVISION_MANUAL").alias("estado"), F.col("_why").alias("motivo_detalle"))
+    return kept.select(*table.columns, F.to_json(before, {"ignoreNullFields": "false"}).alias("_before"), F.to_json(after, {"ignoreNullFields": "false"}).alias("_after"), "_kind")
+
+
+def clean_in_place(spark: SparkSession, path: str, partition: str, key: str, mail: str, audit_path: str, at, user: str, name: str, lists: Lists = Lists()) -> dict[str, int]:
+    """Clean a table of mails (files at ``path``, partitioned by a column) where it stands; how many rows were changed, by kind, and how many partitions written.
+
+    The changes are worked out once and stored; audit rows and new rows come from there. Only partitions with a change are written. The audit rows of a run stand under its
+    time, so a run that is repeated after a failure writes the same rows again and none twice; a run that finds nothing to do changes nothing.
+    """
+    table = spark.read.parquet(path)
+    due = stored(changes(table, key, mail, at, user, lists), "changes")
+    counts = {r["_kind"]: r["count"] for r in due.groupBy("_kind").count().collect()}
+    if not counts:
+        return {"particiones": 0}
+    rows = due.select(F.lit(at).alias("FECHA"), F.lit(name).alias("TABLA"), F.col("_kind").alias("OPERACION"), F.col(key).cast("string").alias("ID_REGISTRO"), F.col("_before").alias("DATOS_ANTES"), F.col("_after").alias("DATOS_DESPUES"), F.lit(user).alias("USUARIO_BD"))
+    rows.withColumn("CORRIDA", F.date_format("FECHA", "yyyyMMddHHmmss")).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("CORRIDA").parquet(audit_path)
+    return counts | {"particiones": overwrite_touched(table, due.drop("_before", "_after", "_kind"), path, partition, key)}

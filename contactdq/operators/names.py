@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from contactdq.functions.similarity import damerau, dice, jaccard, jaro_winkler, jaro_winkler_of, overlap
+from contactdq.functions.similarity import dice, edit_figures, jaccard, jaro_winkler, jaro_winkler_of, overlap
 from contactdq.functions.text import compared_name, name_key, name_tokens, percent_name, sorted_key, words
 
 METRICS = ("R_JARO_WINKLER", "R_LEVENSHTEIN", "R_DAMERAU", "R_OVERLAP", "R_DICE", "R_JACCARD")
@@ -33,22 +35,34 @@ def _both_empty(a: Column, b: Column, both: float, value: Column) -> Column:
     return F.when((a == "") & (b == ""), F.lit(both)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(value)
 
 
+def _once(rows: DataFrame, keys: list[str], figures: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """``rows`` with what ``figures`` adds to their keys, worked out once for each distinct combination of keys, none of which is null."""
+    told = figures(rows.select(*keys).distinct())
+    return rows.join(told, keys)
+
+
 def six_metrics(pairs: DataFrame, left: str, right: str) -> DataFrame:
-    """``pairs`` with NORM_1, NORM_2, the six similarities in percent, their mean, extremes and spread, MOTIVO and DETALLE."""
-    keyed = pairs.withColumns({"NORM_1": compared_name(F.col(left)), "NORM_2": compared_name(F.col(right))})
+    """``pairs`` with NORM_1, NORM_2, the six similarities in percent, their mean, extremes and spread, MOTIVO and DETALLE.
+
+    Figures depend on the two normalised names alone: each distinct pair of them is compared once.
+    """
+    return _once(pairs.withColumns({"NORM_1": compared_name(F.col(left)), "NORM_2": compared_name(F.col(right))}), ["NORM_1", "NORM_2"], _six_figures)
+
+
+def _six_figures(keyed: DataFrame) -> DataFrame:
     a, b = F.col("NORM_1"), F.col("NORM_2")
     longest = F.greatest(F.length(a), F.length(b))
     ta, tb = F.array_distinct(words(a)), F.array_distinct(words(b))
-    scored = keyed.withColumns(
+    scored = keyed.withColumn("_e", edit_figures("NORM_1", "NORM_2")).withColumns(
         {
-            "R_JARO_WINKLER": _both_empty(a, b, 0.0, jaro_winkler("NORM_1", "NORM_2") * 100),
+            "R_JARO_WINKLER": _both_empty(a, b, 0.0, F.col("_e.jaro_winkler") * 100),
             "R_LEVENSHTEIN": _both_empty(a, b, 100.0, (1 - F.levenshtein(a, b) / longest) * 100),
-            "R_DAMERAU": _both_empty(a, b, 100.0, (1 - damerau("NORM_1", "NORM_2") / longest) * 100),
+            "R_DAMERAU": _both_empty(a, b, 100.0, (1 - F.col("_e.damerau") / longest) * 100),
             "R_OVERLAP": overlap(ta, tb) * 100,
             "R_DICE": dice(ta, tb, 1.0) * 100,
             "R_JACCARD": jaccard(ta, tb, 1.0) * 100,
         }
-    ).withColumns({m: F.round(m, 2) for m in METRICS})
+    ).drop("_e").withColumns({m: F.round(m, 2) for m in METRICS})
     values = [F.col(m) for m in METRICS]
     total = values[0]
     for v in values[1:]:
@@ -133,6 +147,10 @@ def _percent(a: str, b: str, least: float) -> tuple[float, str]:
 
 def name_percentage(left: Column, right: Column, least: float = 80.0) -> Column:
     """A struct ``percent, analysis`` of two names; compare ``percent`` with the threshold, held between 0 and 100, for the verdict."""
+    return _percentage(percent_name(left), percent_name(right), least)
+
+
+def _percentage(left: Column, right: Column, least: float) -> Column:
     least = min(100.0, max(0.0, float(least)))
 
     @F.pandas_udf("percent double, analysis string")
@@ -140,16 +158,17 @@ def name_percentage(left: Column, right: Column, least: float = 80.0) -> Column:
         known = {p: _percent(*p, least) for p in set(zip(a, b))}
         return pd.DataFrame([known[p] for p in zip(a, b)], columns=["percent", "analysis"])
 
-    return scored(percent_name(left), percent_name(right))
+    return scored(left, right)
 
 
 def compared_denominations(pairs: DataFrame, left: str, right: str, least: float = 80.0) -> DataFrame:
-    """PORCENTAJE, UMBRAL, COINCIDE and ANALISIS beside the pair. The threshold is held between 0 and 100; two empty names or one never coincide."""
+    """PORCENTAJE, UMBRAL, COINCIDE and ANALISIS beside the pair. The threshold is held between 0 and 100; two empty names or one never coincide. Each distinct pair of names is compared once."""
     least = min(100.0, max(0.0, float(least)))
+    keyed = pairs.withColumns({"_nx": percent_name(F.col(left)), "_ny": percent_name(F.col(right))})
     return (
-        pairs.withColumn("_s", name_percentage(F.col(left), F.col(right), least))
+        _once(keyed, ["_nx", "_ny"], lambda keys: keys.withColumn("_s", _percentage(F.col("_nx"), F.col("_ny"), least)))
         .withColumns({"PORCENTAJE": F.col("_s.percent"), "UMBRAL": F.lit(float(least)), "COINCIDE": ((F.col("_s.percent") >= least) & ~F.col("_s.analysis").isin("AMBAS DENOMINACIONES VACIAS", "DENOMINACION VACIA")).cast("int"), "ANALISIS": F.col("_s.analysis")})
-        .drop("_s")
+        .drop("_s", "_nx", "_ny")
     )
 
 
@@ -167,16 +186,16 @@ def cross_scores(pairs: DataFrame, left_key: str, right_key: str, left_name: str
     step = pairs.withColumns({"_oa": sorted_key(a), "_ob": sorted_key(b), "_ta": name_tokens(a), "_tb": name_tokens(b)})
     step = step.withColumns(
         {
-            "_jw": jaro_winkler(left_key, right_key),
+            "_e": edit_figures(left_key, right_key),
             "_jwo": jaro_winkler("_oa", "_ob"),
             "LEVENSHTEIN": F.when(usable, F.levenshtein(a, b)),
-            "DAMERAU": F.when(usable, damerau(left_key, right_key)),
             "_ov": overlap(F.col("_ta"), F.col("_tb")),
             "_di": dice(F.col("_ta"), F.col("_tb")),
             "_ja": jaccard(F.col("_ta"), F.col("_tb")),
         }
     )
-    jw, jwo, ov, di, ja = (F.when(usable, F.col(c)).otherwise(0.0) for c in ("_jw", "_jwo", "_ov", "_di", "_ja"))
+    step = step.withColumn("DAMERAU", F.when(usable, F.col("_e.damerau")))
+    jw, jwo, ov, di, ja = (F.when(usable, F.col(c)).otherwise(0.0) for c in ("_e.jaro_winkler", "_jwo", "_ov", "_di", "_ja"))
     shared, apart = F.size(F.array_intersect("_ta", "_tb")), F.size(F.array_except("_ta", "_tb")) + F.size(F.array_except("_tb", "_ta"))
     best, gap = F.greatest(jwo, di), jwo - di
     wide = F.abs(gap) >= FAMILY_GAP
@@ -203,7 +222,7 @@ def cross_scores(pairs: DataFrame, left_key: str, right_key: str, left_name: str
             "COINCIDE": F.when(usable, verdict).otherwise("NO"),
         }
     )
-    return done.drop("_oa", "_ob", "_ta", "_tb", "_jw", "_jwo", "_ov", "_di", "_ja")
+    return done.drop("_oa", "_ob", "_ta", "_tb", "_e", "_jwo", "_ov", "_di", "_ja")
 
 
 def first_segment(text: Column) -> Column:

@@ -78,6 +78,17 @@ EMPTY, NO_NUMBER, TOO_SHORT = "Teléfono vacío o nulo", "Texto corresponde a 'n
 NO_PLANS = "Librería 'phonenumbers' no instalada (pip install phonenumbers)"
 
 
+#: Fixed: verdicts that a numbering plan gives.
+NO_COUNTRY, POSSIBLE, WRONG_LENGTH = "No se pudo interpretar como número telefónico (Invalid country calling code)", "Formato posible pero no es un número válido en el plan de numeración", "Cantidad de dígitos incorrecta para la región"
+VALID = "Número válido"
+
+#: Fixed: label words taken out wherever they stand, with a dot or colon behind them.
+LABEL_PARTS = r"(cel|tel|celular|telefono|teléfono|fijo|movil|móvil|wsp|whatsapp)\s*[.:]?"
+
+#: A numbering plan: numbers of a country that start so have these lengths, are of this kind, and have an area code of so many digits; a trunk prefix is dialled within the country only.
+PLAN = "CODIGO_PAIS string, PREFIJO string, LARGO_MIN int, LARGO_MAX int, TIPO_LINEA string, LARGO_AREA int, TRONCAL string"
+
+
 def _steps(number: Column) -> Column:
     return F.transform(F.sequence(F.lit(2), F.length(number)), lambda i: F.pmod(F.substr(number, i, F.lit(1)).cast("int") - F.substr(number, i - 1, F.lit(1)).cast("int"), F.lit(10)))
 
@@ -99,13 +110,65 @@ def is_filler(number: Column) -> Column:
     return filler_reason(number).isNotNull()
 
 
-def validated(rows: DataFrame, column: str) -> DataFrame:
-    """Adds VALIDO and MOTIVO by what can be told without numbering plans: empty, placeholder, too short, filler.
+def _first_look(column: str) -> tuple[Column, Column]:
+    """(digits, reason) of a cell by what can be told without numbering plans: empty, placeholder, too short, filler; null where nothing speaks against it."""
+    raw = F.trim(F.coalesce(F.col(column), F.lit("")))
+    number = F.regexp_replace(raw, "[^0-9]", "")
+    return number, F.when(raw == "", EMPTY).when(letters_only(raw).isin(*NO_PHONE), NO_NUMBER).when(F.length(number) < 6, TOO_SHORT).otherwise(filler_reason(number))
+
 
-    Line types and area codes need a library of numbering plans, which is not part of this package; a number that passes here
+def validated(rows: DataFrame, column: str, plan: DataFrame | None = None, country: str = "AR") -> DataFrame:
+    """Adds VALIDO and MOTIVO, and with a numbering plan TELEFONO_NORMALIZADO, CODIGO_PAIS, PREFIJO, TELEFONO, TIPO_TELEFONO and TIPO_LINEA.
+
+    Line types and area codes are a matter of numbering plans, which are an input (columns of ``PLAN``). Without one, a number that passes the first look
     gets the verdict for that case, and is not valid.
     """
-    raw = F.trim(F.coalesce(F.col(column), F.lit("")))
-    number = F.regexp_replace(raw, "[^0-9]", "")
-    reason = F.when(raw == "", EMPTY).when(letters_only(raw).isin(*NO_PHONE), NO_NUMBER).when(F.length(number) < 6, TOO_SHORT).otherwise(F.coalesce(filler_reason(number), F.lit(NO_PLANS)))
-    return rows.withColumn("MOTIVO", reason).withColumn("VALIDO", F.lit(False))
+    number, reason = _first_look(column)
+    if plan is None:
+        return rows.withColumn("MOTIVO", F.coalesce(reason, F.lit(NO_PLANS))).withColumn("VALIDO", F.lit(False))
+    step = rows.withColumns({"_why": reason, "_call": dialled(F.col(column))})
+    step = step.withColumn("_call", F.when(F.col("_why").isNull(), F.col("_call")))
+    told = by_plan(step.filter("_call IS NOT NULL").select("_call").distinct(), "_call", plan, country)
+    joined = step.join(told, "_call", "left").withColumns({"MOTIVO": F.coalesce("_why", "MOTIVO"), "VALIDO": F.coalesce("VALIDO", F.lit(False))})
+    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")}).drop("_call", "_why")
+
+
+def dialled(cell: Column) -> Column:
+    """The digits of a cell, behind a plus sign if one stands first once the label words are out."""
+    text = F.regexp_replace(F.lower(F.trim(F.coalesce(cell, F.lit("")))), LABEL_PARTS, "")
+    return F.concat(F.when(F.ltrim(text).startswith("+"), "+").otherwise(""), F.regexp_replace(text, "[^0-9]", ""))
+
+
+def by_plan(calls: DataFrame, call: str, plan: DataFrame, country: str = "AR") -> DataFrame:
+    """Distinct dialled numbers with what the plan says of them.
+
+    Behind a plus (or 00) stands a country code, the longest that the plan has; other numbers are of the home country, as they stand or, if that is
+    not valid, with its code in front. A trunk prefix is left out. The longest prefix of the plan that a number starts with decides, by an equi-join over the
+    beginnings of the number: it is valid if its length fits, possible if some number of the country is as long.
+    """
+    home = COUNTRY_CODES[country]
+    countries = plan.groupBy(F.col("CODIGO_PAIS").alias("code")).agg(F.max("TRONCAL").alias("trunk"), F.min("LARGO_MIN").alias("low"), F.max("LARGO_MAX").alias("high"))
+    digits = F.regexp_replace(F.col(call), r"^(\+|00)", "")
+    way = lambda order, code, rest: F.struct(F.lit(order).alias("way"), code.alias("code"), rest.alias("rest"))
+    abroad = F.array(*[way(3 - n, F.left(digits, F.lit(n)), F.substr(digits, F.lit(n + 1))) for n in (3, 2, 1)])
+    within = F.array(way(0, F.lit(home), digits), way(1, F.lit(home), F.when(digits.startswith(home), F.substr(digits, F.lit(len(home) + 1)))))
+    ways = calls.select(call, F.explode(F.when(F.col(call).rlike(r"^(\+|00)"), abroad).otherwise(within)).alias("w")).select(call, "w.*").filter("rest IS NOT NULL").join(countries, "code")
+    ways = ways.withColumn("national", F.when((F.col("trunk") != "") & F.col("rest").startswith(F.col("trunk")), F.expr("substring(rest, length(trunk) + 1)")).otherwise(F.col("rest")))
+    starts = ways.select(call, "way", "code", "national", F.explode(F.expr("transform(sequence(1, greatest(1, length(national))), i -> left(national, i))")).alias("start"))
+    listed = plan.select(F.col("CODIGO_PAIS").alias("code"), F.col("PREFIJO").alias("start"), F.struct("LARGO_MIN", "LARGO_MAX", "TIPO_LINEA", "LARGO_AREA").alias("p"))
+    longest = starts.join(listed, ["code", "start"]).groupBy(call, "way").agg(F.max_by("p", F.struct(F.length("start"), F.col("p.LARGO_MAX"), F.col("p.LARGO_MIN"))).alias("p"))
+    seen = ways.join(longest, [call, "way"], "left").withColumns({"fits": F.coalesce(F.length("national").between(F.col("p.LARGO_MIN"), F.col("p.LARGO_MAX")), F.lit(False)), "possible": F.length("national").between(F.col("low"), F.col("high"))})
+    best = seen.groupBy(call).agg(F.min_by(F.struct("code", "national", "p", "fits", "possible"), F.struct(~F.col("fits"), "way")).alias("b"))
+    told = calls.join(best, call, "left").select(call, "b.*")
+    mobile = (F.col("code") == "54") & F.col("national").startswith("9")
+    plain = F.when(mobile, F.expr("substring(national, 2)")).otherwise(F.col("national"))
+    filler = filler_reason(F.col("national"))
+    valid = F.coalesce(F.col("fits"), F.lit(False)) & filler.isNull()
+    only = lambda c: F.when(valid, c)
+    area = F.coalesce("p.LARGO_AREA", F.lit(0))
+    reason = F.when(F.col("code").isNull(), NO_COUNTRY).when(~F.col("fits") & F.col("possible"), POSSIBLE).when(~F.col("fits"), WRONG_LENGTH).otherwise(F.coalesce(filler, F.lit(VALID)))
+    kind = F.col("p.TIPO_LINEA")
+    return told.select(
+        call, valid.alias("VALIDO"), reason.alias("MOTIVO"), only(F.concat(F.lit("+"), F.col("code"), F.col("national"))).alias("TELEFONO_NORMALIZADO"), only(F.col("code")).alias("CODIGO_PAIS"),
+        only(F.left(plain, area)).alias("PREFIJO"), only(F.substr(plain, area + 1)).alias("TELEFONO"), only(F.when(kind == "MOVIL", "C").when(kind == "FIJO", "F").otherwise("")).alias("TIPO_TELEFONO"), only(F.coalesce(kind, F.lit("DESCONOCIDO"))).alias("TIPO_LINEA"),
+    )

@@ -62,7 +62,26 @@ def profile(rows: DataFrame, columns: list[str]) -> DataFrame:
 
 def sample_profile(rows: DataFrame, columns: list[str], limit: int = 50) -> DataFrame:
     """The profile of a preview of at most 1 to 100 rows."""
-    return profile(rows.limit(max(1, min(100, limit))), columns)
+    return preview(rows, columns, limit)[1]
+
+
+def preview(rows: DataFrame, columns: list[str] | None = None, limit: int = 50, where: str | None = None, with_total: bool = False) -> tuple[DataFrame, DataFrame, int | None]:
+    """(sample, its profile by column, rows in all) of those rows that pass a filter; the sample has the first 1 to 100 of them.
+
+    With the total, one pass reads everything: the rows are counted as they go by the search for the first ones. Without it, reading stops when the sample is full.
+    """
+    from pyspark.sql import Observation
+
+    spark, columns, n = rows.sparkSession, columns or rows.columns, max(1, min(100, limit))
+    some = rows.filter(where) if where else rows
+    some, seen = some.select(*[F.col(f"`{c}`") for c in columns]), Observation()
+    if with_total:
+        placed = some.withColumn("_place", F.monotonically_increasing_id()).observe(seen, F.count(F.lit(1)).alias("n"))
+        first = placed.orderBy("_place").limit(n).drop("_place")
+    else:
+        first = some.limit(n)
+    sample = spark.createDataFrame(first.collect(), some.schema)
+    return sample, profile(sample, columns), seen.get["n"] if with_total else None
 
 
 def numbered(rows: DataFrame, column: str) -> DataFrame:

@@ -38,13 +38,15 @@ def clean_phones(rows: DataFrame, at: datetime, id_col: str, column: str, countr
     return _stamped(step.select(F.col("ID_ORIGEN").cast("string"), "TELEFONO_ORIGINAL", *cols, _yes("FUE_DEPURADO"), F.left(F.array_join("CAMBIOS", "; "), F.lit(500)).alias("CAMBIOS")), at)
 
 
-def validate_phones(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine") -> DataFrame:
-    """The 14 columns of a verdict; without numbering plans no number is valid, and what only plans tell stays empty."""
-    step = phones.validated(rows.select(F.col(id_col).cast("string").alias("ID_ORIGEN"), F.col(column).alias("TELEFONO_ORIGINAL")), "TELEFONO_ORIGINAL")
-    none = F.lit(None).cast("string")
-    empty = [F.lit("").alias(c) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")]
-    verdict = (none.alias("TIPO_LINEA"), F.col("VALIDO").cast("int").alias("VALIDO"), "MOTIVO", F.lit(at).alias("FECHA_BAJA"), F.lit(user).alias("USUARIO_BAJA"), F.col("MOTIVO").alias("MOTIVO_BAJA"))
-    return _stamped(step.select("ID_ORIGEN", "TELEFONO_ORIGINAL", none.alias("TELEFONO_NORMALIZADO"), *empty, *verdict), at)
+def validate_phones(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine", plan: DataFrame | None = None, country: str = "AR") -> DataFrame:
+    """The 14 columns of a verdict; without a numbering plan no number is valid, and what only plans tell stays empty."""
+    step = phones.validated(rows.select(F.col(id_col).cast("string").alias("ID_ORIGEN"), F.col(column).alias("TELEFONO_ORIGINAL")), "TELEFONO_ORIGINAL", plan, country)
+    if plan is None:
+        none = F.lit(None).cast("string")
+        step = step.withColumns({"TELEFONO_NORMALIZADO": none, "TIPO_LINEA": none, **{c: F.lit("") for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")}})
+    low = ~F.col("VALIDO")
+    verdict = (F.col("VALIDO").cast("int").alias("VALIDO"), "MOTIVO", F.when(low, F.lit(at)).alias("FECHA_BAJA"), F.when(low, F.lit(user)).alias("USUARIO_BAJA"), F.when(low, F.col("MOTIVO")).alias("MOTIVO_BAJA"))
+    return _stamped(step.select("ID_ORIGEN", "TELEFONO_ORIGINAL", "TELEFONO_NORMALIZADO", "CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO", "TIPO_LINEA", *verdict), at)
 
 
 def judge_mails(rows: DataFrame, at: datetime, id_col: str, column: str, user: str = "engine") -> DataFrame:
@@ -108,6 +110,11 @@ def scan_providers(rows: DataFrame, at: datetime, findings: DataFrame, mail: str
     return _stamped(mails.provider_scan(rows, mail, order, findings, providers, limit), at)
 
 
+def confirm_mails(rows: DataFrame, at: datetime, column: str, order: str, findings: DataFrame, providers: list[str], limit: int | None = None) -> DataFrame:
+    """Cleaning, validation and provider evidence in one flow."""
+    return _stamped(mails.three_stages(rows, column, order, findings, providers, limit), at)
+
+
 PROCESSES: dict[str, Callable[..., DataFrame]] = {
     "osint": scan_providers,
     "mails": judge_mails,
@@ -122,6 +129,7 @@ PROCESSES: dict[str, Callable[..., DataFrame]] = {
     "cruce_redes": cross,
     "cruce_denominaciones": cross_and_settle,
     "normalizacion": explode,
+    "mails_osint": confirm_mails,
 }
 
 

@@ -226,6 +226,27 @@ def verdict_counts_all(spark, sf_dir):
     return linking.verdict_counts(_all_matched(spark, sf_dir))
 
 
+# As many distinct keys as rows: eight base rows have the name of one part and a token of their own family, and each a number. On the file side words are swapped, the token or
+# a word is misspelt, the number is missing, or (one row in 997) the token is unknown to the base.
+_OWN = "(SELECT p.p_partkey AS id, q.p_name AS n, substr(md5(cast(q.p_partkey AS STRING)), 1, 12) AS f FROM part p JOIN part q ON q.p_partkey = p.p_partkey - (p.p_partkey - 1) % 8)"
+OWN_RIGHT = f"SELECT id AS bid, n || ' ' || f || ' x' || cast(id AS STRING) AS bn FROM {_OWN} o"
+OWN_LEFT = f"""SELECT cast(id AS STRING) AS id, CASE WHEN id % 997 = 0 THEN n || ' ' || substr(md5('no' || cast(id AS STRING)), 1, 12) WHEN id % 5 = 0 THEN f || ' ' || {SWAP.format('n')} WHEN id % 5 = 1 THEN n || ' q' || substr(f, 2)
+ WHEN id % 5 = 2 THEN 'z' || substr(n, 2) || ' ' || f WHEN id % 5 = 3 THEN n || ' ' || f || ' x' || cast(id AS STRING) ELSE n || ' ' || f || ' xx' END AS n FROM {_OWN} o"""
+
+
+def _own_matched(spark, sf_dir) -> DataFrame:
+    return linking.cross_match(made(spark, sf_dir, OWN_LEFT), made(spark, sf_dir, OWN_RIGHT), 5, "id", "n", "bid", "bn")
+
+
+# The SQL scores every pair of rows that share a long token.
+_OWN_MATCH_SQL = _MATCH_SQL.replace(LEFT, OWN_LEFT).replace(RIGHT, OWN_RIGHT).replace("string_split(upper(n), ' ') AS t", "list_distinct(string_split(upper(n), ' ')) AS t")
+
+
+@query("blocking_topk_own", _OWN_MATCH_SQL)
+def blocking_topk_own(spark, sf_dir):
+    return _own_matched(spark, sf_dir).select("ID_ARCHIVO", "ID_BASE", "JARO_WINKLER", "JARO_WINKLER_ORD", "LEVENSHTEIN", "DAMERAU", "DICE", "JACCARD", "COINCIDE", "RANKING")
+
+
 CLAIMS = """SELECT o_orderkey AS "ID", o_custkey % 400 AS "ID_ARCHIVO", o_orderkey % 700 AS "ID_BASE", CASE WHEN o_orderkey % 11 = 0 THEN '' ELSE 'u' || cast(o_custkey % 5 AS STRING) END AS "USERNAME",
  (o_orderkey % 100) / 100.0 AS jw, ((o_orderkey * 7) % 100) / 100.0 AS di, 'M' AS "MOTIVO", CASE WHEN o_orderkey % 3 = 0 THEN 'SI' ELSE 'NO' END AS "COINCIDE" FROM orders"""
 
@@ -603,3 +624,6 @@ def mail_agent_counts(spark, sf_dir):
     from contactdq.operators import mail_agent as agent
 
     return profile.statistics(agent.processed(made(spark, sf_dir, MAILS), "mail"), "mails")
+
+
+import contactdq.plans.flow_queries  # noqa: E402,F401  registers queries of its own

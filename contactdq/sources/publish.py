@@ -74,9 +74,36 @@ def publish_with_csv(result: DataFrame, path: str, csv_path: str, sep: str = ","
     return stored
 
 
-def snapshot(registry: DataFrame, table: str, buckets: int = 256) -> None:
-    """A registry table bucketed and sorted by DNI_NORM, so lookups join it without a shuffle."""
-    registry.write.bucketBy(buckets, "DNI_NORM").sortBy("DNI_NORM").mode("overwrite").saveAsTable(checked_identifier(table))
+def snapshot(registry: DataFrame, table: str, buckets: int = 256, at: datetime | None = None, source: str = "") -> int:
+    """A registry as two tables, ``<table>_dni`` and ``<table>_cuit``, each bucketed and sorted by its key, so that lookups by either join it without moving it.
+
+    ``<table>_meta`` tells origin, rows and date. The registry is worked out once: the second table is made from the first. Returns the rows.
+    """
+    spark, name = registry.sparkSession, checked_identifier(table)
+    registry.write.bucketBy(buckets, "DNI_NORM").sortBy("DNI_NORM").mode("overwrite").saveAsTable(f"{name}_dni")
+    spark.table(f"{name}_dni").write.bucketBy(buckets, "CUIT_NORM").sortBy("CUIT_NORM").mode("overwrite").saveAsTable(f"{name}_cuit")
+    rows = spark.table(f"{name}_cuit").count()
+    spark.createDataFrame([(source, rows, at)], "origen string, filas long, fecha timestamp").coalesce(1).write.mode("overwrite").saveAsTable(f"{name}_meta")
+    return rows
+
+
+def overwrite_touched(table: DataFrame, changed: DataFrame, path: str, partition: str, key: str) -> int:
+    """Put ``changed`` rows (of the same columns) in place of those with their keys, in a table of files partitioned by a column; the number of partitions written anew.
+
+    Only partitions that hold a changed row are written, each as a whole. The new rows are stored first, so a failure leaves every partition either old or new.
+    """
+    from contactdq.session import stored
+
+    spark = table.sparkSession
+    changed = stored(changed.select(*table.columns), "changed")
+    touched = changed.select(partition).distinct()
+    kept = table.join(touched, partition, "left_semi").join(changed.select(key), key, "left_anti")
+    fresh = stored(kept.select(*table.columns).unionByName(changed), "fresh")
+    n = touched.count()
+    if n:
+        fresh.repartition(partition).write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(partition).parquet(path)
+        spark.catalog.refreshByPath(path)
+    return n
 
 
 def shortened(text: Column, width: int) -> Column:

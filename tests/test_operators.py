@@ -112,13 +112,6 @@ def test_conflicts(spark):
     assert got[3][0] == got[4][0] == "RE" and got[5][0] == got[6][0] == "SI" and got[7][0] == got[8][0] == "RE"
 
 
-def test_unmatched_rows_do_not_share_a_partition(spark):
-    rows = spark.range(4000).selectExpr("id AS ID", "cast(id AS string) AS ID_ARCHIVO", "cast(NULL AS string) AS ID_BASE", "'' AS USERNAME", "0D AS JARO_WINKLER_ORD", "0D AS DICE", "'' AS MOTIVO", "'NO' AS COINCIDE")
-    sizes = rows.withColumn("n", F.count("*").over(linking._rivals("ID_BASE"))).agg(F.max("n")).first()[0]
-    out = linking.resolved_conflicts(rows)
-    assert sizes == 1 and out.filter("COINCIDE = 'NO' AND MOTIVO = ''").count() == 4000
-
-
 def test_identity_numbers(spark):
     row = spark.range(1).select(
         identity.check_digit(F.lit("2012345678")).alias("a"), identity.check_digit(F.lit("2712345678")).alias("b"), identity.dni_variants(F.lit("2456884")).alias("v"), identity.dni_reason(F.lit("77777777")).alias("r"), identity.formatted_cuit(F.lit("20123456786")).alias("f")
