@@ -141,6 +141,37 @@ def run(name: str, rows: DataFrame, at: datetime, /, **parameters) -> tuple[Data
     return result, _counts(name, rows, result, parameters)
 
 
+#: Parameters that take the identifier (or the left name) and the datum (or the right one) of a file, by process.
+_OF_FILES = {
+    "mails": ("id_col", "column"), "dep_mails": ("id_col", "column"), "telefonos": ("id_col", "column"), "dep_telefonos": ("id_col", "column"), "denominacion": ("left", "right"),
+    "comparacion": ("left", "right"), "cuitificacion": ("", "number"), "cuit": ("number", "name"), "cuit_dni": ("dni", "name"), "mails_osint": ("", "column"),
+}
+
+
+def run_file(spark: SparkSession, name: str, path: str, at: datetime, /, **parameters) -> tuple[DataFrame, DataFrame]:
+    """(result, counts) of a process over a delimited file or a workbook; its columns are found by their names, by the first row or by their places.
+
+    Rows are numbered from 1 in the order of the file (FILA), which is their identifier where the file has none.
+    """
+    table, header, _ = files.read_table(spark, path)
+    top = table.first()
+    rows, first = profile.numbered(table, "FILA"), [str(c) if c is not None else "" for c in top] if top else []
+    if name == "normalizacion":
+        key, media, extras = files.normalisation_columns(header, first)
+        return run(name, rows, at, key=table.columns[key], media=[table.columns[i] for i in media], extras=[table.columns[i] for i in extras], **parameters)
+    if name not in _OF_FILES:
+        raise KeyError(f"no process {name!r} over one file")
+    one, two = files.process_columns(header, first, {"cuit_dni": "cuit", "mails_osint": "mails", "dep_mails": "mails", "dep_telefonos": "telefonos"}.get(name, name))
+    chosen = {_OF_FILES[name][1]: table.columns[two]}
+    if _OF_FILES[name][0]:
+        chosen[_OF_FILES[name][0]] = table.columns[one] if one is not None else "FILA"
+    if name in ("comparacion", "cuit", "cuit_dni", "cuitificacion"):
+        chosen["id_col"] = "FILA"
+    if name == "mails_osint":
+        chosen["order"] = "FILA"
+    return run(name, rows, at, **(chosen | parameters))
+
+
 def _counts(name: str, rows: DataFrame, result: DataFrame, parameters: dict) -> DataFrame:
     if name == "normalizacion":
         told = normalise.counts(rows, result, parameters["key"], parameters["media"])

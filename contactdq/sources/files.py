@@ -6,8 +6,10 @@ The encoding is decided by Spark from all bytes, the rest on the driver from a f
 from __future__ import annotations
 
 from collections import Counter
+from collections.abc import Iterator
 
-from pyspark.sql import Column, DataFrame, SparkSession
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from contactdq.sources.workbook import SUFFIXES, workbook_rows
@@ -80,6 +82,60 @@ def _spans_lines(spark: SparkSession, path: str) -> bool:
     return bool(spark.read.text(path).agg(F.max(quotes % 2)).first()[0])
 
 
+def _joined(odd_at_start: dict[int, int]):
+    """Lines of a block, in order, as records; ``odd_at_start`` has the blocks that start within quotes.
+
+    ``kind`` is 0 for a whole record, 1 for the end of one that an earlier block began, 2 for the start of one that goes on in the next, 3 for what is neither.
+    """
+
+    def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, first, inside, began = [], None, None, False
+        for batch in batches:
+            out = ([], [], [])
+            for n, line in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                if inside is None:
+                    inside, began = n >> 33 in odd_at_start, n >> 33 not in odd_at_start
+                if not held:
+                    first = n
+                held.append(line)
+                inside ^= line.count(b'"') % 2 == 1
+                if not inside:
+                    for column, value in zip(out, (first, b"\n".join(held).removesuffix(b"\r"), 0 if began else 1)):
+                        column.append(value)
+                    held, began = [], True
+            yield pa.RecordBatch.from_arrays([pa.array(out[0], pa.int64()), pa.array(out[1], pa.binary()), pa.array(out[2], pa.int32())], ["_n", "value", "kind"])
+        if held:
+            yield pa.RecordBatch.from_arrays([pa.array([first], pa.int64()), pa.array([b"\n".join(held)], pa.binary()), pa.array([2 if began else 3], pa.int32())], ["_n", "value", "kind"])
+
+    return join
+
+
+def records(spark: SparkSession, path: str) -> DataFrame:
+    """``_n, value`` (bytes): the records of a delimited file in order, cells between quotes reaching over line ends; each task reads its block.
+
+    A block starts within quotes if the blocks before it hold an odd number of them: one number for each block comes to the driver. What reaches over the
+    end of a block is put together from the parts that the blocks give, two for each at most.
+    """
+    lines = spark.read.option("lineSep", "\n").text(path).select(F.monotonically_increasing_id().alias("_n"), F.col("value").cast("binary").alias("value"))
+    quotes = F.length(F.decode("value", "ISO-8859-1")) - F.length(F.translate(F.decode("value", "ISO-8859-1"), '"', ""))
+    odd, inside = {}, 0
+    for row in lines.groupBy(F.shiftright("_n", 33).alias("block")).agg((F.sum(quotes) % 2).alias("odd")).orderBy("block").collect():
+        if inside:
+            odd[row["block"]] = 1
+        inside ^= row["odd"]
+    parts = lines.mapInArrow(_joined(odd), "_n long, value binary, kind int")
+    chains = parts.filter("kind > 0").withColumn("chain", F.sum(F.when(F.col("kind") == 2, 1).otherwise(0)).over(Window.orderBy("_n")))
+    pieces = F.transform(F.array_sort(F.collect_list(F.struct("_n", F.hex("value").alias("value")))), lambda x: x["value"])
+    whole = chains.groupBy("chain").agg(F.min("_n").alias("_n"), F.unhex(F.array_join(pieces, "0A")).alias("value"))
+    return parts.filter("kind = 0").select("_n", "value").unionByName(whole.select("_n", F.expr("CASE WHEN endswith(value, X'0D') THEN left(value, length(value) - 1) ELSE value END AS value")))
+
+
+def _decoded(value: Column, encoding: str) -> Column:
+    """Bytes as text, without a mark of the byte order."""
+    text = F.decode(value, "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1")
+    return F.regexp_replace(_as_cp1252(text) if encoding == "cp1252" else text, "^\ufeff", "")
+
+
 def _columns(rows: DataFrame, names: list[str]) -> DataFrame:
     """Rows with ``_c`` as columns; short ones padded, long ones cut, rows without any value left out."""
     return rows.filter(F.exists("_c", lambda x: F.trim(x) != "")).select(*[F.coalesce(F.get("_c", i), F.lit("")).alias(name) for i, name in enumerate(names)])
@@ -98,7 +154,7 @@ def _read_workbook(spark: SparkSession, path: str) -> tuple[DataFrame, list[str]
 def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | None, str]:
     """(rows, header or None, delimiter) of a delimited file or a workbook. Without a header the columns are c0, c1, ...
 
-    A file is read in as many parts as it has blocks, but as one where quoted cells reach over line ends.
+    A file is read in as many parts as it has blocks, also where quoted cells reach over line ends.
     """
     if path.lower().endswith(SUFFIXES):
         return _read_workbook(spark, path)
@@ -108,8 +164,14 @@ def read_table(spark: SparkSession, path: str) -> tuple[DataFrame, list[str] | N
     delimiter = detect_delimiter(text[:4096])
     first = next((x for x in text.splitlines() if x.strip()), "").split(delimiter)
     header = [c.strip().strip('"') for c in first] if is_header(first) else None
+    if _spans_lines(spark, path):
+        cells = records(spark, path).select("_n", _cells(_decoded(F.col("value"), encoding), delimiter).alias("_c")).filter(F.exists("_c", lambda x: x != ""))
+        top = cells.orderBy("_n").limit(1).first()
+        names = header or [f"c{i}" for i in range(len(top["_c"]) if top else 0)]
+        below = cells.filter(F.col("_n") > top["_n"]) if header and top else cells
+        return below.select(*[F.nullif(F.get("_c", i), F.lit("")).alias(n) for i, n in enumerate(names)]), header, delimiter
     spark_encoding = "UTF-8" if encoding.startswith("utf-8") else "ISO-8859-1"
-    rows = spark.read.options(sep=delimiter, header=header is not None, encoding=spark_encoding, multiLine=_spans_lines(spark, path), quote='"', escape='"', mode="PERMISSIVE").csv(path)
+    rows = spark.read.options(sep=delimiter, header=header is not None, encoding=spark_encoding, quote='"', escape='"', mode="PERMISSIVE").csv(path)
     rows = rows.toDF(*(header or [f"c{i}" for i in range(len(rows.columns))]))
     if encoding == "cp1252":
         names = rows.columns
@@ -137,11 +199,11 @@ def _delimited_rows(spark: SparkSession, path: str) -> DataFrame:
     raw = head(spark, path, 65536)
     encoding = file_encoding(spark, path, raw)
     delimiter = detect_delimiter(raw.decode(encoding, "replace")[:8192])
-    lines = spark.read.text(path).withColumn("_n", F.monotonically_increasing_id())
-    if not encoding.startswith("utf-8"):
-        latin = F.decode(F.col("value").cast("binary"), "ISO-8859-1")
-        lines = lines.withColumn("value", _as_cp1252(latin) if encoding == "cp1252" else latin)
-    return lines.select("_n", _cells(F.regexp_replace("value", "^\ufeff", ""), delimiter).alias("_c"))
+    if _spans_lines(spark, path):
+        lines = records(spark, path)
+    else:
+        lines = spark.read.text(path).select(F.monotonically_increasing_id().alias("_n"), F.col("value").cast("binary").alias("value"))
+    return lines.select("_n", _cells(_decoded(F.col("value"), encoding), delimiter).alias("_c"))
 
 
 def _named(header: list[str] | None, test) -> list[int]:

@@ -11,7 +11,7 @@ from contactdq.functions import similarity as S
 from contactdq.operators import identity, linking, mail_agent, mail_features, mails, names, phones, profile
 from contactdq.plans import processes
 from contactdq.plans.schemas import with_audit_columns
-from contactdq.sources import publish
+from contactdq.sources import files, publish, scan
 
 NOW = datetime(2026, 1, 2, 3, 4, 5)
 
@@ -260,3 +260,63 @@ def test_registry_by_either_key_without_moving_it(spark):
         spark.conf.set("spark.sql.autoBroadcastJoinThreshold", old)
         for t in ("dni", "cuit", "meta"):
             spark.sql(f"DROP TABLE padron_prueba_{t}")
+
+
+# Files
+
+
+def quoted_file(rnd, n):
+    cell = lambda: rnd.choice(["x", "", "ñ", 'a "quoted" word', "two\nlines", "with; sign", "many\n\nlines\n", 'end"\n', "long " * 40])
+    rows = [[str(i), cell(), cell(), "z"] for i in range(n)]
+    quoted = lambda c: '"' + c.replace('"', '""') + '"' if any(s in c for s in '";\n') else c
+    return rows, "\n".join(";".join(map(quoted, r)) for r in [["id", "nombre", "nota", "fin"], *rows]) + "\n"
+
+
+def test_quoted_cells_over_line_ends_in_many_tasks(spark, tmp_path):
+    rnd = random.Random(3)
+    old = spark.conf.get("spark.sql.files.maxPartitionBytes")
+    try:
+        for size, n in (("2000", 300), ("64", 40), ("7", 6)):
+            rows, text = quoted_file(rnd, n)
+            path = tmp_path / f"q{size}.csv"
+            path.write_text(text, encoding="utf-8")
+            spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+            found = files.records(spark, str(path))
+            assert found.rdd.getNumPartitions() > 3
+            assert [bytes(r.value).decode() for r in found.orderBy("_n").collect()][1:] == [";".join('"' + c.replace('"', '""') + '"' if any(s in c for s in '";\n') else c for c in r) for r in rows]
+            want = sorted(tuple(c or None for c in r) for r in rows)
+            got, header, _ = files.read_table(spark, str(path))
+            assert header == ["id", "nombre", "nota", "fin"] and sorted(tuple(c.strip() if c else c for c in r) for r in got.collect()) == sorted(tuple(c.strip() if c else c for c in r) for r in want)
+            assert files.read_contacts(spark, str(path), "NOMBRE").count() == n
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", old)
+
+
+def test_a_broken_scan_goes_on(spark, tmp_path):
+    rows = spark.range(1000).selectExpr("CASE WHEN id % 50 = 0 THEN NULL WHEN id % 3 = 0 THEN 'hot' ELSE concat('k', id) END AS k", "id")
+    path = f"file://{tmp_path}/copy"
+    broken = rows.withColumn("id", F.when(F.col("k") == "k778", F.raise_error(F.lit("lost"))).otherwise(F.col("id")).cast("long"))
+    with pytest.raises(Exception, match="lost"):
+        scan.scan(broken, "k", path, 8).count()
+    done = {p: p.stat().st_mtime_ns for p in tmp_path.glob("copy/rows/range=*/*.parquet")}
+    assert 0 < len({p.parent for p in done}) < 8
+    got = scan.scan(rows, "k", path, 8)
+    assert sorted(r.id for r in got.collect()) == list(range(1000)) and got.filter("k IS NULL").count() == 20
+    assert all(p.stat().st_mtime_ns == t for p, t in done.items() if p.exists()) and sum(p.exists() for p in done) > 0
+    last = spark.read.parquet(f"{path}/last")
+    assert last.agg(F.sum("filas")).first()[0] == 1000 and last.count() == len(list(tmp_path.glob("copy/rows/range=*")))
+    assert scan.scan(rows.limit(0), "k", f"{path}2", 8).count() == 0
+
+
+def test_processes_over_files(spark, tmp_path):
+    path = tmp_path / "f.csv"
+    path.write_text('id_cli;Correo;nota\n7;ana@gmeil.com;"a\nb"\n9;luis@hotmail.com;\n', encoding="utf-8")
+    result, _ = processes.run_file(spark, "dep_mails", str(path), NOW)
+    assert sorted((r.ID_ORIGEN, r.MAIL_DEPURADO) for r in result.collect()) == [("7", "ana@gmail.com"), ("9", "luis@hotmail.com")]
+    path.write_text("rosa@gmail.com\nbad\n", encoding="utf-8")
+    result, counts = processes.run_file(spark, "mails", str(path), NOW)
+    assert sorted((r.ID_ORIGEN, r.ESTADO) for r in result.collect()) == [("1", "CONSERVADO"), ("2", "BAJA")]
+    path.write_text("nombre,razon\nana paz,ANA PAZ\n", encoding="utf-8")
+    assert [r.MOTIVO for r in processes.run_file(spark, "comparacion", str(path), NOW)[0].collect()] == ["COINCIDENCIA EXACTA"]
+    with pytest.raises(KeyError):
+        processes.run_file(spark, "cruce_redes", str(path), NOW)
