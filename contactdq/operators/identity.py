@@ -84,15 +84,17 @@ def registry_snapshot(registry: DataFrame) -> DataFrame:
 def lookup_first_variant(rows: DataFrame, registry: DataFrame, number: str, row_id: str, kind: str = "dni") -> DataFrame:
     """Registry rows of each input row: by tax id, or by the first variant of the identity number that has any.
 
-    ``registry`` is a snapshot. Rows without any match are kept once, with null registry columns.
+    ``registry`` is a snapshot. Rows without any match are kept once, with null registry columns. Each number is looked up once, and rows meet what was found by the number, so
+    null and repeated row ids do no harm.
     """
     cuit, dni = registry_keys(F.col(number), kind)
     keyed = rows.withColumns({"_cuit": cuit, "_dni": dni})
-    variants = keyed.select(row_id, F.posexplode(dni_variants(F.col("_dni"))).alias("_pos", "_k")).filter("_k <> ''")
-    by_dni = variants.join(registry, F.col("_k") == F.col("DNI_NORM")).withColumn("_best", F.min("_pos").over(Window.partitionBy(row_id))).filter("_pos = _best").drop("_pos", "_best", "_k")
-    by_cuit = keyed.filter("_cuit <> ''").select(row_id, "_cuit").join(registry, F.col("_cuit") == F.col("CUIT_NORM")).drop("_cuit")
-    found = by_cuit.unionByName(by_dni)
-    return keyed.drop("_cuit", "_dni").join(found, row_id, "left")
+    asked = keyed.select("_cuit", "_dni").distinct()
+    variants = asked.select("_dni").distinct().select("_dni", F.posexplode(dni_variants(F.col("_dni"))).alias("_pos", "_k")).filter("_k <> ''")
+    by_dni = variants.join(registry, F.col("_k") == F.col("DNI_NORM")).withColumn("_best", F.min("_pos").over(Window.partitionBy("_dni"))).filter("_pos = _best").drop("_pos", "_best", "_k")
+    by_cuit = asked.filter("_cuit <> ''").select("_cuit").distinct().join(registry, F.col("_cuit") == F.col("CUIT_NORM"))
+    found = asked.join(by_cuit, "_cuit").unionByName(asked.join(by_dni, "_dni"))
+    return keyed.join(found, ["_cuit", "_dni"], "left").drop("_cuit", "_dni")
 
 
 def low_mark(mark: Column) -> tuple[Column, Column]:
@@ -105,19 +107,19 @@ def low_mark(mark: Column) -> tuple[Column, Column]:
 def enriched(numbers: DataFrame, registry: DataFrame, number: str, row_id: str) -> DataFrame:
     """One row for each distinct denomination that the registry has for a number; REVISION says SI where there is more than one.
 
-    All variants of an identity number count. Of the rows of one denomination the first by kind of key, variant and tax id is shown.
+    All variants of an identity number count. Each number is looked up once, whatever the ids of the rows that ask for it. Of the rows of one denomination the first by kind of key, variant and tax id is shown.
     """
     d = digits(F.col(number))
     keys = F.when(F.length(d) == 11, F.array(F.struct(F.lit(0).alias("pos"), d.alias("k")))).otherwise(F.transform(dni_variants(d), lambda x, i: F.struct((i + 1).cast("int").alias("pos"), x.alias("k"))))
     asked = numbers.select(row_id, F.col(number).alias("NUMERO_ORIGEN"), d.alias("NUMERO_BUSCADO"), keys.alias("_keys"))
-    single = asked.select(row_id, F.explode("_keys").alias("_p")).select(row_id, "_p.pos", "_p.k").filter("k <> ''")
+    single = asked.select("NUMERO_BUSCADO", "_keys").distinct().select("NUMERO_BUSCADO", F.explode("_keys").alias("_p")).select("NUMERO_BUSCADO", "_p.pos", "_p.k").filter("k <> ''")
     named = registry.withColumn("_den", F.trim(F.coalesce("DENOMINACION", F.lit("")))).filter("_den <> ''")
     hits = single.filter("pos = 0").join(named, F.col("k") == F.col("CUIT_NORM")).unionByName(single.filter("pos > 0").join(named, F.col("k") == F.col("DNI_NORM")))
     cut = lambda c: F.nullif(F.trim(F.coalesce(F.col(c), F.lit(""))), F.lit(""))
     shown = F.struct(F.col("pos"), F.col("CUIT_NORM").alias("c"), F.trim(F.coalesce("DNI", F.lit(""))).alias("dni"), cut("MARCA_BAJA").alias("m"), cut("FECHA_FALLECIMIENTO").alias("f"), cut("CUIT_REEMPLAZO").alias("r"))
-    first = hits.groupBy(row_id, F.col("_den").alias("DENOMINACION_ENCONTRADA")).agg(F.min(shown).alias("s"))
-    counts = first.groupBy(row_id).agg(F.count("*").cast("int").alias("_n"))
-    joined = asked.drop("_keys").join(first, row_id, "left").join(counts, row_id, "left")
+    first = hits.groupBy("NUMERO_BUSCADO", F.col("_den").alias("DENOMINACION_ENCONTRADA")).agg(F.min(shown).alias("s"))
+    counts = first.groupBy("NUMERO_BUSCADO").agg(F.count("*").cast("int").alias("_n"))
+    joined = asked.drop("_keys").join(first, "NUMERO_BUSCADO", "left").join(counts, "NUMERO_BUSCADO", "left")
     found = F.col("DENOMINACION_ENCONTRADA").isNotNull()
     return joined.select(
         row_id,

@@ -627,3 +627,4 @@ def mail_agent_counts(spark, sf_dir):
 
 
 import contactdq.plans.flow_queries  # noqa: E402,F401  registers queries of its own
+import contactdq.plans.rule_queries  # noqa: E402,F401  and this one

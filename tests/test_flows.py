@@ -320,3 +320,12 @@ def test_processes_over_files(spark, tmp_path):
     assert [r.MOTIVO for r in processes.run_file(spark, "comparacion", str(path), NOW)[0].collect()] == ["COINCIDENCIA EXACTA"]
     with pytest.raises(KeyError):
         processes.run_file(spark, "cruce_redes", str(path), NOW)
+
+
+def test_lookups_of_rows_with_null_and_repeated_ids(spark):
+    registry = identity.registry_snapshot(spark.createDataFrame([("20000000075", "a", "a", "7", None, None, None), ("27000000078", "b", "b", "00000007", None, None, None), ("20000000091", "c", "c", "9", None, None, None)], "CUIT string, DENOMINACION string, NOMBRE_LIMPIO string, DNI string, MARCA_BAJA string, FECHA_FALLECIMIENTO string, CUIT_REEMPLAZO string"))
+    rows = spark.createDataFrame([(None, "7"), (None, "9"), (1, "20000000075"), (1, "5"), (1, None)], "id long, n string")
+    got = sorted((r.id is None, r.n or "", r.DENOMINACION or "") for r in identity.lookup_first_variant(rows, registry, "n", "id").collect())
+    assert got == [(False, "", ""), (False, "20000000075", "a"), (False, "5", ""), (True, "7", "a"), (True, "9", "c")]
+    told = sorted((r.NUMERO_BUSCADO, r.DENOMINACION_ENCONTRADA or "", r.COINCIDENCIAS) for r in identity.enriched(rows, registry, "n", "id").collect())
+    assert told == [("", "", 0), ("20000000075", "a", 1), ("5", "", 0), ("7", "a", 2), ("7", "b", 2), ("9", "c", 1)]
