@@ -259,20 +259,34 @@ def mail_columns(header: list[str]) -> tuple[str | None, str | None]:
 
 
 def read_list(spark: SparkSession, path: str, default: tuple[str, ...] | dict[str, str]):
-    """A reference list: a value or ``a = b`` a line, ``#`` comments, lower-cased; the default where the file is missing or empty."""
+    """A reference list: a value or ``a = b`` a line, lower-cased, lines that start with ``#`` left out; the default where the file is missing or empty."""
     from pyspark.errors import AnalysisException
 
     try:
-        lines = [r[0].split("#")[0].strip().lower() for r in spark.read.text(path).collect()]
+        lines = [r[0].strip() for r in spark.read.text(path).collect()]
     except AnalysisException:
         return default
-    lines = [x for x in lines if x]
+    lines = [x.lower() for x in lines if x and not x.startswith("#")]
     if isinstance(default, dict):
-        pairs = dict(tuple(p.strip() for p in x.split("=", 1)) for x in lines if "=" in x)
-        return pairs or default
+        pairs = (tuple(p.strip() for p in x.split("=", 1)) for x in lines if "=" in x)
+        return {a: b for a, b in pairs if a and b} or default
     return tuple(dict.fromkeys(lines)) or default
 
 
+def write_defaults(spark: SparkSession, folder: str, defaults: dict[str, tuple[str, ...] | dict[str, str]]) -> list[str]:
+    """Put the default lists into a folder, a file for each name, where there is none yet, for clients to edit; the names written."""
+    written = []
+    for name, default in defaults.items():
+        path = f"{folder.rstrip('/')}/{name}.txt"
+        place = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if place.getFileSystem(spark._jsc.hadoopConfiguration()).exists(place):
+            continue
+        lines = [f"{a} = {b}" for a, b in default.items()] if isinstance(default, dict) else list(default)
+        spark.createDataFrame([(x,) for x in [f"# {name}", *lines]], "value string").coalesce(1).write.text(path)
+        written.append(name)
+    return written
+
+
 def read_registry(spark: SparkSession, path: str, id_column: str, name_column: str) -> DataFrame:
     """ID_BASE and DENOM of a registry file; rows without a name are dropped, a missing id becomes the number of the row, from 1."""
     from contactdq.operators.profile import numbered

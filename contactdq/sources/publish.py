@@ -123,11 +123,17 @@ def audit(actions: DataFrame, table_name: str, user: str, key: str, before: list
     )
 
 
-def catalog(spark: SparkSession, database: str | None = None) -> DataFrame:
-    """Tables and views of the catalog with their columns, the system's own left out."""
+def catalog(spark: SparkSession, database: str | None = None, views: bool | None = None, text: str = "") -> DataFrame:
+    """Tables and views of the catalog with their columns, the system's own left out.
+
+    ``views`` asks for views only or tables only, ``text`` for names that hold it, whatever its case. One row of names for each column, from the catalog's own lists.
+    """
     rows = []
     for db in [database] if database else [d.name for d in spark.catalog.listDatabases() if d.name.lower() not in ("information_schema", "sys")]:
         for t in spark.catalog.listTables(db):
+            is_view = t.tableType in ("VIEW", "TEMPORARY")
+            if views not in (None, is_view) or text.lower() not in t.name.lower():
+                continue
             name = t.name if t.isTemporary else f"{db}.{t.name}"
-            rows += [(db, t.name, c.name, c.dataType) for c in spark.catalog.listColumns(name)]
-    return spark.createDataFrame(rows, "esquema string, tabla string, columna string, tipo string").distinct()
+            rows += [(db, t.name, "VISTA" if is_view else "TABLA", c.name, c.dataType) for c in spark.catalog.listColumns(name)]
+    return spark.createDataFrame(rows, "esquema string, tabla string, clase string, columna string, tipo string").distinct()

@@ -11,7 +11,7 @@ from contactdq.functions import similarity as S
 from contactdq.operators import identity, linking, mail_agent, mail_features, mails, names, phones, profile
 from contactdq.plans import processes
 from contactdq.plans.schemas import with_audit_columns
-from contactdq.sources import files, publish, scan
+from contactdq.sources import files, publish, scan, workbook
 
 NOW = datetime(2026, 1, 2, 3, 4, 5)
 
@@ -329,3 +329,24 @@ def test_lookups_of_rows_with_null_and_repeated_ids(spark):
     assert got == [(False, "", ""), (False, "20000000075", "a"), (False, "5", ""), (True, "7", "a"), (True, "9", "c")]
     told = sorted((r.NUMERO_BUSCADO, r.DENOMINACION_ENCONTRADA or "", r.COINCIDENCIAS) for r in identity.enriched(rows, registry, "n", "id").collect())
     assert told == [("", "", 0), ("20000000075", "a", 1), ("5", "", 0), ("7", "a", 2), ("7", "b", 2), ("9", "c", 1)]
+
+
+def test_default_lists_are_written_once(spark, tmp_path):
+    folder = f"file://{tmp_path}/lists"
+    assert files.write_defaults(spark, folder, {"typos": {"gmeil.com": "gmail.com"}, "words": ("a", "b#c")}) == ["typos", "words"]
+    assert files.write_defaults(spark, folder, {"words": ("z",)}) == []
+    assert files.read_list(spark, f"{folder}/words.txt", ()) == ("a", "b#c") and files.read_list(spark, f"{folder}/typos.txt", {}) == {"gmeil.com": "gmail.com"}
+
+
+def test_dates_of_workbooks():
+    assert workbook.as_date("45000") == "2023-03-15 00:00:00" and workbook.as_date("45000.75") == "2023-03-15 18:00:00" and workbook.as_date("x") == "x" and workbook.as_date("1e300") == "1e300"
+    assert workbook.as_date("43538", True) == "2023-03-15 00:00:00"
+    shown = workbook._shown_as_date
+    assert shown("dd/mm/yyyy") and shown("[$-2C0A]h:mm") and not shown("0.00") and not shown('0 "dias"') and not shown("[Red]#,##0") and not shown("General")
+
+
+def test_catalog_of_views_or_tables(spark):
+    spark.range(1).createOrReplaceTempView("una_vista_suelta")
+    told = {(r.tabla, r.clase) for r in publish.catalog(spark, views=True, text="VISTA_suelta").collect()}
+    assert told == {("una_vista_suelta", "VISTA")} and publish.catalog(spark, views=False, text="vista_suelta").count() == 0
+    spark.catalog.dropTempView("una_vista_suelta")
