@@ -99,7 +99,7 @@ class _Engine:
         for k in range(1, self.levels + 1):
             left, right = self._siblings(k)
             sql = f"SELECT c.b, c.p, CASE WHEN n.run IS NULL THEN path ELSE list_append(path, {{'l': {left}, 'r': {right}}}) END AS path FROM ({sql}) c LEFT JOIN level_{k} n ON n.b = c.b AND n.p = c.p // {FAN**k}"
-        return self.db.execute(f"SELECT list_concat(c.path, o.path) AS path FROM ({sql}) c JOIN outer_paths o USING (b) ORDER BY c.b, c.p").to_arrow_table()
+        return self.db.sql(f"SELECT list_concat(c.path, o.path) AS path FROM ({sql}) c JOIN outer_paths o USING (b) ORDER BY c.b, c.p").to_arrow_table()
 
     def folded(self, outer: pa.Table, changed: pa.Table, longest: int) -> pa.Table:
         """For each node, in order: a digest of its whole proof, and the root that a changed node (``b, p, f``) leads to with the siblings as they were."""
@@ -113,7 +113,7 @@ class _Engine:
         for m in range(1, longest + 1):
             step = f"path[{m}]"
             sql = f"SELECT b, p, path, CASE WHEN len(path) >= {m} THEN sha256({step}.l || f || {step}.r) ELSE f END AS f, CASE WHEN len(path) >= {m} THEN proof || {step}.l || {step}.r ELSE proof END AS proof FROM ({sql})"
-        return self.db.execute(f"SELECT sha256(proof) AS proof, f FROM ({sql}) ORDER BY b, p").to_arrow_table()
+        return self.db.sql(f"SELECT sha256(proof) AS proof, f FROM ({sql}) ORDER BY b, p").to_arrow_table()
 
 
 def _whole_buckets(batches: Iterator[pa.RecordBatch], starts) -> Iterator[pa.Table]:

@@ -89,3 +89,28 @@ def quality_ablation(rules: tuple[str, ...]) -> str:
     full = (1 << len(rules)) - 1
     one = "SELECT 'strict-1' AS policy_version, count(*) AS n_docs, '{0}' AS rule, {1} AS bit, count(*) FILTER (failed_bits & {2} <> 0) AS n_failed, count(*) FILTER (failed_bits = {2}) AS n_failed_alone, count(*) FILTER (failed_bits & {3} = 0) AS n_kept_without FROM ledger"
     return f"WITH ledger AS ({QUALITY_RULES}) " + " UNION ALL ".join(one.format(r, k, 1 << k, full & ~(1 << k)) for k, r in enumerate(rules))
+
+
+def merkle() -> str:
+    """The tree level by level for each source, then over the sources; siblings by level, and the fold of the changed leaf with them."""
+    field = lambda c: f"coalesce(strlen(cast({c} AS VARCHAR)) || ':' || cast({c} AS VARCHAR), '-')"
+    leaf = lambda text: "sha256(" + " || ".join(field(c) for c in ("doc_id", "source", "lang", "n_chars", text)) + ")"
+    # CRC-32 bit by bit: every byte joins at its first step.
+    steps = "list_concat([4294967295], list_transform(range(8 * length(cast(doc_id AS VARCHAR))), lambda i: CASE WHEN i % 8 = 0 THEN ord(substr(cast(doc_id AS VARCHAR), i // 8 + 1, 1)) ELSE 0 END))"
+    crc = f"list_reduce({steps}, lambda a, v: xor(xor(a, v) >> 1, 3988292384 * (xor(a, v) & 1)))"
+    up = "SELECT g, lvl + 1, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), any_value((n + 2) // 3) FROM {0} WHERE n > 1 GROUP BY g, lvl, pos // 3"
+    power = "cast(3 ** {0} AS BIGINT)"
+    siblings = lambda base, tree, keys: f"""SELECT {keys}, s.lvl, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos < b.pos // {power.format('s.lvl')}), '') AS l, coalesce(string_agg(s.h, '' ORDER BY s.pos) FILTER (s.pos > b.pos // {power.format('s.lvl')}), '') AS r
+  FROM {base} b JOIN {tree} s ON s.g = b.g AND s.n > 1 AND s.pos // 3 = b.pos // {power.format('(s.lvl + 1)')} GROUP BY {keys}, s.lvl"""
+    return f"""WITH RECURSIVE d AS (SELECT *, dense_rank() OVER (ORDER BY source NULLS FIRST) - 1 AS g, {leaf('text')} AS h, CASE WHEN doc_id IS NOT NULL AND (xor({crc}, 4294967295) & 1) = 0 THEN {leaf("replace(text, chr(10), '')")} ELSE {leaf('text')} END AS f FROM documents),
+ base AS (SELECT row_number() OVER () AS id, doc_id, g, h, f, row_number() OVER (PARTITION BY g ORDER BY doc_id NULLS FIRST, h) - 1 AS pos, count(*) OVER (PARTITION BY g) AS n FROM d),
+ t(g, lvl, pos, h, n) AS (SELECT g, 0, pos, h, n FROM base UNION ALL {up.format('t')}),
+ tops AS (SELECT 0 AS g, g AS pos, h, count(*) OVER () AS n FROM t WHERE n = 1),
+ u(g, lvl, pos, h, n) AS (SELECT g, 0, pos, h, n FROM tops UNION ALL {up.format('u')}),
+ inner_p AS ({siblings('base', 't', 'b.id')}), outer_p AS ({siblings('tops', 'u', 'b.pos')}),
+ steps AS (SELECT id, lvl AS k, l, r FROM inner_p UNION ALL SELECT b.id, 1000 + o.lvl, o.l, o.r FROM base b JOIN outer_p o ON o.pos = b.g),
+ numbered AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY k) AS i FROM steps),
+ fold(id, i, f) AS (SELECT id, 0, f FROM base UNION ALL SELECT f.id, f.i + 1, sha256(p.l || f.f || p.r) FROM fold f JOIN numbered p ON p.id = f.id AND p.i = f.i + 1),
+ ended AS (SELECT id, arg_max(f, i) AS f FROM fold GROUP BY id), proofs AS (SELECT id, string_agg(l || r, '' ORDER BY i) AS p FROM numbered GROUP BY id), root AS (SELECT h FROM u WHERE n = 1)
+SELECT b.doc_id, b.h AS leaf, tops.h AS subroot, root.h AS root, sha256(coalesce(p.p, '')) AS proof_sha256, e.f AS folded_root, e.f = root.h AS verified
+FROM base b JOIN tops ON tops.pos = b.g CROSS JOIN root JOIN ended e ON e.id = b.id LEFT JOIN proofs p ON p.id = b.id"""

@@ -134,5 +134,6 @@ ORACLE_SQL: dict[str, str] = {
     "op6_quality_rules": oracles.QUALITY_RULES,
     "op9_benchmark_decontamination": oracles.DECONTAMINATION,
     "op10_substring_dedup": oracles.SUBSTRING_DEDUP,
+    "op13_merkle_manifest": oracles.merkle(),
     "quality_ablation": oracles.quality_ablation(("few_words", "repeated_windows", "symbols", "duplicate_lines", "word_length", "shouting")),
 }
