@@ -23,11 +23,20 @@ def _light_scores(pairs: DataFrame) -> DataFrame:
     return told.select("x", "y", F.greatest(F.round("_jw", 6), F.round(dice(F.col("_tx"), F.col("_ty")), 6)).alias("score"))
 
 
+#: The characters of keys. Up to four of each are told apart as bits of three numbers, so that what two keys have in common is counted by a few instructions.
+_ALPHABET = "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789 "
+_EACH, _BITS = 4, 50
+
+
 def _spelled(keys: DataFrame, x: str) -> DataFrame:
-    """Distinct keys as ``x``, with words ``w``, sorted key ``s`` and letters ``l``: the first A, the second A and so on are different ones."""
+    """Distinct keys as ``x``, with words ``w``, sorted key ``s``, letters ``l`` (the first A, the second A and so on are different ones), and the letters as bits: ``m``, a struct of three numbers and how many found no bit."""
     rows = keys.select(F.col("CLAVE").alias(x), F.col("TOKENS").alias(f"w{x}"), sorted_key(F.col("CLAVE")).alias(f"s{x}"))
     rows = settled(rows.withColumn("_c", F.array_sort(F.split(f"s{x}", ""))), f"s{x}", "_c")
-    return settled(rows.withColumn(f"l{x}", F.expr("transform(_c, (c, i) -> concat(c, cast(i - array_position(_c, c) + 1 AS string)))")).drop("_c"), f"l{x}")
+    rows = settled(rows.withColumn(f"l{x}", F.expr("transform(_c, (c, i) -> concat(c, cast(i - array_position(_c, c) + 1 AS string)))")).drop("_c"), f"l{x}")
+    place = f"transform(filter(l{x}, e -> int(substring(e, 2)) <= {_EACH}), e -> (instr('{_ALPHABET}', left(e, 1)) - 1) * {_EACH} + int(substring(e, 2)) - 1)"
+    rows = settled(rows.withColumn("_p", F.expr(place)), "_p")
+    words = [f"aggregate(filter(_p, i -> i DIV {_BITS} = {k}), 0L, (a, i) -> a | shiftleft(1L, int(i % {_BITS}))) AS b{k}" for k in range(3)]
+    return rows.withColumn(f"m{x}", F.expr(f"struct({', '.join(words)}, size(l{x}) - size(_p) AS more, length(s{x}) AS n, left(s{x}, 4) AS head, size(w{x}) AS words)")).drop("_p")
 
 
 def _floors(scored: DataFrame, k: int) -> DataFrame:
@@ -59,23 +68,29 @@ def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int = BLOCK_LEN
     seeds = near.select("x", F.explode(F.array("a", "b")).alias("y")).unionByName(_half_alike(left, right, least, rare)).distinct()
     floors = _floors(scored.unionByName(_light_scores(seeds)).distinct(), k)
     # Words that both can have where no rare one is shared: the frequent and the short ones.
-    held = lx.groupBy("x", "wx", "sx", "lx").agg(F.collect_set("t").alias("ts")).join(floors, "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    held = held.withColumns({"open": F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least)), "jaro": (F.col("floor") - 0.4) / 0.6})
+    held = lx.groupBy("x", "wx", "lx", "mx").agg(F.collect_set("t").alias("ts")).join(floors, "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    held = held.withColumns({"open": F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least)), "jaro": (F.col("floor") - 0.4) / 0.6}).drop("wx")
     held = held.withColumn("first", F.expr("cast(size(lx) - greatest(0, ceil((3 * jaro - 2) * size(lx) - 1e-6)) + 1 AS int)"))
     held = stored(held, "held")
-    whole = (2 * F.col("open") >= F.col("floor") * (F.size("wx") + F.col("open"))) | (2 * F.col("first") > F.size("lx"))
-    pair = ["x", "wx", "sx", "lx", "floor"]
-    full = held.filter(whole).select(*pair, F.explode("ts").alias("t")).join(ry.select("t", "y", "wy", "sy", "ly"), "t").drop("t")
+    whole = (2 * F.col("open") >= F.col("floor") * (F.col("mx.words") + F.col("open"))) | (2 * F.col("first") > F.size("lx"))
+    full = held.filter(whole).select("x", "mx", "floor", "open", F.explode("ts").alias("t")).join(ry.select("t", "y", "my"), "t").drop("t")
     spread = right.select(F.explode("ly").alias("l")).groupBy("l").agg(F.count("*").alias("df"))
     some = held.filter(~whole)
     rarest = some.select("x", "first", F.explode("lx").alias("l")).join(spread, "l", "left").groupBy("x", "first").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "l"))).alias("ls"))
-    asked = some.drop("first").join(rarest.select("x", F.explode(F.slice("ls", 1, F.col("first"))).alias("l")), "x").select(*pair, "jaro", "l.l", F.explode("ts").alias("t"))
-    enough = F.expr("least(length(sx), length(sy)) / length(sx) + least(length(sx), length(sy)) / length(sy) + 1 + 1e-6 >= 3 * jaro")
-    few = asked.join(ry.select("t", "y", "wy", "sy", "ly", F.explode("ly").alias("l")), ["t", "l"]).filter(enough).drop("t", "l", "jaro")
-    met = _bounded(full.unionByName(few)).filter(F.col("bound") >= F.col("floor")).select("x", "y").distinct()
+    asked = some.select("x", "mx", "floor", "open", "ts").join(rarest.select("x", F.explode(F.slice("ls", 1, F.col("first"))).alias("l")), "x").select("x", "mx", "floor", "open", "l.l", F.explode("ts").alias("t"))
+    few = asked.join(ry.select("t", "y", "my", F.explode("ly").alias("l")), ["t", "l"]).drop("t", "l")
+    met = full.unionByName(few).filter(_bound() >= F.col("floor")).select("x", "y").distinct()
     return scored.unionByName(_light_scores(met)).distinct()
 
 
+def _bound() -> Column:
+    """The best score that two keys can have: from all letters that they share, none of them out of order, the first letters that they do share, and as many common words as there may be."""
+    common = "(bit_count(mx.b0 & my.b0) + bit_count(mx.b1 & my.b1) + bit_count(mx.b2 & my.b2) + least(mx.more, my.more))"
+    jaro = f"(({common} / mx.n + {common} / my.n + 1) / 3)"
+    first = "CASE WHEN mx.head = my.head THEN 4 WHEN left(mx.head, 3) = left(my.head, 3) THEN 3 WHEN left(mx.head, 2) = left(my.head, 2) THEN 2 WHEN left(mx.head, 1) = left(my.head, 1) THEN 1 ELSE 0 END"
+    return F.expr(f"greatest({jaro} + 0.1 * ({first}) * (1 - {jaro}), 2 * least(open, my.words) / (mx.words + my.words))")
+
+
 def _half_alike(left: DataFrame, right: DataFrame, least: int, rare: int) -> DataFrame:
     """``x, y`` of keys that share a long word, and the first or the second half of another one that few base keys have."""
     halves = "flatten(transform({0}, t -> array(concat('<', left(t, length(t) DIV 2)), concat('>', right(t, length(t) - length(t) DIV 2)))))"
@@ -85,14 +100,6 @@ def _half_alike(left: DataFrame, right: DataFrame, least: int, rare: int) -> Dat
     return parted(left, "x").join(hy.join(few, "h"), "h").filter(F.arrays_overlap("wx", "wy")).select("x", "y").distinct()
 
 
-def _bounded(pairs: DataFrame) -> DataFrame:
-    """Adds ``bound``, the best score that two keys can have: from all letters that they share, none of them out of order, the first letters that they do share, and their words."""
-    told = settled(pairs.withColumn("_m", F.size(F.array_intersect("lx", "ly"))), "_m")
-    first = "CASE WHEN left(sx, 4) = left(sy, 4) THEN 4 WHEN left(sx, 3) = left(sy, 3) THEN 3 WHEN left(sx, 2) = left(sy, 2) THEN 2 WHEN left(sx, 1) = left(sy, 1) THEN 1 ELSE 0 END"
-    told = told.withColumn("_j", F.expr("(_m / length(sx) + _m / length(sy) + 1) / 3"))
-    return told.withColumn("bound", F.expr(f"greatest(_j + 0.1 * ({first}) * (1 - _j), 2 * size(array_intersect(wx, wy)) / (size(wx) + size(wy)))"))
-
-
 def cross_match(left: DataFrame, right: DataFrame, k: int = 5, left_id: str = "ID_ARCHIVO", left_name: str = "DENOM", right_id: str = "ID_BASE", right_name: str = "DENOM", extras: list[str] | None = None, document: str | None = None) -> DataFrame:
     """The best ``k`` candidates of every left row with scores and verdict; a row without candidates has RANKING 0 and the verdict NO.
 

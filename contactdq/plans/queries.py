@@ -230,7 +230,7 @@ def verdict_counts_all(spark, sf_dir):
 # a word is misspelt, the number is missing, or (one row in 997) the token is unknown to the base.
 _OWN = "(SELECT p.p_partkey AS id, q.p_name AS n, substr(md5(cast(q.p_partkey AS STRING)), 1, 12) AS f FROM part p JOIN part q ON q.p_partkey = p.p_partkey - (p.p_partkey - 1) % 8)"
 OWN_RIGHT = f"SELECT id AS bid, n || ' ' || f || ' x' || cast(id AS STRING) AS bn FROM {_OWN} o"
-OWN_LEFT = f"""SELECT cast(id AS STRING) AS id, CASE WHEN id % 997 = 0 THEN n || ' ' || substr(md5('no' || cast(id AS STRING)), 1, 12) WHEN id % 5 = 0 THEN f || ' ' || {SWAP.format('n')} WHEN id % 5 = 1 THEN n || ' q' || substr(f, 2)
+OWN_LEFT = f"""SELECT cast(id AS STRING) AS id, CASE WHEN id % 997 = 0 THEN n || ' ' || substr(md5('no' || cast(id AS STRING)), 1, 12) WHEN id % 5 = 0 THEN f || ' ' || {SWAP.format('n')} WHEN id % 5 = 1 THEN n || ' ' || left(f, 5) || 'q' || substr(f, 7)
  WHEN id % 5 = 2 THEN 'z' || substr(n, 2) || ' ' || f WHEN id % 5 = 3 THEN n || ' ' || f || ' x' || cast(id AS STRING) ELSE n || ' ' || f || ' xx' END AS n FROM {_OWN} o"""
 
 
