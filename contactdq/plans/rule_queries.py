@@ -67,11 +67,11 @@ def mail_verdicts(spark, sf_dir):
 # Domains by the list of typos --------------------------------------------------------------------------------------------
 
 _TYPOS = ", ".join(f"({i}, '{wrong}', '{right}')" for i, (wrong, right) in enumerate(sorted(_LISTS.typos.items())))
-TYPED = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Ana.' ELSE 'luis_' END || {_WORD} || '@' || CASE WHEN c_custkey % 2 = 0 THEN upper(wrong) ELSE wrong END AS mail FROM customer JOIN (VALUES {_TYPOS}) v(k, wrong, meant) ON k = c_custkey % {len(_LISTS.typos)}"
+_TYPED = f"SELECT c_custkey AS id, CASE WHEN c_custkey % 3 = 0 THEN 'Ana.' ELSE 'luis_' END || {_WORD} || '@' || CASE WHEN c_custkey % 2 = 0 THEN upper(wrong) ELSE wrong END AS mail FROM customer JOIN (VALUES {_TYPOS}) v(k, wrong, meant) ON k = c_custkey % {len(_LISTS.typos)}"
 # What the list names is what a domain becomes, unless that is a provider whose country ending is put right after it; such meanings are left to the unit tests.
 _SETTLED = [right for right in sorted(set(_LISTS.typos.values())) if mails.repaired_domain(right, _LISTS)[0] == right]
 _PLAIN = [wrong for wrong, right in sorted(_LISTS.typos.items()) if right in _SETTLED and mails.cut_after_known(wrong, _LISTS) == wrong and mails._unrepeated(wrong, _LISTS) == wrong and wrong not in _LISTS.invalid]
-TYPED = f"SELECT * FROM ({TYPED}) t WHERE {_in('lower(substring_index(mail, chr(64), -1))', _PLAIN)}"
+TYPED = f"SELECT * FROM ({_TYPED}) t WHERE {_in('lower(substring_index(mail, chr(64), -1))', _PLAIN)}"
 
 
 @query("mail_typos", f"""SELECT id, lower(split_part(mail, '@', 1)) || '@' || meant AS "MAIL_DEPURADO", true AS "FUE_DEPURADO" FROM ({TYPED.replace("substring_index(mail, chr(64), -1)", "split_part(mail, '@', -1)")}) s JOIN (VALUES {_TYPOS}) v(k, wrong, meant) ON wrong = lower(split_part(mail, '@', 2))""")
