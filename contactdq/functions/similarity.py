@@ -66,10 +66,8 @@ CELLS = 1 << 22  # of the matrices of distances that are worked on at once
 
 def _codes(texts: list[str], width: int, fill: int) -> np.ndarray:
     """Code points in rows of one width."""
-    out = np.full((len(texts), width), fill, np.int32)
-    for k, t in enumerate(texts):
-        out[k, : len(t)] = np.frombuffer(t.encode("utf-32-le", "surrogatepass"), np.int32)
-    return out
+    out = np.array(texts, f"<U{max(width, 1)}").view(np.int32).reshape(len(texts), max(width, 1))[:, :width]
+    return np.where(np.arange(width) < np.array([len(t) for t in texts], np.int64)[:, None], out, np.int32(fill))
 
 
 def _matched(rank: np.ndarray, found: np.ndarray, codes: np.ndarray) -> np.ndarray:

@@ -32,7 +32,7 @@ def _spelled(keys: DataFrame, x: str) -> DataFrame:
     """Distinct keys as ``x``, with words ``w``, sorted key ``s``, letters ``l`` (the first A, the second A and so on are different ones), and the letters as bits: ``m``, a struct of three numbers and how many found no bit."""
     rows = keys.select(F.col("CLAVE").alias(x), F.col("TOKENS").alias(f"w{x}"), sorted_key(F.col("CLAVE")).alias(f"s{x}"))
     rows = settled(rows.withColumn("_c", F.array_sort(F.split(f"s{x}", ""))), f"s{x}", "_c")
-    rows = settled(rows.withColumn(f"l{x}", F.expr("transform(_c, (c, i) -> concat(c, cast(i - array_position(_c, c) + 1 AS string)))")).drop("_c"), f"l{x}")
+    rows = settled(rows.withColumn(f"l{x}", F.expr("transform(_c, (c, i) -> concat(c, cast(i - array_position(_c, c) + 2 AS string)))")).drop("_c"), f"l{x}")
     place = f"transform(filter(l{x}, e -> int(substring(e, 2)) <= {_EACH}), e -> (instr('{_ALPHABET}', left(e, 1)) - 1) * {_EACH} + int(substring(e, 2)) - 1)"
     rows = settled(rows.withColumn("_p", F.expr(place)), "_p")
     words = [f"aggregate(filter(_p, i -> i DIV {_BITS} = {k}), 0L, (a, i) -> a | shiftleft(1L, int(i % {_BITS}))) AS b{k}" for k in range(3)]
@@ -49,15 +49,13 @@ def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int = BLOCK_LEN
     """``x, y, score`` of distinct keys (``CLAVE, TOKENS``): every pair that shares a long token and can be among the best k of its left key, and some others.
 
     Pairs that share a rare token are scored, and some that share a frequent one: those with a rare half of a word in common (one slip leaves one half whole) and
-    a few whose lengths are alike. So most left keys have a k-th best score. A pair
-    that shares frequent tokens only must reach it. Jaro-Winkler that high needs so many letters in common that one of the few rarest letters of the left key
-    (the third K, say) is among them: the pairs are found by an equi-join on token and letter, bounded by length there and by all letters, first letters and words after it, and only
-    then scored. A left key whose k-th best score is low, or that has no word but frequent ones, is compared with all that share a token with it.
+    a few whose lengths are alike. So most left keys have a k-th best score; those for which it is low are scored with the keys of each frequent
+    token whose bounds are best too, which raises it. A pair that shares frequent tokens only must reach it: see ``_met``.
     """
     token = lambda d, x: d.withColumn("t", F.explode(F.filter(f"w{x}", lambda t: F.length(t) >= least)))
-    left, right = stored(_spelled(left, "x"), "left"), stored(_spelled(right, "y"), "right")
+    left, right = stored(_spelled(left, "x"), "left"), stored(_spelled(right, "y").withColumn("number", F.monotonically_increasing_id()), "right")
     lx, ry = token(left, "x"), token(right, "y")
-    often = ry.groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") > rare).select("t")
+    often = ry.groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") > rare)
     if often.isEmpty():
         return _light_scores(lx.select("x", "t").join(ry.select("y", "t"), "t").select("x", "y").distinct())
     often = stored(often, "often")
@@ -66,21 +64,81 @@ def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int = BLOCK_LEN
     shape = ry.groupBy("t", F.length("sy").alias("n")).agg(F.min("y").alias("a"), F.max("y").alias("b"))
     near = lx.select("x", "t", F.explode(F.sequence(F.length("sx") - 1, F.length("sx") + 1)).alias("n")).join(shape, ["t", "n"])
     seeds = near.select("x", F.explode(F.array("a", "b")).alias("y")).unionByName(_half_alike(left, right, least, rare)).distinct()
-    floors = _floors(scored.unionByName(_light_scores(seeds)).distinct(), k)
+    scored = stored(scored.unionByName(_light_scores(seeds)).distinct(), "seeded")
     # Words that both can have where no rare one is shared: the frequent and the short ones.
-    held = lx.groupBy("x", "wx", "lx", "mx").agg(F.collect_set("t").alias("ts")).join(floors, "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    held = held.withColumns({"open": F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least)), "jaro": (F.col("floor") - 0.4) / 0.6}).drop("wx")
-    held = held.withColumn("first", F.expr("cast(size(lx) - greatest(0, ceil((3 * jaro - 2) * size(lx) - 1e-6)) + 1 AS int)"))
-    held = stored(held, "held")
-    whole = (2 * F.col("open") >= F.col("floor") * (F.col("mx.words") + F.col("open"))) | (2 * F.col("first") > F.size("lx"))
-    full = held.filter(whole).select("x", "mx", "floor", "open", F.explode("ts").alias("t")).join(ry.select("t", "y", "my"), "t").drop("t")
-    spread = right.select(F.explode("ly").alias("l")).groupBy("l").agg(F.count("*").alias("df"))
-    some = held.filter(~whole)
-    rarest = some.select("x", "first", F.explode("lx").alias("l")).join(spread, "l", "left").groupBy("x", "first").agg(F.array_sort(F.collect_list(F.struct(F.coalesce("df", F.lit(0)).alias("df"), "l"))).alias("ls"))
-    asked = some.select("x", "mx", "floor", "open", "ts").join(rarest.select("x", F.explode(F.slice("ls", 1, F.col("first"))).alias("l")), "x").select("x", "mx", "floor", "open", "l.l", F.explode("ts").alias("t"))
-    few = asked.join(ry.select("t", "y", "my", F.explode("ly").alias("l")), ["t", "l"]).drop("t", "l")
-    met = full.unionByName(few).filter(_bound() >= F.col("floor")).select("x", "y").distinct()
-    return scored.unionByName(_light_scores(met)).distinct()
+    held = lx.groupBy("x", "wx", "lx", "mx").agg(F.collect_set("t").alias("ts"))
+    held = held.select("x", "lx", "mx", "ts", (F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least))).alias("open"))
+    floored = lambda scores: held.join(_floors(scores, k), "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
+    vague = stored(floored(scored).filter(F.col("floor") < VAGUE), "vague")
+    scored = stored(scored.unionByName(_light_scores(_likeliest(vague, ry, right))).distinct(), "scored")
+    return scored.unionByName(_light_scores(_met(stored(floored(scored), "held"), ry))).distinct()
+
+
+#: Below this k-th best score a left key is first scored with those base keys that have the best bounds.
+VAGUE = 0.86
+
+#: Pairs are told apart by how many first characters they must share at least; Jaro-Winkler adds for as many as stand second.
+_HEADS = ((0, 0), (1, 2), (3, 4))
+
+#: Left keys that may lack so many letters are not looked up by letters but compared with all of the token, length and head, dealt over so many keys.
+_LOOSE, _DEALT = 8, 16
+
+
+def _dealt(key: str) -> Column:
+    return F.pmod(F.xxhash64(key), F.lit(_DEALT)).cast("int")
+
+
+def _likeliest(vague: DataFrame, ry: DataFrame, right: DataFrame) -> DataFrame:
+    """``x, y``: for each left key, frequent token, length of base keys and part of them (of ``_DEALT``) the one with the best bound. Bound and number of the base key are one long, so that tasks keep no more than the best."""
+    asks = vague.select("x", "mx", "open", F.explode("ts").alias("t")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
+    met = asks.join(ry.select("t", "my", "number", _dealt("y").alias("d")), ["t", "d"])
+    told = F.shiftleft((_bound() * 65535).cast("long"), 47).bitwiseOR(F.col("number"))
+    best = met.groupBy("x", "t", F.col("my.n").alias("n"), "d").agg(F.max(told).alias("told"))
+    return best.select("x", F.col("told").bitwiseAND(F.lit((1 << 47) - 1)).alias("number")).join(right.select("number", "y"), "number").select("x", "y").distinct()
+
+
+def _asked(held: DataFrame, book: DataFrame) -> DataFrame:
+    """For each left key, frequent token, length of base keys and head (``q`` characters): ``least``, the letters that must be shared for the floor to be reached, and ``ls``, the letters to look up.
+
+    No rows where it cannot be reached. Of the left key's letters, rarest of the token first, one of the first ``length - least + 1`` must be shared.
+    """
+    each = held.withColumn("t", F.explode("ts")).join(book, "t").withColumn("ls", F.expr("concat(array_except(lx, letters), array_intersect(letters, lx))"))
+    each = each.select("x", "mx", "floor", "open", "t", "ls", F.explode("lengths").alias("n"))
+    needs = [f"cast(ceil((3 * (floor - {c / 10}) / {1 - c / 10} - 1) / (1D / mx.n + 1D / n) - 1e-6) AS int)" for _, c in _HEADS]
+    each = each.withColumn("_m", F.array(*map(F.expr, needs))).withColumn("_all", F.expr("2 * open >= floor * (mx.words + open)"))
+    loose = lambda i: F.col("_all") | (F.col("mx.n") - F.get("_m", F.lit(i)) + 1 > _LOOSE)
+    told, earlier = [], F.lit(False)
+    for i, (q, _) in enumerate(_HEADS):
+        may = F.col("_all") | (F.get("_m", F.lit(i)) <= F.least("mx.n", "n"))
+        told.append(F.when(may & ~earlier, F.struct(F.lit(q).alias("q"), F.when(~loose(i), F.get("_m", F.lit(i))).alias("least"))))
+        earlier = earlier | (may & loose(i))
+    each = each.withColumn("w", F.explode(F.array_compact(F.array(*told)))).select("x", "mx", "floor", "open", "t", "n", "w.*", "ls")
+    every = F.array(*[F.lit(f"#{i}") for i in range(_DEALT)])
+    return each.withColumn("ls", F.when(F.col("least").isNull(), every).otherwise(F.slice("ls", F.lit(1), F.greatest(F.lit(1), F.col("mx.n") - F.col("least") + 1))))
+
+
+def _looked_up(held: DataFrame, ry: DataFrame) -> DataFrame:
+    """``x, y, floor, open, mx, my`` of pairs that share a frequent token and may reach the left key's floor, by an equi-join on token, length, head and rare letter; some of them more than once.
+
+    Jaro-Winkler that high needs so many letters in common, for a length and for the first characters that are shared, that a rare letter of the left key (the third K, say; rare among
+    the base keys of the token) is among the rare ones of the base key.
+    """
+    letters = ry.select("t", F.explode("ly").alias("l")).groupBy("t", "l").agg(F.count("*").alias("df")).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("df", "l"))).alias("o"))
+    book = stored(letters.select("t", F.col("o.l").alias("letters")).join(ry.groupBy("t").agg(F.collect_set("my.n").alias("lengths")), "t"), "book")
+    asked = stored(_asked(held, book), "asked")
+    wants = stored(asked.groupBy("t", "n", "q").agg(F.min("least").alias("least"), F.bool_or(F.col("least").isNull()).alias("every")), "wants")
+    given = ry.select("t", "y", "my", "ly", F.col("my.n").alias("n")).join(wants, ["t", "n"]).join(book, "t")
+    own = F.coalesce(F.slice(F.array_intersect("letters", "ly"), F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("least") + 1)), F.array().cast("array<string>"))
+    dealt = F.concat(F.lit("#"), _dealt("y").cast("string"))
+    given = given.select("t", "y", "my", "n", "q", F.explode(F.concat(own, F.when(F.col("every"), F.array(dealt)).otherwise(F.array().cast("array<string>")))).alias("l"))
+    place = lambda m: F.xxhash64("q", "n", "l", F.expr(f"left({m}.head, q)")).alias("place")
+    few = asked.select("x", "mx", "floor", "open", "t", "n", "q", F.explode("ls").alias("l")).select("x", "mx", "floor", "open", "t", place("mx"))
+    return few.join(given.select("y", "my", "t", place("my")), ["t", "place"])
+
+
+def _met(held: DataFrame, ry: DataFrame) -> DataFrame:
+    """``x, y`` of the pairs looked up that pass the bound by all letters, first letters and words, each once."""
+    return _looked_up(held, ry).filter(_bound() >= F.col("floor")).select("x", "y").distinct()
 
 
 def _bound() -> Column:

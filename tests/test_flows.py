@@ -1,5 +1,6 @@
 """Whole flows: linking with bounds, conflicts of hot ids, phones by a plan, previews, a table cleaned where it stands, the registry by both keys, the fitted second opinion."""
 
+import hashlib
 import json
 import random
 from datetime import datetime
@@ -66,6 +67,24 @@ def test_bounds_lose_no_pair_of_the_best(spark, rare, k, monkeypatch):
             assert sum(s >= every[k - 1] - 1e-9 for s in every) == sum(s >= every[k - 1] - 1e-9 for s in mine)
 
 
+def test_five_of_a_letter_are_five(spark):
+    """Letters told apart as bits: a fifth one must not fall on another letter's bit, else the bound is below the score."""
+    x, y = "OLD WIDGET 645E6QFDD05D", "OLD WIDGET 645E6BFDD05D X3289"
+    spelled = lambda key, side: linking._spelled(spark.createDataFrame([(key, key.split())], "CLAVE string, TOKENS array<string>"), side)
+    bound = spelled(x, "x").crossJoin(spelled(y, "y")).selectExpr("*", "2 AS open").select(linking._bound().alias("b")).first().b
+    assert bound >= S.jaro_winkler_of(" ".join(sorted(x.split())), " ".join(sorted(y.split())))
+
+
+@pytest.mark.parametrize("tail,most", [("", 1000), (" X1234567", 0)])
+def test_few_pairs_are_looked_up_for_high_floors(spark, tail, most):
+    """Of 4,000 pairs that share a token, those without rare letters in common are not met, and none where the lengths alone keep the score below the floor."""
+    words = lambda i, salt, end="": "WIDGET " + hashlib.md5(f"{salt}{i}".encode()).hexdigest()[:12].upper() + end
+    spelled = lambda keys, side: linking._spelled(spark.createDataFrame([(key, key.split()) for key in keys], "CLAVE string, TOKENS array<string>"), side)
+    held = spelled([words(i, "a") for i in range(20)], "x").selectExpr("x", "lx", "mx", "array('WIDGET') AS ts", "1 AS open", "0.95D AS floor")
+    base = spelled([words(i, "b", tail) for i in range(200)], "y").selectExpr("*", "'WIDGET' AS t")
+    assert linking._looked_up(held, base).count() <= most
+
+
 def test_base_rows_of_one_id(spark):
     left = spark.createDataFrame([(1, "ana maria lopez")], "i long, n string")
     right = spark.createDataFrame([(7, "ana maria lopez"), (7, "ana maria gomez"), (7, None), (8, "ana lopez maria")], "b long, m string")
