@@ -7,8 +7,8 @@ from pyspark.sql import functions as F
 
 from contactdq.functions.barrier import settled
 from contactdq.functions.similarity import dice, jaro_winkler
-from contactdq.functions.text import name_tokens, sorted_key
-from contactdq.operators.names import classified, cross_scores
+from contactdq.functions.text import name_key, name_tokens, sorted_key
+from contactdq.operators.names import classified, cross_scores, first_segment, once
 from contactdq.session import stored
 
 BLOCK_LENGTH = 4
@@ -192,10 +192,16 @@ def cross_match(left: DataFrame, right: DataFrame, k: int = 5, left_id: str = "I
 
 
 def paired_match(rows: DataFrame, left_name: str, right_name: str) -> DataFrame:
-    """One to one: two columns of the same row compared, RANKING always 1."""
-    step = classified(rows, left_name).withColumnsRenamed({"DENOMINACION": "DENOM_ARCHIVO", "CLAVE": "CLAVE_ARCHIVO"}).drop("CLAVE_ORDENADA", "TOKENS", "TIPO", "MOTIVO_NORM")
-    step = classified(step, right_name).withColumnsRenamed({"DENOMINACION": "DENOM_BASE", "CLAVE": "CLAVE_BASE"}).drop("CLAVE_ORDENADA", "TOKENS", "TIPO", "MOTIVO_NORM")
-    return cross_scores(step, "CLAVE_ARCHIVO", "CLAVE_BASE", "DENOM_ARCHIVO", "DENOM_BASE").withColumn("RANKING", F.lit(1))
+    """One to one: two columns of the same row compared, RANKING always 1.
+
+    Each distinct pair of names is compared once. Its keys are made in one stage and compared in the next, so that a task holds one Python worker at a time.
+    """
+    named = ["DENOM_ARCHIVO", "DENOM_BASE"]
+    step = rows.withColumns({"DENOM_ARCHIVO": first_segment(F.col(left_name)), "DENOM_BASE": first_segment(F.col(right_name))})
+    keyed = lambda pairs: pairs.withColumns({"CLAVE_ARCHIVO": name_key(F.col("DENOM_ARCHIVO")), "CLAVE_BASE": name_key(F.col("DENOM_BASE"))}).repartition("CLAVE_ARCHIVO", "CLAVE_BASE")
+    told = once(step, named, lambda pairs: cross_scores(keyed(pairs), "CLAVE_ARCHIVO", "CLAVE_BASE", *named))
+    added = [c for c in told.columns if c not in step.columns and not c.startswith("CLAVE")]
+    return told.select(*[f"`{c}`" for c in rows.columns], "DENOM_ARCHIVO", "CLAVE_ARCHIVO", "DENOM_BASE", "CLAVE_BASE", *added).withColumn("RANKING", F.lit(1))
 
 
 def verdict_counts(matched: DataFrame, best_only: bool = True) -> DataFrame:

@@ -35,7 +35,7 @@ def _both_empty(a: Column, b: Column, both: float, value: Column) -> Column:
     return F.when((a == "") & (b == ""), F.lit(both)).when((a == "") | (b == ""), F.lit(0.0)).otherwise(value)
 
 
-def _once(rows: DataFrame, keys: list[str], figures: Callable[[DataFrame], DataFrame]) -> DataFrame:
+def once(rows: DataFrame, keys: list[str], figures: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """``rows`` with what ``figures`` adds to their keys, worked out once for each distinct combination of keys, none of which is null."""
     told = figures(rows.select(*keys).distinct())
     return rows.join(told, keys)
@@ -46,7 +46,7 @@ def six_metrics(pairs: DataFrame, left: str, right: str) -> DataFrame:
 
     Figures depend on the two normalised names alone: each distinct pair of them is compared once.
     """
-    return _once(pairs.withColumns({"NORM_1": compared_name(F.col(left)), "NORM_2": compared_name(F.col(right))}), ["NORM_1", "NORM_2"], _six_figures)
+    return once(pairs.withColumns({"NORM_1": compared_name(F.col(left)), "NORM_2": compared_name(F.col(right))}), ["NORM_1", "NORM_2"], _six_figures)
 
 
 def _six_figures(keyed: DataFrame) -> DataFrame:
@@ -166,7 +166,7 @@ def compared_denominations(pairs: DataFrame, left: str, right: str, least: float
     least = min(100.0, max(0.0, float(least)))
     keyed = pairs.withColumns({"_nx": percent_name(F.col(left)), "_ny": percent_name(F.col(right))})
     return (
-        _once(keyed, ["_nx", "_ny"], lambda keys: keys.withColumn("_s", _percentage(F.col("_nx"), F.col("_ny"), least)))
+        once(keyed, ["_nx", "_ny"], lambda keys: keys.withColumn("_s", _percentage(F.col("_nx"), F.col("_ny"), least)))
         .withColumns({"PORCENTAJE": F.col("_s.percent"), "UMBRAL": F.lit(float(least)), "COINCIDE": ((F.col("_s.percent") >= least) & ~F.col("_s.analysis").isin("AMBAS DENOMINACIONES VACIAS", "DENOMINACION VACIA")).cast("int"), "ANALISIS": F.col("_s.analysis")})
         .drop("_s", "_nx", "_ny")
     )

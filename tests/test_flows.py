@@ -85,6 +85,17 @@ def test_few_pairs_are_looked_up_for_high_floors(spark, tail, most):
     assert linking._looked_up(held, base).count() <= most
 
 
+def test_each_pair_of_names_is_compared_once(spark, monkeypatch):
+    seen, scores = [], linking.cross_scores
+    monkeypatch.setattr(linking, "cross_scores", lambda pairs, *a: seen.append(pairs.count()) or scores(pairs, *a))
+    rows = spark.range(1000).selectExpr("id", "if(id % 2 = 0, 'ana perez', NULL) AS a", "'perez ana' AS b")
+    got = linking.paired_match(rows, "a", "b")
+    assert seen == [2]
+    assert {(r.id % 2, r.MOTIVO, r.COINCIDE, r.RANKING) for r in got.collect()} == {(0, "ORDEN_DE_TOKENS_INVERTIDO", "SI", 1), (1, "UNO_DE_LOS_DOS_VACIO", "NO", 1)}
+    stages = got._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert max(s.count("ArrowEvalPython") for s in stages) == 1
+
+
 def test_base_rows_of_one_id(spark):
     left = spark.createDataFrame([(1, "ana maria lopez")], "i long, n string")
     right = spark.createDataFrame([(7, "ana maria lopez"), (7, "ana maria gomez"), (7, None), (8, "ana lopez maria")], "b long, m string")
