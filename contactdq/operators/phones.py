@@ -5,7 +5,9 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from contactdq.functions.barrier import settled
 from contactdq.functions.text import letters_only
+from contactdq.session import stored
 
 #: Country codes, label words, placeholders.
 COUNTRY_CODES = {"AR": "54", "UY": "598", "BR": "55", "CL": "56", "PY": "595"}
@@ -126,11 +128,15 @@ def validated(rows: DataFrame, column: str, plan: DataFrame | None = None, count
     number, reason = _first_look(column)
     if plan is None:
         return rows.withColumn("MOTIVO", F.coalesce(reason, F.lit(NO_PLANS))).withColumn("VALIDO", F.lit(False))
-    step = rows.withColumns({"_why": reason, "_call": dialled(F.col(column))})
-    step = step.withColumn("_call", F.when(F.col("_why").isNull(), F.col("_call")))
-    told = by_plan(step.filter("_call IS NOT NULL").select("_call").distinct(), "_call", plan, country)
-    joined = step.join(told, "_call", "left").withColumns({"MOTIVO": F.coalesce("_why", "MOTIVO"), "VALIDO": F.coalesce("VALIDO", F.lit(False))})
-    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")}).drop("_call", "_why")
+    # Each distinct cell is looked at once, and written: few files hold many cells, and several steps read what comes of them.
+    looked = rows.select(F.coalesce(F.col(column), F.lit("")).alias("_cell")).distinct()
+    number, reason = _first_look("_cell")
+    looked = settled(looked.withColumns({"_why": reason, "_call": dialled(F.col("_cell"))}), "_why", "_call")
+    looked = stored(looked.withColumn("_call", F.when(F.col("_why").isNull(), F.col("_call"))), "cells")
+    told = by_plan(looked.filter("_call IS NOT NULL").select("_call").distinct(), "_call", plan, country)
+    told = looked.join(told, "_call", "left").drop("_call")
+    joined = rows.withColumn("_cell", F.coalesce(F.col(column), F.lit(""))).join(told, "_cell").withColumns({"MOTIVO": F.coalesce("_why", "MOTIVO"), "VALIDO": F.coalesce("VALIDO", F.lit(False))})
+    return joined.withColumns({c: F.coalesce(c, F.lit("")) for c in ("CODIGO_PAIS", "PREFIJO", "TELEFONO", "TIPO_TELEFONO")}).drop("_cell", "_why")
 
 
 def dialled(cell: Column) -> Column:
@@ -147,19 +153,20 @@ def by_plan(calls: DataFrame, call: str, plan: DataFrame, country: str = "AR") -
     beginnings of the number: it is valid if its length fits, possible if some number of the country is as long.
     """
     home = COUNTRY_CODES[country]
-    countries = plan.groupBy(F.col("CODIGO_PAIS").alias("code")).agg(F.max("TRONCAL").alias("trunk"), F.min("LARGO_MIN").alias("low"), F.max("LARGO_MAX").alias("high"))
+    countries = plan.groupBy(F.col("CODIGO_PAIS").alias("code")).agg(F.max("TRONCAL").alias("trunk"), F.min("LARGO_MIN").alias("low"), F.max("LARGO_MAX").alias("high"), F.collect_set(F.length("PREFIJO")).alias("lengths"))
     digits = F.regexp_replace(F.col(call), r"^(\+|00)", "")
     way = lambda order, code, rest: F.struct(F.lit(order).alias("way"), code.alias("code"), rest.alias("rest"))
     abroad = F.array(*[way(3 - n, F.left(digits, F.lit(n)), F.substr(digits, F.lit(n + 1))) for n in (3, 2, 1)])
     within = F.array(way(0, F.lit(home), digits), way(1, F.lit(home), F.when(digits.startswith(home), F.substr(digits, F.lit(len(home) + 1)))))
-    ways = calls.select(call, F.explode(F.when(F.col(call).rlike(r"^(\+|00)"), abroad).otherwise(within)).alias("w")).select(call, "w.*").filter("rest IS NOT NULL").join(countries, "code")
+    ways = calls.select(call, F.explode(F.when(F.col(call).rlike(r"^(\+|00)"), abroad).otherwise(within)).alias("w")).select(call, "w.*").filter("rest IS NOT NULL").join(countries, "code", "left")
+    ways = ways.withColumn("code", F.when(F.col("lengths").isNotNull(), F.col("code")))
     ways = ways.withColumn("national", F.when((F.col("trunk") != "") & F.col("rest").startswith(F.col("trunk")), F.expr("substring(rest, length(trunk) + 1)")).otherwise(F.col("rest")))
-    starts = ways.select(call, "way", "code", "national", F.explode(F.expr("transform(sequence(1, greatest(1, length(national))), i -> left(national, i))")).alias("start"))
+    starts = ways.select(call, "way", F.struct("code", "national", "low", "high").alias("c"), F.explode_outer(F.expr("transform(filter(lengths, i -> i <= length(national)), i -> left(national, i))")).alias("start"))
     listed = plan.select(F.col("CODIGO_PAIS").alias("code"), F.col("PREFIJO").alias("start"), F.struct("LARGO_MIN", "LARGO_MAX", "TIPO_LINEA", "LARGO_AREA").alias("p"))
-    longest = starts.join(listed, ["code", "start"]).groupBy(call, "way").agg(F.max_by("p", F.struct(F.length("start"), F.col("p.LARGO_MAX"), F.col("p.LARGO_MIN"))).alias("p"))
-    seen = ways.join(longest, [call, "way"], "left").withColumns({"fits": F.coalesce(F.length("national").between(F.col("p.LARGO_MIN"), F.col("p.LARGO_MAX")), F.lit(False)), "possible": F.length("national").between(F.col("low"), F.col("high"))})
-    best = seen.groupBy(call).agg(F.min_by(F.struct("code", "national", "p", "fits", "possible"), F.struct(~F.col("fits"), "way")).alias("b"))
-    told = calls.join(best, call, "left").select(call, "b.*")
+    hits = starts.withColumn("code", F.col("c.code")).join(listed, ["code", "start"], "left")
+    seen = hits.groupBy(call, "way").agg(F.first("c").alias("c"), F.max_by("p", F.when(F.col("p").isNotNull(), F.struct(F.length("start"), F.col("p.LARGO_MAX"), F.col("p.LARGO_MIN")))).alias("p")).select(call, "way", "c.*", "p")
+    seen = seen.withColumns({"fits": F.coalesce(F.length("national").between(F.col("p.LARGO_MIN"), F.col("p.LARGO_MAX")), F.lit(False)), "possible": F.length("national").between(F.col("low"), F.col("high"))})
+    told = seen.groupBy(call).agg(F.min_by(F.struct("code", "national", "p", "fits", "possible"), F.struct(F.col("code").isNull(), ~F.col("fits"), "way")).alias("b")).select(call, "b.*")
     mobile = (F.col("code") == "54") & F.col("national").startswith("9")
     plain = F.when(mobile, F.expr("substring(national, 2)")).otherwise(F.col("national"))
     filler = filler_reason(F.col("national"))

@@ -163,6 +163,16 @@ def test_conflicts_like_group_by_group(spark):
 PLAN = [("54", "11", 10, 10, "FIJO", 2, "0"), ("54", "911", 11, 11, "MOVIL", 2, "0"), ("54", "22", 10, 10, "FIJO", 2, "0"), ("54", "223", 10, 10, "FIJO", 3, "0"), ("598", "9", 8, 8, "MOVIL", 0, "0"), ("598", "2", 8, 8, "FIJO", 1, "0"), ("598", "8", 8, 8, None, 0, "0")]
 
 
+def test_each_cell_is_looked_at_once(spark, monkeypatch):
+    seen, keep = [], phones.stored
+    monkeypatch.setattr(phones, "stored", lambda df, what: seen.append(df.count()) or keep(df, what))
+    plan = spark.createDataFrame([("54", "11", 10, 10, "FIJO", 2, "0"), ("54", "113", 10, 10, "MOVIL", 3, "0")], phones.PLAN)
+    rows = spark.range(400).selectExpr("id", "CASE id % 4 WHEN 0 THEN '011 4567-8912' WHEN 1 THEN '+999 1234567' WHEN 2 THEN '' END AS tel")
+    got = {(r.id % 4, r.MOTIVO, r.TIPO_LINEA, r.PREFIJO) for r in phones.validated(rows, "tel", plan).collect()}
+    assert seen == [3]
+    assert got == {(0, phones.VALID, "FIJO", "11"), (1, phones.NO_COUNTRY, None, ""), (2, phones.EMPTY, None, ""), (3, phones.EMPTY, None, "")}
+
+
 def test_phones_by_a_plan(spark):
     cases = {
         "Tel: 011 4321-9876": (True, "+541143219876", "54", "11", "43219876", "F", "FIJO"),
