@@ -96,6 +96,14 @@ def test_each_pair_of_names_is_compared_once(spark, monkeypatch):
     assert max(s.count("ArrowEvalPython") for s in stages) == 1
 
 
+def test_a_task_holds_one_python_worker(spark):
+    rows = spark.createDataFrame([(1, "ⒶNA Pérez", "perez ana"), (2, "ana", None)], "id long, a string, b string")
+    got = linking.paired_match(rows, "a", "b")
+    stages = got._jdf.queryExecution().executedPlan().toString().split("Exchange")
+    assert max(s.count("ArrowEvalPython") for s in stages) == 1
+    assert {(r.id, r.CLAVE_ARCHIVO, r.CLAVE_BASE) for r in got.collect()} == {(1, "ANA PEREZ", "PEREZ ANA"), (2, "ANA", "")}
+
+
 def test_base_rows_of_one_id(spark):
     left = spark.createDataFrame([(1, "ana maria lopez")], "i long, n string")
     right = spark.createDataFrame([(7, "ana maria lopez"), (7, "ana maria gomez"), (7, None), (8, "ana lopez maria")], "b long, m string")
