@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from contactdq.functions.barrier import settled
+from contactdq.functions.letters import compared_cells
 from contactdq.functions.similarity import dice, jaro_winkler
 from contactdq.functions.text import name_key, name_tokens, sorted_key
 from contactdq.operators.names import classified, cross_scores, first_segment, once
@@ -49,11 +50,10 @@ def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int = BLOCK_LEN
     """``x, y, score`` of distinct keys (``CLAVE, TOKENS``): every pair that shares a long token and can be among the best k of its left key, and some others.
 
     Pairs that share a rare token are scored, and some that share a frequent one: those with a rare half of a word in common (one slip leaves one half whole) and
-    a few whose lengths are alike. So most left keys have a k-th best score; those for which it is low are scored with the keys of each frequent
-    token whose bounds are best too, which raises it. A pair that shares frequent tokens only must reach it: see ``_met``.
+    a few whose lengths are alike. So most left keys have a k-th best score. A pair that shares frequent tokens only must reach it: see ``_looked_up``.
     """
     token = lambda d, x: d.withColumn("t", F.explode(F.filter(f"w{x}", lambda t: F.length(t) >= least)))
-    left, right = stored(_spelled(left, "x"), "left"), stored(_spelled(right, "y").withColumn("number", F.monotonically_increasing_id()), "right")
+    left, right = stored(_spelled(left, "x"), "left"), stored(_spelled(right, "y"), "right")
     lx, ry = token(left, "x"), token(right, "y")
     often = ry.groupBy("t").agg(F.count("*").alias("df")).filter(F.col("df") > rare)
     if often.isEmpty():
@@ -66,79 +66,61 @@ def best_pairs(left: DataFrame, right: DataFrame, k: int, least: int = BLOCK_LEN
     seeds = near.select("x", F.explode(F.array("a", "b")).alias("y")).unionByName(_half_alike(left, right, least, rare)).distinct()
     scored = stored(scored.unionByName(_light_scores(seeds)).distinct(), "seeded")
     # Words that both can have where no rare one is shared: the frequent and the short ones.
-    held = lx.groupBy("x", "wx", "lx", "mx").agg(F.collect_set("t").alias("ts"))
-    held = held.select("x", "lx", "mx", "ts", (F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least))).alias("open"))
-    floored = lambda scores: held.join(_floors(scores, k), "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0)))
-    vague = stored(floored(scored).filter(F.col("floor") < VAGUE), "vague")
-    scored = stored(scored.unionByName(_light_scores(_likeliest(vague, ry, right))).distinct(), "scored")
-    return scored.unionByName(_light_scores(_met(stored(floored(scored), "held"), ry))).distinct()
+    held = lx.groupBy("x", "wx", "mx").agg(F.collect_set("t").alias("ts"))
+    held = held.select("x", "mx", "ts", (F.size("ts") + F.size(F.filter("wx", lambda t: F.length(t) < least))).alias("open"))
+    held = stored(held.join(_floors(scored, k), "x", "left").withColumn("floor", F.coalesce("floor", F.lit(0.0))), "held")
+    met = _looked_up(held, ry, k).distinct().join(scored.select("x", "y"), ["x", "y"], "left_anti")
+    return scored.unionByName(_light_scores(met))
 
 
-#: Below this k-th best score a left key is first scored with those base keys that have the best bounds.
-VAGUE = 0.86
-
 #: Pairs are told apart by how many first characters they must share at least; Jaro-Winkler adds for as many as stand second.
 _HEADS = ((0, 0), (1, 2), (3, 4))
 
-#: Left keys that may lack so many letters are not looked up by letters but compared with all of the token, length and head, dealt over so many keys.
-_LOOSE, _DEALT = 8, 16
-
-
-def _dealt(key: str) -> Column:
-    return F.pmod(F.xxhash64(key), F.lit(_DEALT)).cast("int")
-
+#: Left keys that may lack more letters are compared with all of the token, length and head. Such a comparison counts as so many by rare letters.
+_LOOSE, _WEIGHT = 3, 64
 
-def _likeliest(vague: DataFrame, ry: DataFrame, right: DataFrame) -> DataFrame:
-    """``x, y``: for each left key, frequent token, length of base keys and part of them (of ``_DEALT``) the one with the best bound. Bound and number of the base key are one long, so that tasks keep no more than the best."""
-    asks = vague.select("x", "mx", "open", F.explode("ts").alias("t")).withColumn("d", F.explode(F.sequence(F.lit(0), F.lit(_DEALT - 1))))
-    met = asks.join(ry.select("t", "my", "number", _dealt("y").alias("d")), ["t", "d"])
-    told = F.shiftleft((_bound() * 65535).cast("long"), 47).bitwiseOR(F.col("number"))
-    best = met.groupBy("x", "t", F.col("my.n").alias("n"), "d").agg(F.max(told).alias("told"))
-    return best.select("x", F.col("told").bitwiseAND(F.lit((1 << 47) - 1)).alias("number")).join(right.select("number", "y"), "number").select("x", "y").distinct()
+#: Most base keys of a cell, comparisons of a cell, and rows of both sides that a task is given at about.
+_CELL, _WORK, _BUCKET = 1 << 16, 1 << 30, 1 << 16
 
 
-def _asked(held: DataFrame, book: DataFrame) -> DataFrame:
-    """For each left key, frequent token, length of base keys and head (``q`` characters): ``least``, the letters that must be shared for the floor to be reached, and ``ls``, the letters to look up.
-
-    No rows where it cannot be reached. Of the left key's letters, rarest of the token first, one of the first ``length - least + 1`` must be shared.
-    """
-    each = held.withColumn("t", F.explode("ts")).join(book, "t").withColumn("ls", F.expr("concat(array_except(lx, letters), array_intersect(letters, lx))"))
-    each = each.select("x", "mx", "floor", "open", "t", "ls", F.explode("lengths").alias("n"))
+def _asked(held: DataFrame, ry: DataFrame) -> DataFrame:
+    """For each left key, frequent token, length of base keys and head (``q`` characters): ``misses``, how many of its letters it may lack for the floor to be reached; ``_LOOSE + 1`` stands for more. No rows where it cannot be reached."""
+    each = held.withColumn("sx", sorted_key(F.col("x"))).withColumn("t", F.explode("ts")).join(ry.groupBy("t").agg(F.collect_set("my.n").alias("lengths")), "t").withColumn("n", F.explode("lengths"))
     needs = [f"cast(ceil((3 * (floor - {c / 10}) / {1 - c / 10} - 1) / (1D / mx.n + 1D / n) - 1e-6) AS int)" for _, c in _HEADS]
     each = each.withColumn("_m", F.array(*map(F.expr, needs))).withColumn("_all", F.expr("2 * open >= floor * (mx.words + open)"))
-    loose = lambda i: F.col("_all") | (F.col("mx.n") - F.get("_m", F.lit(i)) + 1 > _LOOSE)
     told, earlier = [], F.lit(False)
     for i, (q, _) in enumerate(_HEADS):
-        may = F.col("_all") | (F.get("_m", F.lit(i)) <= F.least("mx.n", "n"))
-        told.append(F.when(may & ~earlier, F.struct(F.lit(q).alias("q"), F.when(~loose(i), F.get("_m", F.lit(i))).alias("least"))))
-        earlier = earlier | (may & loose(i))
-    each = each.withColumn("w", F.explode(F.array_compact(F.array(*told)))).select("x", "mx", "floor", "open", "t", "n", "w.*", "ls")
-    every = F.array(*[F.lit(f"#{i}") for i in range(_DEALT)])
-    return each.withColumn("ls", F.when(F.col("least").isNull(), every).otherwise(F.slice("ls", F.lit(1), F.greatest(F.lit(1), F.col("mx.n") - F.col("least") + 1))))
+        least = F.get("_m", F.lit(i))
+        may, loose = F.col("_all") | (least <= F.least("mx.n", "n")), F.col("_all") | (F.col("mx.n") - least > _LOOSE)
+        told.append(F.when(may & ~earlier, F.struct(F.lit(q).alias("q"), F.when(loose, _LOOSE + 1).otherwise(F.col("mx.n") - least).alias("misses"))))
+        earlier = earlier | (may & loose)
+    each = each.withColumn("w", F.explode(F.array_compact(F.array(*told)))).select("x", "sx", "mx", "floor", "open", "t", "n", "w.*")
+    return each.withColumn("head", F.expr("left(mx.head, q)"))
 
 
-def _looked_up(held: DataFrame, ry: DataFrame) -> DataFrame:
-    """``x, y, floor, open, mx, my`` of pairs that share a frequent token and may reach the left key's floor, by an equi-join on token, length, head and rare letter; some of them more than once.
+def _looked_up(held: DataFrame, ry: DataFrame, k: int = 5) -> DataFrame:
+    """``x, y`` of pairs that share a frequent token and may reach the left key's floor, some of them more than once.
 
-    Jaro-Winkler that high needs so many letters in common, for a length and for the first characters that are shared, that a rare letter of the left key (the third K, say; rare among
-    the base keys of the token) is among the rare ones of the base key.
+    Keys meet in cells: those of one token, length of the base key and head, dealt over so many cells that none holds more than a task can. What is compared within a cell
+    is bits of letters, in numpy; no pair is made before it has passed.
     """
-    letters = ry.select("t", F.explode("ly").alias("l")).groupBy("t", "l").agg(F.count("*").alias("df")).groupBy("t").agg(F.array_sort(F.collect_list(F.struct("df", "l"))).alias("o"))
-    book = stored(letters.select("t", F.col("o.l").alias("letters")).join(ry.groupBy("t").agg(F.collect_set("my.n").alias("lengths")), "t"), "book")
-    asked = stored(_asked(held, book), "asked")
-    wants = stored(asked.groupBy("t", "n", "q").agg(F.min("least").alias("least"), F.bool_or(F.col("least").isNull()).alias("every")), "wants")
-    given = ry.select("t", "y", "my", "ly", F.col("my.n").alias("n")).join(wants, ["t", "n"]).join(book, "t")
-    own = F.coalesce(F.slice(F.array_intersect("letters", "ly"), F.lit(1), F.greatest(F.lit(0), F.col("n") - F.col("least") + 1)), F.array().cast("array<string>"))
-    dealt = F.concat(F.lit("#"), _dealt("y").cast("string"))
-    given = given.select("t", "y", "my", "n", "q", F.explode(F.concat(own, F.when(F.col("every"), F.array(dealt)).otherwise(F.array().cast("array<string>")))).alias("l"))
-    place = lambda m: F.xxhash64("q", "n", "l", F.expr(f"left({m}.head, q)")).alias("place")
-    few = asked.select("x", "mx", "floor", "open", "t", "n", "q", F.explode("ls").alias("l")).select("x", "mx", "floor", "open", "t", place("mx"))
-    return few.join(given.select("y", "my", "t", place("my")), ["t", "place"])
-
-
-def _met(held: DataFrame, ry: DataFrame) -> DataFrame:
-    """``x, y`` of the pairs looked up that pass the bound by all letters, first letters and words, each once."""
-    return _looked_up(held, ry).filter(_bound() >= F.col("floor")).select("x", "y").distinct()
+    place = ["t", "n", "q", "head"]
+    asked = stored(_asked(held, ry), "asked")
+    wants = asked.groupBy(*place).agg(F.count("*").alias("asks"), F.sum(F.when(F.col("misses") > _LOOSE, _WEIGHT).otherwise(1)).alias("weight"))
+    given = ry.select("t", "y", "sy", "my", F.col("my.n").alias("n"), F.explode(F.array(*[F.lit(q) for q, _ in _HEADS])).alias("q")).withColumn("head", F.expr("left(my.head, q)"))
+    parts = wants.join(given.groupBy(*place).agg(F.count("*").alias("base")), place).withColumn("ys", F.ceil(F.col("base") / _CELL))
+    parts = parts.withColumn("xs", F.greatest(F.ceil(F.col("asks") / _CELL), F.ceil(F.col("weight") * F.least("base", F.lit(_CELL)) / _WORK)))
+    cells = parts.withColumn("yi", F.explode(F.sequence(F.lit(0), F.col("ys") - 1))).withColumn("xi", F.explode(F.sequence(F.lit(0), F.col("xs") - 1)))
+    cells = stored(cells.withColumn("cell", F.monotonically_increasing_id()), "cells")
+    rows = cells.agg(F.sum(F.expr("asks / xs + base / ys"))).first()[0] or 0
+    tasks = max(1, round(rows / _BUCKET))
+    dealt = lambda key, n: F.pmod(F.xxhash64(key), n)
+    bits = lambda m: [F.col(f"{m}.b0"), F.col(f"{m}.b1"), F.col(f"{m}.b2"), F.col(f"{m}.more"), F.col(f"{m}.words")]
+    bucket = F.pmod(F.xxhash64("cell"), F.lit(tasks)).alias("bucket")
+    few = asked.join(cells, place).filter(dealt("x", F.col("xs")) == F.col("xi")).select(bucket, "cell", "x", "sx", *bits("mx"), "open", "floor", "misses")
+    many = given.join(cells, place).filter(dealt("y", F.col("ys")) == F.col("yi")).select(bucket, F.col("cell").alias("cell"), "y", "sy", *bits("my"))
+    both = few.repartition(tasks, "bucket").groupBy("bucket").cogroup(many.repartition(tasks, "bucket").groupBy("bucket"))
+    return both.applyInArrow(lambda left, right: compared_cells(left, right, k, _LOOSE), "x string, y string")
 
 
 def _bound() -> Column:
@@ -164,12 +146,13 @@ def cross_match(left: DataFrame, right: DataFrame, k: int = 5, left_id: str = "I
     Ties are broken by the base id. Carried columns never influence a score. Scores depend on the keys alone, so each pair of distinct keys is scored
     once, however many rows have them. Of base rows that share an id one counts: that of the least name, then of the least document.
     """
-    a = classified(left.select(F.col(left_id).cast("string").alias("ID_ARCHIVO"), F.col(left_name).alias("_n"), *[F.col(c) for c in extras or []]), "_n").drop("_n")
+    # A table of few bytes comes in few tasks, however many rows it has; judging them is what takes long.
+    a = classified(left.select(F.col(left_id).cast("string").alias("ID_ARCHIVO"), F.col(left_name).alias("_n"), *[F.col(c) for c in extras or []]).repartition("ID_ARCHIVO"), "_n").drop("_n")
     named = [F.col(right_name).alias("DENOM_BASE"), *([F.col(document).alias("DOC_BASE")] if document else [])]
     once = right.select(F.col(right_id).alias("ID_BASE"), F.struct(F.col(right_name).isNull(), *named).alias("_r")).groupBy("ID_BASE").agg(F.min("_r").alias("_r"))
     b = classified(once.select("ID_BASE", "_r.DENOM_BASE", *(["_r.DOC_BASE"] if document else [])), "DENOM_BASE")
     keys = lambda d: settled(d.select("CLAVE", "TOKENS"), "CLAVE", "TOKENS").filter("CLAVE <> ''").dropDuplicates(["CLAVE"])
-    ka, kb = keys(a), keys(b)
+    ka, kb = stored(keys(a), "file_keys"), stored(keys(b), "base_keys")
     # Of base rows of one key none but the k smallest ids can be among the best k.
     least = b.withColumn("_n", F.row_number().over(Window.partitionBy("CLAVE").orderBy("ID_BASE"))).filter(F.col("_n") <= k)
     least = least.select(F.col("CLAVE").alias("CLAVE_BASE"), "ID_BASE", "DENOM_BASE", *(["DOC_BASE"] if document else []))

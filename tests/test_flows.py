@@ -3,14 +3,16 @@
 import hashlib
 import json
 import random
+from collections import Counter
 from datetime import datetime
 
+import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
+from contactdq.functions import letters, text
 from contactdq.functions import similarity as S
-from contactdq.functions import text
 from contactdq.operators import identity, linking, mail_agent, mail_features, mails, names, phones, profile
 from contactdq.plans import processes
 from contactdq.plans.schemas import with_audit_columns
@@ -87,6 +89,69 @@ def test_few_pairs_are_looked_up_for_high_floors(spark, tail, most):
     assert linking._looked_up(held, base).count() <= most
 
 
+def test_a_left_key_without_a_floor_meets_its_best_only(spark):
+    """Of 12,000 pairs of keys whose floors tell nothing only those come out that can be among the best of their left key."""
+    words = lambda i, salt: "WIDGET " + hashlib.md5(f"{salt}{i}".encode()).hexdigest()[:12].upper()
+    asked, base = [words(i, "a") for i in range(20)], [words(i, "b") for i in range(600)]
+    spelled = lambda keys, side: linking._spelled(spark.createDataFrame([(key, key.split()) for key in keys], "CLAVE string, TOKENS array<string>"), side)
+    held = spelled(asked, "x").selectExpr("x", "lx", "mx", "array('WIDGET') AS ts", "1 AS open", "0.0D AS floor")
+    got = {(r.x, r.y) for r in linking._looked_up(held, spelled(base, "y").selectExpr("*", "'WIDGET' AS t")).collect()}
+    assert len(got) <= 400
+    ordered = lambda key: " ".join(sorted(key.split()))
+    for x in asked:
+        score = {y: S.jaro_winkler_of(ordered(x), ordered(y)) for y in base}
+        assert {y for y in base if score[y] >= sorted(score.values())[-5]} <= {y for a, y in got if a == x}
+
+
+def _cell(keys):
+    """Letters of sorted keys as ``linking._spelled`` tells them."""
+    bits, more = np.zeros((len(keys), 3), np.uint64), np.zeros(len(keys), np.int32)
+    for i, key in enumerate(keys):
+        for c in set(key):
+            for nth in range(key.count(c)):
+                at = linking._ALPHABET.index(c) * linking._EACH + nth
+                if nth < linking._EACH:
+                    bits[i, at // linking._BITS] |= np.uint64(1 << at % linking._BITS)
+                else:
+                    more[i] += 1
+    return bits, more, np.array([len(k.split()) for k in keys], np.int32)
+
+
+@pytest.mark.parametrize("length", [3, 20, 64, 70])
+def test_cells_lose_no_pair_that_reaches_its_floor(length, monkeypatch):
+    """By rare letters, by all letters, with few candidates or many: every pair as good as the floor and the best five of the cell comes out."""
+    rnd = random.Random(length)
+    key = lambda n: "".join(rnd.choices("0123456789ABCDEF", k=n))
+    base = [key(length) for _ in range(300)]
+    slip = lambda y, n: "".join(key(1) if i in rnd.sample(range(length), n) else c for i, c in enumerate(y))
+    asked = [slip(rnd.choice(base), rnd.randrange(3)) for _ in range(30)] + [key(rnd.randrange(1, length + 4)) for _ in range(10)]
+    bits, more, words = _cell(asked)
+    score = np.array([[S.jaro_winkler_of(x, y) for y in base] for x in asked])
+    floor = np.array([rnd.choice([0.0, np.sort(s)[-3] - 1e-6]) for s in score])
+    for small in (0, 1000):
+        monkeypatch.setattr(letters, "SMALL", small)
+        for many in (5, 10_000):
+            monkeypatch.setattr(letters, "MANY", many)
+            monkeypatch.setattr(letters, "FIRST", 40)
+            for misses in range(5):
+                x, y = letters.compared_cell({"sx": asked, "bits": bits, "more": more, "words": words, "open": np.zeros(40, np.int32), "floor": floor, "misses": np.full(40, misses)}, letters.Base(base, *_cell(base)), 5, 3)
+                got = set(zip(x.tolist(), y.tolist()))
+                assert len(got) == len(x)
+                for i in range(40):
+                    lack = lambda y: len(asked[i]) - sum((Counter(asked[i]) & Counter(y)).values())
+                    wanted = {j for j in range(300) if score[i, j] >= max(floor[i], np.sort(score[i])[-5]) and (misses > 3 or lack(base[j]) <= misses)}
+                    assert wanted <= {j for a, j in got if a == i}
+
+
+def test_jaro_winkler_against_many():
+    rnd = random.Random(8)
+    word = lambda n: "".join(rnd.choices("ABC 0", k=n))
+    for n in (1, 2, 3, 5, 31, 63, 64):
+        base = letters.Base(keys := [word(n) for _ in range(50)], *_cell(keys))
+        for key in (word(1), word(3), word(17), word(64), keys[7]):
+            assert letters.jaro_winkler_against(key, base, np.arange(50)).tolist() == [S.jaro_winkler_of(key, y) for y in keys]
+
+
 def test_each_pair_of_names_is_compared_once(spark, monkeypatch):
     seen, scores = [], linking.cross_scores
     monkeypatch.setattr(linking, "cross_scores", lambda pairs, *a: seen.append(pairs.count()) or scores(pairs, *a))
